@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, simhash, url_filter
+from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, quality, simhash, url_filter
 from tidemark.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
@@ -35,7 +39,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_fingerprints, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
+    return {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_fingerprints, op6_quality, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
