@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, quality, simhash, url_filter
+from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, packing, quality, simhash, url_filter
 from tidemark.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,7 +43,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op3_decontaminate, op4_fingerprints, op6_quality, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op6_quality, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
