@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -224,10 +224,17 @@ def near_duplicates(documents: DataFrame, radius: int = 4, id_col: str = "doc_id
     return label(rows, radius).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicate_texts(documents: DataFrame, radius: int = 6, radius2: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id by the word-set fingerprints: texts that share 0.8 or more of their five-word shingles link."""
+def drop_near_duplicates(documents: DataFrame, radius: int = 6, radius2: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """documents without all but one (the smallest id, then text hash) of each group of near duplicates.
+
+    By the word-set fingerprints; rows without an id are told apart by their texts and come last.
+    """
     small_batches(documents.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    made = documents.select(F.col(f"`{id_col}`").alias("_id"), _word_set_fps(text).alias("x"))
+    key = {"_k0": F.col(f"`{id_col}`").isNull(), "_k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_k2": F.xxhash64(text)}
+    made = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), _word_set_fps(text).alias("x"))
     rows = cut(made.select("_id", F.col("x.fp").alias("fp"), F.col("x.fp2").alias("fp2")))
-    return label(rows, radius, radius2, 8 * BLOCK).select(F.col("_id").alias(id_col), "component_id")
+    stay = label(rows, radius, radius2, 8 * BLOCK).select("component_id.*").distinct()
+    kept = documents.withColumns(key).join(stay, list(key), "left_semi")
+    first = Window.partitionBy(*key).orderBy(F.lit(0))
+    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop(*key, "_n")
