@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, packing, quality, simhash, url_filter
+from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, lm_score, packing, quality, simhash, url_filter
 from tidemark.llm.common import table
 
 
@@ -26,6 +26,12 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the documents labelled as good and not toxic."""
+    target = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return lm_score.score(table(spark, sf_dir, "documents"), target)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"))
 
@@ -43,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op6_quality, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op5_lm_score, op6_quality, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
