@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, lm_score, packing, quality, simhash, url_filter
+from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, lm_score, packing, quality, simhash, token_files, url_filter
 from tidemark.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_text(table(spark, sf_dir, "pages"))
 
@@ -49,7 +53,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op5_lm_score, op6_quality, op7_simhash_dedup, op9_html_extract, op10_url_filter)}
+    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op5_lm_score, op6_quality, op7_simhash_dedup, op8_token_files, op9_html_extract, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
