@@ -1,8 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a memory of words already met.
 
-The tokenizer of word_bpe_49k.json cuts words at white space before anything else, so a text's ids are those of its
-white-space-separated parts, one after the other. Each worker process keeps the ids of parts it has met (as bytes of
-little-endian unsigned 32-bit integers) and asks the library for new ones in batches.
+The tokenizer of word_bpe_49k.json lower-cases, cuts at white space and then into pieces (runs of letters, single digits,
+runs of other signs, English endings), and codes each piece by itself; a piece's last token ends in ``</w>``. So a text's
+ids are those of its white-space-separated parts, and a part's those of its pieces. Each worker process keeps the ids of
+parts and of pieces that it has met (as bytes of little-endian unsigned 32-bit integers) and asks the library for new
+pieces in batches. Parts with characters beyond U+024F, where normal forms and cases get intricate, go to it whole.
 """
 
 from __future__ import annotations
@@ -11,9 +13,14 @@ import os
 from functools import cache
 
 import numpy as np
+import regex
 
 VOCABULARY = "word_bpe_49k.json"
-MEMORY = 600_000
+#: Parts and pieces that a process keeps; beyond these it starts anew.
+MEMORY = 1_000_000
+#: How the vocabulary's file cuts pieces (fixed).
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PLAIN = regex.compile("[!-įı-ɏ]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -23,38 +30,66 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """encode(texts) gives each text's ids as bytes. Only for tokenizers that cut at white space first."""
+    """encode(text) gives a text's ids as bytes. For tokenizers that cut as said above."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        if len(self.pieces) + len(new) > MEMORY:
+            self.pieces = {}
+        for i in range(0, len(new), 500):
+            some = new[i : i + 500]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                starts = [0, *ends[:-1].tolist()]
+                data = ids.tobytes()
+                self.pieces.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, starts, ends.tolist(), strict=True))
+            else:
+                self.pieces.update((p, self._whole(p)) for p in some)
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.known) + len(parts) > MEMORY:
-            self.known = {}
-        todo = sorted(parts)
-        for i in range(0, len(todo), 2000):
-            some = todo[i : i + 2000]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.parts) + len(parts) > MEMORY:
+            self.parts = {}
+        cut = {}
+        for part in parts:
+            if PLAIN.fullmatch(part) and "<|" not in part:
+                cut[part] = PIECE.findall(part.lower())
+            else:
+                self.parts[part] = self._whole(part)
+        every = {p for pieces in cut.values() for p in pieces}
+        new = sorted(p for p in every if p not in self.pieces)
+        if len(self.pieces) + len(new) > MEMORY:
+            new = sorted(every)
+        self._learn_pieces(new)
+        known = self.pieces
+        for part, pieces in cut.items():
+            self.parts[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
 
     def encode(self, text: str | None) -> bytes:
-        # \x1c-\x1f are white space to str.split but not to the tokenizer: such texts go to the library whole
         if not text:
             return b""
+        # \x1c-\x1f are white space to str.split but not to the tokenizer
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return self._whole(text)
         parts = text.split()
         try:
-            return b"".join(map(self.known.__getitem__, parts))
+            return b"".join([*map(self.parts.__getitem__, parts)])
         except KeyError:
             every = set(parts)
-            new = {p for p in every if p not in self.known}
-            self._learn(new if len(self.known) + len(new) <= MEMORY else every)
-            return b"".join(map(self.known.__getitem__, parts))
+            new = {p for p in every if p not in self.parts}
+            self._learn(new if len(self.parts) + len(new) <= MEMORY else every)
+            return b"".join([*map(self.parts.__getitem__, parts)])
 
 
 @cache
