@@ -90,9 +90,15 @@ def _word_set_fps(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 
 def masks(radius: int) -> np.ndarray:
-    """The 2^(radius+1) - 1 covering masks over 64 bits, unsigned."""
+    """The 2^(radius+1) - 1 covering masks over 64 bits, unsigned.
+
+    The bits' vectors are spread evenly over the nonzero ones; for radius 6 they are those of the first-order Reed-Muller
+    code. So every mask keeps about half of the bits (one of radius 6 keeps all).
+    """
+    if not 1 <= radius <= 6:
+        raise ValueError(f"radius is 1 to 6, not {radius}")
     vectors = 2 ** (radius + 1) - 1
-    phi = [i % vectors + 1 for i in range(64)]
+    phi = [64 + i if radius == 6 else i % vectors + 1 for i in range(64)]
     return np.array([sum(1 << i for i in range(64) if (phi[i] & v).bit_count() % 2) for v in range(1, vectors + 1)], dtype=np.uint64)
 
 
