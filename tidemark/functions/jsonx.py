@@ -1,7 +1,7 @@
 """JSON lists in noisy text, and interval payloads in either dialect.
 
 Only the recovery of a JSON list needs Python: it relies on a strict parser that rejects what follows the value. It is an
-Arrow-batched UDF that gives the list back as JSON text; everything after it is column functions.
+Arrow-batched UDF that gives the list's objects back as JSON text; everything after it is column functions.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.labels import label_bits, true_word
+from tidemark.functions.labels import label_bits, raw_map, true_word
 from tidemark.functions.texts import after_marker, strip
 
 MAPS = "array<map<string,string>>"
 
 
-def find_list(text: str | None, last_resort: bool = True) -> str | None:
+def find_list(text: str | None, last_resort: bool = True) -> list | None:
     """The first strict JSON list among: the bracketed text; from each [ (last first) to the end or the last ]; the text."""
     if text is None:
         return None
@@ -37,21 +37,26 @@ def find_list(text: str | None, last_resort: bool = True) -> str | None:
         except ValueError:
             continue
         if isinstance(value, list):
-            return json.dumps(value, ensure_ascii=False)
+            return value
     return None
 
 
+def objects_of(value: list | None) -> str | None:
+    """The list's objects as JSON text, keys in document order."""
+    return None if value is None else json.dumps([x for x in value if isinstance(x, dict)], ensure_ascii=False)
+
+
 @F.pandas_udf(T.StringType())
 def recover_json_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        yield batch.map(find_list, na_action="ignore")
+        yield batch.map(lambda t: objects_of(find_list(t)), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
 def recover_json_list_strictly(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Without the whole text as a last resort."""
     for batch in texts:
-        yield batch.map(lambda t: find_list(t, False), na_action="ignore")
+        yield batch.map(lambda t: objects_of(find_list(t, False)), na_action="ignore")
 
 
 def plain_json_list(text: Column) -> Column:
@@ -77,7 +82,7 @@ def shots(list_json: Column) -> Column:
             F.round(time(x, "START_SEC"), 6).alias("s"), F.round(time(x, "END_SEC"), 6).alias("e"),
             F.coalesce(F.try_element_at(x, F.lit("DESCRIPTION")), F.lit("")).alias("description"),
             F.coalesce(F.try_element_at(x, F.lit("EXPLANATION")), F.lit("")).alias("explanation"),
-            F.coalesce(label_bits(F.from_json(F.try_element_at(x, F.lit("GUARDRAIL")), "map<string,string>")), F.lit(0)).alias("b"),
+            F.coalesce(label_bits(raw_map(F.try_element_at(x, F.lit("GUARDRAIL")))), F.lit(0)).alias("b"),
         ),
     )
     return F.filter(made, lambda x: x["s"].isNotNull() & x["e"].isNotNull() & (x["e"] >= x["s"]))
@@ -119,7 +124,7 @@ def display_interval(raw: Column) -> Column:
     get = lambda *keys: F.coalesce(*[F.try_element_at(raw, F.lit(k)) for k in keys])
     s = F.coalesce(get("start", "START_SEC").try_cast("double"), F.lit(0.0))
     e = F.coalesce(get("end", "END_SEC").try_cast("double"), s)
-    flags = F.from_json(get("guardrail", "GUARDRAIL"), "map<string,string>")
+    flags = raw_map(get("guardrail", "GUARDRAIL"))
     names = F.coalesce(F.map_keys(F.map_filter(flags, lambda k, v: true_word(v))), F.array().cast("array<string>"))
     return F.struct(s.alias("s"), F.greatest(s, e).alias("e"), names.alias("labels"))
 
@@ -128,5 +133,5 @@ def three_part_answer(text: Column) -> Column:
     """(description, labels as a map of raw values, explanation) of ``DESCRIPTION: .. GUARDRAIL: {..} EXPLANATION: ..``; null if it isn't one."""
     pattern = r"(?s)DESCRIPTION:\s*(.*?)\s*GUARDRAIL:\s*(\{.*?\})\s*EXPLANATION:\s*(.*)\z"
     part = lambda g: F.regexp_extract(text, pattern, g)
-    labels = F.from_json(F.regexp_replace(F.regexp_replace(part(2), "True", "true"), "False", "false"), "map<string,string>")
+    labels = raw_map(F.regexp_replace(F.regexp_replace(part(2), "True", "true"), "False", "false"))
     return F.when(text.rlike(pattern) & labels.isNotNull(), F.struct(strip(part(1)).alias("description"), labels.alias("labels"), strip(part(3)).alias("explanation")))

@@ -18,23 +18,26 @@ STANDARD = (
 )
 
 
+def raw_map(text: Column) -> Column:
+    """A JSON object's keys, in document order, with each value as JSON text (so "false" and false differ)."""
+    return F.transform_values(F.from_json(text, "map<string,variant>"), lambda k, v: F.to_json(v))
+
+
 def true_number(raw: Column) -> Column:
     """A JSON value is true if it is true or a number other than 0; a text never is."""
-    number = F.try_to_number(raw, F.lit("S999999999D999999"))
-    return F.when(raw == "true", True).otherwise(F.coalesce(raw.try_cast("double") != 0, number != 0, F.lit(False)))
+    return F.coalesce((raw == "true") | (raw.try_cast("double") != 0), F.lit(False))
 
 
 def true_python(raw: Column) -> Column:
     """A JSON value is true unless it is false, null, 0, or an empty text, list or object ("false" in quotes is true)."""
-    plain = F.trim(raw)
-    empty = plain.isin("false", "null", '""', "[]", "{}")
-    return F.coalesce(F.when(empty, False).otherwise(F.coalesce(plain.try_cast("double") != 0, F.lit(True))), F.lit(False))
+    empty = raw.isNull() | raw.isin("false", "null", '""', "[]", "{}")
+    return F.when(empty, False).otherwise(F.coalesce(raw.try_cast("double") != 0, F.lit(True)))
 
 
 def true_word(raw: Column) -> Column:
-    """true, 1, yes and y in any case, and numbers other than 0."""
-    word = F.lower(F.trim(raw))
-    return F.coalesce(word.isin("true", "1", "yes", "y") | (raw.try_cast("double") != 0), F.lit(False))
+    """true, numbers other than 0, and the texts true, 1, yes and y in any case."""
+    word = F.lower(F.trim(F.regexp_replace(raw, '^"|"$', "")))
+    return F.coalesce(F.when(raw.startswith('"'), word.isin("true", "1", "yes", "y")).otherwise((raw == "true") | (raw.try_cast("double") != 0)), F.lit(False))
 
 
 def label_value(labels: Column, standard: str) -> Column:

@@ -46,10 +46,9 @@ def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.St
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"mode is permissive or failfast, not {mode}")
     rows = lines(spark, path, **options).withColumn("is_valid", is_object("raw"))
-    if mode == "failfast":
-        checked = F.when(F.col("is_valid"), F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("no JSON object in "), "file", F.lit(" line "), F.col("line").cast("string"))))
-        rows = rows.withColumn("raw", checked)
     record = F.when(F.col("is_valid"), F.from_json("raw", schema))
+    if mode == "failfast":
+        record = record.otherwise(F.raise_error(F.concat(F.lit("no JSON object in "), "file", F.lit(" line "), F.col("line").cast("string"))))
     rows = rows.withColumn("record", record)
     index = F.coalesce(F.col("record.jsonl_record_index").try_cast("int"), F.col("line")) if "jsonl_record_index" in schema.fieldNames() else F.col("line")
     return rows.select("file", "line", "is_valid", index.alias("rec_idx"), "record")

@@ -31,7 +31,7 @@ def nested(df: DataFrame, *keys: str) -> DataFrame:
     rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], value.alias("v"))
     for k in reversed(keys):
         outer = keys[: keys.index(k)]
-        rows = rows.groupBy(*outer).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "v")))).alias("v"))
+        rows = rows.groupBy(*outer).agg(F.map_from_entries(F.collect_list(F.struct(k, "v"))).alias("v"))
     return rows
 
 
@@ -39,7 +39,7 @@ def write_report(df: DataFrame, path: str, *keys: str, **extra: str) -> None:
     """The nested rows as one JSON document of a summary table, made on the driver."""
     row = nested(df, *keys).select(F.to_json("v").alias("v")).head()
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({**extra, "by_" + keys[0]: json.loads(row.v) if row else {}}, f, indent=2)
+        json.dump({**extra, "by_" + keys[0]: json.loads(row.v) if row else {}}, f, indent=2, sort_keys=True)
 
 
 def side_by_side(df: DataFrame, row: str, column: str, names: Sequence[str], value: str, form: str = "%.3f") -> DataFrame:
