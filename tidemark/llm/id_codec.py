@@ -4,12 +4,12 @@ A segment holds whole documents; its ids are cut into blocks of BLOCK ids, each
 All blocks of a segment are coded in step, one id of each at a time, with numpy over the blocks.
 
 For each id three predictions are mixed. Order 2 and order 1 name the id that last followed the two ids and the one id
-before; each has a confidence that grows with its hits. Order 0 is the adaptive frequency of the ids met in the block so
-far, numbered by first appearance and kept in a binary tree of counts. Which prediction holds (order 2, order 1, order 0,
-or an id new to the block) is coded with adaptive weights for the confidences at hand; then the id itself by order 0 if it
-is met, in 16 bits if it is new. A carryless range coder with a 48-bit window puts out 16 bits at a time.
+before; each has a confidence that grows with its hits. Order 0 is the frequency of the block's ids so far; its table of
+intervals is made anew after 32, 64, ... ids and then every RENEW ids. Which prediction holds (order 2, order 1, order 0,
+or an id that the table lacks) is coded with adaptive weights for the confidences at hand; then the id itself by order 0,
+or in 16 bits if the table lacks it. A carryless range coder with a 48-bit window puts out 16 bits at a time.
 
-Layout, little-endian: "TMID", u8 version, u32 documents, u64 ids, u32 ids a block, u32 blocks; i64 document ids; u8 nulls
+Layout, little-endian: "TMID", u8 version, u32 documents, u64 ids, u32 ids a block, u32 blocks, u32 bound of the ids; i64 document ids; u8 nulls
 among these; u32 ids of each document; for each block u32 words and u32 CRC-32 of its ids; u32 CRC-32 of all before; the
 blocks' u16 words.
 """
@@ -23,222 +23,235 @@ from collections.abc import Iterator
 import numpy as np
 
 MAGIC, VERSION = b"TMID", 1
-BLOCK, LANES = 4096, 512
-LEVELS = 12  # of the order-0 tree: 2^12 leaves, one for each id of a block
+BLOCK, LANES = 4096, 1024
 SLOTS = 12  # bits of a context's slot
-STEP0, STEP = 24, 32
-HEAD = struct.Struct("<4sBIQII")
-LOW32, SHIFT16, SHIFT32 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
-LEAST = np.uint64(1 << 32)
-_DEPTH = np.arange(LEVELS)
+STEP, HALVE = 32, 4000
+ORDER0 = 13  # bits of order 0's total
+RENEW = 512
+HEAD = struct.Struct("<4sBIQIII")
+LOW32, LEAST = (1 << 32) - 1, 1 << 32
 
 
 class _Model:
-    """The predictions' state for n blocks in step."""
+    """The predictions' state for n blocks of ids below `ids`, in step."""
 
-    def __init__(self, n: int) -> None:
-        self.n = n
+    def __init__(self, n: int, ids: int) -> None:
+        self.n, self.ids = n, ids
         size = 1 << SLOTS
         self.row = np.arange(n) * size
-        self.next1, self.next2 = np.zeros(n * size, dtype=np.int32), np.zeros(n * size, dtype=np.int32)  # 4 * id + confidence
+        self.next1, self.next2 = np.zeros(n * size, dtype=np.int64), np.zeros(n * size, dtype=np.int64)  # 4 * id + confidence
         self.weight = np.tile(np.array([8, 4, 16, 16], dtype=np.int64), (n * 32, 1))
+        self.flat = self.weight.reshape(-1)
+        self.cum = np.zeros((n, 5), dtype=np.int64)
+        self.cum_row = np.arange(n) * 5
         self.rows32 = np.arange(n) * 32
-        self.left = np.zeros(n << LEVELS, dtype=np.int64)  # counts below the left child of each node
-        self.count = np.zeros(n << LEVELS, dtype=np.int64)
-        self.total = np.zeros(n, dtype=np.int64)
-        self.met = np.zeros(n, dtype=np.int64)  # ids met so far
         self.a, self.b = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)  # the two ids before
+        # order 0: ids are numbered by block in order of their first appearance; -1 is not in the table
+        self.rank_of = np.full(n * ids, -1, dtype=np.int16)
+        self.id_row = np.arange(n) * ids
+        self.met = np.zeros(n, dtype=np.int64)
+        self.width = 0
+        self.count = np.zeros((n, 0), dtype=np.int64)
+        self.known = np.zeros((n, 0), dtype=np.int64)
+        self.done = 0
+
+    def renew(self, t: int) -> bool:
+        return t >= 32 and (t % RENEW == 0 if t >= RENEW else t & (t - 1) == 0)
+
+    def absorb(self, recent: np.ndarray) -> None:
+        """Counts the ids (step, block) since the last time and makes order 0's table of them all."""
+        k = recent.shape[1]
+        flat = (recent + self.id_row[:k]).ravel()  # step by step
+        fresh = np.flatnonzero(self.rank_of[flat] < 0)
+        if len(fresh):
+            places, first = np.unique(flat[fresh], return_index=True)
+            lane = places // self.ids
+            order = np.lexsort((first, lane))
+            places, lane = places[order], lane[order]
+            start = np.searchsorted(lane, np.arange(k))
+            rank = self.met[lane] + np.arange(len(lane)) - start[lane]
+            self.met[:k] += np.bincount(lane, minlength=k)
+            if (wide := int(self.met.max())) > self.width:
+                grow = np.zeros((self.n, max(wide, 2 * self.width) - self.width), dtype=np.int64)
+                self.count, self.known = np.concatenate([self.count, grow], axis=1), np.concatenate([self.known, grow], axis=1)
+                self.width = self.count.shape[1]
+            self.rank_of[places] = rank
+            self.known[lane, rank] = places % self.ids
+        at = self.rank_of[flat] + (np.arange(k) * self.width)[None, :].repeat(recent.shape[0], axis=0).ravel()
+        self.count[:k] += np.bincount(at, minlength=k * self.width).reshape(k, self.width)
+        total = self.count.sum(axis=1, keepdims=True)
+        share = (1 << ORDER0) - self.met[:, None]
+        size = self.count * share // np.maximum(total, 1) + (self.count > 0)
+        size[:, 0] += (1 << ORDER0) - size.sum(axis=1)  # what rounding leaves goes to the first id
+        self.size0, start0 = size.ravel(), size.cumsum(axis=1) - size
+        self.start0 = start0.ravel()
+        self.order0_row = np.arange(self.n) * self.width
+        self.known0 = self.known.ravel()
+        self.inverse = np.repeat(np.tile(np.arange(self.width, dtype=np.int16), self.n), self.size0)
+        big = np.flatnonzero(self.weight.sum(axis=1) > HALVE)
+        self.weight[big] = (self.weight[big] >> 1) + 1
 
     def predict(self, k: int) -> None:
-        a, b = self.a[:k], self.b[:k]
-        self.at1 = self.row[:k] + ((a * 40503 >> 3) & ((1 << SLOTS) - 1))
-        self.at2 = self.row[:k] + (((a * 40503 ^ b * 60493) >> 4) & ((1 << SLOTS) - 1))
-        self.e1, self.e2 = self.next1[self.at1], self.next2[self.at2]
+        a = self.a[:k] * 40503
+        self.at1 = self.row[:k] + (a >> 3 & ((1 << SLOTS) - 1))
+        self.at2 = self.row[:k] + ((a ^ self.b[:k] * 60493) >> 4 & ((1 << SLOTS) - 1))
+        self.e1, self.e2 = self.next1.take(self.at1), self.next2.take(self.at2)
         self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
         self.wat = self.rows32[:k] + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + (self.id1 == self.id2)
-        self.w = self.weight[self.wat]
-        self.cum = self.w.cumsum(axis=1)
-
-    def learn(self, k: int, x: np.ndarray, kind: np.ndarray) -> None:
-        for e, own, at, table in ((self.e1, self.id1, self.at1, self.next1), (self.e2, self.id2, self.at2, self.next2)):
-            hit = own == x
-            table[at] = np.where(hit, np.minimum(e + 1, e | 3), np.where((e & 3) > 1, e - 2, x << 2))
-        self.weight[self.wat, kind] += STEP
-        big = np.flatnonzero(self.cum[:, 3] > 4000)
-        if len(big):
-            at = self.wat[big]
-            self.weight[at] = (self.weight[at] >> 1) + 1
+        np.cumsum(self.weight.take(self.wat, axis=0), axis=1, out=self.cum[:k, 1:])
+
+    def kind_interval(self, k: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.cum_row[:k] + kind
+        flat = self.cum.reshape(-1)
+        start = flat.take(at)
+        return start, flat.take(at + 1) - start
+
+    def learn(self, k: int, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, kind: np.ndarray) -> None:
+        x4 = x << 2
+        for e, hit, at, table in ((self.e1, hit1, self.at1, self.next1), (self.e2, hit2, self.at2, self.next2)):
+            table[at] = np.where(hit, np.minimum(e + 1, e | 3), np.where(e & 2, e - 2, x4))
+        at = self.wat * 4 + kind
+        self.flat[at] = self.flat.take(at) + STEP
         self.b[:k] = self.a[:k]
         self.a[:k] = x
 
-    def seen(self, lanes: np.ndarray, rank: np.ndarray) -> None:
-        """Counts one more of each rank in its block's tree."""
-        leaf = rank + (1 << LEVELS)
-        node = leaf[:, None] >> (LEVELS - _DEPTH)
-        left = (leaf[:, None] >> (LEVELS - 1 - _DEPTH)) & 1 ^ 1
-        self.left[(lanes << LEVELS)[:, None] + node] += STEP0 * left
-        self.count[(lanes << LEVELS) + rank] += STEP0
-        self.total[lanes] += STEP0
-
-    def interval(self, lanes: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        leaf = rank + (1 << LEVELS)
-        node = leaf[:, None] >> (LEVELS - _DEPTH)
-        right = (leaf[:, None] >> (LEVELS - 1 - _DEPTH)) & 1
-        return (self.left[(lanes << LEVELS)[:, None] + node] * right).sum(axis=1), self.count[(lanes << LEVELS) + rank]
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank whose interval holds value, the interval's start)."""
-        base, node, left = lanes << LEVELS, np.ones(len(lanes), dtype=np.int64), value.copy()
-        for _ in range(LEVELS):
-            below = self.left[base + node]
-            right = left >= below
-            left -= below * right
-            node += node + right
-        return node - (1 << LEVELS), value - left
-
 
 class _Coder:
-    """low and range of n range coders; `read` gives the words to decode, else words are gathered."""
+    """low and range of n range coders, below 2^48; `words` are what to decode, else words are gathered."""
 
     def __init__(self, n: int, words: list[np.ndarray] | None = None) -> None:
-        self.low, self.range = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 48) - 1, dtype=np.uint64)
+        self.low, self.range = np.zeros(n, dtype=np.int64), np.full(n, (1 << 48) - 1, dtype=np.int64)
         self.code = None
         self.at = np.zeros(n, dtype=np.int64)
-        if words is None:
-            self.out = np.zeros((n, 1024), dtype=np.uint16)
-        else:
-            width = max(map(len, words)) + 4
-            self.words = np.zeros((n, width), dtype=np.uint64)
+        self.wide = 1024 if words is None else max(map(len, words)) + 8
+        self.words = np.zeros((n, self.wide), dtype=np.uint16)
+        if words is not None:
             for i, w in enumerate(words):
                 self.words[i, : len(w)] = w
-            self.code = (self.words[:, 0] << SHIFT32) | (self.words[:, 1] << SHIFT16) | self.words[:, 2]
+            first = self.words[:, :3].astype(np.int64)
+            self.code = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2]
             self.at += 3
+        self._rows()
+
+    def _rows(self) -> None:
+        self.flat, self.row = self.words.reshape(-1), np.arange(len(self.words)) * self.wide
+
+    def room(self) -> None:
+        """Makes place for the words of some more steps."""
+        if self.at.max() + 256 > self.wide:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
+            self.wide *= 2
+            self._rows()
 
     def value(self, lanes, total: np.ndarray) -> np.ndarray:
         """Where in [0, total) each code lies."""
-        self.part = self.range[lanes] // total.astype(np.uint64)
-        return np.minimum(((self.code[lanes] - self.low[lanes]) // self.part).astype(np.int64), total - 1)
+        self.part = self.range[lanes] // total
+        return np.minimum((self.code[lanes] - self.low[lanes]) // self.part, total - 1)
 
     def narrow(self, lanes, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = self.range[lanes] // total.astype(np.uint64) if self.code is None else self.part
-        low, span = self.low[lanes] + part * start.astype(np.uint64), part * size.astype(np.uint64)
+        part = self.range[lanes] // total if self.code is None else self.part
+        low, span = self.low[lanes] + part * start, part * size
         self.low[lanes], self.range[lanes] = low, span
         small = np.flatnonzero(span < LEAST)
         if len(small):
-            self._shift(small if isinstance(lanes, slice) else lanes[small])
+            self._shift(small if isinstance(lanes, slice) else lanes.take(small), low.take(small), span.take(small))
 
-    def _shift(self, lanes: np.ndarray) -> None:
-        while len(lanes):
-            low, span = self.low[lanes], self.range[lanes]
+    def _shift(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
+        while True:
             rest = low & LOW32
-            span = np.where((low >> SHIFT32) != ((low + span - np.uint64(1)) >> SHIFT32), LEAST - rest, span) << SHIFT16
+            # where the top words of low and of the range's end differ the range is cut to low's top word
+            span = np.where((low + span - 1) ^ low > LOW32, LEAST - rest, span) << 16
+            at = self.at.take(lanes)
             if self.code is None:
-                if self.at.max() + 4 >= self.out.shape[1]:
-                    self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-                self.out[lanes, self.at[lanes]] = (low >> SHIFT32).astype(np.uint16)
+                self.flat[self.row.take(lanes) + at] = low >> 32
             else:
-                self.code[lanes] = ((self.code[lanes] & LOW32) << SHIFT16) | self.words[lanes, np.minimum(self.at[lanes], self.words.shape[1] - 1)]
-            self.at[lanes] += 1
-            self.low[lanes], self.range[lanes] = rest << SHIFT16, span
-            lanes = lanes[span < LEAST]
+                next_word = self.flat.take(self.row.take(lanes) + np.minimum(at, self.wide - 1))
+                self.code[lanes] = (self.code.take(lanes) & LOW32) << 16 | next_word
+            self.at[lanes] = at + 1
+            low = rest << 16
+            self.low[lanes], self.range[lanes] = low, span
+            more = np.flatnonzero(span < LEAST)
+            if not len(more):
+                return
+            lanes, low, span = lanes.take(more), low.take(more), span.take(more)
 
     def finish(self) -> list[bytes]:
+        self.room()
         for s in (32, 16, 0):
-            if self.at.max() + 4 >= self.out.shape[1]:
-                self.out = np.concatenate([self.out, np.zeros_like(self.out)], axis=1)
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(s)).astype(np.uint16)
+            self.flat[self.row + self.at] = self.low >> s & 0xFFFF
             self.at += 1
-        return [self.out[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
+        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
 
 
-def _ranks(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number by first appearance in its block, and whether it is the first, for ids (block, place)."""
-    rank, new = np.zeros(ids.shape, dtype=np.int64), np.zeros(ids.shape, dtype=bool)
-    for i, n in enumerate(lengths):
-        _, first, back = np.unique(ids[i, :n], return_index=True, return_inverse=True)
-        order = np.argsort(first)
-        number = np.empty(len(order), dtype=np.int64)
-        number[order] = np.arange(len(order))
-        rank[i, :n] = number[back]
-        new[i, first] = True
-    return rank, new
-
-
-def _encode_lanes(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, limit: int) -> list[bytes]:
     n, width = ids.shape
-    model, coder = _Model(n), _Coder(n)
-    rank, new = _ranks(ids, lengths)
-    columns, rank, new = np.ascontiguousarray(ids.T), np.ascontiguousarray(rank.T), np.ascontiguousarray(new.T)
-    full = np.full(n, 1 << 16)
-    one = np.ones(n, dtype=np.int64)
+    model, coder = _Model(n, limit), _Coder(n)
+    columns = np.ascontiguousarray(ids.T)
+    full, one = np.full(n, 1 << 16), np.ones(n, dtype=np.int64)
+    part = np.full(n, 1 << ORDER0)
+    since = 0
     for t in range(width):
         k = n if lengths[-1] > t else int(np.searchsorted(-lengths, -t, side="left"))
+        if model.renew(t):
+            model.absorb(columns[since:t, :k])
+            since = t
+        if t % 32 == 0:  # a step puts out a few words at most
+            coder.room()
         x = columns[t, :k]
         model.predict(k)
-        kind = np.where(x == model.id2, 0, np.where(x == model.id1, 1, 2 + new[t, :k]))
-        lane = np.arange(k)
-        size = model.w[lane, kind]
-        coder.narrow(slice(0, k), model.cum[lane, kind] - size, size, model.cum[:, 3])
+        hit1, hit2 = model.id1 == x, model.id2 == x
+        rank = model.rank_of.take(model.id_row[:k] + x)
+        kind = np.where(hit2, 0, np.where(hit1, 1, np.where(rank >= 0, 2, 3)))
+        coder.narrow(slice(0, k), *model.kind_interval(k, kind), model.cum[:k, 4])
         met = np.flatnonzero(kind == 2)
         if len(met):
-            start, size = model.interval(met, rank[t, met])
-            coder.narrow(met, start, size, model.total[met])
-        first = np.flatnonzero(kind == 3)
-        if len(first):
-            coder.narrow(first, x[first], one[: len(first)], full[: len(first)])
-        # order 0 counts what it coded, and every new id also where a higher order named it
-        counted = np.flatnonzero((kind == 2) | new[t, :k])
-        if len(counted):
-            model.seen(counted, rank[t, counted])
-        model.learn(k, x, kind)
+            at = model.order0_row.take(met) + rank.take(met)
+            coder.narrow(met, model.start0.take(at), model.size0.take(at), part[: len(met)])
+        other = np.flatnonzero(kind == 3)
+        if len(other):
+            coder.narrow(other, x.take(other), one[: len(other)], full[: len(other)])
+        model.learn(k, x, hit1, hit2, kind)
     return coder.finish()
 
 
-def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
+def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, limit: int) -> np.ndarray:
     n, width = len(words), int(lengths.max())
-    model, coder = _Model(n), _Coder(n, words)
+    model, coder = _Model(n, limit), _Coder(n, words)
     out = np.zeros((width, n), dtype=np.int64)
-    known = np.zeros((n, 1 << LEVELS), dtype=np.int64)  # id by rank
-    unmet = np.ones((n, 1 << 16), dtype=bool)
-    full = np.full(n, 1 << 16)
-    one = np.ones(n, dtype=np.int64)
+    full, one = np.full(n, 1 << 16), np.ones(n, dtype=np.int64)
+    part = np.full(n, 1 << ORDER0)
+    since = 0
     for t in range(width):
         k = n if lengths[-1] > t else int(np.searchsorted(-lengths, -t, side="left"))
+        if model.renew(t):
+            model.absorb(out[since:t, :k])
+            since = t
         model.predict(k)
-        value = coder.value(slice(0, k), model.cum[:, 3])
-        kind = (value[:, None] >= model.cum[:, :3]).sum(axis=1)
-        lane = np.arange(k)
-        size = model.w[lane, kind]
-        coder.narrow(slice(0, k), model.cum[lane, kind] - size, size, model.cum[:, 3])
-        x = np.where(kind == 0, model.id2, model.id1).astype(np.int64)
+        cum = model.cum[:k]
+        value = coder.value(slice(0, k), cum[:, 4])
+        kind = (value >= cum[:, 1]).astype(np.int64) + (value >= cum[:, 2]) + (value >= cum[:, 3])
+        coder.narrow(slice(0, k), *model.kind_interval(k, kind), cum[:, 4])
+        x = np.where(kind == 0, model.id2, model.id1)
         met = np.flatnonzero(kind == 2)
         if len(met):
-            total = model.total[met]
-            rank, start = model.find(met, coder.value(met, total))
-            coder.narrow(met, start, model.count[(met << LEVELS) + rank], total)
-            x[met] = known[met, rank]
-        first = np.flatnonzero(kind == 3)
-        if len(first):
-            v = coder.value(first, full[: len(first)])
-            coder.narrow(first, v, one[: len(first)], full[: len(first)])
-            x[first] = v
-        new = np.flatnonzero(unmet[lane, x])
-        if len(new):
-            unmet[new, x[new]] = False
-            rank_new = model.met[new]
-            known[new, rank_new] = x[new]
-            model.met[new] += 1
-            model.seen(new, rank_new)
-        if len(met):
-            model.seen(met, rank)
-        model.learn(k, x, kind)
+            value = coder.value(met, part[: len(met)])
+            at = model.order0_row.take(met) + model.inverse.take((met << ORDER0) + value)
+            coder.narrow(met, model.start0.take(at), model.size0.take(at), part[: len(met)])
+            x[met] = model.known0.take(at)
+        other = np.flatnonzero(kind == 3)
+        if len(other):
+            value = coder.value(other, full[: len(other)])
+            coder.narrow(other, value, one[: len(other)], full[: len(other)])
+            x[other] = np.minimum(value, limit - 1)  # more only where the data is damaged
+        model.learn(k, x, model.id1 == x, model.id2 == x, kind)
         out[t, :k] = x
     return out.T
 
 
 def encode_segment(doc_ids: list[int | None], doc_lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """The segment's bytes. ids: of all documents, below 65536; block: at most 4096."""
-    if block > 1 << LEVELS or (len(ids) and int(ids.max()) >> 16):
+    limit = int(ids.max()) + 1 if len(ids) else 1
+    if block > BLOCK or limit > 1 << 16:
         raise ValueError("a block holds at most 4096 ids below 65536")
     lengths = np.array([min(block, len(ids) - i) for i in range(0, len(ids), block)], dtype=np.int64)
     parts: list[bytes] = []
@@ -247,9 +260,9 @@ def encode_segment(doc_ids: list[int | None], doc_lengths: list[int], ids: np.nd
         lanes = np.zeros((len(own), int(own[0])), dtype=np.int64)
         flat = ids[i * block : i * block + int(own.sum())]
         lanes.reshape(-1)[: len(flat)] = flat
-        parts += _encode_lanes(lanes, own)
+        parts += _encode_lanes(lanes, own, limit)
     sums = [zlib.crc32(np.ascontiguousarray(ids[i : i + block], dtype="<u4").tobytes()) for i in range(0, len(ids), block)]
-    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(lengths))
+    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(lengths), limit)
     head += np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + np.array([d is None for d in doc_ids], dtype="u1").tobytes()
     head += np.array(doc_lengths, dtype="<u4").tobytes() + np.array([[len(p) // 2, s] for p, s in zip(parts, sums, strict=True)], dtype="<u4").tobytes()
     return b"".join([head, struct.pack("<I", zlib.crc32(head)), *parts])
@@ -257,7 +270,7 @@ def encode_segment(doc_ids: list[int | None], doc_lengths: list[int], ids: np.nd
 
 def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, ids of each document, all ids); raises ValueError where a checksum or the layout is wrong."""
-    magic, version, n_docs, n_ids, block, n_blocks = HEAD.unpack_from(data)
+    magic, version, n_docs, n_ids, block, n_blocks, limit = HEAD.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("no token-id segment")
     at = HEAD.size
@@ -275,7 +288,7 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     for i in range(0, n_blocks, LANES):
         own = lengths[i : i + LANES]
         words = [np.frombuffer(data, "<u2", int(blocks[j, 0]), int(starts[j])) for j in range(i, i + len(own))]
-        made = _decode_lanes(words, own)
+        made = _decode_lanes(words, own, limit)
         ids[i * block : i * block + int(own.sum())] = made.reshape(-1)[: int(own.sum())]
     for j in range(n_blocks):
         if zlib.crc32(ids[j * block : (j + 1) * block].tobytes()) != blocks[j, 1]:
