@@ -38,7 +38,7 @@ END_ID = 1
 BRANCHES = 4000
 
 
-def fill(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
+def fill(lengths: list[int], counts: dict[int, int], space: int, branches: int = BRANCHES) -> list[int]:
     """Pieces (lengths ascending, with counts) that fill the space with the least waste found, longest first."""
     best: list[int] = []
     left, used = space, Counter()
@@ -47,8 +47,8 @@ def fill(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
         if n:
             best += [x] * n
             left -= n * x
-    best_waste, budget = left, BRANCHES
-    if best_waste == 0:
+    best_waste, budget = left, branches
+    if best_waste == 0 or not budget:
         return best
     chosen: list[int] = []
 
@@ -79,7 +79,19 @@ def fill(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(filling with its longest piece first, how many sequences) until the histogram is empty."""
+    """(filling with its longest piece first, how many sequences) until the histogram is empty.
+
+    The best-fit packing is the incumbent; the search's packing replaces it if it takes fewer sequences. Neither can take
+    fewer than the tokens need, so an incumbent at that bound ends the work.
+    """
+    count = lambda p: sum(times for _, times in p)
+    incumbent = _plan(histogram, capacity, 0)
+    if count(incumbent) == -(-sum(k * v for k, v in histogram.items()) // capacity):
+        return incumbent
+    return min(incumbent, _plan(histogram, capacity, BRANCHES), key=count)
+
+
+def _plan(histogram: dict[int, int], capacity: int, branches: int) -> list[tuple[list[int], int]]:
     counts = {k: v for k, v in histogram.items() if v}
     lengths: list[int] = []
     for k in counts:
@@ -90,7 +102,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list
         counts[longest] -= 1
         if not counts[longest]:
             lengths.pop()
-        filling = [longest, *fill(lengths, counts, capacity - longest)]
+        filling = [longest, *fill(lengths, counts, capacity - longest, branches)]
         counts[longest] += 1
         if longest not in lengths:
             lengths.append(longest)
