@@ -160,7 +160,7 @@ def inherit(labels: list[int], groups: list) -> list[int]:
     """Pass two: each ambiguous block takes the label of its nearest decided block in its group (good at equal distance).
 
     Group 0 is the article: a block there turns bad only between two bad ones, and is good if nothing there is decided.
-    Elsewhere a block without a decided neighbour is bad.
+    Elsewhere too a block without a decided neighbour stays.
     """
     n, out = len(labels), list(labels)
     near: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (distance, label), one for each side
@@ -176,7 +176,7 @@ def inherit(labels: list[int], groups: list) -> list[int]:
             if groups[i] == 0:
                 out[i] = max((x for _, x in near[i]), default=1) if len(near[i]) == 2 else 1
             else:
-                out[i] = -min(((d, -x) for d, x in near[i]), default=(0, 1))[1]
+                out[i] = -min(((d, -x) for d, x in near[i]), default=(0, -1))[1]
     return out
 
 
