@@ -237,10 +237,10 @@ def drop_near_duplicates(documents: DataFrame, radius: int = 6, radius2: int = 1
     """
     small_batches(documents.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = {"_k0": F.col(f"`{id_col}`").isNull(), "_k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_k2": F.xxhash64(text)}
+    key = {"_tidemark_k0": F.col(f"`{id_col}`").isNull(), "_tidemark_k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_tidemark_k2": F.xxhash64(text)}
     made = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), _word_set_fps(text).alias("x"))
     rows = cut(made.select("_id", F.col("x.fp").alias("fp"), F.col("x.fp2").alias("fp2")))
     stay = label(rows, radius, radius2, 8 * BLOCK).select("component_id.*").distinct()
     kept = documents.withColumns(key).join(stay, list(key), "left_semi")
     first = Window.partitionBy(*key).orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop(*key, "_n")
+    return kept.withColumn("_tidemark_n", F.row_number().over(first)).where("_tidemark_n = 1").drop(*key, "_tidemark_n")
