@@ -181,17 +181,22 @@ def temporal_metrics(segments: DataFrame, scope: str = "pooled", labels: int = 6
         done = matched(own, list(names.values()), order="pred").select(F.col("rec_id.label").alias("label"), "tau", F.explode("matches").alias("m"))
         at = F.element_at(F.create_map(*[F.lit(x) for n, tau in names.items() for x in (float(tau), n)]), F.col("tau"))
         found = done.select("label", at.alias("at"), (-F.col("m.nt")).alias("t"))
-    made = found.groupBy("label").agg(*[a for n in names for a in (F.count(F.when(F.col("at") == n, 1)).alias(f"n_{n}"), F.avg(F.when(F.col("at") == n, F.round("t", 6))).alias(f"tiou_{n}"))])
+    made = found.groupBy("label").agg(*[a for n in names for a in (F.count(F.when(F.col("at") == n, 1)).alias(f"n_{n}"), (mean_of_millionths(F.when(F.col("at") == n, F.col("t")))).alias(f"tiou_{n}"))])
     every = segments.sparkSession.range(1, labels + 1).select(F.col("id").alias("label"))
     rows = every.join(counts, "label", "left").join(made, "label", "left").na.fill(0, ["n_gt", "n_pred", "n_any", "n_05", "n_07"])
     c = F.col
     return rows.select(
         "label", "n_gt", "n_pred", "n_any", "n_05", "n_07",
         *[F.round(ratio_or_null(c(f"n_{n}"), c(s)), digits).alias(f"{k}_{n}") for n in ("05", "07") for k, s in (("accuracy", "n_gt"), ("precision", "n_pred"))],
-        *[F.round(f"tiou_{n}", digits).alias(f"tiou_{n}") for n in names],
+        *[F.round(f"tiou_{n}", 12).alias(f"tiou_{n}") for n in names],
     )
 
 
+def mean_of_millionths(t: Column) -> Column:
+    """Aggregate: the mean of t rounded to millionths, summed as whole numbers so that the order of rows has no say."""
+    return F.try_divide(F.sum(F.round(t * 1_000_000, 0).cast("long")).cast("double"), F.count(t)) / 1_000_000
+
+
 def macro(temporal: DataFrame, digits: int = 6) -> DataFrame:
     """Means over the labels of what temporal_metrics gives, nulls left out."""
     return temporal.agg(*[F.round(F.avg(x), digits).alias(f"macro_{x}") for x in ("accuracy_05", "accuracy_07", "tiou_any", "tiou_05", "tiou_07")])

@@ -156,9 +156,10 @@ def label_table_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 TEMPORAL = f"""WITH RECURSIVE {SEG}, ls AS (SELECT rec_id * 10 + j AS rec_id, j + 1 AS label, gt, i, s, e, b FROM seg, range(6) AS u(j) WHERE (b >> j) % 2 = 1), {sql.matches((1e-9, 0.5, 0.7), 'p, g', 'rec_id', 'ls')},
 c AS (SELECT label, count(*) FILTER (gt) AS n_gt, count(*) FILTER (NOT gt) AS n_pred FROM ls GROUP BY label),
 f AS (SELECT rec_id % 10 + 1 AS label, count(*) FILTER (tau < 0.1) AS n_any, count(*) FILTER (tau = 0.5) AS n_05, count(*) FILTER (tau = 0.7) AS n_07,
-  avg(round(t, 6)) FILTER (tau < 0.1) AS a, avg(round(t, 6)) FILTER (tau = 0.5) AS b, avg(round(t, 6)) FILTER (tau = 0.7) AS d FROM m GROUP BY ALL),
+  CAST(sum(CAST(round(t * 1000000, 0) AS BIGINT)) FILTER (tau < 0.1) AS DOUBLE) / count(*) FILTER (tau < 0.1) / 1000000 AS a, CAST(sum(CAST(round(t * 1000000, 0) AS BIGINT)) FILTER (tau = 0.5) AS DOUBLE) / count(*) FILTER (tau = 0.5) / 1000000 AS b, CAST(sum(CAST(round(t * 1000000, 0) AS BIGINT)) FILTER (tau = 0.7) AS DOUBLE) / count(*) FILTER (tau = 0.7) / 1000000 AS d FROM m GROUP BY ALL),
+y AS (SELECT label, n_gt, n_pred, coalesce(n_any, 0) AS n_any, coalesce(n_05, 0) AS n_05, coalesce(n_07, 0) AS n_07, a, b, d FROM c LEFT JOIN f USING (label)),
 x AS (SELECT CAST(label AS BIGINT) AS label, n_gt, n_pred, n_any, n_05, n_07, round(n_05 / nullif(n_gt, 0), 6) AS accuracy_05, round(n_05 / nullif(n_pred, 0), 6) AS precision_05,
-  round(n_07 / nullif(n_gt, 0), 6) AS accuracy_07, round(n_07 / nullif(n_pred, 0), 6) AS precision_07, round(a, 6) AS tiou_any, round(b, 6) AS tiou_05, round(d, 6) AS tiou_07 FROM c JOIN f USING (label))"""
+  round(n_07 / nullif(n_gt, 0), 6) AS accuracy_07, round(n_07 / nullif(n_pred, 0), 6) AS precision_07, round(a, 12) AS tiou_any, round(b, 12) AS tiou_05, round(d, 12) AS tiou_07 FROM y)"""
 
 
 @query(TEMPORAL + " SELECT * FROM x")
