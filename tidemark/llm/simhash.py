@@ -13,7 +13,7 @@ of each such point. A group holds at most as many nodes as there are points arou
 Spanning edges become components by alternating stars.
 
 The contract query takes four-word shingles with repeats and radius 4. The pipeline's stage takes the set of words and
-two independent fingerprints: at most 6 bits of the first and 14 of both may differ, which holds for texts that share 0.8
+two independent fingerprints: at most 6 bits of the first and 12 of both may differ, which holds for texts that share 0.8
 or more of their five-word shingles (edits scattered over the text change up to five shingles but one word each).
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other. Repeated
@@ -230,7 +230,7 @@ def near_duplicates(documents: DataFrame, radius: int = 4, id_col: str = "doc_id
     return label(rows, radius).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame, radius: int = 6, radius2: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, radius: int = 6, radius2: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without all but one (the smallest id, then text hash) of each group of near duplicates.
 
     By the word-set fingerprints; rows without an id are told apart by their texts and come last.
