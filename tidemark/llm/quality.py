@@ -113,7 +113,7 @@ def features(text: str, s: dict[str, float] | None) -> tuple[np.ndarray, np.ndar
     if s is None:
         return np.array([_slot("bias")]), np.array([1.0])
     found: Counter = Counter()
-    if len(_shapes) > 500_000:
+    if len(_shapes) > 200_000:
         _shapes.clear()
     for w, c in Counter(text.split()).items():
         if (at := _shapes.get(w)) is None:

@@ -179,7 +179,8 @@ def near_links(nodes: DataFrame, radius: int, radius2: int = -1, block: int = BL
     spark = nodes.sparkSession
     every = [_as_long(int(m)) for m in masks(radius)]
     tables = F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("k")) for t, m in enumerate(every)])
-    rows = nodes.select("fp", "fp2", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp", "fp2")
+    spread = nodes.select("fp", "fp2").repartition(partitions(spark))  # one table row becomes many
+    rows = spread.select("fp", "fp2", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp", "fp2")
     sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(rows.join(sizes, "k"))
     schema = "a long, a2 long, b long, b2 long"

@@ -17,7 +17,7 @@ import regex
 
 VOCABULARY = "word_bpe_49k.json"
 #: Parts and pieces that a process keeps; beyond these it starts anew.
-MEMORY = 1_000_000
+PARTS, PIECES = 200_000, 600_000
 #: How the vocabulary's file cuts pieces (fixed).
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 PLAIN = regex.compile("[!-įı-ɏ]+")
@@ -45,7 +45,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > MEMORY:
+        if len(self.pieces) + len(new) > PIECES:
             self.pieces = {}
         for i in range(0, len(new), 500):
             some = new[i : i + 500]
@@ -59,7 +59,7 @@ class Encoder:
                 self.pieces.update((p, self._whole(p)) for p in some)
 
     def _learn(self, parts: set[str]) -> None:
-        if len(self.parts) + len(parts) > MEMORY:
+        if len(self.parts) + len(parts) > PARTS:
             self.parts = {}
         cut = {}
         for part in parts:
@@ -69,7 +69,7 @@ class Encoder:
                 self.parts[part] = self._whole(part)
         every = {p for pieces in cut.values() for p in pieces}
         new = sorted(p for p in every if p not in self.pieces)
-        if len(self.pieces) + len(new) > MEMORY:
+        if len(self.pieces) + len(new) > PIECES:
             new = sorted(every)
         self._learn_pieces(new)
         known = self.pieces
@@ -88,7 +88,7 @@ class Encoder:
         except KeyError:
             every = set(parts)
             new = {p for p in every if p not in self.parts}
-            self._learn(new if len(self.parts) + len(new) <= MEMORY else every)
+            self._learn(new if len(self.parts) + len(new) <= PARTS else every)
             return b"".join([*map(self.parts.__getitem__, parts)])
 
 
