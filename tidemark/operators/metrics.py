@@ -59,7 +59,9 @@ def record_metrics(segments: DataFrame, taus: Sequence[float], policy: str = "st
         )
 
     by_label = F.array(*map(counts_of, range(labels)))
-    total = lambda c: F.aggregate("by_label", F.lit(0).cast("long"), lambda a, x: a + x[c]).alias(c)
+    def total(bits) -> Column:
+        return F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + F.bit_count(bits(r["g"], r["p"])))
+
     on_gt, on_pred = best_overlaps(F.col("gt"), F.col("pred"))
     rows = rows.select(
         "tau", "rec_id", *carried,
@@ -67,9 +69,12 @@ def record_metrics(segments: DataFrame, taus: Sequence[float], policy: str = "st
         F.aggregate("matches", F.lit(0.0), lambda a, m: a - m["nt"]).alias("t_sum"),
         F.size("rows").cast("long").alias("n_rows"), count(lambda r: r["g"] == r["p"]).alias("n_equal"),
         on_gt.alias("max_tiou_per_gt"), on_pred.alias("max_tiou_per_pred"), by_label.alias("by_label"),
+        total(lambda g, p: g.bitwiseAND(p)).alias("tp"),
+        total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(g)).alias("fp"),
+        total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(p)).alias("fn"),
     )
-    rows = rows.select("*", *map(total, ("tp", "fp", "fn", "tn")))
     c = F.col
+    rows = rows.withColumn("tn", c("n_rows") * labels - c("tp") - c("fp") - c("fn"))
     none = c("tp") + c("fp") + c("fn") == 0
     rows = rows.withColumns(
         {
@@ -125,11 +130,13 @@ def summary(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
     return rows.select(*[F.round(x, digits).alias(x) if t == "double" and x not in keys else c(x) for x, t in rows.dtypes])
 
 
-def label_pool(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
-    """keys, label (1, 2, ...; null for all labels): pooled counts, F1 and accuracy, as two grouping sets of one pass."""
-    rows = metrics.select(*keys, F.posexplode("by_label").alias("j", "x")).select(*keys, (F.col("j") + 1).alias("label"), "x.*")
-    sums = [F.sum(x).alias(x) for x in ("tp", "fp", "fn", "tn")]
-    made = rows.groupingSets([[*keys, "label"], [*keys]], *keys, "label").agg(*sums)
+def label_pool(metrics: DataFrame, *keys: str, labels: int = 6, digits: int = 6) -> DataFrame:
+    """keys, label (1, 2, ...; null for all labels): pooled counts, F1 and accuracy; one pass sums every label by key."""
+    names = ("tp", "fp", "fn", "tn")
+    sums = metrics.groupBy(*keys).agg(*[F.sum(F.col("by_label")[j][x]).alias(f"{x}_{j}") for j in range(labels) for x in names])
+    row = lambda j: F.struct(F.lit(j + 1).alias("label"), *[F.col(f"{x}_{j}").alias(x) for x in names])
+    every = F.struct(F.lit(None).cast("int").alias("label"), *[sum((F.col(f"{x}_{j}") for j in range(1, labels)), F.col(f"{x}_0")).alias(x) for x in names])
+    made = sums.select(*keys, F.inline(F.array(*map(row, range(labels)), every)))
     c = F.col
     return made.select(
         *keys, c("label").cast("long").alias("label"), "tp", "fp", "fn", "tn",
