@@ -131,6 +131,7 @@ def display_interval(raw: Column) -> Column:
 
 def three_part_answer(text: Column) -> Column:
     """(description, labels as a map of raw values, explanation) of ``DESCRIPTION: .. GUARDRAIL: {..} EXPLANATION: ..``; null if it isn't one."""
+    # fixed value: the form of such answers
     pattern = r"(?s)DESCRIPTION:\s*(.*?)\s*GUARDRAIL:\s*(\{.*?\})\s*EXPLANATION:\s*(.*)\z"
     part = lambda g: F.regexp_extract(text, pattern, g)
     labels = raw_map(F.regexp_replace(F.regexp_replace(part(2), "True", "true"), "False", "false"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The fixed label set; a label's code is what stands before the bracket.
+#: The label set. A label's code is what stands before the bracket.
 STANDARD = (
     "C1(Sexual Content)",
     "C2(Harassment & Bullying)",

@@ -65,7 +65,11 @@ def has_marker(markers: tuple[str, ...], *texts: Column) -> Column:
     return found
 
 
-def after_marker(text: Column, markers: tuple[str, ...] = ("<SPECIAL_11>Assistant", "Assistant\n")) -> Column:
+#: What stands before a model's answer, in order of preference.
+ANSWER_MARKERS = ("<SPECIAL_11>Assistant", "Assistant\n")
+
+
+def after_marker(text: Column, markers: tuple[str, ...] = ANSWER_MARKERS) -> Column:
     """What follows the last place of the first listed marker that occurs, without empty think tags and outer white space."""
     made = text
     for m in reversed(markers):
