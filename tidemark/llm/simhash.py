@@ -12,9 +12,12 @@ two nodes within the radius share a point at most ceil(radius/2) flips away from
 of each such point. A group holds at most as many nodes as there are points around it, however large the bucket was.
 Spanning edges become components by alternating stars.
 
-The contract query takes four-word shingles with repeats and radius 4. The pipeline's stage takes the set of words and
-two independent fingerprints: at most 6 bits of the first and 12 of both may differ, which holds for texts that share 0.8
-or more of their five-word shingles (edits scattered over the text change up to five shingles but one word each).
+The contract query takes four-word shingles with repeats and radius 4. The pipeline's stage links texts whose sets of
+five-word shingles have a Jaccard similarity of SIMILARITY or more, and computes it for every link: min-hash bands only
+find candidates, which depends on the similarity alone and not on whether an edit is a block or scattered. A pair at
+similarity J meets in one of BANDS bands with a chance of 1 - (1 - J^ROWS)^BANDS (at 0.8: all but 6 in 100,000 pairs).
+Bands that hold the same texts count once; the texts of one meet with their shingle hashes (64 bits) and are compared
+exactly, in a union-find that emits a spanning forest. Bands of over GROUP texts are dealt out as all pairs of their shares.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other. Repeated
 rows are each labelled. Rows with a null doc_id get the smallest doc_id that is not null in their component, null if
@@ -40,6 +43,14 @@ from tidemark.llm.components import connected_components
 SEED = 42
 #: Nodes of a bucket that are compared with each other directly.
 BLOCK = 1024
+#: The least Jaccard similarity of five-word shingles that links, as a fraction.
+SIMILARITY = (4, 5)
+BANDS, ROWS = 32, 6
+#: Texts of a band that are compared in one task; larger bands are dealt out by pairs of shares of about half as many.
+GROUP = 1024
+_random = np.random.default_rng(SEED)
+_FLIP = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
+_TIMES = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
 def shingles(text: str, width: int) -> list[bytes]:
@@ -70,10 +81,30 @@ def shingle_fingerprint(text: str, width: int = 4) -> int:
     return majority(_hashed(shingles(text, width), SEED))
 
 
-def word_set_fingerprints(text: str) -> tuple[int, int]:
-    """Two independent fingerprints of the set of words."""
-    words = sorted(set(shingles(text, 1)))
-    return majority(_hashed(words, SEED)), majority(_hashed(words, SEED + 1))
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """Sorted hashes of the text's distinct shingles."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    h = _hashed(words, SEED)
+    width = min(width, len(words))
+    n = len(words) - width + 1
+    x = h[:n].copy()
+    for j in range(1, width):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(x ^ (x >> np.uint64(32)))
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key per band of the set's min-hashes; none for an empty set."""
+    if not len(hashes):
+        return np.empty(0, dtype=np.int64)
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(hashes), 1024):
+        low = np.minimum(low, ((hashes[i : i + 1024, None] ^ _FLIP) * _TIMES).min(axis=0))
+    keys = (low.reshape(BANDS, ROWS) * _TIMES[:ROWS]).sum(axis=1, dtype=np.uint64) ^ _FLIP[:BANDS]
+    return keys.view(np.int64)
 
 
 @F.pandas_udf(T.LongType())
@@ -82,11 +113,21 @@ def _shingle_fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([shingle_fingerprint(t) for t in batch], dtype="uint64").astype("int64")
 
 
-@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())]))
-def _word_set_fps(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+@F.pandas_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def _banded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """128 bits that stand for the set of shingles, and its band keys."""
+    for batch in texts:
+        out = []
+        for t in batch:
+            made = shingle_set(t)
+            out.append((*np.frombuffer(xxhash.xxh3_128_digest(made.tobytes()), dtype="<i8").tolist(), band_keys(made)))
+        yield pd.DataFrame(out, columns=["fp", "fp2", "keys"])
+
+
+@F.pandas_udf(T.BinaryType())
+def _set_bytes(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
-        made = np.array([word_set_fingerprints(t) for t in batch], dtype=np.uint64).reshape(-1, 2)
-        yield pd.DataFrame(made.view(np.int64), columns=["fp", "fp2"])
+        yield pd.Series([shingle_set(t).tobytes() for t in batch], dtype=object)
 
 
 def masks(radius: int) -> np.ndarray:
@@ -210,10 +251,79 @@ def near_links(nodes: DataFrame, radius: int, radius2: int = -1, block: int = BL
     return linked.union(split.mapInArrow(_link_sorted(radius, radius2), schema)).distinct()
 
 
+def similar_forest(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set the place of the smallest-placed one that it reaches by links of enough Jaccard similarity."""
+    up, down = SIMILARITY
+    sizes = np.array([len(x) for x in sets])
+    parent = np.arange(len(sets))
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.split(codes, np.cumsum(sizes)[:-1])
+    member = np.zeros(len(codes), dtype=bool)
+    left, held = np.arange(len(sets)), codes  # not yet reached, in order, and their shingles
+    while len(left) > 1:
+        root, left, held = left[0], left[1:], held[sizes[left[0]] :]
+        front = [root]
+        while front and len(left):
+            x = front.pop()
+            member[own[x]] = True
+            n = sizes[left]
+            both = np.add.reduceat(member[held], np.cumsum(n) - n, dtype=np.int64)
+            member[own[x]] = False
+            hit = down * both >= up * (sizes[x] + n - both)
+            if hit.any():
+                parent[left[hit]] = root
+                front += left[hit].tolist()
+                held = held[np.repeat(~hit, n)]
+                left = left[~hit]
+    return parent
+
+
+def _similar_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning edges of groups that come one after the other (rows k, fp, fp2, s sorted by k)."""
+    key, group = None, []
+
+    def edges() -> Iterator[pa.RecordBatch]:
+        if len(group) > 1:
+            parent = similar_forest([np.frombuffer(x[2], dtype=np.uint64) for x in group])
+            pairs = [(*group[i][:2], *group[j][:2]) for i, j in enumerate(parent.tolist()) if i != j]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "a2", "b", "b2"])
+
+    for batch in batches:
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("k", "fp", "fp2", "s")), strict=True):
+            if k != key:
+                yield from edges()
+                key, group = k, []
+            group.append(row)
+    yield from edges()
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
+    """Spanning links (a, a2, b, b2) of nodes (fp, fp2, first_id, keys); texts has (_id, _text)."""
+    spark = nodes.sparkSession
+    rows = nodes.select("fp", "fp2", "first_id", F.explode("keys").alias("k"))
+    bands = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor("fp2").alias("x2")).where("n > 1")
+    once = bands.groupBy("n", "x", "x2").agg(F.min("k").alias("k")).select("k", "n")  # the same texts may meet in many bands
+    met = cut(rows.join(once, "k"))
+    wanted = met.select("fp", "fp2", F.col("first_id").alias("_id")).distinct()
+    sets = texts.join(wanted, "_id").groupBy("_id", "fp", "fp2").agg(F.first("_text").alias("_text"))
+    sets = cut(sets.select("fp", "fp2", _set_bytes("_text").alias("s")))
+    # a band of more than `group` texts: every two shares of it meet in one group
+    shares = F.when(F.col("n") <= group, 1).otherwise(F.ceil(2 * F.col("n") / group)).cast("int")
+    dealt = met.select("k", "fp", "fp2", shares.alias("m")).withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), "m").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp", "fp2")
+    joined = dealt.join(sets, ["fp", "fp2"]).repartition(partitions(spark), "k").sortWithinPartitions("k", "fp", "fp2")
+    return joined.mapInArrow(_similar_sorted, "a long, a2 long, b long, b2 long").distinct()
+
+
 def label(rows: DataFrame, radius: int, radius2: int = -1, block: int = BLOCK) -> DataFrame:
     """rows (_id, fp, fp2) with component_id, the smallest _id of the component. rows must be cheap to read again."""
     nodes = cut(rows.groupBy("fp", "fp2").agg(F.min("_id").alias("first_id")))
-    links = near_links(nodes, radius, radius2, block)
+    return _label_linked(rows, nodes, near_links(nodes, radius, radius2, block))
+
+
+def _label_linked(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     found = connected_components(links.select(F.struct(F.col("a").alias("fp"), F.col("a2").alias("fp2")).alias("a"), F.struct(F.col("b").alias("fp"), F.col("b2").alias("fp2")).alias("b")))
     found = found.select(F.col("node.fp").alias("fp"), F.col("node.fp2").alias("fp2"), "root")
     own = F.struct("fp", "fp2")
@@ -231,17 +341,18 @@ def near_duplicates(documents: DataFrame, radius: int = 4, id_col: str = "doc_id
     return label(rows, radius).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(documents: DataFrame, radius: int = 6, radius2: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without all but one (the smallest id, then text hash) of each group of near duplicates.
 
-    By the word-set fingerprints; rows without an id are told apart by their texts and come last.
+    Links are similarities of five-word shingles; rows without an id are told apart by their texts and come last.
     """
-    small_batches(documents.sparkSession)
+    small_batches(documents.sparkSession, 200)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = {"_tidemark_k0": F.col(f"`{id_col}`").isNull(), "_tidemark_k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_tidemark_k2": F.xxhash64(text)}
-    made = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), _word_set_fps(text).alias("x"))
-    rows = cut(made.select("_id", F.col("x.fp").alias("fp"), F.col("x.fp2").alias("fp2")))
-    stay = label(rows, radius, radius2, 8 * BLOCK).select("component_id.*").distinct()
+    texts = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), text.alias("_text"))
+    rows = cut(texts.select("_id", _banded("_text").alias("x")).select("_id", "x.*"))
+    nodes = cut(rows.groupBy("fp", "fp2").agg(F.min("_id").alias("first_id"), F.first("keys").alias("keys")))
+    stay = _label_linked(rows.drop("keys"), nodes, similar_links(nodes, texts)).select("component_id.*").distinct()
     kept = documents.withColumns(key).join(stay, list(key), "left_semi")
     first = Window.partitionBy(*key).orderBy(F.lit(0))
     return kept.withColumn("_tidemark_n", F.row_number().over(first)).where("_tidemark_n = 1").drop(*key, "_tidemark_n")
