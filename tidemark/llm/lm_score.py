@@ -1,7 +1,7 @@
 """LM scoring by cross-entropy difference.
 
 Two word bigram models, matched in order, smoothing and vocabulary: one of the target texts, one of all texts. A token's
-loss is -log((c(v w) + DELTA) / (c(v) + DELTA * V)), V being the size of the shared vocabulary and c the counts without
+loss is -log((c(v w) + DELTA) / (c(v) + DELTA * V)), V being the number of distinct words of all texts and c the counts without
 the text that is scored (so a target text is not judged by itself); a text's score is the mean over its tokens (its words
 and its end) of target loss minus background loss, so lower means nearer to the target.
 
@@ -43,8 +43,8 @@ SAMPLE = 1000
 #: Target ids up to so many are broadcast; more meet the texts in a shuffled join.
 BROADCAST_IDS = 2_000_000
 START, END = xxhash.xxh64_intdigest(b"<s>", 7), xxhash.xxh64_intdigest(b"</s>", 7)
-#: One word hash in so many is counted for the vocabulary's size.
-VOCABULARY_SHARE = 16
+#: One word hash in so many is counted for the vocabulary's size: every one, nothing is sampled.
+VOCABULARY_SHARE = 1
 #: Stands for a null id inside packed rows.
 NO_ID = np.iinfo(np.int64).min
 MEMORY = 200_000
@@ -128,22 +128,21 @@ def score(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     heavy = spark.sparkContext.broadcast(_common(rows, HEAVY / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Counts of the common n-grams, and a share of the vocabulary (kind 2)."""
+        """Counts of the common n-grams, and the words of each chunk (kind 2)."""
         every, targets = np.zeros(len(heavy.value), dtype=np.int64), np.zeros(len(heavy.value), dtype=np.int64)
         for _, target, hashes in chunks(batches):
             keys, at = _keys(hashes)
             place, hit = _in(heavy.value, keys)
             every += np.bincount(place[hit], minlength=len(every))
             targets += np.bincount(place[hit & target[at]], minlength=len(every))
-            words = np.unique(np.concatenate(hashes))
-            words = words[(words >> np.uint64(3)) % np.uint64(VOCABULARY_SHARE) == 0].view(np.int64)
+            words = np.unique(np.concatenate(hashes)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (words, np.full(len(words), 2), np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64))], names=["key", "kind", "n_all", "n_target"])
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (heavy.value, np.ones(len(every), dtype=np.int64), every, targets)], names=["key", "kind", "n_all", "n_target"])
 
     counted = rows.mapInArrow(count, "key long, kind long, n_all long, n_target long").groupBy("kind", "key").agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"))
     # one row for all words, one for each common n-gram
     folded = counted.groupBy("kind", F.when(F.col("kind") == 1, F.col("key")).alias("key")).agg(F.sum("n_all").alias("n_all"), F.sum("n_target").alias("n_target"), F.count("*").alias("n")).collect()
-    size = float(max([1, *(r.n * VOCABULARY_SHARE for r in folded if r.kind == 2)]))
+    size = float(max([1, *(r.n for r in folded if r.kind == 2)]))
     known = sorted((r.key, r.n_all, r.n_target) for r in folded if r.kind == 1)
     held = spark.sparkContext.broadcast(tuple(np.array(x, dtype=np.int64) for x in zip(*known, strict=True)) if known else (np.empty(0, dtype=np.int64),) * 3)
 
