@@ -2,7 +2,9 @@
 
 import pytest
 
-from tidemark.llm import lm_score
+from tidemark.llm import html_extract, lm_score
+
+PROSE = "It was the best of times and it was the worst of times, and all of it was in the book that we have on the table for you."
 
 
 def test_lm_vocabulary_is_every_word_of_the_texts(spark):
@@ -23,3 +25,16 @@ def test_lm_vocabulary_of_a_table_is_not_sampled(spark, sf):
     assert len(rows) == len(texts)
     for r in rows:
         assert (r.n_tokens, r.target_loss, r.background_loss) == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
+def test_body_in_a_div_is_kept_beside_article_teasers():
+    body = "".join(f"<p>{PROSE} Part {i} of it.</p>" for i in range(8))
+    teasers = "".join(f"<article><h3>Other story {i}</h3><p>It is the news of the day for you.</p></article>" for i in range(3))
+    got = html_extract.main_text(f"<html><body><div class=content><h1>Head</h1>{body}</div><div>{teasers}</div></body></html>").split("\n\n")
+    assert got[0] == "Head" and [f"{PROSE} Part {i} of it." for i in range(8)] == got[1:9]
+
+
+def test_block_rules_decide_inside_an_article_too():
+    links = "".join(f'<p><a href=x>{"Story of the day number " + str(i)}</a> and more</p>' for i in range(4))
+    page = f"<article><h1>Head</h1><p>{PROSE}</p><p>Tiny.</p><p>{PROSE}</p><p><a href=x>All link</a></p>{links}<p><a href=x>All link</a></p></article><p>{PROSE} Outside.</p>"
+    assert html_extract.main_text(page).split("\n\n") == ["Head", PROSE, "Tiny.", PROSE]

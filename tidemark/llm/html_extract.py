@@ -2,7 +2,9 @@
 
 Markup is cut into blocks at block-level tags. Pass one decides each block by the container it lies in, its link
 density, its length and the share of stop words. Pass two lets ambiguous (mostly short) blocks take the label of the
-nearest decided block of the same section, so headings and one-word paragraphs of an article stay with it.
+nearest decided block of the same section, so headings and one-word paragraphs of an article stay with it. Articles are
+evidence: only if they hold most of the text that pass one finds good does the page's main text lie in them alone, and
+blocks there that are rich in links are ambiguous instead of bad.
 
 Defined results: a null or empty page has an empty text. Unclosed tags, comments and raw-text elements are closed by the
 end of the page. Repeated rows are extracted each for itself; other columns are ignored; an empty table stays empty.
@@ -144,9 +146,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
 
 
 def decide(text: str, linked: int, apart: bool, section: bool) -> int:
-    """Pass one: 1 good, -1 bad, 0 ambiguous. Inside an article only blocks that are nearly all link are bad."""
+    """Pass one: 1 good, -1 bad, 0 ambiguous. In the page's article a block rich in links is bad only if it is nearly all link."""
     if apart or linked > (LINKS_ARTICLE if section else LINKS_HIGH) * len(text):
         return -1
+    if linked > LINKS_HIGH * len(text):
+        return 0
     if len(text) < SHORT:
         return 0
     words = text.lower().split()
@@ -159,8 +163,7 @@ def decide(text: str, linked: int, apart: bool, section: bool) -> int:
 def inherit(labels: list[int], groups: list) -> list[int]:
     """Pass two: each ambiguous block takes the label of its nearest decided block in its group (good at equal distance).
 
-    Group 0 is the article: a block there turns bad only between two bad ones, and is good if nothing there is decided.
-    Elsewhere too a block without a decided neighbour stays.
+    A block without a decided neighbour stays.
     """
     n, out = len(labels), list(labels)
     near: list[list[tuple[int, int]]] = [[] for _ in range(n)]  # (distance, label), one for each side
@@ -173,19 +176,23 @@ def inherit(labels: list[int], groups: list) -> list[int]:
                 near[i].append((abs(i - j), labels[j]))
     for i in range(n):
         if not labels[i]:
-            if groups[i] == 0:
-                out[i] = max((x for _, x in near[i]), default=1) if len(near[i]) == 2 else 1
-            else:
-                out[i] = -min(((d, -x) for d, x in near[i]), default=(0, -1))[1]
+            out[i] = -min(((d, -x) for d, x in near[i]), default=(0, -1))[1]
     return out
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    whole = any(s and not a for _, _, a, s, _ in found)
-    if whole:  # a page with an article holds its main text there
+    first = [decide(t, n, a, False) for t, n, a, _, _ in found]
+    # what is decided good, or where nothing is, what is not bad
+    weights = [len(x[0]) * (d > 0) for x, d in zip(found, first, strict=True)]
+    if not any(weights):
+        weights = [len(x[0]) * (d == 0) for x, d in zip(found, first, strict=True)]
+    inside = sum(w for w, x in zip(weights, found, strict=True) if x[3])
+    whole = any(s and not a for _, _, a, s, _ in found) and 2 * inside >= sum(weights)
+    if whole:  # the articles hold the main text
         found = [x for x in found if x[3]]
-    labels = inherit([decide(t, n, a, s) for t, n, a, s, _ in found], [0 if s and not a else k + 1 for _, _, a, s, k in found])
+        first = [decide(t, n, a, True) for t, n, a, _, _ in found]
+    labels = inherit(first, [0 if whole and not a else k + 1 for _, _, a, _, k in found])
     return "\n\n".join(x[0] for x, label in zip(found, labels, strict=True) if label > 0)
 
 
