@@ -1,8 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
+from collections import Counter
+
 import pytest
 
-from tidemark.llm import html_extract, lm_score
+from tidemark.llm import html_extract, lm_score, packing
 
 PROSE = "It was the best of times and it was the worst of times, and all of it was in the book that we have on the table for you."
 
@@ -38,3 +40,17 @@ def test_block_rules_decide_inside_an_article_too():
     links = "".join(f'<p><a href=x>{"Story of the day number " + str(i)}</a> and more</p>' for i in range(4))
     page = f"<article><h1>Head</h1><p>{PROSE}</p><p>Tiny.</p><p>{PROSE}</p><p><a href=x>All link</a></p>{links}<p><a href=x>All link</a></p></article><p>{PROSE} Outside.</p>"
     assert html_extract.main_text(page).split("\n\n") == ["Head", PROSE, "Tiny.", PROSE]
+
+
+def test_packing_many_one_token_pieces_beside_long_ones():
+    plans = packing.plan({2100: 3000, 1: 1500})
+    used = Counter()
+    for filling, times in plans:
+        assert sum(filling) <= 4096
+        for x in filling:
+            used[x] += times
+    assert used == {2100: 3000, 1: 1500} and sum(t for _, t in plans) == 3000
+
+
+def test_packing_search_finds_two_pieces_that_fill_better_than_one():
+    assert sorted(packing.fill([2, 8, 9], {2: 1, 8: 1, 9: 1}, 10)) == [2, 8]

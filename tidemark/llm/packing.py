@@ -41,7 +41,7 @@ BRANCHES = 4000
 def fill(lengths: list[int], counts: dict[int, int], space: int, branches: int = BRANCHES) -> list[int]:
     """Pieces (lengths ascending, with counts) that fill the space with the least waste found, longest first."""
     best: list[int] = []
-    left, used = space, Counter()
+    left = space
     for x in reversed(lengths[: bisect_right(lengths, space)]):  # best fit: the largest piece that still fits
         n = min(left // x, counts[x])
         if n:
@@ -50,29 +50,24 @@ def fill(lengths: list[int], counts: dict[int, int], space: int, branches: int =
     best_waste, budget = left, branches
     if best_waste == 0 or not budget:
         return best
-    chosen: list[int] = []
+    chosen: list[tuple[int, int]] = []
 
     def search(hi: int, room: int) -> None:
-        """Pieces of lengths[:hi] into room."""
+        """Pieces of lengths[:hi] into room. Each level takes a shorter length, so there are under sqrt(2 * space) + 1 levels."""
         nonlocal best, best_waste, budget
         if room < best_waste:
-            best, best_waste = list(chosen), room
-        at = bisect_right(lengths, room, 0, hi)
-        while at > 0 and best_waste > 0 and budget > 0:
+            best, best_waste = [x for x, n in chosen for _ in range(n)], room
+        for at in range(bisect_right(lengths, room, 0, hi), 0, -1):
             x = lengths[at - 1]
-            if used[x] >= counts[x]:
-                at -= 1
-                continue
-            budget -= 1
-            rest = room - x
-            if rest and lengths[0] > rest and rest >= best_waste:
-                return  # only this piece fits, and every shorter one alone is dominated by it
-            used[x] += 1
-            chosen.append(x)
-            search(at, rest)
-            chosen.pop()
-            used[x] -= 1
-            at -= 1
+            for n in range(min(room // x, counts[x]), 0, -1):
+                if best_waste == 0 or budget <= 0:
+                    return
+                budget -= 1
+                chosen.append((x, n))
+                search(at - 1, room - n * x)
+                chosen.pop()
+                if room < 2 * lengths[0]:
+                    return  # one piece fits, and every shorter one is dominated by it
 
     search(len(lengths), space)
     return best
