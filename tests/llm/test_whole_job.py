@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from tidemark.llm import html_extract, lm_score, packing
+from tidemark.llm import html_extract, lm_score, packing, quality
 
 PROSE = "It was the best of times and it was the worst of times, and all of it was in the book that we have on the table for you."
 
@@ -54,3 +54,11 @@ def test_packing_many_one_token_pieces_beside_long_ones():
 
 def test_packing_search_finds_two_pieces_that_fill_better_than_one():
     assert sorted(packing.fill([2, 8, 9], {2: 1, 8: 1, 9: 1}, 10)) == [2, 8]
+
+
+def test_quality_samples_rows_without_an_id_like_any_other(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(len(rows)) or quality.np.zeros(quality.FEATURES))
+    rows = [(None, f"{PROSE} It is part {i} of the whole.") for i in range(9000)]
+    quality.fit(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert seen == [quality.SAMPLE]

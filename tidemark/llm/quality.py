@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on every text. The votes' pattern counts over the whole corpus
 (at most 3^labellers rows) go through expectation-maximisation, which estimates how each labeller votes on
-either class, so its accuracy, and each pattern's posterior. On a sample of at most SAMPLE texts (the smallest hashes of doc_id) these posteriors train
+either class, so its accuracy, and each pattern's posterior. On a sample of at most SAMPLE texts (the smallest hashes of doc_id and text) these posteriors train
 a linear scorer over hashed features: word shapes and binned shares of the text. The scorer then judges every text.
 
 The weights are FEATURES floats and the pattern table is bounded by the labellers, so both may be broadcast. Texts are
@@ -189,8 +189,8 @@ def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sa
     right = np.stack([chance[0, :, 0] / (chance[0, :, 0] + chance[0, :, 2]), chance[1, :, 2] / (chance[1, :, 0] + chance[1, :, 2])], axis=1)
     by = {tuple(p): y for p, y in zip(patterns.tolist(), post, strict=True)}
     total = counts.sum()
-    # a hash of the id picks about 1.2 * sample rows where they are; the smallest `sample` hashes of these stay
-    key = F.xxhash64(F.lit("sample"), "_id")
+    # a hash of id and text (ids may be null) picks about 1.2 * sample rows where they are; the smallest `sample` hashes of these stay
+    key = F.xxhash64(F.lit("sample"), "_id", "_text")
     bar = int(min(1.0, 1.2 * sample / total + 20 / total) * 2.0**64) - 2**63
     picked = rows.withColumn("k", key).where(F.col("k") <= F.lit(min(bar, 2**63 - 1))).select("k", _sampled("_text").alias("f"))
     seen = picked.orderBy("k", "f.slots", "f.values").limit(sample).collect()
