@@ -73,3 +73,8 @@ def test_entry_module_works_without_the_text_operators(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'greedy_match' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_frames_are_planned_for_every_event(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert core.frame_times_all(spark, sf).select("event_id").distinct().count() == events.select("event_id").distinct().count()

@@ -307,6 +307,13 @@ def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.frame_plan(rows, "event_id", "value", 2.0)
 
 
+@query("""SELECT event_id, n, CAST(n AS DOUBLE) AS t, least(CAST(round_even(n * 2.0::DOUBLE, 0) AS BIGINT), greatest(CAST(floor(value * 2) AS BIGINT) - 1, 0)) AS frame
+FROM events, LATERAL (SELECT unnest(range(greatest(CAST(ceil(value) AS BIGINT), 1))) AS n) u""")
+def frame_times_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event values stand for durations, at two frames a second; every event is a video."""
+    return media.frame_plan(read(spark, sf_dir, "events"), "event_id", "value", 2.0)
+
+
 @query(f"""WITH {SEG}, c AS (SELECT i, floor(greatest(0.0, least(s, 168.0)) / 0.5) * 0.5 AS a, ceil(greatest(0.0, least(e, 168.0)) / 0.5) * 0.5 AS b FROM seg)
 SELECT i, round(a, 6) AS s, round(CASE WHEN b <= a THEN least(168.0, a + 0.5) ELSE b END, 6) AS e FROM c""")
 def snapped_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
