@@ -1,7 +1,9 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import spark_rows, sql_rows
 from tidemark import queries as core
+from tidemark.operators import matching
 
 
 @pytest.mark.parametrize("name", sorted(core.SQL))
@@ -78,3 +80,12 @@ def test_entry_module_works_without_the_text_operators(tmp_path):
 def test_frames_are_planned_for_every_event(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     assert core.frame_times_all(spark, sf).select("event_id").distinct().count() == events.select("event_id").distinct().count()
+
+
+def test_large_records_are_matched_by_time_buckets(spark, sf):
+    """No row holds a whole record."""
+    rows = [(1, gt, 2 * k + gt, 3.0 * k + 0.1 * gt, 3.0 * k + 2 + 0.1 * gt) for k in range(3000) for gt in (0, 1)]
+    df = spark.createDataFrame(rows, "rec_id long, gt int, i long, s double, e double").withColumn("gt", F.col("gt") == 1)
+    assert sorted((r.g, r.p) for r in matching.record_matches(df, 0.5).collect()) == [(2 * k + 1, 2 * k) for k in range(3000)]
+    for name in ("tiou_pairs", "greedy_match", "greedy_match_pred_first", "unmatched_segments", "localization_max_tiou"):
+        assert "collect_list" not in core.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -1,8 +1,8 @@
 """Interval matching: candidate pairs, greedy one-to-one matching, and the best overlap of each interval.
 
-Per record: one shuffle groups a record's intervals into two arrays; pairs, the greedy fold and what stays unmatched are
-expressions on that row. Pooled over records, where a group is not bounded: overlap joins by time bucket and mutual-best
-peeling, which gives the greedy result for a strict order of the pairs.
+Where a group is not bounded, a record or a label pooled over records: overlap joins by time bucket and mutual-best peeling,
+which gives the greedy result for a strict order of the pairs. The record metrics still take a row per record: one shuffle
+groups a record's intervals into two arrays; pairs and the greedy fold are expressions on that row, of unbounded size.
 """
 
 from __future__ import annotations
@@ -55,17 +55,6 @@ def matched(segments: DataFrame, taus: Sequence[float], *carried: str, order: st
     return rows.withColumn("matches", greedy(F.filter("pairs", lambda x: -x["nt"] >= F.col("tau")), order)).drop("pairs")
 
 
-def pairs_by_join(segments: DataFrame, tau: float) -> DataFrame:
-    """rec_id, g, p, t of all pairs with t >= tau, as a join of the two sides."""
-    side = lambda c, n: segments.where(c).select("rec_id", *[F.col(x).alias(f"{n}_{x}") for x in ("i", "s", "e")])
-    g, p = side("gt", "g"), side("not gt", "p")
-    t = tiou(F.col("g_s"), F.col("g_e"), F.col("p_s"), F.col("p_e"))
-    on = g.rec_id == p.rec_id
-    if tau > 0:  # implied, and cheap to test
-        on = on & (F.col("g_s") < F.col("p_e")) & (F.col("p_s") < F.col("g_e"))
-    return g.join(p, on).select(g.rec_id, F.col("g_i").alias("g"), F.col("p_i").alias("p"), t.alias("t")).where(F.col("t") >= tau)
-
-
 def best_overlaps(gt: Column, pred: Column) -> tuple[Column, Column]:
     """Mean over gt of the best tIoU with any pred, and the other way round; 0 for an empty side."""
     def mean(a: Column, b: Column) -> Column:
@@ -108,3 +97,26 @@ def peel(pairs: DataFrame, key: str) -> DataFrame:
         rest = left.join(now.select(key, "g"), [key, "g"], "left_anti").join(now.select(key, "p"), [key, "p"], "left_anti")
         left = cut(rest.select(key, "g", "p", "t"))
     return out if out is not None else left
+
+
+def record_pairs(segments: DataFrame, tau: float) -> DataFrame:
+    """rec_id, g, p, t of all pairs of a record with t >= tau > 0, by time buckets: a record of any size spreads over them."""
+    return overlap_join(segments.where("gt"), segments.where("not gt"), "rec_id").where(F.col("t") >= tau)
+
+
+def record_matches(segments: DataFrame, tau: float, order: str = "gt") -> DataFrame:
+    """rec_id, g, p, t: the greedy matching of each record, ties by (g, p), or by (p, g) for order "pred"."""
+    pairs = record_pairs(segments, tau)
+    if order == "pred":
+        return peel(pairs, "rec_id")
+    return peel(pairs.select("rec_id", F.col("p").alias("g"), F.col("g").alias("p"), "t"), "rec_id").select("rec_id", F.col("p").alias("g"), F.col("g").alias("p"), "t")
+
+
+def record_best_overlaps(segments: DataFrame) -> DataFrame:
+    """rec_id, per_gt, per_pred: what best_overlaps gives, from the bucketed pairs and aggregates that combine."""
+    pairs = cut(overlap_join(segments.where("gt"), segments.where("not gt"), "rec_id"))
+    best = lambda side: pairs.groupBy("rec_id", side).agg(F.max("t").alias("t")).groupBy("rec_id").agg(F.sum("t").alias(f"best_{side}"))
+    sizes = segments.groupBy("rec_id").agg(F.count_if("gt").alias("n_g"), F.count_if(~F.col("gt")).alias("n_p"))
+    rows = sizes.join(best("g"), "rec_id", "left").join(best("p"), "rec_id", "left")
+    mean = lambda side: F.when(F.col(f"n_{side}") == 0, 0.0).otherwise(F.coalesce(f"best_{side}", F.lit(0.0)) / F.col(f"n_{side}"))
+    return rows.select("rec_id", mean("g").alias("per_gt"), mean("p").alias("per_pred"))

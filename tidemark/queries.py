@@ -35,23 +35,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def match_rows(rows: DataFrame) -> DataFrame:
-    return rows.select("rec_id", F.explode("matches").alias("m")).select("rec_id", "m.g", "m.p", F.round(-F.col("m.nt"), 6).alias("t"))
-
-
 @query(f"WITH {SEG} SELECT g.rec_id, g.i AS g, p.i AS p, round({sql.tiou('g', 'p')}, 6) AS t FROM seg g JOIN seg p ON g.rec_id = p.rec_id AND g.gt AND NOT p.gt WHERE {sql.tiou('g', 'p')} >= 0.3")
 def tiou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.pairs_by_join(segments(spark, sf_dir), 0.3).withColumn("t", F.round("t", 6))
+    return matching.record_pairs(segments(spark, sf_dir), 0.3).withColumn("t", F.round("t", 6))
 
 
 @query(f"WITH RECURSIVE {SEG}, {sql.matches((0.5,))} SELECT rec_id, g, p, round(t, 6) AS t FROM m")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_rows(matching.matched(segments(spark, sf_dir), [0.5]))
+    return matching.record_matches(segments(spark, sf_dir), 0.5).withColumn("t", F.round("t", 6))
 
 
 @query(f"WITH RECURSIVE {SEG}, {sql.matches((1e-9,), 'p, g')} SELECT rec_id, g, p, round(t, 6) AS t FROM m")
 def greedy_match_pred_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match_rows(matching.matched(segments(spark, sf_dir), [1e-9], order="pred"))
+    return matching.record_matches(segments(spark, sf_dir), 1e-9, "pred").withColumn("t", F.round("t", 6))
 
 
 POOLED = "ls AS (SELECT j + 1 AS label, seg.* FROM seg, range(6) AS u(j) WHERE (b >> j) % 2 = 1)"
@@ -67,15 +63,15 @@ def greedy_match_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {SEG}, {sql.matches((0.5,))} SELECT rec_id, CASE WHEN gt THEN 'gt' ELSE 'pred' END AS side, i FROM seg
 WHERE NOT EXISTS (SELECT 1 FROM m WHERE CASE WHEN seg.gt THEN m.g ELSE m.p END = seg.i)""")
 def unmatched_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.matched(segments(spark, sf_dir), [0.5])
-    free = lambda side, k: F.transform(F.filter(side, lambda x: ~F.array_contains(F.transform("matches", lambda m: m[k]), x["i"])), lambda x: F.struct(F.lit(side).alias("side"), x["i"].alias("i")))
-    return rows.select("rec_id", F.inline(F.concat(free("gt", "g"), free("pred", "p"))))
+    rows = segments(spark, sf_dir)
+    found = matching.record_matches(rows, 0.5)
+    taken = found.select("rec_id", F.lit(True).alias("gt"), F.col("g").alias("i")).union(found.select("rec_id", F.lit(False), "p"))
+    return rows.join(taken, ["rec_id", "gt", "i"], "left_anti").select("rec_id", F.when(F.col("gt"), "gt").otherwise("pred").alias("side"), "i")
 
 
 @query(f"{sql.record_metrics((0.5,), 'strict')} SELECT rec_id, round(max_tiou_per_gt, 6) AS per_gt, round(max_tiou_per_pred, 6) AS per_pred FROM rm")
 def localization_max_tiou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on_gt, on_pred = matching.best_overlaps(F.col("gt"), F.col("pred"))
-    return matching.records(segments(spark, sf_dir)).select("rec_id", F.round(on_gt, 6).alias("per_gt"), F.round(on_pred, 6).alias("per_pred"))
+    return matching.record_best_overlaps(segments(spark, sf_dir)).select("rec_id", F.round("per_gt", 6).alias("per_gt"), F.round("per_pred", 6).alias("per_pred"))
 
 
 def rounded(rows: DataFrame) -> DataFrame:
