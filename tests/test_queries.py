@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import spark_rows, sql_rows
 from tidemark import queries as core
-from tidemark.operators import matching
+from tidemark.operators import compare, matching
 
 
 @pytest.mark.parametrize("name", sorted(core.SQL))
@@ -89,3 +89,8 @@ def test_large_records_are_matched_by_time_buckets(spark, sf):
     assert sorted((r.g, r.p) for r in matching.record_matches(df, 0.5).collect()) == [(2 * k + 1, 2 * k) for k in range(3000)]
     for name in ("tiou_pairs", "greedy_match", "greedy_match_pred_first", "unmatched_segments", "localization_max_tiou"):
         assert "collect_list" not in core.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_every_page_looks_up_any_other(spark):
+    rows = spark.createDataFrame([(1, ["a"]), (3, ["a"]), (5, ["b", "a"]), (7, ["c"])], "id long, keys array<string>")
+    assert sorted(tuple(r) for r in compare.lookup_others(rows).collect()) == [(1, 0, 3), (3, 0, 1), (5, 1, 1)]

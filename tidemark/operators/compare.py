@@ -28,6 +28,18 @@ def prioritized_lookup(probes: DataFrame, index: DataFrame, id_col: str = "id",
     return asked.join(owner, "key").groupBy("id").agg(F.min("hit_at").alias("hit_at"), F.min_by("match", "hit_at").alias("match"))
 
 
+def lookup_others(rows: DataFrame, id_col: str = "id", keys_col: str = "keys") -> DataFrame:
+    """id, hit_at, match: for each row the other row with the smallest id that has its first key that any other row has.
+
+    Each key keeps its two smallest ids, so the pairs of a common key are never made.
+    """
+    asked = rows.select(F.col(id_col).alias("id"), F.posexplode(keys_col).alias("hit_at", "key"))
+    first = asked.groupBy("key").agg(F.min("id").alias("first"))
+    second = asked.join(first, "key").where("id != first").groupBy("key").agg(F.min("id").alias("second"))
+    found = asked.join(first.join(second, "key"), "key").withColumn("match", F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")))
+    return found.groupBy("id").agg(F.min("hit_at").alias("hit_at"), F.min_by("match", "hit_at").alias("match"))
+
+
 def harmful(intervals: Column) -> Column:
     """Intervals (s, e, b) with a label."""
     return F.filter(intervals, lambda x: x["b"] != 0)

@@ -256,6 +256,19 @@ def candidate_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.prioritized_lookup(rows.where("id % 2 = 1"), rows.where("id % 2 = 0").withColumn("ordinal", F.col("id")))
 
 
+@query(f"""WITH u AS (SELECT page_id, {BARE} AS p FROM pages), v AS (SELECT page_id, p, {NAME.format(p='p')} AS n FROM u),
+w AS (SELECT page_id, CASE WHEN regexp_matches(n, '.[.][^.]+$') THEN regexp_replace(n, '[.][^.]+$', '') ELSE n END AS s, n, p FROM v),
+k AS (SELECT page_id, unnest([p, n, s]) AS key, unnest([0, 1, 2]) AS pos FROM w),
+d AS (SELECT page_id, key, min(pos) AS pos FROM k WHERE key <> '' GROUP BY ALL),
+e AS (SELECT page_id, key, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos FROM d),
+o AS (SELECT a.page_id, a.pos, min(b.page_id) AS match FROM e a JOIN e b ON a.key = b.key AND a.page_id <> b.page_id GROUP BY ALL)
+SELECT page_id AS id, CAST(min(pos) AS INT) AS hit_at, arg_min(match, pos) AS match FROM o GROUP BY page_id""")
+def candidate_key_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page looks up any other page by its url, its last part, or that part's stem, in this order."""
+    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), texts.path_variants(F.regexp_replace("url", r"[?#].*$", ""), ()).alias("keys"))
+    return compare.lookup_others(rows)
+
+
 @query("SELECT page_id, url FROM pages WHERE list_has_any(regexp_split_to_array(lower(url), '[^a-z0-9]+'), ['blog', 'spam', 'feed'])")
 def marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").where(texts.has_marker(("blog", "spam", "feed"), F.col("url"))).select("page_id", "url")
