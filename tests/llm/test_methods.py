@@ -95,9 +95,9 @@ def test_large_buckets_lose_no_link(spark, block):
                 x ^= 1 << int(i)
             found.add(x)
     fps = sorted(found)
-    df = spark.createDataFrame([(i, f, 0) for i, f in enumerate(fps)], "_id long, fp long, fp2 long")
+    df = spark.createDataFrame(list(enumerate(fps)), "_id long, fp long")
     want = union_find(list(range(len(fps))), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
-    assert {r._id: r.component_id for r in simhash.label(df, 4, -1, block).collect()} == want
+    assert {r._id: r.component_id for r in simhash.label(df, 4, block).collect()} == want
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

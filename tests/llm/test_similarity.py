@@ -65,3 +65,28 @@ def test_shares_of_a_large_band_find_the_same_links(spark, group, monkeypatch):
     monkeypatch.setattr(simhash.similar_links, "__defaults__", (group,))
     got = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert got == brute_force(texts)[0]
+
+
+def test_one_large_group_of_near_fingerprints_is_contracted(spark):
+    """20,000 fingerprints within a few bits of one another: about as many links as nodes and tasks, one component."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    base, fps = 0x123456789ABCDEF0, set()
+    while len(fps) < 20_000:
+        x = base
+        for i in rng.choice(40, 4, replace=False):
+            x ^= 1 << int(i)
+        fps.add(x)
+    nodes = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(fps))], "fp long, own long").repartition(4)
+    links = simhash.near_links(nodes, 4).count()
+    assert links < 6 * len(fps)
+    rows = nodes.select(nodes.own.alias("_id"), "fp")
+    assert {r.component_id for r in simhash.label(rows, 4).collect()} == {0}
+
+
+def test_components_of_a_hub_with_very_many_neighbours(spark):
+    from tidemark.llm.components import connected_components
+
+    edges = spark.range(1, 30_000).selectExpr("0L a", "id b").union(spark.range(1, 5_000).selectExpr("id + 30000 a", "id b"))
+    assert {r.root for r in connected_components(edges).collect()} == {0}

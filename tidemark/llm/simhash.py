@@ -7,17 +7,18 @@ that some v is orthogonal to, so that table keeps none of them: every pair withi
 
 Work at scale: equal fingerprints are one node. Table rows whose key occurs once are dropped after a count that combines
 before its shuffle. Buckets of up to `block` nodes are linked by a union-find inside the bucket, which emits a spanning
-forest, never the pairs. A larger bucket is split exactly: within a bucket only the bits outside its mask differ, and
-two nodes within the radius share a point at most ceil(radius/2) flips away from either, so every node joins the group
-of each such point. A group holds at most as many nodes as there are points around it, however large the bucket was.
-Spanning edges become components by alternating stars.
+forest, never the pairs; each task contracts the links of all of its buckets. A larger bucket is split exactly: within
+a bucket only the bits outside its mask differ, and two nodes within the radius share a point at most ceil(radius/2)
+flips away from either, so every node joins the group of each such point. A group holds at most as many nodes as there
+are points around it, however large the bucket was. Links become components by alternating stars over nodes in the order
+of their smallest ids, so a root is the component's id.
 
 The contract query takes four-word shingles with repeats and radius 4. The pipeline's stage links texts whose sets of
 five-word shingles have a Jaccard similarity of SIMILARITY or more, and computes it for every link: min-hash bands only
 find candidates, which depends on the similarity alone and not on whether an edit is a block or scattered. A pair at
 similarity J meets in one of BANDS bands with a chance of 1 - (1 - J^ROWS)^BANDS (at 0.8: all but 6 in 100,000 pairs).
 Bands that hold the same texts count once; the texts of one meet with their shingle hashes (64 bits) and are compared
-exactly, in a union-find that emits a spanning forest. Bands of over GROUP texts are dealt out as all pairs of their shares.
+exactly, in a union-find that emits a spanning forest. Bands of over GROUP texts are dealt into shares first; see `similar_links`.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and links like any other. Repeated
 rows are each labelled. Rows with a null doc_id get the smallest doc_id that is not null in their component, null if
@@ -27,26 +28,28 @@ there is none. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, partitions, small_batches
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, meet
 
 SEED = 42
 #: Nodes of a bucket that are compared with each other directly.
 BLOCK = 1024
+#: Links that a task gathers before it contracts and passes them on.
+HELD = 500_000
 #: The least Jaccard similarity of five-word shingles that links, as a fraction.
 SIMILARITY = (4, 5)
 BANDS, ROWS = 32, 6
-#: Texts of a band that are compared in one task; larger bands are dealt out by pairs of shares of about half as many.
+#: Texts of a band that are compared in one task; shares of larger bands have about half as many.
 GROUP = 1024
 _random = np.random.default_rng(SEED)
 _FLIP = _random.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64)
@@ -147,22 +150,15 @@ def _as_long(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def forest(fps: np.ndarray, fps2: np.ndarray, radius: int, radius2: int) -> np.ndarray:
+def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     """For each node of a bucket the place of the smallest-placed node that it reaches by links inside the bucket."""
-    n = len(fps)
-    parent = np.arange(n)
-    left = np.arange(n)  # not yet reached, in order
+    parent = np.arange(len(fps))
+    left = np.arange(len(fps))  # not yet reached, in order
     while len(left):
         root, left = left[0], left[1:]
         front = np.array([root])
         while len(front) and len(left):
-            x = fps[left][None, :] ^ fps[front[:64]][:, None]
-            near = np.bitwise_count(x)
-            if radius2 >= 0:
-                near2 = near.astype(np.int16) + np.bitwise_count(fps2[left][None, :] ^ fps2[front[:64]][:, None])
-                hit = ((near <= radius) & (near2 <= radius2)).any(axis=0)
-            else:
-                hit = (near <= radius).any(axis=0)
+            hit = (np.bitwise_count(fps[left][None, :] ^ fps[front[:64]][:, None]) <= radius).any(axis=0)
             found = left[hit]
             parent[found] = root
             left = left[~hit]
@@ -170,62 +166,80 @@ def forest(fps: np.ndarray, fps2: np.ndarray, radius: int, radius2: int) -> np.n
     return parent
 
 
-def _link_sorted(radius: int, radius2: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Spanning edges of buckets that come one after the other (rows sorted by key k)."""
-    names = ["a", "a2", "b", "b2"]
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node that it reaches) that join what the edges (a, b) join: fewer than there are nodes."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        differ = x != y
+        if not differ.any():
+            break
+        np.minimum.at(root, np.maximum(x, y)[differ], np.minimum(x, y)[differ])
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[child], nodes[root[child]]
+
 
-    def edges(k: np.ndarray, fp: np.ndarray, fp2: np.ndarray) -> list[np.ndarray]:
+def _link_sorted(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Spanning edges of buckets that come one after the other (rows k, fp, own sorted by k), contracted over many buckets."""
+
+    def edges(k: np.ndarray, fp: np.ndarray) -> np.ndarray:
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         sizes = np.diff(np.append(starts, len(k)))
-        out = []
         two = starts[sizes == 2]  # most buckets
-        near = np.bitwise_count(fp[two] ^ fp[two + 1])
-        ok = near <= radius
-        if radius2 >= 0:
-            ok &= near.astype(np.int16) + np.bitwise_count(fp2[two] ^ fp2[two + 1]) <= radius2
-        two = two[ok]
-        out.append(np.stack([two + 1, two], axis=1))
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
+        out = [np.stack([two + 1, two], axis=1)]
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
-            parent = forest(fp[s : s + n], fp2[s : s + n], radius, radius2)
+            parent = forest(fp[s : s + n], radius)
             child = np.flatnonzero(parent != np.arange(n))
             out.append(np.stack([child + s, parent[child] + s], axis=1))
-        return out
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [np.empty(0, dtype=np.int64)] * 3  # rows of the key that the next batch may go on with
-        for batch in batches:
-            now = [np.concatenate([r, np.asarray(batch.column(c)).astype(np.int64)]) for r, c in zip(rest, ("k", "fp", "fp2"), strict=True)]
-            last = int(np.flatnonzero(now[0] == now[0][-1])[0]) if len(now[0]) else 0
-            rest = [x[last:] for x in now]
-            if last:
-                yield from emit([x[:last] for x in now])
-        if len(rest[0]):
-            yield from emit(rest)
-
-    def emit(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, fp, fp2 = cols[0], cols[1].view(np.uint64), cols[2].view(np.uint64)
-        pairs = np.concatenate(edges(k, fp, fp2))
-        if len(pairs):
-            a, b = pairs[:, 0], pairs[:, 1]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols[1][a], cols[2][a], cols[1][b], cols[2][b])], names=names)
+        held, n = [], 0  # edges as rows (fp, own) of either end
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            a, a_own, b, b_own = (np.concatenate(x) for x in zip(*held, strict=True))
+            own, first = np.unique(np.concatenate([a, b]), return_index=True)
+            name = np.concatenate([a_own, b_own])[first]
+            child, root = contracted(a, b)
+            cols = [child, name[np.searchsorted(own, child)], root, name[np.searchsorted(own, root)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["a", "a_own", "b", "b_own"])
+
+        for batch in chain(batches, [None]):
+            if batch is None:
+                whole = rest
+            else:
+                now = [np.concatenate([r, np.asarray(batch.column(c)).astype(np.int64)]) for r, c in zip(rest, ("k", "fp", "own"), strict=True)]
+                last = int(np.flatnonzero(now[0] == now[0][-1])[0]) if len(now[0]) else 0
+                whole, rest = [x[:last] for x in now], [x[last:] for x in now]
+            if len(whole[0]):
+                pairs = edges(whole[0], whole[1].view(np.uint64))
+                if len(pairs):
+                    held.append([x[i] for i in pairs.T for x in whole[1:]])
+                    n += len(pairs)
+            if held and (n > HELD or batch is None):
+                yield from emit()
+                held, n = [], 0
 
     return run
 
 
-def near_links(nodes: DataFrame, radius: int, radius2: int = -1, block: int = BLOCK) -> DataFrame:
-    """Spanning links (a, a2, b, b2) between distinct fingerprints (fp, fp2) within the radius.
-
-    radius2 bounds the differing bits of both fingerprints together; -1: fp alone counts.
-    """
+def near_links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Spanning links (a, a_own, b, b_own) between distinct fingerprints within the radius; nodes: fp, own (a number to carry)."""
     spark = nodes.sparkSession
     every = [_as_long(int(m)) for m in masks(radius)]
     tables = F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("k")) for t, m in enumerate(every)])
-    spread = nodes.select("fp", "fp2").repartition(partitions(spark))  # one table row becomes many
-    rows = spread.select("fp", "fp2", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp", "fp2")
+    spread = nodes.select("fp", "own").repartition(partitions(spark))  # one table row becomes many
+    rows = spread.select("fp", "own", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp", "own")
     sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(rows.join(sizes, "k"))
-    schema = "a long, a2 long, b long, b2 long"
-    linked = met.where(F.col("n") <= block).select("k", "fp", "fp2").repartition(partitions(spark), "k").sortWithinPartitions("k", "fp", "fp2").mapInArrow(_link_sorted(radius, radius2), schema)
+    schema = "a long, a_own long, b long, b_own long"
+    linked = met.where(F.col("n") <= block).select("k", "fp", "own").repartition(partitions(spark), "k").sortWithinPartitions("k", "fp").mapInArrow(_link_sorted(radius), schema)
     # large buckets: one row for each point at most half the radius away, over the bits outside the mask
     reach = (radius + 1) // 2
     large = met.where(F.col("n") > block)
@@ -244,11 +258,11 @@ def near_links(nodes: DataFrame, radius: int, radius2: int = -1, block: int = BL
                     p = part.iloc[i : i + step]
                     points = (p["fp"].to_numpy().view(np.uint64)[:, None] ^ flips[t][None, :]).ravel().view(np.int64)
                     n = len(flips[t])
-                    yield pd.DataFrame({"k": np.repeat(p["k"].to_numpy(), n), "point": points, "fp": np.repeat(p["fp"].to_numpy(), n), "fp2": np.repeat(p["fp2"].to_numpy(), n)})
+                    yield pd.DataFrame({"k": np.repeat(p["k"].to_numpy(), n), "point": points, "fp": np.repeat(p["fp"].to_numpy(), n), "own": np.repeat(p["own"].to_numpy(), n)})
 
-    points = large.select("t", "k", "fp", "fp2").repartition(partitions(spark)).mapInPandas(around, "k long, point long, fp long, fp2 long")
-    split = points.select(F.xxhash64("k", "point").alias("k"), "fp", "fp2").repartition(partitions(spark), "k").sortWithinPartitions("k", "fp", "fp2")
-    return linked.union(split.mapInArrow(_link_sorted(radius, radius2), schema)).distinct()
+    points = large.select("t", "k", "fp", "own").repartition(partitions(spark)).mapInPandas(around, "k long, point long, fp long, own long")
+    split = points.select(F.xxhash64("k", "point").alias("k"), "fp", "own").repartition(partitions(spark), "k").sortWithinPartitions("k", "fp")
+    return linked.union(split.mapInArrow(_link_sorted(radius), schema)).distinct()
 
 
 def similar_forest(sets: list[np.ndarray]) -> np.ndarray:
@@ -279,18 +293,18 @@ def similar_forest(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _similar_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning edges of groups that come one after the other (rows k, fp, fp2, s sorted by k)."""
+    """Spanning edges of groups that come one after the other (rows k, node, s sorted by k)."""
     key, group = None, []
 
     def edges() -> Iterator[pa.RecordBatch]:
         if len(group) > 1:
-            parent = similar_forest([np.frombuffer(x[2], dtype=np.uint64) for x in group])
-            pairs = [(*group[i][:2], *group[j][:2]) for i, j in enumerate(parent.tolist()) if i != j]
+            parent = similar_forest([np.frombuffer(x[1], dtype=np.uint64) for x in group])
+            pairs = [(group[i][0], group[j][0]) for i, j in enumerate(parent.tolist()) if i != j]
             if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "a2", "b", "b2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, NODE) for c in zip(*pairs, strict=True)], names=["a", "b"])
 
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("k", "fp", "fp2", "s")), strict=True):
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in ("k", "node", "s")), strict=True):
             if k != key:
                 yield from edges()
                 key, group = k, []
@@ -298,46 +312,69 @@ def _similar_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield from edges()
 
 
+#: What stands for a set of shingles: its first document (id is null, id, hash of the text).
+NODE = pa.struct([("k0", pa.bool_()), ("k1", pa.int64()), ("k2", pa.int64())])
+NODE_SQL = "struct<k0:boolean,k1:bigint,k2:bigint>"
+
+
 def similar_links(nodes: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
-    """Spanning links (a, a2, b, b2) of nodes (fp, fp2, first_id, keys); texts has (_id, _text)."""
+    """Spanning links (a, b) of nodes (node, keys); texts has (_id, _text), node being one of its _id.
+
+    A band of up to `group` nodes is compared in one task. A larger one is first dealt twice into shares, which are
+    compared each in itself: near copies grow together. Then only nodes outside the band's largest component are still
+    compared with all shares of the band, so that no link is lost.
+    """
     spark = nodes.sparkSession
-    rows = nodes.select("fp", "fp2", "first_id", F.explode("keys").alias("k"))
-    bands = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor("fp").alias("x"), F.bit_xor("fp2").alias("x2")).where("n > 1")
+    rows = nodes.select("node", F.explode("keys").alias("k"))
+    own = F.xxhash64("node")
+    bands = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("x2")).where("n > 1")
     once = bands.groupBy("n", "x", "x2").agg(F.min("k").alias("k")).select("k", "n")  # the same texts may meet in many bands
     met = cut(rows.join(once, "k"))
-    wanted = met.select("fp", "fp2", F.col("first_id").alias("_id")).distinct()
-    sets = texts.join(wanted, "_id").groupBy("_id", "fp", "fp2").agg(F.first("_text").alias("_text"))
-    sets = cut(sets.select("fp", "fp2", _set_bytes("_text").alias("s")))
-    # a band of more than `group` texts: every two shares of it meet in one group
-    shares = F.when(F.col("n") <= group, 1).otherwise(F.ceil(2 * F.col("n") / group)).cast("int")
-    dealt = met.select("k", "fp", "fp2", shares.alias("m")).withColumn("own", F.pmod(F.xxhash64("fp", "fp2"), "m").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.select(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other")).alias("k"), "fp", "fp2")
-    joined = dealt.join(sets, ["fp", "fp2"]).repartition(partitions(spark), "k").sortWithinPartitions("k", "fp", "fp2")
-    return joined.mapInArrow(_similar_sorted, "a long, a2 long, b long, b2 long").distinct()
-
-
-def label(rows: DataFrame, radius: int, radius2: int = -1, block: int = BLOCK) -> DataFrame:
-    """rows (_id, fp, fp2) with component_id, the smallest _id of the component. rows must be cheap to read again."""
-    nodes = cut(rows.groupBy("fp", "fp2").agg(F.min("_id").alias("first_id")))
-    return _label_linked(rows, nodes, near_links(nodes, radius, radius2, block))
-
-
-def _label_linked(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links.select(F.struct(F.col("a").alias("fp"), F.col("a2").alias("fp2")).alias("a"), F.struct(F.col("b").alias("fp"), F.col("b2").alias("fp2")).alias("b")))
-    found = found.select(F.col("node.fp").alias("fp"), F.col("node.fp2").alias("fp2"), "root")
-    own = F.struct("fp", "fp2")
-    rooted = nodes.join(found, ["fp", "fp2"], "left").select("fp", "fp2", "first_id", F.coalesce("root", own).alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = cut(rooted.join(least, "root").select("fp", "fp2", "component_id"))
-    return rows.join(by_node, ["fp", "fp2"])
+    wanted = met.select(F.col("node").alias("_id")).distinct()
+    sets = texts.join(wanted, "_id").groupBy("_id").agg(F.first("_text").alias("_text"))
+    sets = cut(sets.select(F.col("_id").alias("node"), _set_bytes("_text").alias("s")))
+
+    def links(dealt: DataFrame) -> DataFrame:
+        joined = dealt.distinct().join(sets, "node").repartition(partitions(spark), "k").sortWithinPartitions("k", "node")
+        return joined.mapInArrow(_similar_sorted, f"a {NODE_SQL}, b {NODE_SQL}").distinct()
+
+    def share(of: str, seed: int) -> Column:
+        """One of ceil(2 * of / group) shares of a band."""
+        return F.pmod(F.xxhash64("k", "node", F.lit(seed)), F.ceil(2 * F.col(of) / group)).cast("int")
+
+    small = met.where(F.col("n") <= group).select("k", "node")
+    large = met.where(F.col("n") > group)
+    if large.isEmpty():
+        return links(small)
+    first = cut(links(small.union(large.select(F.xxhash64("k", share("n", 0)), "node")).union(large.select(F.xxhash64("k", share("n", 1), F.lit(1)), "node"))))
+    roots = cut(connected_components(first))
+    placed = cut(large.join(roots, "node", "left").select("k", "n", "node", F.coalesce("root", "node").alias("root")))
+    counts = placed.groupBy("k", "root").agg(F.count("*").alias("c"))
+    main = counts.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
+    placed = placed.join(main, "k")  # a band that has grown together needs no more
+    apart = placed.where("root != main").withColumn("i", share("rest", 2)).withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(2 * F.col("n") / group).cast("int") - 1)))
+    every = placed.withColumn("j", share("n", 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(2 * F.col("rest") / group).cast("int") - 1)))
+    pairs = apart.select("k", "i", "j", "node").unionByName(every.select("k", "i", "j", "node"))
+    return first.union(links(pairs.select(F.xxhash64("k", "i", "j").alias("k"), "node"))).distinct()
+
+
+def label(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """rows (_id, fp) with component_id, the smallest _id of the component. rows must be cheap to read again."""
+    last = F.lit(2**63 - 1)  # stands for no id
+    nodes = cut(rows.groupBy("fp").agg(F.coalesce(F.min("_id"), last).alias("own"), F.count("*").alias("n")))
+    end = lambda x: F.struct(F.col(f"{x}_own").alias("own"), F.col(x).alias("fp")).alias(x)
+    found = connected_components(near_links(nodes, radius, block).select(end("a"), end("b")))
+    found = found.select(F.col("node.fp").alias("fp"), F.col("root.own").alias("root"))
+    by_node = cut(nodes.join(found, "fp", "left").select("fp", "n", F.nullif(F.coalesce("root", "own"), last).alias("component_id")))
+    total = by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return meet(rows, by_node, "fp", "n", total)
 
 
 def near_duplicates(documents: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits, four-word shingles), component_id: one row per document."""
     small_batches(documents.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = cut(documents.select(F.col(f"`{id_col}`").alias("_id"), _shingle_fp(text).alias("fp")).withColumn("fp2", F.lit(0).cast("long")))
+    rows = cut(documents.select(F.col(f"`{id_col}`").alias("_id"), _shingle_fp(text).alias("fp")))
     return label(rows, radius).select(F.col("_id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -348,11 +385,13 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     """
     small_batches(documents.sparkSession, 200)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = {"_tidemark_k0": F.col(f"`{id_col}`").isNull(), "_tidemark_k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "_tidemark_k2": F.xxhash64(text)}
+    key = {"k0": F.col(f"`{id_col}`").isNull(), "k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "k2": F.xxhash64(text)}
     texts = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), text.alias("_text"))
-    rows = cut(texts.select("_id", _banded("_text").alias("x")).select("_id", "x.*"))
-    nodes = cut(rows.groupBy("fp", "fp2").agg(F.min("_id").alias("first_id"), F.first("keys").alias("keys")))
-    stay = _label_linked(rows.drop("keys"), nodes, similar_links(nodes, texts)).select("component_id.*").distinct()
-    kept = documents.withColumns(key).join(stay, list(key), "left_semi")
-    first = Window.partitionBy(*key).orderBy(F.lit(0))
-    return kept.withColumn("_tidemark_n", F.row_number().over(first)).where("_tidemark_n = 1").drop(*key, "_tidemark_n")
+    rows = texts.select("_id", _banded("_text").alias("x")).select("_id", "x.*")
+    nodes = cut(rows.groupBy("fp", "fp2").agg(F.min("_id").alias("node"), F.first("keys").alias("keys")))
+    found = connected_components(similar_links(nodes.select("node", "keys"), texts))
+    stay = nodes.select("node").join(found.where("node != root"), "node", "left_anti").select("node.*")
+    names = {k: f"_tidemark_{k}" for k in key}
+    kept = documents.withColumns({names[k]: v for k, v in key.items()}).join(stay.toDF(*names.values()), list(names.values()), "left_semi")
+    first = Window.partitionBy(*names.values()).orderBy(F.lit(0))
+    return kept.withColumn("_tidemark_n", F.row_number().over(first)).where("_tidemark_n = 1").drop(*names.values(), "_tidemark_n")
