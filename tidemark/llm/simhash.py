@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, partitions, small_batches
+from tidemark.llm.common import cut, partitions, scratch, small_batches
 from tidemark.llm.components import connected_components, meet
 
 SEED = 42
@@ -229,6 +229,12 @@ def _link_sorted(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return run
 
 
+def _with_others(rows: DataFrame, total: int) -> DataFrame:
+    """The rows whose key k others share, with n, how many have it. A key may hold a large part of the total rows."""
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
+    return meet(rows, sizes.withColumn("_n", F.col("n")), "k", "_n", total)
+
+
 def near_links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """Spanning links (a, a_own, b, b_own) between distinct fingerprints within the radius; nodes: fp, own (a number to carry)."""
     spark = nodes.sparkSession
@@ -236,8 +242,7 @@ def near_links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))).alias("k")) for t, m in enumerate(every)])
     spread = nodes.select("fp", "own").repartition(partitions(spark))  # one table row becomes many
     rows = spread.select("fp", "own", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp", "own")
-    sizes = rows.groupBy("k").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(rows.join(sizes, "k"))
+    met = cut(_with_others(rows, len(every) * nodes.count()))
     schema = "a long, a_own long, b long, b_own long"
     linked = met.where(F.col("n") <= block).select("k", "fp", "own").repartition(partitions(spark), "k").sortWithinPartitions("k", "fp").mapInArrow(_link_sorted(radius), schema)
     # large buckets: one row for each point at most half the radius away, over the bits outside the mask
@@ -318,44 +323,48 @@ NODE_SQL = "struct<k0:boolean,k1:bigint,k2:bigint>"
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
-    """Spanning links (a, b) of nodes (node, keys); texts has (_id, _text), node being one of its _id.
+    """Spanning links (a, b) of nodes (num, node, keys); texts has (k0, k1, k2, _text), a node being one text's first three.
 
     A band of up to `group` nodes is compared in one task. A larger one is first dealt twice into shares, which are
     compared each in itself: near copies grow together. Then only nodes outside the band's largest component are still
-    compared with all shares of the band, so that no link is lost.
+    compared with all shares of the band, so that no link is lost. Until the texts are needed nodes go by their numbers.
     """
     spark = nodes.sparkSession
-    rows = nodes.select("node", F.explode("keys").alias("k"))
-    own = F.xxhash64("node")
-    bands = rows.groupBy("k").agg(F.count("*").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("x2")).where("n > 1")
-    once = bands.groupBy("n", "x", "x2").agg(F.min("k").alias("k")).select("k", "n")  # the same texts may meet in many bands
-    met = cut(rows.join(once, "k"))
-    wanted = met.select(F.col("node").alias("_id")).distinct()
-    sets = texts.join(wanted, "_id").groupBy("_id").agg(F.first("_text").alias("_text"))
-    sets = cut(sets.select(F.col("_id").alias("node"), _set_bytes("_text").alias("s")))
+    rows = nodes.select("num", F.explode("keys").alias("k"))
+    met = cut(_with_others(rows, BANDS * nodes.count()))
+    own = F.xxhash64("num")
+    bands = met.groupBy("k").agg(F.first("n").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("x2"))
+    once = bands.groupBy(F.col("n").alias("_n"), "x", "x2").agg(F.min("k").alias("k")).select("k", "_n")  # the same texts may meet in many bands
+    met = cut(meet(met, once, "k", "_n", met.count()))
+    # written, so that Spark knows its size: where it is small the texts needn't be shuffled
+    path = scratch(spark, "near-dedup-wanted")
+    nodes.join(met.select("num").distinct(), "num").select("num", "node.*").write.parquet(path)
+    sets = texts.join(spark.read.parquet(path), ["k0", "k1", "k2"]).groupBy("num", "k0", "k1", "k2").agg(F.first("_text").alias("_text"))
+    sets = cut(sets.select("num", F.struct("k0", "k1", "k2").alias("node"), _set_bytes("_text").alias("s")))
 
     def links(dealt: DataFrame) -> DataFrame:
-        joined = dealt.distinct().join(sets, "node").repartition(partitions(spark), "k").sortWithinPartitions("k", "node")
+        joined = dealt.distinct().join(sets, "num").repartition(partitions(spark), "k").sortWithinPartitions("k", "node")
         return joined.mapInArrow(_similar_sorted, f"a {NODE_SQL}, b {NODE_SQL}").distinct()
 
     def share(of: str, seed: int) -> Column:
         """One of ceil(2 * of / group) shares of a band."""
-        return F.pmod(F.xxhash64("k", "node", F.lit(seed)), F.ceil(2 * F.col(of) / group)).cast("int")
+        return F.pmod(F.xxhash64("k", "num", F.lit(seed)), F.ceil(2 * F.col(of) / group)).cast("int")
 
-    small = met.where(F.col("n") <= group).select("k", "node")
+    small = met.where(F.col("n") <= group).select("k", "num")
     large = met.where(F.col("n") > group)
     if large.isEmpty():
         return links(small)
-    first = cut(links(small.union(large.select(F.xxhash64("k", share("n", 0)), "node")).union(large.select(F.xxhash64("k", share("n", 1), F.lit(1)), "node"))))
+    first = cut(links(small.union(large.select(F.xxhash64("k", share("n", 0)), "num")).union(large.select(F.xxhash64("k", share("n", 1), F.lit(1)), "num"))))
     roots = cut(connected_components(first))
-    placed = cut(large.join(roots, "node", "left").select("k", "n", "node", F.coalesce("root", "node").alias("root")))
+    placed = large.join(sets.select("num", "node"), "num").join(roots, "node", "left")
+    placed = cut(placed.select("k", "n", "num", F.coalesce("root", "node").alias("root")))
     counts = placed.groupBy("k", "root").agg(F.count("*").alias("c"))
     main = counts.groupBy("k").agg(F.max_by("root", F.struct("c", "root")).alias("main"), (F.sum("c") - F.max("c")).alias("rest")).where("rest > 0")
     placed = placed.join(main, "k")  # a band that has grown together needs no more
     apart = placed.where("root != main").withColumn("i", share("rest", 2)).withColumn("j", F.explode(F.sequence(F.lit(0), F.ceil(2 * F.col("n") / group).cast("int") - 1)))
     every = placed.withColumn("j", share("n", 0)).withColumn("i", F.explode(F.sequence(F.lit(0), F.ceil(2 * F.col("rest") / group).cast("int") - 1)))
-    pairs = apart.select("k", "i", "j", "node").unionByName(every.select("k", "i", "j", "node"))
-    return first.union(links(pairs.select(F.xxhash64("k", "i", "j").alias("k"), "node"))).distinct()
+    pairs = apart.select("k", "i", "j", "num").unionByName(every.select("k", "i", "j", "num"))
+    return first.union(links(pairs.select(F.xxhash64("k", "i", "j").alias("k"), "num"))).distinct()
 
 
 def label(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
@@ -386,10 +395,11 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     small_batches(documents.sparkSession, 200)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     key = {"k0": F.col(f"`{id_col}`").isNull(), "k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "k2": F.xxhash64(text)}
-    texts = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), text.alias("_text"))
-    rows = texts.select("_id", _banded("_text").alias("x")).select("_id", "x.*")
-    nodes = cut(rows.groupBy("fp", "fp2").agg(F.min("_id").alias("node"), F.first("keys").alias("keys")))
-    found = connected_components(similar_links(nodes.select("node", "keys"), texts))
+    texts = documents.select(*[v.alias(k) for k, v in key.items()], text.alias("_text"))
+    rows = texts.select(F.struct(*key).alias("_id"), _banded("_text").alias("x")).select("_id", "x.*")
+    nodes = rows.groupBy("fp", "fp2").agg(F.min("_id").alias("node"), F.first("keys").alias("keys"))
+    nodes = cut(nodes.withColumn("num", F.monotonically_increasing_id()))
+    found = connected_components(similar_links(nodes, texts))
     stay = nodes.select("node").join(found.where("node != root"), "node", "left_anti").select("node.*")
     names = {k: f"_tidemark_{k}" for k in key}
     kept = documents.withColumns({names[k]: v for k, v in key.items()}).join(stay.toDF(*names.values()), list(names.values()), "left_semi")
