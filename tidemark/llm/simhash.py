@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, partitions, scratch, small_batches
+from tidemark.llm.common import cut, partitions, small_batches
 from tidemark.llm.components import connected_components, meet
 
 SEED = 42
@@ -336,10 +336,8 @@ def similar_links(nodes: DataFrame, texts: DataFrame, group: int = GROUP) -> Dat
     bands = met.groupBy("k").agg(F.first("n").alias("n"), F.bit_xor(own).alias("x"), F.bit_xor(F.xxhash64(own)).alias("x2"))
     once = bands.groupBy(F.col("n").alias("_n"), "x", "x2").agg(F.min("k").alias("k")).select("k", "_n")  # the same texts may meet in many bands
     met = cut(meet(met, once, "k", "_n", met.count()))
-    # written, so that Spark knows its size: where it is small the texts needn't be shuffled
-    path = scratch(spark, "near-dedup-wanted")
-    nodes.join(met.select("num").distinct(), "num").select("num", "node.*").write.parquet(path)
-    sets = texts.join(spark.read.parquet(path), ["k0", "k1", "k2"]).groupBy("num", "k0", "k1", "k2").agg(F.first("_text").alias("_text"))
+    wanted = cut(nodes.join(met.select("num").distinct(), "num").select("num", "node.*"))
+    sets = texts.join(wanted, ["k0", "k1", "k2"]).groupBy("num", "k0", "k1", "k2").agg(F.first("_text").alias("_text"))
     sets = cut(sets.select("num", F.struct("k0", "k1", "k2").alias("node"), _set_bytes("_text").alias("s")))
 
     def links(dealt: DataFrame) -> DataFrame:
