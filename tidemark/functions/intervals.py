@@ -23,11 +23,22 @@ def snap(value: Column, step: float, mode: str = "nearest") -> Column:
     return F.round(made(ratio) * F.lit(float(step)), 6)
 
 
-def snap_interval(s: Column, e: Column, duration: Column, step: float) -> tuple[Column, Column]:
-    """The interval clamped to [0, duration], widened to the grid and clamped again; at least one step long where it fits."""
+def snap_interval(s: Column, e: Column, duration: Column, step: float, start_mode: str = "nearest", end_mode: str = "nearest") -> tuple[Column, Column]:
+    """The interval clamped to [0, duration], put on the grid and clamped again; one step long where only the grid made it empty."""
     inside = lambda x: F.greatest(F.lit(0.0), F.least(x, duration))
-    start, end = inside(snap(inside(s), step, "floor")), inside(snap(inside(e), step, "ceil"))
-    return start, F.when(end <= start, F.least(duration, start + F.lit(float(max(step, 0.0))))).otherwise(end)
+    start, end = inside(snap(inside(s), step, start_mode)), inside(snap(inside(e), step, end_mode))
+    lost = (inside(e) > inside(s)) & (end <= start)
+    return start, F.when(lost, F.least(duration, F.round(start + F.lit(float(step)), 6))).otherwise(end)
+
+
+def time_step(fps: Column) -> Column:
+    """Seconds from frame to frame; raises for a rate of 0 or less."""
+    return F.when(fps > 0, 1.0 / fps).otherwise(F.raise_error(F.concat(F.lit("fps must be positive: "), fps.cast("string"))).cast("double"))
+
+
+def duration_for_frames(fps: Column, frames: Column) -> Column:
+    """The longest duration that so many frames cover, six decimals."""
+    return F.round(frames / fps, 6)
 
 
 def frame_times(duration: Column) -> Column:
@@ -41,10 +52,27 @@ def frame_index(t: Column, fps: Column, n_frames: Column) -> Column:
     return F.least(F.rint(t * fps).cast("long"), F.greatest(n_frames - 1, F.lit(0).cast("long")))
 
 
-def even_dimension(x: Column) -> Column:
-    """The largest even integer up to x, at least 2."""
-    whole = F.floor(x).cast("int")
-    return F.greatest(F.lit(2), whole - F.pmod(whole, F.lit(2)))
+def even_dimension(x: Column, fallback: Column) -> Column:
+    """The largest even integer up to x, or up to the fallback for x of 0 or less."""
+    whole = F.when(x <= 0, fallback).otherwise(x).cast("int")
+    return whole - F.pmod(whole, F.lit(2))
+
+
+def output_fps(fps: Column) -> Column:
+    """The nearest whole rate (half-even) from 1 to 60; 30 for 0 or less."""
+    return F.when(fps <= 0, 30).otherwise(F.greatest(F.lit(1), F.least(F.lit(60), F.rint(fps).cast("int"))))
+
+
+def grid_positions(duration: Column, count: Column, step: float, salt: Column) -> Column:
+    """count different times on the grid of step up to the duration, in order: those with the smallest MD5 of ``salt:index``.
+
+    Raises where the grid has fewer places.
+    """
+    last = F.floor(F.greatest(duration, F.lit(0.0)) / F.lit(float(step))).cast("int")
+    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.md5(F.concat_ws(":", salt, i.cast("string"))).alias("h"), i.alias("i"))))
+    taken = F.array_sort(F.transform(F.slice(drawn, 1, count), lambda x: F.round(x["i"] * F.lit(float(step)), 6)))
+    none = F.raise_error(F.lit("the time grid has too few places")).cast("array<double>")
+    return F.when(count > last + 1, none).otherwise(taken)
 
 
 def insertion_start(safe: Column, harmful: Column, limit: float, unit: Column) -> Column:

@@ -6,7 +6,9 @@ Arrow-batched UDF that gives the list's objects back as JSON text; everything af
 
 from __future__ import annotations
 
+import ast
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.labels import label_bits, raw_map, true_word
+from tidemark.functions.labels import label_bits, prefix_bits, raw_map, true_python, true_word
 from tidemark.functions.texts import after_marker, strip
 
 MAPS = "array<map<string,string>>"
@@ -41,6 +43,38 @@ def find_list(text: str | None, last_resort: bool = True) -> list | None:
     return None
 
 
+def find_object(text: str | None) -> dict | None:
+    """The first object among: the fenced one; from each { (last first) to the end or the last }; the outermost; the text. JSON, else a Python literal."""
+    if text is None:
+        return None
+    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.S)
+    tries = [fenced[1]] if fenced else []
+    close, at = text.rfind("}"), text.rfind("{")
+    outer = text.find("{")
+    while at >= 0:
+        tail = text[at:].strip()
+        tries.append(tail if tail.endswith("}") or close <= at else text[at : close + 1].strip())
+        at = text.rfind("{", 0, at) if at else -1
+    tries += [text[outer : close + 1]] * (0 <= outer < close) + [text.strip()]
+    for t in tries:
+        for read in (json.loads, ast.literal_eval):
+            try:
+                value = read(t)
+            except (ValueError, SyntaxError, MemoryError, RecursionError):
+                continue
+            if isinstance(value, dict):
+                return value
+            break
+    return None
+
+
+@F.pandas_udf(T.StringType())
+def recover_json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The object in a model's answer as JSON text; null if it holds none."""
+    for batch in texts:
+        yield batch.map(lambda t: None if (found := find_object(t)) is None else json.dumps(found, default=str), na_action="ignore")
+
+
 def objects_of(value: list | None) -> str | None:
     """The list's objects as JSON text, keys in document order."""
     return None if value is None else json.dumps([x for x in value if isinstance(x, dict)], ensure_ascii=False)
@@ -93,8 +127,8 @@ def parse_answer(text: Column) -> Column:
     return shots(recover_json_list(after_marker(text)))
 
 
-def to_payload(parsed: Column) -> Column:
-    """Shots as (parse_status, parse_ok, chunks by key chunk_1, chunk_2, ..., chunk_order); an empty one for null."""
+def to_payload(parsed: Column, note: Column | None = None) -> Column:
+    """Shots as (parse_status, parse_ok, chunks by key chunk_1, chunk_2, ..., chunk_order, parse_note); an empty one with the note for null."""
     key = lambda i: F.concat(F.lit("chunk_"), (i + 1).cast("string"))
     some = F.coalesce(parsed, F.array().cast("array<struct<s:double,e:double,description:string,explanation:string,b:int>>"))
     return F.struct(
@@ -102,6 +136,7 @@ def to_payload(parsed: Column) -> Column:
         parsed.isNotNull().alias("parse_ok"),
         F.map_from_entries(F.transform(some, lambda x, i: F.struct(key(i), x))).alias("chunks"),
         F.transform(some, lambda x, i: key(i)).alias("chunk_order"),
+        F.when(parsed.isNull(), F.lit("no JSON list of intervals") if note is None else note).alias("parse_note"),
     )
 
 
@@ -134,5 +169,49 @@ def three_part_answer(text: Column) -> Column:
     # fixed value: the form of such answers
     pattern = r"(?s)DESCRIPTION:\s*(.*?)\s*GUARDRAIL:\s*(\{.*?\})\s*EXPLANATION:\s*(.*)\z"
     part = lambda g: F.regexp_extract(text, pattern, g)
-    labels = raw_map(F.regexp_replace(F.regexp_replace(part(2), "True", "true"), "False", "false"))
+    value = lambda x, word: F.regexp_replace(x, rf"(:\s*){word}(?=\s*[,}}])", "$1" + word.lower())
+    labels = raw_map(value(value(part(2), "True"), "False"))
     return F.when(text.rlike(pattern) & labels.isNotNull(), F.struct(strip(part(1)).alias("description"), labels.alias("labels"), strip(part(3)).alias("explanation")))
+
+
+def has_details(answer: Column) -> Column:
+    """Whether a three-part answer has a description and an explanation."""
+    return (answer["description"] != "") & (answer["explanation"] != "")
+
+
+def clip_answer(answer: Column) -> Column:
+    """A three-part answer with None for missing texts; null if texts are missing and any label is true."""
+    any_true = F.exists(F.map_values(answer["labels"]), lambda v: true_python(v))
+    some = lambda k: F.when(answer[k] == "", F.lit("None")).otherwise(answer[k]).alias(k)
+    return F.when(has_details(answer), answer).when(~any_true, F.struct(some("description"), answer["labels"].alias("labels"), some("explanation")))
+
+
+def full_categories(text: Column) -> Column:
+    """Label bits of a three-part answer to a whole recording; null if it isn't one."""
+    return prefix_bits(three_part_answer(after_marker(text))["labels"])
+
+
+def interval_categories(text: Column) -> Column:
+    """Label bits of all intervals in an answer; null if it holds no JSON list."""
+    flags = F.transform(raw_objects(recover_json_list_strictly(after_marker(text))), lambda x: F.coalesce(prefix_bits(raw_map(F.try_element_at(x, F.lit("GUARDRAIL")))), F.lit(0)))
+    return F.aggregate(flags, F.lit(0), lambda a, x: a.bitwiseOR(x))
+
+
+def message_content(payload: Column) -> Column:
+    """The text of a chat completion: its content, or its text parts that are not empty, a line each. Raises for other shapes."""
+    at = "$.choices[0].message.content"
+    content = F.variant_get(F.try_parse_json(payload), at, "variant")
+    kind = F.schema_of_variant(content)
+    parts = F.from_json(F.get_json_object(payload, at), "array<struct<type:string,text:string>>")
+    texts = F.transform(F.filter(parts, lambda x: x["type"].isin("text", "output_text") & (F.coalesce(x["text"], F.lit("")) != "")), lambda x: x["text"])
+    wrong = F.raise_error(F.concat(F.lit("no message content in "), F.coalesce(payload, F.lit("null"))))
+    return F.when(kind == "STRING", F.get_json_object(payload, at)).when(kind.startswith("ARRAY"), strip(F.array_join(texts, "\n"))).otherwise(wrong.cast("string"))
+
+
+def video_path(record: Column, strict: bool = False) -> Column:
+    """A record's video, else that of the first video part of its user messages; null, or an error if strict, without one."""
+    said = F.when(F.get_json_object(record, "$.messages[0].role") == "user", F.get_json_object(record, "$.messages[0].content"))
+    parts = F.from_json(said, "array<struct<type:string,video:string>>")
+    own = F.get_json_object(record, "$.video")
+    found = F.coalesce(F.when(F.trim(own) != "", own), F.get(F.filter(parts, lambda x: (x["type"] == "video") & x["video"].isNotNull()), 0)["video"])
+    return F.coalesce(found, F.raise_error(F.lit("a record without a video")).cast("string")) if strict else found

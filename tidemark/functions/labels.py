@@ -65,3 +65,45 @@ def codes(bits: Column, n: int = 6) -> Column:
 
 def has(bits: Column, j: int) -> Column:
     return bits.bitwiseAND(1 << j) != 0
+
+
+def exact_bits(labels: Column, standard: Sequence[str] = STANDARD) -> Column:
+    """Bit mask by exact keys only: a label without its key counts as false. No labels at all give 0."""
+    bits = [F.when(true_python(F.try_element_at(labels, F.lit(name))), 1 << j).otherwise(0) for j, name in enumerate(standard)]
+    return F.coalesce(sum(bits[1:], bits[0]), F.lit(0))
+
+
+def as_map(bits: Column, standard: Sequence[str] = STANDARD) -> Column:
+    """The label set as a map to booleans, in order."""
+    return F.map_from_arrays(F.array(*map(F.lit, standard)), F.array(*[has(bits, j) for j in range(len(standard))]))
+
+
+def prefix_bits(labels: Column, codes: Sequence[str] = ("C1", "C2", "C3", "C4", "C5", "C6")) -> Column:
+    """Bit mask of the codes whose first key that starts with ``code(`` is true."""
+    value = lambda code: F.get(F.filter(F.map_entries(labels), lambda e: e["key"].startswith(f"{code}(")), 0)["value"]
+    bits = [F.when(true_python(value(code)), 1 << j).otherwise(0) for j, code in enumerate(codes)]
+    return sum(bits[1:], bits[0])
+
+
+def key_union(maps: Column) -> Column:
+    """All keys of an array of maps, in order."""
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(maps, lambda m: F.map_keys(m)))))
+
+
+def vectorize(labels: Column, keys: Column) -> Column:
+    """A truth value per key, by the rule for numbers; keys that the map lacks are false."""
+    return F.transform(keys, lambda k: true_number(F.try_element_at(labels, k)))
+
+
+def mask_of(labels: Column, universe: Sequence[str], present: bool = False) -> Column:
+    """Bit mask over a label universe of up to 31 keys: those that are true, or with `present` those that the map has."""
+    if len(universe) > 31:
+        raise ValueError("a bit mask holds at most 31 labels")
+    test = (lambda k: F.map_contains_key(labels, k)) if present else (lambda k: true_number(F.try_element_at(labels, F.lit(k))))
+    bits = [F.when(test(k), 1 << j).otherwise(0) for j, k in enumerate(universe)]
+    return sum(bits[1:], bits[0]) if bits else F.lit(0)
+
+
+def distinct_in_order(values: Column) -> Column:
+    """The values that are not empty, each where it comes first."""
+    return F.array_distinct(F.filter(values, lambda v: v.isNotNull() & (v != "")))

@@ -46,16 +46,16 @@ def group_cap_counts(rows: DataFrame, group: str, cap: int) -> DataFrame:
     return made.select(group, "n", F.least("n", F.lit(cap)).alias("kept"), F.greatest(F.col("n") - cap, F.lit(0)).alias("dropped"))
 
 
-def schedule(groups: DataFrame, none: int, single: int, pair: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """slot, labels: `none` empty rows, `single` rows of each group of (name) and `pair` rows of each pair."""
+def schedule(groups: DataFrame, none: int, single: int, pair: int, pairs: Sequence[tuple[str, str]], seed: int = 7) -> DataFrame:
+    """slot, labels: `none` empty rows, `single` rows of each group of (name) and `pair` rows of each pair, in seeded hash order."""
     spark = groups.sparkSession
-    times = lambda df, n: df.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(n)))).drop("_") if n else df.limit(0)
+    times = lambda df, n: df.withColumn("_", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n else df.withColumn("_", F.lit(1)).limit(0)
     kind = "array<string>"
     empty = spark.range(1).select(F.array().cast(kind).alias("labels"))
     two = spark.createDataFrame([(list(p),) for p in pairs], f"labels {kind}")
     made = times(empty, none).unionByName(times(groups.select(F.array("name").alias("labels")), single)).unionByName(times(two, pair))
-    order = Window.orderBy(F.size("labels"), F.array_join("labels", ","))
-    return made.withColumn("slot", F.row_number().over(order))
+    named = made.select("labels", F.concat_ws(":", F.array_join("labels", ","), F.col("_").cast("string")).alias("_id"), F.lit(0).alias("_all"))
+    return ranked(named, "_all", "_id", seed).select(F.col("rn").alias("slot"), "labels")
 
 
 def shifted(inserted: DataFrame, key: str) -> DataFrame:
@@ -127,3 +127,85 @@ def collect_samples(clips: DataFrame, max_duration: float = 60.0, max_gap: float
     }
     reasons = F.filter(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]), lambda x: x.isNotNull())
     return rows.select("sample", "category", "duration", "shots", reasons.alias("reasons"))
+
+
+def schedule_summary(slots: DataFrame) -> DataFrame:
+    """what, n: the slots, those with 0, 1 and 2 labels, and how often each label is planned."""
+    by = slots.groupBy(F.concat(F.lit("insert_"), F.size("labels").cast("string")).alias("what")).agg(F.count("*").alias("n"))
+    each = slots.select(F.explode("labels").alias("l")).groupBy(F.concat("l", F.lit("_segments")).alias("what")).agg(F.count("*").alias("n"))
+    return slots.agg(F.lit("num_samples").alias("what"), F.count("*").alias("n")).unionByName(by).unionByName(each)
+
+
+def frequencies(rows: DataFrame, *columns: str) -> DataFrame:
+    """what, value, n: how often each value of each column occurs; one pass over the rows."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).cast("string").alias("value")) for c in columns])
+    return rows.select(F.inline(pairs)).groupBy("what", "value").agg(F.count("*").alias("n"))
+
+
+def pick(rows: DataFrame, pool: DataFrame, id_col: str, pool_id: str, good: Column, seed: int = 7) -> DataFrame:
+    """rows with pick: a seeded choice among the pool's good rows, each as likely. Bad rows can't be drawn, so none is drawn again.
+
+    Good rows are numbered in hash order (counts by hash range first); a row takes the number that its own hash gives.
+    """
+    numbered = ranked(pool.where(good).select(F.col(pool_id).alias("pick"), F.lit(0).alias("_all")), "_all", "pick", seed).select("pick", "rn", "cnt")
+    n = numbered.agg(F.coalesce(F.max("cnt"), F.raise_error(F.lit("nothing to pick from")).cast("long")).alias("_m"))
+    drawn = F.conv(F.substring(hash_order(id_col, seed), 1, 8), 16, 10).cast("long")
+    asked = rows.join(F.broadcast(n), F.lit(True)).withColumn("rn", F.pmod(drawn, F.col("_m")) + 1).drop("_m")
+    return asked.join(numbered.drop("cnt"), "rn").drop("rn")
+
+
+def first_accepted(attempts: DataFrame, id_col: str, number: str, ok: Column, limit: int = 50) -> DataFrame:
+    """The first accepted of each id's first `limit` attempts, by number; raises when run for an id without one."""
+    held = F.struct(*[c for c in attempts.columns if c != id_col])
+    tried = F.col(number) <= limit
+    rows = attempts.groupBy(id_col).agg(F.min_by(F.when(tried & ok, held), F.when(tried & ok, F.col(number))).alias("_x"))
+    stop = F.raise_error(F.concat(F.lit("no attempt accepted for "), F.col(id_col).cast("string")))
+    return rows.select(id_col, F.coalesce("_x", stop.cast(rows.schema["_x"].dataType)).alias("_x")).select(id_col, "_x.*")
+
+
+def zip_positions(positions: Column, clips: Column) -> Column:
+    """Array of (at, clip): the n-th position with the n-th clip, by position."""
+    return F.array_sort(F.transform(positions, lambda p, i: F.struct(p.alias("at"), F.get(clips, i).alias("clip"))))
+
+
+def members(rows: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among the allowed ones."""
+    return rows.join(allowed.select(key).distinct(), key, "left_semi")
+
+
+def parent_groups(rows: DataFrame) -> DataFrame:
+    """Annotated rows (ord, category, video, answer) by whole recording: its first usable answer of the whole, its clips, and what was skipped.
+
+    Returns parent, category, full (the first standard answer of the whole that has its texts), clips (path, answer: the
+    first of each path, by path), incomplete (a clip's answer didn't parse, isn't standard, or lacks texts) and counts.
+    """
+    from tidemark.functions import jsonx, texts
+    from tidemark.functions.labels import is_standard
+
+    parsed = jsonx.three_part_answer(F.col("answer"))
+    rows = rows.withColumns({"parent": texts.full_path(F.col("video")), "is_clip": F.col("video").startswith("dataset/clip/"), "p": parsed})
+    rows = rows.where("parent is not null").withColumns({"good": jsonx.clip_answer(F.col("p")), "standard": F.coalesce(is_standard(F.col("p.labels")), F.lit(False))})
+    fine = F.col("standard") & F.col("good").isNotNull()
+    bad_clip = F.col("is_clip") & ~fine
+    firsts = rows.where(F.col("is_clip") & fine).groupBy("parent", "video").agg(F.min_by("good", "ord").alias("good"))
+    clips = firsts.groupBy("parent").agg(F.array_sort(F.collect_list(F.struct(F.col("video").alias("path"), F.col("good.description").alias("description"), F.col("good.explanation").alias("explanation")))).alias("clips"))
+    whole = ~F.col("is_clip") & F.col("p").isNotNull()
+    made = rows.groupBy("parent").agg(
+        F.min_by("category", "ord").alias("category"), first_where(F.col("good"), F.col("ord"), whole & fine).alias("full"), F.bool_or(bad_clip).alias("incomplete"),
+        F.count_if(whole).alias("full_records_seen"), F.count_if(F.col("is_clip") & fine).alias("clip_records_seen"),
+        F.count_if(F.col("p").isNull()).alias("skipped_unparseable_response"), F.count_if(F.col("is_clip") & F.col("p").isNotNull() & ~F.col("standard")).alias("skipped_nonstandard_clip_response"),
+    )
+    return made.join(clips, "parent", "left")
+
+
+def harmful_source(video: Column, duration: Column, shots: Column, longest: float) -> Column:
+    """Why a record can't give a clip to insert, null if it can: its folder must end in _benchmark, its duration and shots must do."""
+    place = F.try_element_at(F.split(video, "/"), F.lit(-2))
+    rules = {
+        "wrong_folder": ~F.coalesce(place.endswith("_benchmark"), F.lit(False)), "wrong_duration": ~F.coalesce((duration > 0) & (duration <= longest), F.lit(False)),
+        "no_shots": shots.isNull(), "no_harm": ~F.exists(shots, lambda x: x["b"] != 0),
+    }
+    why = F.when(F.lit(False), "")
+    for name, rule in rules.items():
+        why = why.when(rule, name)
+    return why

@@ -18,10 +18,11 @@ from tidemark.functions.intervals import tiou
 PAIR = "array<struct<nt:double,g:bigint,p:bigint,gb:int,pb:int>>"
 
 
-def records(segments: DataFrame, *carried: str) -> DataFrame:
-    """rec_id, carried columns, gt and pred: arrays of (i, s, e, b) in order of i."""
+def records(segments: DataFrame, *carried: str, keys: str | None = None) -> DataFrame:
+    """rec_id, carried columns, gt and pred: arrays of (i, s, e, b) in order of i; with `keys` also the union of that bit mask."""
+    more = [F.coalesce(F.bit_or(keys), F.lit(0)).alias(keys)] if keys else []
     side = lambda c: F.sort_array(F.collect_list(F.when(c, F.struct("i", "s", "e", "b"))))
-    return segments.groupBy("rec_id", *carried).agg(side(F.col("gt")).alias("gt"), side(~F.col("gt")).alias("pred"))
+    return segments.groupBy("rec_id", *carried).agg(side(F.col("gt")).alias("gt"), side(~F.col("gt")).alias("pred"), *more)
 
 
 def candidates(gt: Column, pred: Column, tau: Column, order: str = "gt") -> Column:
@@ -47,10 +48,10 @@ def greedy(pairs: Column, order: str = "gt") -> Column:
     return F.aggregate(pairs, start, lambda a, x: F.when(taken(a, x), a).otherwise(add(a, x)), lambda a: a["m"])
 
 
-def matched(segments: DataFrame, taus: Sequence[float], *carried: str, order: str = "gt") -> DataFrame:
+def matched(segments: DataFrame, taus: Sequence[float], *carried: str, order: str = "gt", keys: str | None = None) -> DataFrame:
     """Per record and tau: gt, pred and the matches. The pairs at the smallest tau are found once and cut for each tau."""
     low = F.lit(float(min(taus)))
-    rows = records(segments, *carried).withColumn("pairs", candidates(F.col("gt"), F.col("pred"), low, order))
+    rows = records(segments, *carried, keys=keys).withColumn("pairs", candidates(F.col("gt"), F.col("pred"), low, order))
     rows = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
     return rows.withColumn("matches", greedy(F.filter("pairs", lambda x: -x["nt"] >= F.col("tau")), order)).drop("pairs")
 

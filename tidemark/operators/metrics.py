@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import cut
 from tidemark.functions.labels import has
 from tidemark.operators.matching import best_overlaps, matched, overlap_join, peel
 
@@ -38,13 +39,18 @@ def label_rows(gt: Column, pred: Column, matches: Column, policy: str) -> Column
     return F.concat(rows, free_g, free_p)
 
 
-def record_metrics(segments: DataFrame, taus: Sequence[float], policy: str = "strict", labels: int = 6, carried: Sequence[str] = ()) -> DataFrame:
+def record_metrics(
+    segments: DataFrame, taus: Sequence[float], policy: str = "strict", labels: int = 6, carried: Sequence[str] = (), keys: str | None = None
+) -> DataFrame:
     """One row per tau and record with its counts and metrics, and an array of (tp, fp, fn, tn) by label.
 
     Ratios without any positive count as perfect (1); label rows without rows give 0 for subset and hamming; coverage of
-    an empty side is 1.
+    an empty side is 1. Every record has all labels, or with `keys` (a bit mask of the keys that a segment's labels have)
+    those that any of its segments has: only they count as true negatives and as decisions; n_keys says how many they are.
     """
-    rows = matched(segments, taus, *carried)
+    rows = matched(segments, taus, *carried, keys=keys)
+    has_key = (lambda j: has(F.col(keys), j)) if keys else (lambda j: F.lit(True))
+    n_keys = F.bit_count(keys) if keys else F.lit(labels)
     rows = rows.withColumn("rows", label_rows(F.col("gt"), F.col("pred"), F.col("matches"), policy))
 
     def count(test) -> Column:
@@ -55,7 +61,7 @@ def record_metrics(segments: DataFrame, taus: Sequence[float], policy: str = "st
             count(lambda r: has(r["g"], j) & has(r["p"], j)).alias("tp"),
             count(lambda r: ~has(r["g"], j) & has(r["p"], j)).alias("fp"),
             count(lambda r: has(r["g"], j) & ~has(r["p"], j)).alias("fn"),
-            count(lambda r: ~has(r["g"], j) & ~has(r["p"], j)).alias("tn"),
+            F.when(has_key(j), count(lambda r: ~has(r["g"], j) & ~has(r["p"], j))).otherwise(0).alias("tn"),
         )
 
     by_label = F.array(*map(counts_of, range(labels)))
@@ -71,10 +77,10 @@ def record_metrics(segments: DataFrame, taus: Sequence[float], policy: str = "st
         on_gt.alias("max_tiou_per_gt"), on_pred.alias("max_tiou_per_pred"), by_label.alias("by_label"),
         total(lambda g, p: g.bitwiseAND(p)).alias("tp"),
         total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(g)).alias("fp"),
-        total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(p)).alias("fn"),
+        total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(p)).alias("fn"), n_keys.cast("long").alias("n_keys"),
     )
     c = F.col
-    rows = rows.withColumn("tn", c("n_rows") * labels - c("tp") - c("fp") - c("fn"))
+    rows = rows.withColumn("tn", c("n_rows") * c("n_keys") - c("tp") - c("fp") - c("fn"))
     none = c("tp") + c("fp") + c("fn") == 0
     rows = rows.withColumns(
         {
@@ -93,7 +99,7 @@ def record_metrics(segments: DataFrame, taus: Sequence[float], policy: str = "st
             "gt_coverage": F.when(c("n_gt") == 0, 1.0).otherwise(ratio(c("n_matched"), c("n_gt"))),
             "pred_match_rate": F.when(c("n_pred") == 0, 1.0).otherwise(ratio(c("n_matched"), c("n_pred"))),
             "subset_acc": ratio(c("n_equal"), c("n_rows")),
-            "hamming": ratio(c("fp") + c("fn"), c("n_rows") * labels),
+            "hamming": ratio(c("fp") + c("fn"), c("n_rows") * c("n_keys")),
         }
     ).drop("scores", "t_sum")
 
@@ -130,8 +136,30 @@ def summary(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
     return rows.select(*[F.round(x, digits).alias(x) if t == "double" and x not in keys else c(x) for x, t in rows.dtypes])
 
 
+def with_skips(metrics: DataFrame, valid: Column | None = None) -> DataFrame:
+    """metrics (with n_keys) with skip_reason, null for usable records: the first rule that holds."""
+    reason = F.when(~valid, "json_load_failed") if valid is not None else F.when(F.lit(False), "")
+    reason = reason.when(F.col("n_gt") + F.col("n_pred") == 0, "empty_gt_and_pred").when(F.col("n_keys") == 0, "no_guardrail_keys")
+    return metrics.withColumn("skip_reason", reason)
+
+
+def summary_of_usable(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
+    """summary over the records without skip_reason, with n_files (all), n_skipped, and n_f1: how many the headline F1 is the mean of.
+
+    Keys whose records are all skipped stay, with zeros.
+    """
+    counts = metrics.groupBy(*keys).agg(F.count("*").alias("n_files"), F.count("skip_reason").alias("n_skipped"))
+    made = summary(metrics.where("skip_reason is null"), *keys, digits=digits).withColumn("n_f1", F.when(F.col("n_hit") > 0, F.col("n_hit")).otherwise(F.col("n_records")))
+    rows = counts.join(made, list(keys), "left")
+    ones = [c for c in ("pool_p", "pool_r", "pool_f1", "pool_acc") if c in rows.columns]
+    return rows.na.fill(1.0, ones).na.fill(0, [c for c, t in rows.dtypes if c not in keys and t in ("bigint", "double")])
+
+
 def label_pool(metrics: DataFrame, *keys: str, labels: int = 6, digits: int = 6) -> DataFrame:
-    """keys, label (1, 2, ...; null for all labels): pooled counts, F1 and accuracy; one pass sums every label by key."""
+    """keys, label (1, 2, ...; null for all labels): pooled counts, F1 and accuracy; one pass sums every label by key.
+
+    Labels that no record of a key has show counts of zero.
+    """
     names = ("tp", "fp", "fn", "tn")
     sums = metrics.groupBy(*keys).agg(*[F.sum(F.col("by_label")[j][x]).alias(f"{x}_{j}") for j in range(labels) for x in names])
     row = lambda j: F.struct(F.lit(j + 1).alias("label"), *[F.col(f"{x}_{j}").alias(x) for x in names])
@@ -180,9 +208,10 @@ def temporal_metrics(segments: DataFrame, scope: str = "pooled", labels: int = 6
     counts = rows.groupBy("label").agg(F.count(F.when(F.col("gt"), 1)).alias("n_gt"), F.count(F.when(~F.col("gt"), 1)).alias("n_pred"))
     names = {"any": 1e-9, "05": 0.5, "07": 0.7}
     if scope == "pooled":
-        pairs = overlap_join(rows.where("gt"), rows.where("not gt"), "label")
-        parts = [peel(pairs.where(F.col("t") >= tau), "label").select("label", F.lit(n).alias("at"), "t") for n, tau in names.items()]
-        found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        pairs = cut(overlap_join(rows.where("gt"), rows.where("not gt"), "label"))
+        at = F.explode(F.array(*[F.struct(F.lit(n).alias("at"), F.lit(tau).alias("tau")) for n, tau in names.items()]))
+        each = pairs.select("*", at.alias("x")).where("t >= x.tau").select(F.struct("label", "x.at").alias("key"), "g", "p", "t")
+        found = peel(each, "key").select("key.label", "key.at", "t")
     else:
         own = rows.withColumn("rec_id", F.struct("rec_id", "label"))
         done = matched(own, list(names.values()), order="pred").select(F.col("rec_id.label").alias("label"), "tau", F.explode("matches").alias("m"))

@@ -52,3 +52,14 @@ def retry(first: DataFrame, second: DataFrame, id_col: str, ok: str = "parse_ok"
     cols = [c for c in first.columns if c != id_col]
     rows = first.join(two, id_col, "left").withColumn("retried", ~F.col(ok) & F.col("_s").isNotNull())
     return rows.select(id_col, *[F.when(F.col("retried"), F.col(f"_s.{c}")).otherwise(F.col(c)).alias(c) for c in cols], "retried")
+
+
+def answer_counts(answers: DataFrame, ok: str = "parse_ok", retried: str = "retried") -> DataFrame:
+    """One row: how many answers there are, how many don't parse, and how many were asked for twice."""
+    return answers.agg(F.count("*").alias("n"), F.count_if(~F.col(ok)).alias("n_parse_errors"), F.count_if(retried).alias("n_retried"))
+
+
+def clip_plan(safe: DataFrame, id_col: str, length: float, seed: int = 7) -> DataFrame:
+    """id, start: where a clip of the length begins in a safe video (duration): a seeded uniform start, 0 in a shorter one."""
+    unit = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return safe.select(id_col, (F.greatest(F.col("duration") - length, F.lit(0.0)) * unit).alias("start"))

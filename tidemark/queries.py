@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import oracle as sql
@@ -12,27 +10,11 @@ from tidemark.functions import jsonx, labels, texts
 from tidemark.functions.intervals import snap_interval
 from tidemark.operators import compare, curate, matching, metrics, ranges
 from tidemark.plans import media
+from tidemark.registry import QUERIES, SQL, Query, query, read
 from tidemark.sources.events import SQL as SEG
 from tidemark.sources.events import segments
 
 TAUS = (0.3, 0.5, 0.7)
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(text: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if text:
-            SQL[f.__name__] = text
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @query(f"WITH {SEG} SELECT g.rec_id, g.i AS g, p.i AS p, round({sql.tiou('g', 'p')}, 6) AS t FROM seg g JOIN seg p ON g.rec_id = p.rec_id AND g.gt AND NOT p.gt WHERE {sql.tiou('g', 'p')} >= 0.3")
@@ -112,18 +94,44 @@ def label_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.label_pool(by_model(spark, sf_dir), "tau", "model_id")
 
 
-@query(f"""WITH {SEG}, r AS (SELECT rec_id, count(*) FILTER (gt AND k % 4 <> 0) AS g, count(*) FILTER (NOT gt AND k % 4 <> 0) AS p, bit_or(b) FILTER (k % 4 <> 0) AS b, bool_and(k <> 99) AS ok FROM seg GROUP BY rec_id)
-SELECT CASE WHEN NOT ok THEN 'json_load_failed' WHEN g + p = 0 THEN 'empty_gt_and_pred' WHEN b = 0 THEN 'no_guardrail_keys' ELSE 'usable' END AS reason, count(*) AS n FROM r GROUP BY ALL""")
+def with_keys(rows: DataFrame) -> DataFrame:
+    """Segments with kb: the keys that their labels have, beside those that are true."""
+    some = sum((F.when((F.col("k") + j) % 4 != 0, 1 << j).otherwise(0) for j in range(1, 6)), F.when(F.col("k") % 4 != 0, 1).otherwise(0))
+    return rows.withColumn("kb", F.when(F.col("k") % 9 == 0, F.col("b")).otherwise(F.col("b").bitwiseOR(some)))
+
+
+@query(f"""WITH {sql.SEG_KEYED}, r AS (SELECT rec_id, count(*) FILTER (gt AND k % 4 <> 0) AS g, count(*) FILTER (NOT gt AND k % 4 <> 0) AS p, bit_or(kb) FILTER (k % 4 <> 0) AS kb, bool_and(k <> 99) AS ok FROM seg GROUP BY rec_id)
+SELECT CASE WHEN NOT ok THEN 'json_load_failed' WHEN g + p = 0 THEN 'empty_gt_and_pred' WHEN kb = 0 THEN 'no_guardrail_keys' ELSE 'usable' END AS reason, count(*) AS n FROM r GROUP BY ALL""")
 def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records whose kept segments (k not divisible by 4) are none or carry no label; k = 99 stands for a broken line."""
+    """Records whose kept segments (k not divisible by 4) are none or whose labels have no key; k = 99 stands for a broken line."""
     kept = F.col("k") % 4 != 0
-    rows = segments(spark, sf_dir).groupBy("rec_id").agg(
+    rows = with_keys(segments(spark, sf_dir)).groupBy("rec_id").agg(
         F.bool_and(F.col("k") != 99).alias("is_valid"), F.count(F.when(kept & F.col("gt"), 1)).alias("n_gt"), F.count(F.when(kept & ~F.col("gt"), 1)).alias("n_pred"),
-        F.bit_count(F.coalesce(F.bit_or(F.when(kept, F.col("b"))), F.lit(0))).alias("n_keys"),
+        F.bit_count(F.coalesce(F.bit_or(F.when(kept, F.col("kb"))), F.lit(0))).alias("n_keys"),
     )
     return metrics.skip_reasons(rows)
 
 
+@query(sql.record_rows(TAUS, "strict", True))
+def record_metrics_own_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records have the labels that their own segments name."""
+    return rounded(metrics.record_metrics(with_keys(segments(spark, sf_dir)), TAUS, keys="kb"))
+
+
+@query(sql.label_pool(TAUS, "strict", True))
+def label_pool_own_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.label_pool(metrics.record_metrics(with_keys(segments(spark, sf_dir)), TAUS, carried=("model_id",), keys="kb"), "tau", "model_id")
+
+
+@query(sql.summary_of_usable(TAUS, "strict", "tau, model_id", metrics.MEANS))
+def model_summary_of_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without skipped records; k = 99 stands for a broken line."""
+    rows = with_keys(segments(spark, sf_dir))
+    bad = F.bool_or(F.col("k") == 99).over(Window.partitionBy("rec_id"))
+    each = metrics.record_metrics(rows.withColumn("bad", bad), TAUS, carried=("model_id", "bad"), keys="kb")
+    return metrics.summary_of_usable(metrics.with_skips(each, ~F.col("bad")), "tau", "model_id")
+
+
 VIDEO = f"WITH {SEG}, v AS (SELECT rec_id, coalesce(bit_or(b) FILTER (gt), 0) AS g, coalesce(bit_or(b) FILTER (NOT gt), 0) AS p FROM seg GROUP BY rec_id)"
 SETS = """ SELECT CAST(j + 1 AS BIGINT) AS label, count(*) FILTER ((g >> j) % 2 = 1 AND (p >> j) % 2 = 1) AS tp, count(*) FILTER ((g >> j) % 2 = 0 AND (p >> j) % 2 = 0) AS tn,
 count(*) FILTER ((g >> j) % 2 = 0 AND (p >> j) % 2 = 1) AS fp, count(*) FILTER ((g >> j) % 2 = 1 AND (p >> j) % 2 = 0) AS fn,
@@ -149,13 +157,15 @@ def label_table_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.set_accuracy(rows.select(g.alias("g"), p.alias("p")), labels=2)
 
 
-TEMPORAL = f"""WITH RECURSIVE {SEG}, ls AS (SELECT rec_id * 10 + j AS rec_id, j + 1 AS label, gt, i, s, e, b FROM seg, range(6) AS u(j) WHERE (b >> j) % 2 = 1), {sql.matches((1e-9, 0.5, 0.7), 'p, g', 'rec_id', 'ls')},
+TEMPORAL_ROWS = """
 c AS (SELECT label, count(*) FILTER (gt) AS n_gt, count(*) FILTER (NOT gt) AS n_pred FROM ls GROUP BY label),
-f AS (SELECT rec_id % 10 + 1 AS label, count(*) FILTER (tau < 0.1) AS n_any, count(*) FILTER (tau = 0.5) AS n_05, count(*) FILTER (tau = 0.7) AS n_07,
+f AS (SELECT {label} AS label, count(*) FILTER (tau < 0.1) AS n_any, count(*) FILTER (tau = 0.5) AS n_05, count(*) FILTER (tau = 0.7) AS n_07,
   CAST(sum(CAST(round(t * 1000000, 0) AS BIGINT)) FILTER (tau < 0.1) AS DOUBLE) / count(*) FILTER (tau < 0.1) / 1000000 AS a, CAST(sum(CAST(round(t * 1000000, 0) AS BIGINT)) FILTER (tau = 0.5) AS DOUBLE) / count(*) FILTER (tau = 0.5) / 1000000 AS b, CAST(sum(CAST(round(t * 1000000, 0) AS BIGINT)) FILTER (tau = 0.7) AS DOUBLE) / count(*) FILTER (tau = 0.7) / 1000000 AS d FROM m GROUP BY ALL),
 y AS (SELECT label, n_gt, n_pred, coalesce(n_any, 0) AS n_any, coalesce(n_05, 0) AS n_05, coalesce(n_07, 0) AS n_07, a, b, d FROM c LEFT JOIN f USING (label)),
 x AS (SELECT CAST(label AS BIGINT) AS label, n_gt, n_pred, n_any, n_05, n_07, round(n_05 / nullif(n_gt, 0), 6) AS accuracy_05, round(n_05 / nullif(n_pred, 0), 6) AS precision_05,
   round(n_07 / nullif(n_gt, 0), 6) AS accuracy_07, round(n_07 / nullif(n_pred, 0), 6) AS precision_07, round(a, 12) AS tiou_any, round(b, 12) AS tiou_05, round(d, 12) AS tiou_07 FROM y)"""
+TEMPORAL = f"""WITH RECURSIVE {SEG}, ls AS (SELECT rec_id * 10 + j AS rec_id, j + 1 AS label, gt, i, s, e, b FROM seg, range(6) AS u(j) WHERE (b >> j) % 2 = 1), {sql.matches((1e-9, 0.5, 0.7), 'p, g', 'rec_id', 'ls')},""" + TEMPORAL_ROWS.format(label="rec_id % 10 + 1")
+TEMPORAL_POOLED = f"WITH RECURSIVE {SEG}, {POOLED}, {sql.peeled((1e-9, 0.5, 0.7), 'p, g', 'label', 'ls')}," + TEMPORAL_ROWS.format(label="label")
 
 
 @query(TEMPORAL + " SELECT * FROM x")
@@ -169,9 +179,9 @@ def temporal_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.macro(metrics.temporal_metrics(segments(spark, sf_dir), "record"))
 
 
-@query()
+@query(TEMPORAL_POOLED + " SELECT * FROM x")
 def temporal_category_metrics_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk over all pairs of a label is too slow in SQL; tests hold it against a sequential match."""
+    """Over all records together; tests also hold it against a sequential match."""
     return metrics.temporal_metrics(segments(spark, sf_dir), "pooled")
 
 
@@ -243,19 +253,6 @@ BARE = "regexp_replace(url, '[?#].*$', '')"
 NAME = "regexp_extract(rtrim({p}, '/'), '[^/]*$')"
 
 
-@query(f"""WITH u AS (SELECT page_id, {BARE} AS p FROM pages), v AS (SELECT page_id, p, {NAME.format(p='p')} AS n FROM u),
-w AS (SELECT page_id, CASE WHEN regexp_matches(n, '.[.][^.]+$') THEN regexp_replace(n, '[.][^.]+$', '') ELSE n END AS s, n, p FROM v),
-k AS (SELECT page_id, unnest([p, n, s]) AS key, unnest([0, 1, 2]) AS pos FROM w),
-d AS (SELECT page_id, key, min(pos) AS pos FROM k WHERE key <> '' GROUP BY ALL),
-e AS (SELECT page_id, key, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos FROM d),
-o AS (SELECT key, min(page_id) AS match FROM e WHERE page_id % 2 = 0 GROUP BY key)
-SELECT page_id AS id, CAST(min(pos) AS INT) AS hit_at, arg_min(match, pos) AS match FROM e JOIN o USING (key) WHERE page_id % 2 = 1 GROUP BY page_id""")
-def candidate_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd pages look up an even page by their url, its last part, or that part's stem, in this order."""
-    rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), texts.path_variants(F.regexp_replace("url", r"[?#].*$", ""), ()).alias("keys"))
-    return compare.prioritized_lookup(rows.where("id % 2 = 1"), rows.where("id % 2 = 0").withColumn("ordinal", F.col("id")))
-
-
 @query(f"""WITH u AS (SELECT page_id, {BARE} AS p FROM pages), v AS (SELECT page_id, p, {NAME.format(p='p')} AS n FROM u),
 w AS (SELECT page_id, CASE WHEN regexp_matches(n, '.[.][^.]+$') THEN regexp_replace(n, '[.][^.]+$', '') ELSE n END AS s, n, p FROM v),
 k AS (SELECT page_id, unnest([p, n, s]) AS key, unnest([0, 1, 2]) AS pos FROM w),
@@ -269,6 +266,9 @@ def candidate_key_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.lookup_others(rows)
 
 
+QUERIES["candidate_key_lookup"], SQL["candidate_key_lookup"] = candidate_key_lookup_all, SQL["candidate_key_lookup_all"]
+
+
 @query("SELECT page_id, url FROM pages WHERE list_has_any(regexp_split_to_array(lower(url), '[^a-z0-9]+'), ['blog', 'spam', 'feed'])")
 def marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").where(texts.has_marker(("blog", "spam", "feed"), F.col("url"))).select("page_id", "url")
@@ -308,25 +308,22 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curate.dataset_summary(segments(spark, sf_dir))
 
 
-@query("""SELECT event_id, n, CAST(n AS DOUBLE) AS t, least(CAST(round_even(n * 2.0::DOUBLE, 0) AS BIGINT), greatest(CAST(floor(value * 2) AS BIGINT) - 1, 0)) AS frame
-FROM events, LATERAL (SELECT unnest(range(greatest(CAST(ceil(value) AS BIGINT), 1))) AS n) u WHERE event_id % 10 = 3""")
-def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event values stand for durations, at two frames a second; every tenth event is a video."""
-    rows = read(spark, sf_dir, "events").where("event_id % 10 = 3")
-    return media.frame_plan(rows, "event_id", "value", 2.0)
-
-
 @query("""SELECT event_id, n, CAST(n AS DOUBLE) AS t, least(CAST(round_even(n * 2.0::DOUBLE, 0) AS BIGINT), greatest(CAST(floor(value * 2) AS BIGINT) - 1, 0)) AS frame
 FROM events, LATERAL (SELECT unnest(range(greatest(CAST(ceil(value) AS BIGINT), 1))) AS n) u""")
-def frame_times_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values stand for durations, at two frames a second; every event is a video."""
     return media.frame_plan(read(spark, sf_dir, "events"), "event_id", "value", 2.0)
 
 
-@query(f"""WITH {SEG}, c AS (SELECT i, floor(greatest(0.0, least(s, 168.0)) / 0.5) * 0.5 AS a, ceil(greatest(0.0, least(e, 168.0)) / 0.5) * 0.5 AS b FROM seg)
-SELECT i, round(a, 6) AS s, round(CASE WHEN b <= a THEN least(168.0, a + 0.5) ELSE b END, 6) AS e FROM c""")
+#: The name under which round one planned every event.
+QUERIES["frame_times_all"], SQL["frame_times_all"] = frame_times, SQL["frame_times"]
+frame_times_all = frame_times
+
+
+@query(f"""WITH {SEG}, c AS (SELECT i, floor(greatest(0.0, least(s, 168.0)) / 0.5) * 0.5 AS a, ceil(greatest(0.0, least(e, 168.0)) / 0.5) * 0.5 AS b, least(e, 168.0) > least(s, 168.0) AS late FROM seg)
+SELECT i, round(a, 6) AS s, round(CASE WHEN b <= a AND late THEN least(168.0, round(a + 0.5, 6)) ELSE b END, 6) AS e FROM c""")
 def snapped_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, e = snap_interval(F.col("s"), F.col("e"), F.lit(168.0), 0.5)
+    s, e = snap_interval(F.col("s"), F.col("e"), F.lit(168.0), 0.5, "floor", "ceil")
     return segments(spark, sf_dir).select("i", F.round(s, 6).alias("s"), F.round(e, 6).alias("e"))
 
 
@@ -425,8 +422,11 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from tidemark import queries_files, queries_records  # noqa: F401  (they register theirs)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -25,27 +25,37 @@ OLD_FILES = (r"(?i)/iter_(\d+)/pred_(\d+)\.json$", r"(?i)/iter_(\d+)_pred_(\d+)\
 
 
 def lines(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """file, line (0-based, blank lines count), raw: the lines that are not blank."""
+    """file, line (0-based, blank lines count), raw: the lines that are not blank.
+
+    Lines are numbered within their blocks of a file; the sums of the blocks before come from the blocks' counts, so a
+    large file is not gathered in one task.
+    """
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
-    order = Window.partitionBy("file").orderBy("_block", "_at")
-    return rows.withColumn("line", F.row_number().over(order) - 1).where(F.trim("raw") != "").select("file", "line", "raw")
+    at = F.monotonically_increasing_id()
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_at"), F.col("value").alias("raw"))
+    blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    # the ids of a block's lines follow one another: a task reads them in order
+    numbered = rows.join(blocks, ["file", "_block"]).withColumn("line", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int"))
+    return numbered.where(F.trim("raw") != "").select("file", "line", "raw")
 
 
 def is_object(raw) -> F:
     return F.coalesce(F.expr("schema_of_variant(try_parse_json(raw))").startswith("OBJECT"), F.lit(False))
 
 
-def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.StructType = EVAL, **options) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.StructType = EVAL, objects: bool = True, **options) -> DataFrame:
     """file, line, is_valid, rec_idx, record of each line.
 
     permissive keeps lines that are no JSON objects as rows with is_valid false; failfast raises for them when run.
-    rec_idx is the record's jsonl_record_index where that is a number, else the line.
+    objects=False takes any JSON value as valid; record is null where that is no object. rec_idx is the record's
+    jsonl_record_index where that is a number, else the line.
     """
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"mode is permissive or failfast, not {mode}")
-    rows = lines(spark, path, **options).withColumn("is_valid", is_object("raw"))
+    rows = lines(spark, path, **options).withColumn("is_valid", is_object("raw") if objects else F.try_parse_json("raw").isNotNull())
     record = F.when(F.col("is_valid"), F.from_json("raw", schema))
     if mode == "failfast":
         record = record.otherwise(F.raise_error(F.concat(F.lit("no JSON object in "), "file", F.lit(" line "), F.col("line").cast("string"))))
@@ -61,6 +71,23 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
     return rows.select("file", "is_valid", F.when(F.col("is_valid"), F.from_json("raw", EVAL)).alias("record"))
 
 
+def segments_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, gt, i (place in its side), s, e, labels (raw values): the intervals of both sides of records (keys, record).
+
+    Chunks come in their listed order, then the others by name; those whose times are no numbers are left out.
+    """
+    from tidemark.functions.jsonx import ordered_chunks
+
+    def side(name: str, gt: bool):
+        intervals = F.col(f"record.{name}.intervals")
+        good = F.filter(ordered_chunks(intervals["chunks"], intervals["chunk_order"]), lambda x: x["start"].try_cast("double").isNotNull() & x["end"].try_cast("double").isNotNull())
+        return F.transform(good, lambda x, i: F.struct(F.lit(gt).alias("gt"), i.cast("long").alias("i"), x["start"].cast("double").alias("s"), x["end"].cast("double").alias("e"), F.coalesce(x["guardrail"], F.create_map().cast("map<string,string>")).alias("labels")))
+
+    none = F.array().cast("array<struct<gt:boolean,i:bigint,s:double,e:double,labels:map<string,string>>>")
+    both = F.concat(F.coalesce(side("ground_truth", True), none), F.coalesce(side("prediction", False), none))
+    return rows.select(*keys, F.inline(both))
+
+
 def iteration_records(spark: SparkSession, root: str) -> DataFrame:
     """iter, rec_idx, is_valid, record: iter_N/records.jsonl, and the one-file-per-record layouts of iterations without it."""
     new = jsonl(spark, root, recursive=True, glob="records.jsonl").withColumn("iter", F.regexp_extract("file", ITER_FILE, 1).try_cast("int")).where("iter is not null")

@@ -46,3 +46,58 @@ def side_by_side(df: DataFrame, row: str, column: str, names: Sequence[str], val
     """row and one column per name with the formatted value, a dash where there is none."""
     made = df.groupBy(row).pivot(column, list(names)).agg(F.first(F.format_string(form, F.col(value))))
     return made.select(row, *[F.coalesce(F.col(f"`{n}`"), F.lit("—")).alias(str(n)) for n in names]).orderBy(row)
+
+
+#: The columns of the tables that compare models and iterations, by the names that summaries use.
+MODEL_COLUMNS = {
+    "run": "run", "model": "model", "source_jsonl": "source_jsonl", "tiou_threshold": "tau", "unmatched_policy": "unmatched_policy", "f1": "mean_micro_f1",
+    "f1_all": "mean_micro_f1_all", "tiou": "mean_tiou", "coverage": "mean_gt_coverage", "hit": "hit_share", "n_f1": "n_f1", "n_records_all": "n_records",
+}
+ITERATION_COLUMNS = {
+    "run": "run", "iteration": "iter", "tiou_threshold": "tau", "unmatched_policy": "unmatched_policy", "n_files": "n_files", "n_skipped": "n_skipped", "mean_tiou_matched": "mean_tiou",
+    "frac_records_with_tiou_match": "hit_share", "n_records_for_f1_avg": "n_f1", "n_records_with_tiou_match": "n_hit", "n_records_all": "n_records", "mean_micro_f1_all_records": "mean_micro_f1_all",
+    **{c: c for c in ("mean_gt_coverage", "mean_pred_match_rate", "mean_subset_acc", "mean_hamming", "mean_micro_p", "mean_micro_r", "mean_micro_f1", "mean_macro_f1", "mean_num_gt", "mean_num_pred",
+                      "mean_num_matched", "mean_max_tiou_per_gt", "mean_max_tiou_per_pred")},
+    "chunk_pool_micro_f1": "pool_f1", "chunk_pool_micro_precision": "pool_p", "chunk_pool_micro_recall": "pool_r", "chunk_pool_accuracy": "pool_acc",
+    **{f"chunk_pool_sum_{x}": f"sum_{x}" for x in ("tp", "fp", "fn", "tn")}, "n_guardrail_chunk_rows_total": "sum_n_rows",
+}
+
+
+def report_table(summary: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """A summary under the table's column names, in their order; columns that the summary lacks are null."""
+    return summary.select(*[(F.col(c) if c in summary.columns else F.lit(None).cast("string")).alias(n) for n, c in columns.items()])
+
+
+def write_document(value: object, path: str, ascii_only: bool = False) -> None:
+    """One small JSON document, indented, made on the driver."""
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(value, f, indent=2, ensure_ascii=ascii_only)
+        f.write("\n")
+
+
+def manifest(runs: DataFrame, root: str, **head: object) -> dict:
+    """The manifest of a run matrix (model, dataset, done): by model its log and the files of its runs. runs is a list of names."""
+    models: dict[str, list] = {}
+    for r in runs.orderBy("model", "dataset").collect():  # as many rows as there are model and dataset names
+        at = f"{root}/{r.model}/{r.dataset}"
+        models.setdefault(r.model, []).append({"dataset": r.dataset, "raw_output_jsonl": f"{at}/raw_outputs.jsonl", "record_output_jsonl": f"{at}/record.jsonl"})
+    return {**head, "models": [{"model_slug": m, "server_log": f"{root}/{m}/server.log", "runs": x} for m, x in models.items()]}
+
+
+def write_files(df: DataFrame, root: str, name: str, line: str, order: str) -> None:
+    """One text file per value of name, at root/value, with its lines in order. Each file is written by one task."""
+    from urllib.parse import unquote
+
+    spark = df.sparkSession
+    made = f"{root}/_made"
+    df.select(name, order, line).repartition(name).sortWithinPartitions(name, order).select(name, line).write.partitionBy(name).text(made)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for part in fs.listStatus(hadoop.Path(made)):
+        if part.isDirectory():
+            to = hadoop.Path(root + "/" + unquote(part.getPath().getName().split("=", 1)[1]))
+            fs.mkdirs(to.getParent())
+            for file in fs.listStatus(part.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    fs.rename(file.getPath(), to)
+    fs.delete(hadoop.Path(made), True)
