@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``, else the context's; a temporary one only in local mode (tests), an error on a cluster."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = sc._jsc.sc().getCheckpointDir()
+        if not held.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="tidemark-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(root)

@@ -148,10 +148,12 @@ def pick(rows: DataFrame, pool: DataFrame, id_col: str, pool_id: str, good: Colu
     Good rows are numbered in hash order (counts by hash range first); a row takes the number that its own hash gives.
     """
     numbered = ranked(pool.where(good).select(F.col(pool_id).alias("pick"), F.lit(0).alias("_all")), "_all", "pick", seed).select("pick", "rn", "cnt")
-    n = numbered.agg(F.coalesce(F.max("cnt"), F.raise_error(F.lit("nothing to pick from")).cast("long")).alias("_m"))
+    n = numbered.agg(F.coalesce(F.max("cnt"), F.lit(1)).alias("_m"))
     drawn = F.conv(F.substring(hash_order(id_col, seed), 1, 8), 16, 10).cast("long")
     asked = rows.join(F.broadcast(n), F.lit(True)).withColumn("rn", F.pmod(drawn, F.col("_m")) + 1).drop("_m")
-    return asked.join(numbered.drop("cnt"), "rn").drop("rn")
+    found = asked.join(numbered.drop("cnt"), "rn", "left").drop("rn")
+    stop = F.raise_error(F.lit("nothing to pick from")).cast(numbered.schema["pick"].dataType)
+    return found.withColumn("pick", F.coalesce("pick", stop))
 
 
 def first_accepted(attempts: DataFrame, id_col: str, number: str, ok: Column, limit: int = 50) -> DataFrame:

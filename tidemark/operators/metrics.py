@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checkpoints import cut
-from tidemark.functions.labels import has
+from tidemark.functions.labels import has, mask_of
 from tidemark.operators.matching import best_overlaps, matched, overlap_join, peel
+from tidemark.sources.records import segments_of
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -155,6 +156,25 @@ def summary_of_usable(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFr
     return rows.na.fill(1.0, ones).na.fill(0, [c for c, t in rows.dtypes if c not in keys and t in ("bigint", "double")])
 
 
+def label_universe(segments: DataFrame) -> list[str]:
+    """All keys of the segments' labels, in order: a bounded list (a bit mask holds 31)."""
+    return sorted(r.k for r in segments.select(F.explode(F.map_keys("labels")).alias("k")).distinct().limit(32).collect())
+
+
+def evaluate(rows: DataFrame, taus: Sequence[float], policy: str = "strict", carried: Sequence[str] = (), universe: Sequence[str] | None = None) -> DataFrame:
+    """Metrics of scanned records (rec_id, carried, is_valid, record) with their own label keys, and skip_reason.
+
+    Every record stays, also without segments. Labels are numbered by their place in the universe of keys.
+    """
+    found = segments_of(rows.where("is_valid"), "rec_id", *carried)
+    names = label_universe(found) if universe is None else list(universe)
+    coded = found.select("rec_id", *carried, "gt", "i", "s", "e", mask_of(F.col("labels"), names).alias("b"), mask_of(F.col("labels"), names, True).alias("kb"))
+    made = record_metrics(coded, taus, policy, max(len(names), 1), carried, "kb").drop(*carried)
+    every = rows.select("rec_id", *carried, "is_valid", F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau")).join(made, ["tau", "rec_id"], "left")
+    every = every.na.fill(0, [c for c, t in made.dtypes if t == "bigint" and c != "rec_id"])
+    return with_skips(every, F.col("is_valid"))
+
+
 def label_pool(metrics: DataFrame, *keys: str, labels: int = 6, digits: int = 6) -> DataFrame:
     """keys, label (1, 2, ...; null for all labels): pooled counts, F1 and accuracy; one pass sums every label by key.
 
