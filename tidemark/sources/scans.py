@@ -64,7 +64,7 @@ def candidates(clips: DataFrame, categories: Sequence[str], longest: float | Non
     rows = rows if longest is None else rows.where(F.col("duration") <= longest)
     wanted = clips.sparkSession.createDataFrame([(c,) for c in categories], "category string")
     empty = wanted.join(rows.select("category").distinct(), "category", "left_anti")
-    stop = empty.where(F.raise_error(F.concat(F.lit("no clips to insert for "), "category")).cast("boolean"))
+    stop = empty.select(F.raise_error(F.concat(F.lit("no clips to insert for "), "category")).cast("string").alias("category"))
     return rows.unionByName(stop, allowMissingColumns=True)
 
 
