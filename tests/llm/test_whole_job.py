@@ -62,3 +62,48 @@ def test_quality_samples_rows_without_an_id_like_any_other(spark, monkeypatch):
     rows = [(None, f"{PROSE} It is part {i} of the whole.") for i in range(9000)]
     quality.fit(spark.createDataFrame(rows, "doc_id long, text string"))
     assert seen == [quality.SAMPLE]
+
+
+def test_a_head_without_an_end_does_not_swallow_the_page():
+    page = f"<html><head><title>t</title><meta charset=utf-8><body><article><p>{PROSE}</p><p>With <math><mi>x</mi></math> in it.</p></article>"
+    assert html_extract.main_text(page) == f"{PROSE}\n\nWith x in it."
+
+
+def test_link_density_counts_characters_not_markup():
+    page = f"<div><p>{PROSE} <a href=x>{'&amp;' * 9}</a></p></div>"
+    assert html_extract.main_text(page).startswith(PROSE)
+
+
+def brute_force_text(page):
+    """The block rules again, on pages of p, h1 and a elements only: neighbours are searched for block by block."""
+    import html
+    import re
+
+    found, apart = [], 0
+    for tag, text in re.findall(r"<(/?(?:nav|footer|div|p|h1))[^>]*>([^<]*(?:<a[^>]*>[^<]*</a>[^<]*)*)", page):
+        apart += (tag in ("nav", "footer")) - (tag in ("/nav", "/footer"))
+        plain = re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", text))).strip()
+        if plain:
+            links = sum(len(html.unescape(x).strip()) for x in re.findall(r"<a[^>]*>([^<]*)</a>", text))
+            words = plain.lower().split()
+            stops = sum(w.strip(".,;:!?()\"'") in html_extract.STOP for w in words) / len(words)
+            good = len(plain) >= 50 and stops >= (0.08 if len(plain) >= 140 else 0.16)
+            found.append((plain, apart, -1 if apart or links > 0.33 * len(plain) else int(good)))
+    kept = []
+    for i, (plain, group, mark) in enumerate(found):
+        if not mark:
+            near = [(abs(i - j), -m) for j, (_, g, m) in enumerate(found) if m and g == group]
+            mark = -min(near)[1] if near else 1
+        kept += [plain] * (mark > 0)
+    return "\n\n".join(kept)
+
+
+def test_block_rules_agree_with_brute_force_on_pages_without_articles():
+    import random
+
+    rng = random.Random(8)
+    kinds = [PROSE, PROSE[:60], "Tiny.", "Short head", "the of and to in is", "<a href=x>All link of a block here</a>", f'{PROSE} <a href=x>more</a>', "word " * 40, "<a href=x>One</a> and <a href=y>two of the links</a> on it"]
+    for _ in range(300):
+        body = "".join(f"<p>{rng.choice(kinds)}</p>" for _ in range(rng.randint(1, 12)))
+        page = f"<html><body><nav><p>Menu of the site</p></nav><div>{body}</div><footer><p>{PROSE}</p></footer></body></html>"
+        assert html_extract.main_text(page) == brute_force_text(page)

@@ -30,7 +30,7 @@ BLOCK = frozenset(
     "td tfoot th thead tr ul title head".split()
 )
 #: Their content is no text of the page.
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas audio video head title select".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas audio video title select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that are never part of the article.
 ASIDE = frozenset("nav aside footer form button dialog menu fieldset".split())
@@ -97,10 +97,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
         m = TOKEN.search(page, pos)
         if m is None:
             parts.append(page[pos:])
+            linked += len(SPACES.sub(" ", html.unescape(page[pos:])).strip()) if links else 0
             break
         if m.start() > pos:
             parts.append(page[pos : m.start()])
-            linked += (m.start() - pos) if links else 0
+            linked += len(SPACES.sub(" ", html.unescape(page[pos : m.start()])).strip()) if links else 0
         pos = m.end()
         tag = (m[2] or "").lower()
         if not tag or not m[4]:  # comment, declaration, or a tag that the end of the page cuts
