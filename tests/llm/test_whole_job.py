@@ -107,3 +107,17 @@ def test_block_rules_agree_with_brute_force_on_pages_without_articles():
         body = "".join(f"<p>{rng.choice(kinds)}</p>" for _ in range(rng.randint(1, 12)))
         page = f"<html><body><nav><p>Menu of the site</p></nav><div>{body}</div><footer><p>{PROSE}</p></footer></body></html>"
         assert html_extract.main_text(page) == brute_force_text(page)
+
+
+def test_coded_ids_are_smaller_than_deflated_ones(spark, sf):
+    import zlib
+
+    import numpy as np
+
+    from tidemark.llm import id_codec, tokens
+
+    own = tokens.encoder(tokens.vocabulary_path())
+    ids = np.frombuffer(b"".join(own.encode(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()), "<u4")
+    coded = id_codec.encode_segment([1], [len(ids)], ids)
+    assert id_codec.decode_segment(coded)[2].tolist() == ids.tolist()
+    assert len(coded) < 0.95 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))

@@ -3,15 +3,17 @@
 A segment holds whole documents; its ids are cut into blocks of BLOCK ids, each coded from a fresh state and checksummed.
 All blocks of a segment are coded in step, one id of each at a time, with numpy over the blocks.
 
-For each id three predictions are mixed. Order 2 and order 1 name the id that last followed the two ids and the one id
-before; each has a confidence that grows with its hits. Order 0 is the frequency of the block's ids so far; its table of
-intervals is made anew after 32, 64, ... ids and then every RENEW ids. Which prediction holds (order 2, order 1, order 0,
-or an id that the table lacks) is coded with adaptive weights for the confidences at hand; then the id itself by order 0,
-or in 16 bits if the table lacks it. A carryless range coder with a 48-bit window puts out 16 bits at a time.
-
-Layout, little-endian: "TMID", u8 version, u32 documents, u64 ids, u32 ids a block, u32 blocks, u32 bound of the ids; i64 document ids; u8 nulls
-among these; u32 ids of each document; for each block u32 words and u32 CRC-32 of its ids; u32 CRC-32 of all before; the
-blocks' u16 words.
+For each id the probabilities of three predictions are blended. Order 2 and order 1 put theirs on the id that last
+followed the two ids and the one id before; each has a confidence that grows with its hits. Order 0 spreads its own over
+the block's ids so far and a share for any other id; its table of intervals is made anew after 32, 64, ... ids and then
+every RENEW ids. The weights of the blend adapt, for each combination of confidences, to which prediction was right. An
+id's interval is its weighted sum over the predictions, coded in one step by a carryless range coder with a 48-bit window
+that puts out 16 bits at a time. Another id is then named by the segment's own frequencies, which its head holds as powers
+of two.
+
+Layout, little-endian: "TMID", u8 version, u32 documents, u64 ids, u32 ids a block, u32 blocks, u32 bound of the ids, u32
+bytes of the frequencies; i64 document ids; u8 nulls among these; u32 ids of each document; for each block u32 words and
+u32 CRC-32 of its ids; the frequencies (deflated u8 exponents, 0 for none); u32 CRC-32 of all before; the blocks' u16 words.
 """
 
 from __future__ import annotations
@@ -22,38 +24,38 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC, VERSION = b"TMID", 1
+MAGIC, VERSION = b"TMID", 2
 BLOCK, LANES = 4096, 1024
 SLOTS = 12  # bits of a context's slot
-STEP, HALVE = 32, 4000
+STEP, HALVE = 8, 1000
 ORDER0 = 13  # bits of order 0's total
 RENEW = 512
-HEAD = struct.Struct("<4sBIQIII")
+HEAD = struct.Struct("<4sBIQIIII")
 LOW32, LEAST = (1 << 32) - 1, 1 << 32
 
 
 class _Model:
-    """The predictions' state for n blocks of ids below `ids`, in step."""
+    """The predictions' state for n blocks of ids below `ids`, in step.
+
+    Order 0 numbers a block's ids by first appearance. Its table has a column for each number, one for other ids (at
+    `width`) and two of size 0 for ids of orders 2 and 1 that it lacks, so that every id has a place of its own in it.
+    """
 
     def __init__(self, n: int, ids: int) -> None:
         self.n, self.ids = n, ids
         size = 1 << SLOTS
         self.row = np.arange(n) * size
-        self.next1, self.next2 = np.zeros(n * size, dtype=np.int64), np.zeros(n * size, dtype=np.int64)  # 4 * id + confidence
-        self.weight = np.tile(np.array([8, 4, 16, 16], dtype=np.int64), (n * 32, 1))
-        self.flat = self.weight.reshape(-1)
-        self.cum = np.zeros((n, 5), dtype=np.int64)
-        self.cum_row = np.arange(n) * 5
+        self.next1, self.next2 = np.zeros(n * size, dtype=np.int32), np.zeros(n * size, dtype=np.int32)  # 4 * id + confidence
+        self.flat = np.tile(np.array([2, 1, 8, 0], dtype=np.int64), n * 32)  # weights of orders 2, 1 and 0
         self.rows32 = np.arange(n) * 32
         self.a, self.b = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)  # the two ids before
-        # order 0: ids are numbered by block in order of their first appearance; -1 is not in the table
         self.rank_of = np.full(n * ids, -1, dtype=np.int16)
         self.id_row = np.arange(n) * ids
         self.met = np.zeros(n, dtype=np.int64)
         self.width = 0
         self.count = np.zeros((n, 0), dtype=np.int64)
         self.known = np.zeros((n, 0), dtype=np.int64)
-        self.done = 0
+        self._table(np.full(n, 1 << ORDER0), self.count)
 
     def renew(self, t: int) -> bool:
         return t >= 32 and (t % RENEW == 0 if t >= RENEW else t & (t - 1) == 0)
@@ -79,17 +81,25 @@ class _Model:
             self.known[lane, rank] = places % self.ids
         at = self.rank_of[flat] + (np.arange(k) * self.width)[None, :].repeat(recent.shape[0], axis=0).ravel()
         self.count[:k] += np.bincount(at, minlength=k * self.width).reshape(k, self.width)
-        total = self.count.sum(axis=1, keepdims=True)
-        share = (1 << ORDER0) - self.met[:, None]
-        size = self.count * share // np.maximum(total, 1) + (self.count > 0)
-        size[:, 0] += (1 << ORDER0) - size.sum(axis=1)  # what rounding leaves goes to the first id
-        self.size0, start0 = size.ravel(), size.cumsum(axis=1) - size
-        self.start0 = start0.ravel()
-        self.order0_row = np.arange(self.n) * self.width
-        self.known0 = self.known.ravel()
-        self.inverse = np.repeat(np.tile(np.arange(self.width, dtype=np.int16), self.n), self.size0)
-        big = np.flatnonzero(self.weight.sum(axis=1) > HALVE)
-        self.weight[big] = (self.weight[big] >> 1) + 1
+        total = self.count.sum(axis=1)
+        whole = 1 << ORDER0
+        other = np.maximum(whole * self.met // (2 * (total + self.met) + 1), 1)
+        share = whole - other - self.met
+        size = self.count * share[:, None] // np.maximum(total, 1)[:, None] + (self.count > 0)
+        self._table(whole - size.sum(axis=1), size)
+        weight = self.flat.reshape(-1, 4)
+        big = np.flatnonzero(weight.sum(axis=1) > HALVE)
+        weight[big, :3] = (weight[big, :3] >> 1) + 1
+
+    def _table(self, other: np.ndarray, size: np.ndarray) -> None:
+        none = np.zeros((self.n, 2), dtype=np.int64)
+        size = np.concatenate([size, other[:, None], none], axis=1)
+        start = np.zeros((self.n, self.width + 4), dtype=np.int32)
+        np.cumsum(size, axis=1, out=start[:, 1:])
+        self.start0 = start.ravel()
+        self.table_row = np.arange(self.n) * (self.width + 4)
+        self.known0 = np.concatenate([self.known, np.zeros((self.n, 4), dtype=np.int64)], axis=1).ravel()
+        self.inverse = np.repeat(np.tile(np.arange(self.width + 3, dtype=np.int16), self.n), size.ravel())
 
     def predict(self, k: int) -> None:
         a = self.a[:k] * 40503
@@ -97,25 +107,62 @@ class _Model:
         self.at2 = self.row[:k] + ((a ^ self.b[:k] * 60493) >> 4 & ((1 << SLOTS) - 1))
         self.e1, self.e2 = self.next1.take(self.at1), self.next2.take(self.at2)
         self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
-        self.wat = self.rows32[:k] + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + (self.id1 == self.id2)
-        np.cumsum(self.weight.take(self.wat, axis=0), axis=1, out=self.cum[:k, 1:])
-
-    def kind_interval(self, k: int, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.cum_row[:k] + kind
-        flat = self.cum.reshape(-1)
-        start = flat.take(at)
-        return start, flat.take(at + 1) - start
-
-    def learn(self, k: int, x: np.ndarray, hit1: np.ndarray, hit2: np.ndarray, kind: np.ndarray) -> None:
+        self.wat = (self.rows32[:k] + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + (self.id1 == self.id2)) << 2
+        self.w2, self.w1, self.w0 = self.flat.take(self.wat), self.flat.take(self.wat + 1), self.flat.take(self.wat + 2)
+        self.total = self.w2 + self.w1 + self.w0 << ORDER0
+        self.pos2, self.pos1 = self.rank_of.take(self.id_row[:k] + self.id2).astype(np.int64), self.rank_of.take(self.id_row[:k] + self.id1).astype(np.int64)
+        np.copyto(self.pos2, self.width + 1, where=self.pos2 < 0)
+        np.copyto(self.pos1, np.where(self.id1 == self.id2, self.width + 1, self.width + 2), where=self.pos1 < 0)
+
+    def place(self, k: int, x: np.ndarray) -> np.ndarray:
+        """The ids' columns."""
+        pos = self.rank_of.take(self.id_row[:k] + x).astype(np.int64)
+        np.copyto(pos, np.where(x == self.id2, self.pos2, np.where(x == self.id1, self.pos1, self.width)), where=pos < 0)
+        return pos
+
+    def interval(self, k: int, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.table_row[:k] + pos
+        own = self.start0.take(at)
+        start = (self.w2 * (self.pos2 < pos) + self.w1 * (self.pos1 < pos) << ORDER0) + self.w0 * own
+        return start, (self.w2 * (self.pos2 == pos) + self.w1 * (self.pos1 == pos) << ORDER0) + self.w0 * (self.start0.take(at + 1) - own)
+
+    def column(self, k: int, value: np.ndarray) -> np.ndarray:
+        """The columns in whose intervals the values lie."""
+        pos = np.full(k, -1, dtype=np.int64)
+        less = np.zeros(k, dtype=np.int64)  # what orders 2 and 1 take below the value
+        for spot, weight in ((self.pos2, self.w2), (self.pos1, self.w1)):
+            start, size = self.interval(k, spot)
+            np.copyto(pos, spot, where=(value >= start) & (value < start + size))
+            less += weight * (value >= start + size)
+        free = np.flatnonzero(pos < 0)
+        y = (value.take(free) - (less.take(free) << ORDER0)) // self.w0.take(free)
+        pos[free] = self.inverse.take((free << ORDER0) + np.clip(y, 0, (1 << ORDER0) - 1))
+        return pos
+
+    def learn(self, k: int, x: np.ndarray) -> None:
+        hit1, hit2 = self.id1 == x, self.id2 == x
         x4 = x << 2
         for e, hit, at, table in ((self.e1, hit1, self.at1, self.next1), (self.e2, hit2, self.at2, self.next2)):
             table[at] = np.where(hit, np.minimum(e + 1, e | 3), np.where(e & 2, e - 2, x4))
-        at = self.wat * 4 + kind
+        at = self.wat + np.where(hit2, 0, np.where(hit1, 1, 2))
         self.flat[at] = self.flat.take(at) + STEP
         self.b[:k] = self.a[:k]
         self.a[:k] = x
 
 
+def frequencies(ids: np.ndarray, limit: int) -> np.ndarray:
+    """The ids' exponents: 0 for none, else the least n with 2^(n - 1) as large as their count."""
+    counts = np.bincount(ids, minlength=limit)
+    return np.where(counts, np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0).astype(np.uint8)
+
+
+def starts_of(exponents: np.ndarray) -> np.ndarray:
+    """Where each id's interval starts among the ids' frequencies, and the end; their sum is below 2^18."""
+    share = np.where(exponents > 0, 1 << np.maximum(exponents.astype(np.int64), 1) - 1, 0)
+    size = share * (1 << 17) // max(int(share.sum()), 1) + (share > 0)
+    return np.concatenate([[0], np.cumsum(size)])
+
+
 class _Coder:
     """low and range of n range coders, below 2^48; `words` are what to decode, else words are gathered."""
 
@@ -183,12 +230,11 @@ class _Coder:
         return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
 
 
-def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, limit: int) -> list[bytes]:
+def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, limit: int, starts: np.ndarray) -> list[bytes]:
     n, width = ids.shape
     model, coder = _Model(n, limit), _Coder(n)
     columns = np.ascontiguousarray(ids.T)
-    full, one = np.full(n, 1 << 16), np.ones(n, dtype=np.int64)
-    part = np.full(n, 1 << ORDER0)
+    whole = np.full(n, starts[-1])
     since = 0
     for t in range(width):
         k = n if lengths[-1] > t else int(np.searchsorted(-lengths, -t, side="left"))
@@ -199,27 +245,21 @@ def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, limit: int) -> list[byte
             coder.room()
         x = columns[t, :k]
         model.predict(k)
-        hit1, hit2 = model.id1 == x, model.id2 == x
-        rank = model.rank_of.take(model.id_row[:k] + x)
-        kind = np.where(hit2, 0, np.where(hit1, 1, np.where(rank >= 0, 2, 3)))
-        coder.narrow(slice(0, k), *model.kind_interval(k, kind), model.cum[:k, 4])
-        met = np.flatnonzero(kind == 2)
-        if len(met):
-            at = model.order0_row.take(met) + rank.take(met)
-            coder.narrow(met, model.start0.take(at), model.size0.take(at), part[: len(met)])
-        other = np.flatnonzero(kind == 3)
+        pos = model.place(k, x)
+        coder.narrow(slice(0, k), *model.interval(k, pos), model.total)
+        other = np.flatnonzero(pos == model.width)
         if len(other):
-            coder.narrow(other, x.take(other), one[: len(other)], full[: len(other)])
-        model.learn(k, x, hit1, hit2, kind)
+            y = x.take(other)
+            coder.narrow(other, starts.take(y), starts.take(y + 1) - starts.take(y), whole[: len(other)])
+        model.learn(k, x)
     return coder.finish()
 
 
-def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, limit: int) -> np.ndarray:
+def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, limit: int, starts: np.ndarray) -> np.ndarray:
     n, width = len(words), int(lengths.max())
     model, coder = _Model(n, limit), _Coder(n, words)
     out = np.zeros((width, n), dtype=np.int64)
-    full, one = np.full(n, 1 << 16), np.ones(n, dtype=np.int64)
-    part = np.full(n, 1 << ORDER0)
+    whole = np.full(n, starts[-1])
     since = 0
     for t in range(width):
         k = n if lengths[-1] > t else int(np.searchsorted(-lengths, -t, side="left"))
@@ -227,23 +267,17 @@ def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, limit: int) -> n
             model.absorb(out[since:t, :k])
             since = t
         model.predict(k)
-        cum = model.cum[:k]
-        value = coder.value(slice(0, k), cum[:, 4])
-        kind = (value >= cum[:, 1]).astype(np.int64) + (value >= cum[:, 2]) + (value >= cum[:, 3])
-        coder.narrow(slice(0, k), *model.kind_interval(k, kind), cum[:, 4])
-        x = np.where(kind == 0, model.id2, model.id1)
-        met = np.flatnonzero(kind == 2)
-        if len(met):
-            value = coder.value(met, part[: len(met)])
-            at = model.order0_row.take(met) + model.inverse.take((met << ORDER0) + value)
-            coder.narrow(met, model.start0.take(at), model.size0.take(at), part[: len(met)])
-            x[met] = model.known0.take(at)
-        other = np.flatnonzero(kind == 3)
+        pos = model.column(k, coder.value(slice(0, k), model.total))
+        start, size = model.interval(k, pos)
+        coder.narrow(slice(0, k), start, np.maximum(size, 1), model.total)
+        x = np.where(pos == model.pos2, model.id2, np.where(pos == model.pos1, model.id1, model.known0.take(model.table_row[:k] + pos)))
+        other = np.flatnonzero(pos == model.width)
         if len(other):
-            value = coder.value(other, full[: len(other)])
-            coder.narrow(other, value, one[: len(other)], full[: len(other)])
-            x[other] = np.minimum(value, limit - 1)  # more only where the data is damaged
-        model.learn(k, x, model.id1 == x, model.id2 == x, kind)
+            value = coder.value(other, whole[: len(other)])
+            y = np.minimum(np.searchsorted(starts, value, side="right") - 1, limit - 1)  # more only where the data is damaged
+            coder.narrow(other, starts.take(y), np.maximum(starts.take(y + 1) - starts.take(y), 1), whole[: len(other)])
+            x[other] = y
+        model.learn(k, x)
         out[t, :k] = x
     return out.T
 
@@ -254,23 +288,26 @@ def encode_segment(doc_ids: list[int | None], doc_lengths: list[int], ids: np.nd
     if block > BLOCK or limit > 1 << 16:
         raise ValueError("a block holds at most 4096 ids below 65536")
     lengths = np.array([min(block, len(ids) - i) for i in range(0, len(ids), block)], dtype=np.int64)
+    exponents = frequencies(ids, limit)
+    starts = starts_of(exponents)
     parts: list[bytes] = []
     for i in range(0, len(lengths), LANES):
         own = lengths[i : i + LANES]
         lanes = np.zeros((len(own), int(own[0])), dtype=np.int64)
         flat = ids[i * block : i * block + int(own.sum())]
         lanes.reshape(-1)[: len(flat)] = flat
-        parts += _encode_lanes(lanes, own, limit)
+        parts += _encode_lanes(lanes, own, limit, starts)
     sums = [zlib.crc32(np.ascontiguousarray(ids[i : i + block], dtype="<u4").tobytes()) for i in range(0, len(ids), block)]
-    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(lengths), limit)
+    held = zlib.compress(exponents.tobytes())
+    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(lengths), limit, len(held))
     head += np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + np.array([d is None for d in doc_ids], dtype="u1").tobytes()
-    head += np.array(doc_lengths, dtype="<u4").tobytes() + np.array([[len(p) // 2, s] for p, s in zip(parts, sums, strict=True)], dtype="<u4").tobytes()
+    head += np.array(doc_lengths, dtype="<u4").tobytes() + np.array([[len(p) // 2, s] for p, s in zip(parts, sums, strict=True)], dtype="<u4").tobytes() + held
     return b"".join([head, struct.pack("<I", zlib.crc32(head)), *parts])
 
 
 def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """(document ids, ids of each document, all ids); raises ValueError where a checksum or the layout is wrong."""
-    magic, version, n_docs, n_ids, block, n_blocks, limit = HEAD.unpack_from(data)
+    magic, version, n_docs, n_ids, block, n_blocks, limit, n_held = HEAD.unpack_from(data)
     if magic != MAGIC or version != VERSION:
         raise ValueError("no token-id segment")
     at = HEAD.size
@@ -278,9 +315,10 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     nulls = np.frombuffer(data, "u1", n_docs, at := at + 8 * n_docs)
     doc_lengths = np.frombuffer(data, "<u4", n_docs, at := at + n_docs).astype(np.int64)
     blocks = np.frombuffer(data, "<u4", 2 * n_blocks, at := at + 4 * n_docs).reshape(-1, 2)
-    at += 8 * n_blocks
-    if struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
+    at += 8 * n_blocks + n_held
+    if at + 4 > len(data) or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise ValueError("the segment's head fails its checksum")
+    frequency = starts_of(np.frombuffer(zlib.decompress(data[at - n_held : at]), np.uint8))
     at += 4
     starts = at + 2 * np.concatenate([[0], np.cumsum(blocks[:, 0].astype(np.int64))])
     ids = np.empty(n_ids, dtype="<u4")
@@ -288,7 +326,7 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     for i in range(0, n_blocks, LANES):
         own = lengths[i : i + LANES]
         words = [np.frombuffer(data, "<u2", int(blocks[j, 0]), int(starts[j])) for j in range(i, i + len(own))]
-        made = _decode_lanes(words, own, limit)
+        made = _decode_lanes(words, own, limit, frequency)
         ids[i * block : i * block + int(own.sum())] = made.reshape(-1)[: int(own.sum())]
     for j in range(n_blocks):
         if zlib.crc32(ids[j * block : (j + 1) * block].tobytes()) != blocks[j, 1]:
