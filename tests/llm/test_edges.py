@@ -59,8 +59,8 @@ def test_operators_on_odd_and_on_empty_tables(spark, docs, name):
     elif name == "decontaminate":
         assert [(r.doc_id, r.item_id, r.distance) for r in rows] == [(4, 1, 0)]
     elif name == "lm":
-        assert {r.doc_id for r in rows} == {d for d, _ in TEXTS} and len(rows) == len(TEXTS) - 1
-        assert {r.doc_id: r.n_tokens for r in rows}[5] == 32 and {r.doc_id: r.n_tokens for r in rows}[1] == 1
+        assert sorted((r.doc_id or 0) for r in rows) == sorted((d or 0) for d, _ in TEXTS)
+        assert [r.n_tokens for r in rows if r.doc_id == 5] == [16, 16] and {r.doc_id: r.n_tokens for r in rows}[1] == 1
     else:
         assert len(rows) == len(TEXTS)
         assert sum(r.doc_id is None for r in rows) == 1 and sum(r.doc_id == 5 for r in rows) == 2
@@ -118,7 +118,8 @@ def test_every_stage_keeps_the_columns_and_takes_odd_tables(spark, docs, tmp_pat
             path = scratch(spark, name)
             now.write.parquet(path)
             now = spark.read.parquet(path)
-        kept = sorted((r.doc_id is None, r.doc_id) for r in now.select("doc_id").distinct().collect())
-        assert kept == ([] if start is not docs else kept) and len(kept) <= len(TEXTS)
+        kept = {r.doc_id for r in now.select("doc_id").distinct().collect()}
+        # empty texts are junk to the classifier, 4 holds a benchmark item, one row of 5 stays
+        assert kept == (set() if start is not docs else {None, 5, 7, 8, 9})
     docs.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
     assert spark_rows(corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "piece", "length"))[1]

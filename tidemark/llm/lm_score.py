@@ -14,8 +14,8 @@ changes no score) stay out of this: their counts, at most 2 * partitions / HEAVY
 broadcast, and each task adds their terms itself. Everything else counted grows with the corpus: all n-grams of all
 texts, no cut-offs.
 
-Defined results: a null or empty text has one token, its end. Rows that share a doc_id (null too) are scored as one text
-and give one row. Texts whose id the target lacks are background only; with no target at all the target model is uniform.
+Defined results: a null or empty text has one token, its end. Every row is a text of its own and gives one row, also where
+rows share a doc_id or have none. Texts whose id the target lacks are background only; with no target at all the target model is uniform.
 An empty table gives an empty result; other columns are ignored. Long texts are whole rows of one task.
 """
 
@@ -47,6 +47,8 @@ START, END = xxhash.xxh64_intdigest(b"<s>", 7), xxhash.xxh64_intdigest(b"</s>",
 VOCABULARY_SHARE = 1
 #: Stands for a null id inside packed rows.
 NO_ID = np.iinfo(np.int64).min
+#: A text's row, losses, tokens and id in packed rows.
+SUMS = ("<i8", "<f8", "<f8", "<i8", "<i8")
 MEMORY = 200_000
 _words: dict[str, int] = {}
 
@@ -75,23 +77,25 @@ def grams(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((x >> np.uint64(8)) & ~np.uint64(1)).view(np.int64), ((v >> np.uint64(8)) | np.uint64(1)).view(np.int64)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(ids, is known id, is target, word hashes per text) of texts with about CHUNK tokens together."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, np.ndarray, list[np.ndarray]]]:
+    """(rows, ids, is target, word hashes per text) of texts with about CHUNK tokens together."""
+    rows: list = []
     ids: list = []
     target: list = []
     hashes: list[np.ndarray] = []
     n = 0
     for batch in batches:
-        for doc, flag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for row, flag, text, doc in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            rows.append(row)
             ids.append(doc)
             target.append(flag)
             hashes.append(h := word_hashes(text))
             n += len(h)
             if n >= CHUNK:
-                yield ids, np.array(target, dtype=bool), hashes
-                ids, target, hashes, n = [], [], [], 0
-    if ids:
-        yield ids, np.array(target, dtype=bool), hashes
+                yield rows, ids, np.array(target, dtype=bool), hashes
+                rows, ids, target, hashes, n = [], [], [], [], 0
+    if rows:
+        yield rows, ids, np.array(target, dtype=bool), hashes
 
 
 def _keys(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -122,15 +126,15 @@ def score(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     small_batches(spark, 200)
     ids = target_ids.select(F.col(f"`{id_col}`").cast("long").alias("_t")).where("_t is not null").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    plain = documents.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    rows = plain.join(ids, F.col("_id") == F.col("_t"), "left").select("_id", F.col("_t").isNotNull().alias("_target"), "_text")
+    plain = documents.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
+    rows = plain.join(ids, F.col("_id") == F.col("_t"), "left").select("_row", F.col("_t").isNotNull().alias("_target"), "_text", "_id")
     n = partitions(spark)
     heavy = spark.sparkContext.broadcast(_common(rows, HEAVY / n))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of the common n-grams, and the words of each chunk (kind 2)."""
         every, targets = np.zeros(len(heavy.value), dtype=np.int64), np.zeros(len(heavy.value), dtype=np.int64)
-        for _, target, hashes in chunks(batches):
+        for _, _, target, hashes in chunks(batches):
             keys, at = _keys(hashes)
             place, hit = _in(heavy.value, keys)
             every += np.bincount(place[hit], minlength=len(every))
@@ -151,7 +155,7 @@ def score(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rare n-grams by hash range, packed; for each text the terms of its common n-grams."""
         common, n_all, n_target = held.value
-        for docs, target, hashes in chunks(batches):
+        for docs, names, target, hashes in chunks(batches):
             keys, at = _keys(hashes)
             order = np.argsort(keys, kind="stable")  # texts stay in order within a key
             keys, at = keys[order], at[order]
@@ -166,7 +170,7 @@ def score(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
             cuts = np.searchsorted(keys, bounds)
             own_type = np.dtype("<i2" if len(own) == 0 or np.abs(own).max() < 1 << 15 else "<i4")
             own = own.astype(own_type)
-            ids = np.array([NO_ID if d is None else d for d in docs], dtype="<i8")
+            ids = np.array(docs, dtype="<i8")
             packed: list[tuple] = []
             for i, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(keys)], strict=True)):
                 if hi > lo:
@@ -180,7 +184,8 @@ def score(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
                         packed = []
             # what the common n-grams add, and the tokens, of each text
             some = np.bincount(q, loss_t, n), np.bincount(q, loss_b, n), np.array([len(h) - 1 for h in hashes], dtype=np.int64)
-            packed.append((xxhash.xxh32_intdigest(ids.tobytes()) % len(bounds), ids.tobytes(), *(x.tobytes() for x in some), b"", b""))
+            named = np.array([NO_ID if d is None else d for d in names], dtype="<i8")
+            packed.append((xxhash.xxh32_intdigest(ids.tobytes()) % len(bounds), ids.tobytes(), *(x.tobytes() for x in some), named.tobytes(), b""))
             yield _rows(packed)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,24 +197,24 @@ def score(documents: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", t
                 if held_rows and held_rows[0][0] != row[0]:
                     yield from kept.add(_terms(held_rows, bounds, size))
                     held_rows = []
-                if row[5]:
+                if row[6]:
                     held_rows.append(row)
                 else:
-                    yield from kept.add(tuple(np.frombuffer(x, t) for x, t in zip(row[1:5], ("<i8", "<f8", "<f8", "<i8"), strict=True)))
+                    yield from kept.add(tuple(np.frombuffer(x, t) for x, t in zip(row[1:6], SUMS, strict=True)))
         if held_rows:
             yield from kept.add(_terms(held_rows, bounds, size))
         yield from kept.flush()
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds up what the tasks had for the texts of one share."""
-        parts = [tuple(np.frombuffer(x, t) for x, t in zip(row, ("<i8", "<f8", "<f8", "<i8"), strict=True)) for b in batches for row in zip(*(b.column(c).to_pylist() for c in range(1, 5)), strict=True)]
+        parts = [tuple(np.frombuffer(x, t) for x, t in zip(row, SUMS, strict=True)) for b in batches for row in zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True)]
         if parts:
-            docs, lt, lb, tokens = _added(parts)
+            _, lt, lb, tokens, docs = _added(parts)
             yield pa.RecordBatch.from_arrays([pa.array(docs, mask=docs == NO_ID), pa.array(lt), pa.array(lb), pa.array(tokens)], names=["_id", "lt", "lb", "n_tokens"])
 
     met = rows.mapInArrow(gather, "bucket int, docs binary, a binary, b binary, c binary, d binary, e binary")
     dealt = met.repartition(n, "bucket").sortWithinPartitions("bucket")
-    sums = dealt.mapInArrow(take, "share int, docs binary, lt binary, lb binary, tokens binary")
+    sums = dealt.mapInArrow(take, "share int, docs binary, lt binary, lb binary, tokens binary, names binary")
     per_doc = sums.repartition(n, "share").mapInArrow(total, "_id long, lt double, lb double, n_tokens long")
     mean = lambda c: F.round(F.col(c) / F.col("n_tokens"), 9)
     return per_doc.select(F.col("_id").alias(id_col), "n_tokens", mean("lt").alias("target_loss"), mean("lb").alias("background_loss"), F.round((F.col("lt") - F.col("lb")) / F.col("n_tokens"), 9).alias("score"))
@@ -221,10 +226,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _added(parts: list[tuple]) -> tuple:
-    """(ids, target loss, background loss, tokens) with one place for each text."""
-    docs, lt, lb, tokens = (np.concatenate(x) for x in zip(*parts, strict=True))
+    """(rows, target loss, background loss, tokens, ids) with one place for each text; one of its parts has tokens and id."""
+    docs, lt, lb, tokens, names = (np.concatenate(x) for x in zip(*parts, strict=True))
     ids, back = np.unique(docs, return_inverse=True)
-    return ids, np.bincount(back, lt), np.bincount(back, lb), np.bincount(back, tokens).astype(np.int64)
+    named = np.zeros(len(ids), dtype=np.int64)
+    named[back[tokens > 0]] = names[tokens > 0]
+    return ids, np.bincount(back, lt), np.bincount(back, lb), np.bincount(back, tokens).astype(np.int64), named
 
 
 class _Sums:
@@ -251,7 +258,7 @@ class _Sums:
             starts = np.flatnonzero(np.diff(share, prepend=-1) != 0)
             ends = np.append(starts[1:], len(share))
             packed = [pa.array([c[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(share[starts], pa.int32()), *packed], names=["share", "docs", "lt", "lb", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(share[starts], pa.int32()), *packed], names=["share", "docs", "lt", "lb", "tokens", "names"])
         self.parts, self.size = [], 0
 
 
@@ -273,23 +280,32 @@ def _terms(rows: list[tuple], bounds: np.ndarray, size: float) -> tuple:
     n_all, n_target = (np.repeat(np.add.reduceat(x, starts, dtype=np.int64), sizes) for x in (every, np.where(target, every, 0)))
     lt, lb = losses(every, n_all, n_target, target, (key & 1).astype(bool), size)
     ids, back = np.unique(doc, return_inverse=True)
-    return ids, np.bincount(back, lt), np.bincount(back, lb), np.zeros(len(ids), dtype=np.int64)
+    return ids, np.bincount(back, lt), np.bincount(back, lb), np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
 
 
 def _common(rows: DataFrame, share: float) -> np.ndarray:
     """Sorted keys that hold over half of `share` of a bounded sample's n-grams of their kind; 4 / share keys at most."""
-    near = rows.select(F.xxhash64("_id", F.lit("sample")).alias("k"), "_text")
+    near = rows.select(F.xxhash64("_row", F.lit("sample")).alias("k"), "_text")
     total = rows.count()
     bar = int(min(1.0, (SAMPLE + 50) / max(1, total)) * 2.0**64) - 2**63
-    seen = near.where(F.col("k") <= F.lit(min(bar, 2**63 - 1))).orderBy("k").limit(SAMPLE).collect()
-    found: Counter = Counter()
-    n = 0
-    for r in seen:
-        a, b = grams(word_hashes(r["_text"]))
-        found.update(a.tolist())
-        found.update(b.tolist())
-        n += len(a)
-    return np.array(sorted(k for k, c in found.items() if c >= max(3.0, share / 2 * n)), dtype=np.int64)
+    seen = near.where(F.col("k") <= F.lit(min(bar, 2**63 - 1))).orderBy("k").limit(SAMPLE).select("_text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of n-grams, and under no key how many bigrams there are."""
+        found: Counter = Counter()
+        n = 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                a, b = grams(word_hashes(text))
+                found.update(a.tolist())
+                found.update(b.tolist())
+                n += len(a)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *found], pa.int64()), pa.array([n, *found.values()], pa.int64())], names=["key", "n"])
+
+    counts = seen.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.col("key").isNotNull(), F.desc("n")).limit(int(4 / share) + 2).collect()
+    n = sum(r.n for r in top if r.key is None)
+    return np.array(sorted(r.key for r in top if r.key is not None and r.n >= max(3.0, share / 2 * n)), dtype=np.int64)
 
 
 def brute_force(texts: dict[int, str], target: set[int], size: float) -> dict[int, tuple[int, float, float]]:
