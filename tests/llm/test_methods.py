@@ -272,6 +272,23 @@ def test_encoder_gives_the_librarys_ids(tokenizer):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_knows_every_plain_character(tokenizer):
+    own = tokens.Encoder(tokens.vocabulary_path())
+    texts = [f"ab{chr(c)}c 1{chr(c)}x {chr(c)}" for c in range(1, 0x300)]
+    for t, got in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+
+
+def test_encoder_forgets_without_losing_ids(tokenizer, monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 50)
+    monkeypatch.setattr(tokens, "AT_ONCE", 300)
+    own = tokens.Encoder(tokens.vocabulary_path())
+    rng = random.Random(2)
+    texts = [None, "", *("".join(rng.choice("abAé's .,1\x1c") for _ in range(rng.randint(0, 120))) for _ in range(400))]
+    for t, got in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 300), max_size=60), max_size=8), st.integers(1, 40))
 def test_segments_round_trip(documents, block):

@@ -252,8 +252,8 @@ def cut_pieces(documents: DataFrame, id_col: str, text_col: str, path: str, capa
         part, seen, own = TaskContext.get().partitionId(), Counter(), encoder(path)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = own.encode(text) + end
+            for doc, coded in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids = coded + end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     piece = ids[at : at + 4 * capacity]
                     length = len(piece) // 4

@@ -37,7 +37,7 @@ def write_ids(documents: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), encoder(vocabulary)
-        docs = ((d, own.encode(t) + end) for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        docs = ((d, ids + end) for b in batches for d, ids in zip(b.column(0).to_pylist(), own.encode_all(b.column(1).to_pylist()), strict=True))
         for n, (ids_of, lengths, ids) in enumerate(segments(docs)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([encode_segment(ids_of, lengths, ids)], pa.binary())],

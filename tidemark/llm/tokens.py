@@ -5,22 +5,30 @@ runs of other signs, English endings), and codes each piece by itself; a piece's
 ids are those of its white-space-separated parts, and a part's those of its pieces. Each worker process keeps the ids of
 parts and of pieces that it has met (as bytes of little-endian unsigned 32-bit integers) and asks the library for new
 pieces in batches. Parts with characters beyond U+024F, where normal forms and cases get intricate, go to it whole.
+
+The memory has two generations: what is met goes to the younger, which becomes the older when it is full. So words that
+keep coming stay, and what came once goes.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
-import regex
 
 VOCABULARY = "word_bpe_49k.json"
-#: Parts and pieces that a process keeps; beyond these it starts anew.
-PARTS, PIECES = 200_000, 600_000
+#: Parts and pieces that a generation of a process's memory holds.
+HELD = 400_000
+#: Characters of texts that are cut at once; a longer text is cut by itself.
+AT_ONCE = 1_000_000
+#: The letters and numbers among lower-case forms of characters up to U+024F.
+LETTERS, NUMBERS = "a-zªµºß-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
 #: How the vocabulary's file cuts pieces (fixed).
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-PLAIN = regex.compile("[!-įı-ɏ]+")
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+PLAIN = re.compile("[!-įı-ɏ]+")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -30,66 +38,93 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 class Encoder:
-    """encode(text) gives a text's ids as bytes. For tokenizers that cut as said above."""
+    """Gives texts' ids as bytes. For tokenizers that cut as said above."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        # the same model for pieces that are cut and lower-cased already
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = None
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        if len(self.pieces) + len(new) > PIECES:
-            self.pieces = {}
-        for i in range(0, len(new), 500):
-            some = new[i : i + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+    def _coded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        for i in range(0, len(pieces), 500):
+            some = pieces[i : i + 500]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                starts = [0, *ends[:-1].tolist()]
-                data = ids.tobytes()
-                self.pieces.update((p, data[4 * a : 4 * b]) for p, a, b in zip(some, starts, ends.tolist(), strict=True))
+                bounds, data = (4 * ends).tolist(), ids.tobytes()
+                yield from zip(some, (data[a:b] for a, b in zip([0, *bounds], bounds)), strict=True)
             else:
-                self.pieces.update((p, self._whole(p)) for p in some)
+                yield from ((p, self._whole(p)) for p in some)
 
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.parts) + len(parts) > PARTS:
-            self.parts = {}
-        cut = {}
+    def _ids_of(self, parts: set[str]) -> dict[str, bytes]:
+        """The ids of parts that the younger generation doesn't hold; it holds them and their pieces afterwards."""
+        young, old = self.young, self.old
+        fresh, cut, new = {}, {}, set()
         for part in parts:
-            if PLAIN.fullmatch(part) and "<|" not in part:
-                cut[part] = PIECE.findall(part.lower())
+            if (ids := old.get(part)) is not None:
+                fresh[part] = ids
+            elif not PLAIN.fullmatch(part) or "<|" in part:
+                fresh[part] = self._whole(part)
             else:
-                self.parts[part] = self._whole(part)
-        every = {p for pieces in cut.values() for p in pieces}
-        new = sorted(p for p in every if p not in self.pieces)
-        if len(self.pieces) + len(new) > PIECES:
-            new = sorted(every)
-        self._learn_pieces(new)
-        known = self.pieces
+                cut[part] = pieces = PIECE.findall(part.lower())
+                new.update(pieces)
+        known = {}
+        for p in new:
+            if (ids := young.get(p) or old.get(p)) is not None:
+                known[p] = ids
+        known.update(self._coded([p for p in new if p not in known]))
         for part, pieces in cut.items():
-            self.parts[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+            fresh[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+        if len(young) + len(fresh) + len(known) > HELD:
+            self.old, self.young = young, {}
+        self.young.update(known)
+        self.young.update(fresh)
+        return fresh
+
+    def _encode_some(self, texts: list[str]) -> Iterator[bytes]:
+        every, new = [], set()
+        for text in texts:
+            parts = text.split()
+            ids = list(map(self.young.get, parts))
+            if None in ids:
+                new.update([p for p, i in zip(parts, ids, strict=True) if i is None])
+                every.append((parts, ids))
+            else:
+                every.append((None, b"".join(ids)))
+        fresh = self._ids_of(new) if new else {}
+        for parts, ids in every:
+            yield ids if parts is None else b"".join([fresh[p] if i is None else i for p, i in zip(parts, ids, strict=True)])
+
+    def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text, in order; new words of several texts are learnt at once."""
+        some, size = [], 0
+        for text in texts:
+            # \x1c-\x1f are white space to str.split but not to the tokenizer
+            if text and any(c in text for c in "\x1c\x1d\x1e\x1f"):
+                yield from self._encode_some(some)
+                some, size = [], 0
+                yield self._whole(text)
+                continue
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= AT_ONCE:
+                yield from self._encode_some(some)
+                some, size = [], 0
+        yield from self._encode_some(some)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        # \x1c-\x1f are white space to str.split but not to the tokenizer
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self._whole(text)
-        parts = text.split()
-        try:
-            return b"".join([*map(self.parts.__getitem__, parts)])
-        except KeyError:
-            every = set(parts)
-            new = {p for p in every if p not in self.parts}
-            self._learn(new if len(self.parts) + len(new) <= PARTS else every)
-            return b"".join([*map(self.parts.__getitem__, parts)])
+        return next(self.encode_all([text]))
 
 
 @cache
