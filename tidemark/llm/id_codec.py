@@ -1,19 +1,20 @@
 """Segments of token ids: an adaptive context-mixing range coder over many independent blocks at once.
 
 A segment holds whole documents; its ids are cut into blocks of BLOCK ids, each coded from a fresh state and checksummed.
-All blocks of a segment are coded in step, one id of each at a time, with numpy over the blocks.
+All blocks of a segment are coded in step, one id of each at a time, with numpy over the blocks; the last is filled up
+with zeros, which are dropped again.
 
 For each id the probabilities of three predictions are blended. Order 2 and order 1 put theirs on the id that last
 followed the two ids and the one id before; each has a confidence that grows with its hits. Order 0 spreads its own over
-the block's ids so far and a share for any other id; its table of intervals is made anew after 32, 64, ... ids and then
-every RENEW ids. The weights of the blend adapt, for each combination of confidences, to which prediction was right. An
-id's interval is its weighted sum over the predictions, coded in one step by a carryless range coder with a 48-bit window
-that puts out 16 bits at a time. Another id is then named by the segment's own frequencies, which its head holds as powers
-of two.
+all ids by the segment's frequencies, which its head holds. The weights of the blend adapt, for each combination of
+confidences, to which prediction was right. Ids lie in natural order, so an id's interval is the sum of its share of order
+0 and the weights of the orders that expect it, and starts after those of all lesser ids. A carryless range coder with a
+64-bit window codes it in one step and puts out 32 bits at a time.
 
 Layout, little-endian: "TMID", u8 version, u32 documents, u64 ids, u32 ids a block, u32 blocks, u32 bound of the ids, u32
 bytes of the frequencies; i64 document ids; u8 nulls among these; u32 ids of each document; for each block u32 words and
-u32 CRC-32 of its ids; the frequencies (deflated u8 exponents, 0 for none); u32 CRC-32 of all before; the blocks' u16 words.
+u32 CRC-32 of its ids; the frequencies (deflated u8 levels, a quarter of a power of two each, 0 for none); u32 CRC-32 of
+all before; the blocks' u32 words.
 """
 
 from __future__ import annotations
@@ -24,160 +25,102 @@ from collections.abc import Iterator
 
 import numpy as np
 
-MAGIC, VERSION = b"TMID", 2
-BLOCK, LANES = 4096, 1024
-SLOTS = 12  # bits of a context's slot
-STEP, HALVE = 8, 1000
-ORDER0 = 13  # bits of order 0's total
-RENEW = 512
+MAGIC, VERSION = b"TMID", 3
+BLOCK, LANES = 2048, 4096
+SLOTS = 11  # bits of a context's slot
+ORDER0 = 18  # bits of order 0's total
+BLEND = 8  # bits of the weights' total
+TOTAL = ORDER0 + BLEND
+RATE = 5  # a weight moves by 1/32 of its distance
+ONE, BOTH = (1 << 15 - RATE) - 1, ((1 << 15 - RATE) - 1) * 0x8001
 HEAD = struct.Struct("<4sBIQIIII")
-LOW32, LEAST = (1 << 32) - 1, 1 << 32
+WORD, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
 
 
 class _Model:
-    """The predictions' state for n blocks of ids below `ids`, in step.
-
-    Order 0 numbers a block's ids by first appearance. Its table has a column for each number, one for other ids (at
-    `width`) and two of size 0 for ids of orders 2 and 1 that it lacks, so that every id has a place of its own in it.
-    """
-
-    def __init__(self, n: int, ids: int) -> None:
-        self.n, self.ids = n, ids
-        size = 1 << SLOTS
-        self.row = np.arange(n) * size
-        self.next1, self.next2 = np.zeros(n * size, dtype=np.int32), np.zeros(n * size, dtype=np.int32)  # 4 * id + confidence
-        self.flat = np.tile(np.array([2, 1, 8, 0], dtype=np.int64), n * 32)  # weights of orders 2, 1 and 0
-        self.rows32 = np.arange(n) * 32
-        self.a, self.b = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)  # the two ids before
-        self.rank_of = np.full(n * ids, -1, dtype=np.int16)
-        self.id_row = np.arange(n) * ids
-        self.met = np.zeros(n, dtype=np.int64)
-        self.width = 0
-        self.count = np.zeros((n, 0), dtype=np.int64)
-        self.known = np.zeros((n, 0), dtype=np.int64)
-        self._table(np.full(n, 1 << ORDER0), self.count)
-
-    def renew(self, t: int) -> bool:
-        return t >= 32 and (t % RENEW == 0 if t >= RENEW else t & (t - 1) == 0)
-
-    def absorb(self, recent: np.ndarray) -> None:
-        """Counts the ids (step, block) since the last time and makes order 0's table of them all."""
-        k = recent.shape[1]
-        flat = (recent + self.id_row[:k]).ravel()  # step by step
-        fresh = np.flatnonzero(self.rank_of[flat] < 0)
-        if len(fresh):
-            places, first = np.unique(flat[fresh], return_index=True)
-            lane = places // self.ids
-            order = np.lexsort((first, lane))
-            places, lane = places[order], lane[order]
-            start = np.searchsorted(lane, np.arange(k))
-            rank = self.met[lane] + np.arange(len(lane)) - start[lane]
-            self.met[:k] += np.bincount(lane, minlength=k)
-            if (wide := int(self.met.max())) > self.width:
-                grow = np.zeros((self.n, max(wide, 2 * self.width) - self.width), dtype=np.int64)
-                self.count, self.known = np.concatenate([self.count, grow], axis=1), np.concatenate([self.known, grow], axis=1)
-                self.width = self.count.shape[1]
-            self.rank_of[places] = rank
-            self.known[lane, rank] = places % self.ids
-        at = self.rank_of[flat] + (np.arange(k) * self.width)[None, :].repeat(recent.shape[0], axis=0).ravel()
-        self.count[:k] += np.bincount(at, minlength=k * self.width).reshape(k, self.width)
-        total = self.count.sum(axis=1)
-        whole = 1 << ORDER0
-        other = np.maximum(whole * self.met // (2 * (total + self.met) + 1), 1)
-        share = whole - other - self.met
-        size = self.count * share[:, None] // np.maximum(total, 1)[:, None] + (self.count > 0)
-        self._table(whole - size.sum(axis=1), size)
-        weight = self.flat.reshape(-1, 4)
-        big = np.flatnonzero(weight.sum(axis=1) > HALVE)
-        weight[big, :3] = (weight[big, :3] >> 1) + 1
-
-    def _table(self, other: np.ndarray, size: np.ndarray) -> None:
-        none = np.zeros((self.n, 2), dtype=np.int64)
-        size = np.concatenate([size, other[:, None], none], axis=1)
-        start = np.zeros((self.n, self.width + 4), dtype=np.int32)
-        np.cumsum(size, axis=1, out=start[:, 1:])
-        self.start0 = start.ravel()
-        self.table_row = np.arange(self.n) * (self.width + 4)
-        self.known0 = np.concatenate([self.known, np.zeros((self.n, 4), dtype=np.int64)], axis=1).ravel()
-        self.inverse = np.repeat(np.tile(np.arange(self.width + 3, dtype=np.int16), self.n), size.ravel())
-
-    def predict(self, k: int) -> None:
-        a = self.a[:k] * 40503
-        self.at1 = self.row[:k] + (a >> 3 & ((1 << SLOTS) - 1))
-        self.at2 = self.row[:k] + ((a ^ self.b[:k] * 60493) >> 4 & ((1 << SLOTS) - 1))
+    """The predictions' state for n blocks, in step. sizes: each id's share of order 0."""
+
+    def __init__(self, n: int, sizes: np.ndarray) -> None:
+        self.sizes = sizes.astype(np.int32)
+        self.starts = (np.cumsum(sizes) - sizes).astype(np.int32)
+        self.inverse = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.row = np.arange(n) << SLOTS
+        self.next1, self.next2 = np.zeros(n << SLOTS, dtype=np.int32), np.zeros(n << SLOTS, dtype=np.int32)  # 4 * id + confidence
+        # weights of orders 2 and 1, 15 bits each; order 0 has the rest
+        self.weights = np.repeat(np.array([[6 * (i >> 3) + 2 << 25 | 3 * (i >> 1 & 3) + 1 << 10 for i in range(32)]], dtype=np.int32), n, axis=0).reshape(-1)
+        self.row_w = np.arange(n) << 5
+        self.a, self.mixed = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)  # the id before, the one before it times a factor
+
+    def predict(self) -> None:
+        h = self.a * 25033
+        self.at1 = self.row + (h >> 5 & (1 << SLOTS) - 1)
+        self.at2 = self.row + ((h ^ self.mixed) >> 4 & (1 << SLOTS) - 1)
         self.e1, self.e2 = self.next1.take(self.at1), self.next2.take(self.at2)
         self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
-        self.wat = (self.rows32[:k] + ((self.e2 & 3) << 3) + ((self.e1 & 3) << 1) + (self.id1 == self.id2)) << 2
-        self.w2, self.w1, self.w0 = self.flat.take(self.wat), self.flat.take(self.wat + 1), self.flat.take(self.wat + 2)
-        self.total = self.w2 + self.w1 + self.w0 << ORDER0
-        self.pos2, self.pos1 = self.rank_of.take(self.id_row[:k] + self.id2).astype(np.int64), self.rank_of.take(self.id_row[:k] + self.id1).astype(np.int64)
-        np.copyto(self.pos2, self.width + 1, where=self.pos2 < 0)
-        np.copyto(self.pos1, np.where(self.id1 == self.id2, self.width + 1, self.width + 2), where=self.pos1 < 0)
-
-    def place(self, k: int, x: np.ndarray) -> np.ndarray:
-        """The ids' columns."""
-        pos = self.rank_of.take(self.id_row[:k] + x).astype(np.int64)
-        np.copyto(pos, np.where(x == self.id2, self.pos2, np.where(x == self.id1, self.pos1, self.width)), where=pos < 0)
-        return pos
-
-    def interval(self, k: int, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.table_row[:k] + pos
-        own = self.start0.take(at)
-        start = (self.w2 * (self.pos2 < pos) + self.w1 * (self.pos1 < pos) << ORDER0) + self.w0 * own
-        return start, (self.w2 * (self.pos2 == pos) + self.w1 * (self.pos1 == pos) << ORDER0) + self.w0 * (self.start0.take(at + 1) - own)
-
-    def column(self, k: int, value: np.ndarray) -> np.ndarray:
-        """The columns in whose intervals the values lie."""
-        pos = np.full(k, -1, dtype=np.int64)
-        less = np.zeros(k, dtype=np.int64)  # what orders 2 and 1 take below the value
-        for spot, weight in ((self.pos2, self.w2), (self.pos1, self.w1)):
-            start, size = self.interval(k, spot)
-            np.copyto(pos, spot, where=(value >= start) & (value < start + size))
-            less += weight * (value >= start + size)
-        free = np.flatnonzero(pos < 0)
-        y = (value.take(free) - (less.take(free) << ORDER0)) // self.w0.take(free)
-        pos[free] = self.inverse.take((free << ORDER0) + np.clip(y, 0, (1 << ORDER0) - 1))
-        return pos
-
-    def learn(self, k: int, x: np.ndarray) -> None:
-        hit1, hit2 = self.id1 == x, self.id2 == x
-        x4 = x << 2
-        for e, hit, at, table in ((self.e1, hit1, self.at1, self.next1), (self.e2, hit2, self.at2, self.next2)):
-            table[at] = np.where(hit, np.minimum(e + 1, e | 3), np.where(e & 2, e - 2, x4))
-        at = self.wat + np.where(hit2, 0, np.where(hit1, 1, 2))
-        self.flat[at] = self.flat.take(at) + STEP
-        self.b[:k] = self.a[:k]
-        self.a[:k] = x
+        self.at_w = self.row_w + ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (self.id1 == self.id2))
+        self.w = self.weights.take(self.at_w)
+        # at most 251 of the 256 parts are theirs
+        w2, w1 = (self.w >> 15) * 251 >> 15, (self.w & 0x7FFF) * 251 >> 15
+        self.w0 = (1 << BLEND) - w2 - w1
+        self.w2, self.w1 = w2 << ORDER0, w1 << ORDER0
+
+    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.hit2, self.hit1 = self.id2 == x, self.id1 == x
+        start = self.w0 * self.starts.take(x) + self.w2 * (self.id2 < x) + self.w1 * (self.id1 < x)
+        return start, self.w0 * self.sizes.take(x) + self.w2 * self.hit2 + self.w1 * self.hit1
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The ids in whose intervals the values lie."""
+        # beyond an expected id's start in order 0, as much as its weight is not order 0's
+        low2 = self.w0 * self.starts.take(self.id2) + self.w1 * (self.id1 < self.id2)
+        low1 = self.w0 * self.starts.take(self.id1) + self.w2 * (self.id2 < self.id1)
+        rest = value - np.clip(value - low2, 0, self.w2) - np.clip(value - np.where(self.id1 == self.id2, low1 + self.w2, low1), 0, self.w1)
+        return self.inverse.take(rest // self.w0, mode="clip")
+
+    def learn(self, x: np.ndarray) -> None:
+        new = x << 2
+        for e, hit, at, table in ((self.e1, self.hit1, self.at1, self.next1), (self.e2, self.hit2, self.at2, self.next2)):
+            table[at] = np.where(hit, np.minimum(e + 1, e | 3), np.where(e & 2, e - 2, new))
+        won = np.where(self.hit2, ONE << 15, self.hit1 * np.int32(ONE))
+        self.weights[self.at_w] = self.w - (self.w >> RATE & BOTH) + won
+        self.mixed = self.a * 31153
+        self.a = x
+
+
+# four levels to a power of two
+STEPS = np.array([431, 256, 304, 362], dtype=np.int64)
 
 
 def frequencies(ids: np.ndarray, limit: int) -> np.ndarray:
-    """The ids' exponents: 0 for none, else the least n with 2^(n - 1) as large as their count."""
+    """The ids' levels: 0 for none, else 1 and four for each doubling of their count."""
     counts = np.bincount(ids, minlength=limit)
-    return np.where(counts, np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0).astype(np.uint8)
+    return np.where(counts, np.rint(4 * np.log2(np.maximum(counts, 1))).astype(np.int64) + 1, 0).astype(np.uint8)
 
 
-def starts_of(exponents: np.ndarray) -> np.ndarray:
-    """Where each id's interval starts among the ids' frequencies, and the end; their sum is below 2^18."""
-    share = np.where(exponents > 0, 1 << np.maximum(exponents.astype(np.int64), 1) - 1, 0)
-    size = share * (1 << 17) // max(int(share.sum()), 1) + (share > 0)
-    return np.concatenate([[0], np.cumsum(size)])
+def sizes_of(levels: np.ndarray) -> np.ndarray:
+    """Each id's share of order 0; all together are 2^ORDER0."""
+    level = levels.astype(np.int64)
+    share = np.where(level > 0, STEPS[level & 3] << np.maximum(level - 1, 0) // 4, 0)
+    size = share * ((1 << ORDER0) - int((level > 0).sum())) // max(int(share.sum()), 1) + (level > 0)
+    size[int(share.argmax())] += (1 << ORDER0) - int(size.sum())
+    return size
 
 
 class _Coder:
-    """low and range of n range coders, below 2^48; `words` are what to decode, else words are gathered."""
+    """low and range of n range coders; `words` are what to decode, else words are gathered."""
 
     def __init__(self, n: int, words: list[np.ndarray] | None = None) -> None:
-        self.low, self.range = np.zeros(n, dtype=np.int64), np.full(n, (1 << 48) - 1, dtype=np.int64)
+        self.low, self.range = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
         self.code = None
         self.at = np.zeros(n, dtype=np.int64)
-        self.wide = 1024 if words is None else max(map(len, words)) + 8
-        self.words = np.zeros((n, self.wide), dtype=np.uint16)
+        self.wide = 512 if words is None else max(map(len, words)) + 2
+        self.words = np.zeros((n, self.wide), dtype=np.uint32)
         if words is not None:
             for i, w in enumerate(words):
                 self.words[i, : len(w)] = w
-            first = self.words[:, :3].astype(np.int64)
-            self.code = first[:, 0] << 32 | first[:, 1] << 16 | first[:, 2]
-            self.at += 3
+            first = self.words[:, :2].astype(np.uint64)
+            self.code = first[:, 0] << WORD | first[:, 1]
+            self.at += 2
         self._rows()
 
     def _rows(self) -> None:
@@ -185,123 +128,86 @@ class _Coder:
 
     def room(self) -> None:
         """Makes place for the words of some more steps."""
-        if self.at.max() + 256 > self.wide:
+        if self.at.max() + 64 > self.wide:
             self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
             self.wide *= 2
             self._rows()
 
-    def value(self, lanes, total: np.ndarray) -> np.ndarray:
-        """Where in [0, total) each code lies."""
-        self.part = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.part, total - 1)
-
-    def narrow(self, lanes, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        part = self.range[lanes] // total if self.code is None else self.part
-        low, span = self.low[lanes] + part * start, part * size
-        self.low[lanes], self.range[lanes] = low, span
-        small = np.flatnonzero(span < LEAST)
-        if len(small):
-            self._shift(small if isinstance(lanes, slice) else lanes.take(small), low.take(small), span.take(small))
-
-    def _shift(self, lanes: np.ndarray, low: np.ndarray, span: np.ndarray) -> None:
-        while True:
-            rest = low & LOW32
-            # where the top words of low and of the range's end differ the range is cut to low's top word
-            span = np.where((low + span - 1) ^ low > LOW32, LEAST - rest, span) << 16
-            at = self.at.take(lanes)
-            if self.code is None:
-                self.flat[self.row.take(lanes) + at] = low >> 32
-            else:
-                next_word = self.flat.take(self.row.take(lanes) + np.minimum(at, self.wide - 1))
-                self.code[lanes] = (self.code.take(lanes) & LOW32) << 16 | next_word
-            self.at[lanes] = at + 1
-            low = rest << 16
-            self.low[lanes], self.range[lanes] = low, span
-            more = np.flatnonzero(span < LEAST)
-            if not len(more):
-                return
-            lanes, low, span = lanes.take(more), low.take(more), span.take(more)
+    def value(self) -> np.ndarray:
+        """Where in [0, 2^TOTAL) each code lies."""
+        return np.minimum((self.code - self.low) // (self.range >> np.uint64(TOTAL)), np.uint64((1 << TOTAL) - 1)).astype(np.int32)
+
+    def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
+        part = self.range >> np.uint64(TOTAL)
+        self.low += part * start.astype(np.uint64)
+        self.range = part * size.astype(np.uint64)
+        lanes = np.flatnonzero(self.range <= LOW)
+        if not len(lanes):
+            return
+        low, span, at = self.low.take(lanes), self.range.take(lanes), self.at.take(lanes)
+        rest = low & LOW
+        # where the top words of low and of the range's end differ the range is cut to low's top word
+        self.range[lanes] = np.minimum(span, LOW + np.uint64(1) - rest) << WORD
+        self.low[lanes] = rest << WORD
+        self.at[lanes] = at + 1
+        if self.code is None:
+            self.flat[self.row.take(lanes) + at] = low >> WORD
+        else:
+            next_word = self.flat.take(self.row.take(lanes) + np.minimum(at, self.wide - 1))
+            self.code[lanes] = self.code.take(lanes) << WORD | next_word
 
     def finish(self) -> list[bytes]:
         self.room()
-        for s in (32, 16, 0):
-            self.flat[self.row + self.at] = self.low >> s & 0xFFFF
+        for word in (self.low >> WORD, self.low & LOW):
+            self.flat[self.row + self.at] = word
             self.at += 1
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
+        return [self.words[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.at)]
 
 
-def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, limit: int, starts: np.ndarray) -> list[bytes]:
-    n, width = ids.shape
-    model, coder = _Model(n, limit), _Coder(n)
-    columns = np.ascontiguousarray(ids.T)
-    whole = np.full(n, starts[-1])
-    since = 0
-    for t in range(width):
-        k = n if lengths[-1] > t else int(np.searchsorted(-lengths, -t, side="left"))
-        if model.renew(t):
-            model.absorb(columns[since:t, :k])
-            since = t
-        if t % 32 == 0:  # a step puts out a few words at most
+def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    model, coder = _Model(len(ids), sizes), _Coder(len(ids))
+    for t, x in enumerate(np.ascontiguousarray(ids.T)):
+        if t % 32 == 0:  # a step puts out a word at most
             coder.room()
-        x = columns[t, :k]
-        model.predict(k)
-        pos = model.place(k, x)
-        coder.narrow(slice(0, k), *model.interval(k, pos), model.total)
-        other = np.flatnonzero(pos == model.width)
-        if len(other):
-            y = x.take(other)
-            coder.narrow(other, starts.take(y), starts.take(y + 1) - starts.take(y), whole[: len(other)])
-        model.learn(k, x)
+        model.predict()
+        coder.narrow(*model.interval(x))
+        model.learn(x)
     return coder.finish()
 
 
-def _decode_lanes(words: list[np.ndarray], lengths: np.ndarray, limit: int, starts: np.ndarray) -> np.ndarray:
-    n, width = len(words), int(lengths.max())
-    model, coder = _Model(n, limit), _Coder(n, words)
-    out = np.zeros((width, n), dtype=np.int64)
-    whole = np.full(n, starts[-1])
-    since = 0
+def _decode_lanes(words: list[np.ndarray], width: int, sizes: np.ndarray) -> np.ndarray:
+    model, coder = _Model(len(words), sizes), _Coder(len(words), words)
+    out = np.zeros((width, len(words)), dtype=np.int32)
     for t in range(width):
-        k = n if lengths[-1] > t else int(np.searchsorted(-lengths, -t, side="left"))
-        if model.renew(t):
-            model.absorb(out[since:t, :k])
-            since = t
-        model.predict(k)
-        pos = model.column(k, coder.value(slice(0, k), model.total))
-        start, size = model.interval(k, pos)
-        coder.narrow(slice(0, k), start, np.maximum(size, 1), model.total)
-        x = np.where(pos == model.pos2, model.id2, np.where(pos == model.pos1, model.id1, model.known0.take(model.table_row[:k] + pos)))
-        other = np.flatnonzero(pos == model.width)
-        if len(other):
-            value = coder.value(other, whole[: len(other)])
-            y = np.minimum(np.searchsorted(starts, value, side="right") - 1, limit - 1)  # more only where the data is damaged
-            coder.narrow(other, starts.take(y), np.maximum(starts.take(y + 1) - starts.take(y), 1), whole[: len(other)])
-            x[other] = y
-        model.learn(k, x)
-        out[t, :k] = x
+        model.predict()
+        x = model.find(coder.value())
+        coder.narrow(*model.interval(x))
+        model.learn(x)
+        out[t] = x
     return out.T
 
 
 def encode_segment(doc_ids: list[int | None], doc_lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The segment's bytes. ids: of all documents, below 65536; block: at most 4096."""
+    """The segment's bytes. ids: of all documents, below 65536."""
     limit = int(ids.max()) + 1 if len(ids) else 1
-    if block > BLOCK or limit > 1 << 16:
-        raise ValueError("a block holds at most 4096 ids below 65536")
-    lengths = np.array([min(block, len(ids) - i) for i in range(0, len(ids), block)], dtype=np.int64)
-    exponents = frequencies(ids, limit)
-    starts = starts_of(exponents)
+    if limit > 1 << 16:
+        raise ValueError("a segment holds ids below 65536")
+    levels = frequencies(ids, limit)
+    if len(ids) and not levels[0]:
+        levels[0] = 1  # the last block may be filled up
+    sizes = sizes_of(levels)
+    width = min(block, len(ids))
     parts: list[bytes] = []
-    for i in range(0, len(lengths), LANES):
-        own = lengths[i : i + LANES]
-        lanes = np.zeros((len(own), int(own[0])), dtype=np.int64)
-        flat = ids[i * block : i * block + int(own.sum())]
-        lanes.reshape(-1)[: len(flat)] = flat
-        parts += _encode_lanes(lanes, own, limit, starts)
+    for i in range(0, len(ids), max(width, 1) * LANES):
+        own = ids[i : i + width * LANES]
+        lanes = np.zeros((-(-len(own) // width), width), dtype=np.int32)
+        lanes.reshape(-1)[: len(own)] = own
+        parts += _encode_lanes(lanes, sizes)
     sums = [zlib.crc32(np.ascontiguousarray(ids[i : i + block], dtype="<u4").tobytes()) for i in range(0, len(ids), block)]
-    held = zlib.compress(exponents.tobytes())
-    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(lengths), limit, len(held))
+    held = zlib.compress(levels.tobytes())
+    head = HEAD.pack(MAGIC, VERSION, len(doc_ids), len(ids), block, len(parts), limit, len(held))
     head += np.array([d or 0 for d in doc_ids], dtype="<i8").tobytes() + np.array([d is None for d in doc_ids], dtype="u1").tobytes()
-    head += np.array(doc_lengths, dtype="<u4").tobytes() + np.array([[len(p) // 2, s] for p, s in zip(parts, sums, strict=True)], dtype="<u4").tobytes() + held
+    head += np.array(doc_lengths, dtype="<u4").tobytes() + np.array([[len(p) // 4, s] for p, s in zip(parts, sums, strict=True)], dtype="<u4").tobytes() + held
     return b"".join([head, struct.pack("<I", zlib.crc32(head)), *parts])
 
 
@@ -318,16 +224,15 @@ def decode_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     at += 8 * n_blocks + n_held
     if at + 4 > len(data) or struct.unpack_from("<I", data, at)[0] != zlib.crc32(data[:at]):
         raise ValueError("the segment's head fails its checksum")
-    frequency = starts_of(np.frombuffer(zlib.decompress(data[at - n_held : at]), np.uint8))
+    sizes = sizes_of(np.frombuffer(zlib.decompress(data[at - n_held : at]), np.uint8))
     at += 4
-    starts = at + 2 * np.concatenate([[0], np.cumsum(blocks[:, 0].astype(np.int64))])
+    starts = at + 4 * np.concatenate([[0], np.cumsum(blocks[:, 0].astype(np.int64))])
     ids = np.empty(n_ids, dtype="<u4")
-    lengths = np.array([min(block, n_ids - i) for i in range(0, n_ids, block)], dtype=np.int64)
+    width = min(block, n_ids)
     for i in range(0, n_blocks, LANES):
-        own = lengths[i : i + LANES]
-        words = [np.frombuffer(data, "<u2", int(blocks[j, 0]), int(starts[j])) for j in range(i, i + len(own))]
-        made = _decode_lanes(words, own, limit, frequency)
-        ids[i * block : i * block + int(own.sum())] = made.reshape(-1)[: int(own.sum())]
+        words = [np.frombuffer(data, "<u4", int(blocks[j, 0]), int(starts[j])) for j in range(i, min(i + LANES, n_blocks))]
+        part = ids[i * width : (i + len(words)) * width]
+        part[:] = _decode_lanes(words, width, sizes).reshape(-1)[: len(part)]
     for j in range(n_blocks):
         if zlib.crc32(ids[j * block : (j + 1) * block].tobytes()) != blocks[j, 1]:
             raise ValueError(f"block {j} fails its checksum")
