@@ -340,3 +340,9 @@ def test_articles_of_the_test_pages_are_whole(spark, sf):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         parts = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]+>", "", p))).strip() for p in re.split(r"</?(?:h1|p)>|<br>", body))
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
+
+
+def test_every_low_character_is_coded_as_by_the_library(tokenizer):
+    texts = ["a" + chr(i) + "B" + chr(i) for i in range(1, 0x2100)]
+    for t, got in zip(texts, tokens.Encoder(tokens.vocabulary_path()).encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import tee
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,9 @@ def write_ids(documents: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, own = TaskContext.get().partitionId(), encoder(vocabulary)
-        docs = ((d, ids + end) for b in batches for d, ids in zip(b.column(0).to_pylist(), own.encode_all(b.column(1).to_pylist()), strict=True))
+        rows = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows, same = tee(rows)  # apart by one lot of texts at most
+        docs = ((d, ids + end) for (d, _), ids in zip(rows, own.encode_all(text for _, text in same), strict=True))
         for n, (ids_of, lengths, ids) in enumerate(segments(docs)):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([encode_segment(ids_of, lengths, ids)], pa.binary())],

@@ -2,11 +2,12 @@
 
 The tokenizer of word_bpe_49k.json lower-cases, cuts at white space and then into pieces (runs of letters, single digits,
 runs of other signs, English endings), and codes each piece by itself; a piece's last token ends in ``</w>``. So a text's
-ids are those of its white-space-separated parts, and a part's those of its pieces. Each worker process keeps the ids of
-parts and of pieces that it has met (as bytes of little-endian unsigned 32-bit integers) and asks the library for new
-pieces in batches. Parts with characters beyond U+024F, where normal forms and cases get intricate, go to it whole.
+ids are those of its white-space-separated parts, and a part's those of its pieces. Arrow finds the different parts of
+many texts and the different pieces of these; each worker process keeps the ids of pieces that it has met (as bytes of
+little-endian unsigned 32-bit integers) and asks the library for new ones in batches. Parts with characters beyond U+024F,
+where normal forms and cases get intricate, go to it whole.
 
-The memory has two generations: what is met goes to the younger, which becomes the older when it is full. So words that
+The memory has two generations: what is met goes to the younger, which becomes the older when it is full. So pieces that
 keep coming stay, and what came once goes.
 """
 
@@ -18,17 +19,19 @@ from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Parts and pieces that a generation of a process's memory holds.
-HELD = 400_000
+#: Pieces that a generation of a process's memory holds.
+HELD = 500_000
 #: Characters of texts that are cut at once; a longer text is cut by itself.
-AT_ONCE = 1_000_000
+AT_ONCE = 8_000_000
 #: The letters and numbers among lower-case forms of characters up to U+024F.
 LETTERS, NUMBERS = "a-zªµºß-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
 #: How the vocabulary's file cuts pieces (fixed).
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
-PLAIN = re.compile("[!-įı-ɏ]+")
+PIECE = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+)"
+PLAIN = "^[!-įı-ɏ]*$"  # for Arrow and re alike
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -37,6 +40,12 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pool's runs from starts, one after another."""
+    shift = starts - (np.cumsum(lengths) - lengths)
+    return pool[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)]
+
+
 class Encoder:
     """Gives texts' ids as bytes. For tokenizers that cut as said above."""
 
@@ -67,44 +76,45 @@ class Encoder:
             else:
                 yield from ((p, self._whole(p)) for p in some)
 
-    def _ids_of(self, parts: set[str]) -> dict[str, bytes]:
-        """The ids of parts that the younger generation doesn't hold; it holds them and their pieces afterwards."""
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different pieces (or of whole parts) one after another, and how many each has."""
         young, old = self.young, self.old
-        fresh, cut, new = {}, {}, set()
-        for part in parts:
-            if (ids := old.get(part)) is not None:
-                fresh[part] = ids
-            elif not PLAIN.fullmatch(part) or "<|" in part:
-                fresh[part] = self._whole(part)
-            else:
-                cut[part] = pieces = PIECE.findall(part.lower())
-                new.update(pieces)
-        known = {}
-        for p in new:
-            if (ids := young.get(p) or old.get(p)) is not None:
-                known[p] = ids
-        known.update(self._coded([p for p in new if p not in known]))
-        for part, pieces in cut.items():
-            fresh[part] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
-        if len(young) + len(fresh) + len(known) > HELD:
+        found = list(map(young.get, pieces))
+        missing = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
+        fresh = {p: ids for p in missing if (ids := old.get(p)) is not None}
+        new = [p for p in missing if p not in fresh]
+        odd = {p for p in new if not re.match(PLAIN, p) or "<|" in p}
+        fresh.update(self._coded([p for p in new if p and p not in odd]))
+        fresh.update((p, self._whole(p)) for p in new if p in odd or not p)
+        if len(young) + len(fresh) > HELD:
             self.old, self.young = young, {}
-        self.young.update(known)
         self.young.update(fresh)
-        return fresh
+        found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
+        return np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), dtype=np.int64) // 4
+
+    def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different parts one after another, and how many each has."""
+        plain = pc.and_not(pc.match_substring_regex(parts, PLAIN), pc.match_substring(parts, "<|"))
+        cut = pc.replace_substring_regex(pc.utf8_lower(parts), PIECE, "\\1 ")
+        cut = pc.split_pattern(pc.if_else(plain, pc.ascii_rtrim(cut, " "), parts), " ")
+        coded = cut.flatten().dictionary_encode()
+        ids, lengths = self._pieces(coded.dictionary.to_pylist())
+        code = coded.indices.to_numpy()
+        each = lengths[code]
+        return _gathered(ids, (np.cumsum(lengths) - lengths)[code], each), np.add.reduceat(each, cut.offsets.to_numpy()[:-1])
 
     def _encode_some(self, texts: list[str]) -> Iterator[bytes]:
-        every, new = [], set()
-        for text in texts:
-            parts = text.split()
-            ids = list(map(self.young.get, parts))
-            if None in ids:
-                new.update([p for p, i in zip(parts, ids, strict=True) if i is None])
-                every.append((parts, ids))
-            else:
-                every.append((None, b"".join(ids)))
-        fresh = self._ids_of(new) if new else {}
-        for parts, ids in every:
-            yield ids if parts is None else b"".join([fresh[p] if i is None else i for p, i in zip(parts, ids, strict=True)])
+        parts = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        coded = parts.flatten().dictionary_encode()
+        if not len(coded):
+            yield from [b""] * len(texts)
+            return
+        ids, lengths = self._parts(coded.dictionary)
+        code = coded.indices.to_numpy()
+        each = lengths[code]
+        data = _gathered(ids, (np.cumsum(lengths) - lengths)[code], each).tobytes()
+        ends = np.concatenate([[0], np.cumsum(each)])[parts.offsets.to_numpy()] * 4
+        yield from (data[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False))
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text, in order; new words of several texts are learnt at once."""
@@ -117,7 +127,7 @@ class Encoder:
                 yield self._whole(text)
                 continue
             some.append(text or "")
-            size += len(some[-1])
+            size += len(some[-1]) + 8  # empty texts take room too
             if size >= AT_ONCE:
                 yield from self._encode_some(some)
                 some, size = [], 0
