@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, fingerprints, html_extract, license_scan, lm_score, packing, quality, simhash, token_files, url_filter
+from tidemark.llm import conversations, decontaminate, fingerprints, hard_negatives, html_extract, license_scan, line_dedup, lm_score, packing, quality, simhash, token_files, url_filter
 from tidemark.llm.common import table
 
 
@@ -52,9 +52,29 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_shifted(table(spark, sf_dir, "embeddings"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = (
+    op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op5_lm_score, op6_quality, op7_simhash_dedup, op8_token_files,
+    op9_html_extract, op10_url_filter, op11_line_dedup, op12_hard_negatives, op13_conversation_repair,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_packing, op3_decontaminate, op4_fingerprints, op5_lm_score, op6_quality, op7_simhash_dedup, op8_token_files, op9_html_extract, op10_url_filter)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle_sql(), "op10_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_license_scan": license_scan.oracle_sql(), "op10_url_filter": url_filter.ORACLE_SQL} | {
+        f.__name__: m.ORACLE_SQL for f, m in ((op11_line_dedup, line_dedup), (op12_hard_negatives, hard_negatives), (op13_conversation_repair, conversations))
+    }
