@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tests.oracle import spark_rows, sql_rows
 from tidemark import queries as core
-from tidemark.operators import compare, matching
+from tidemark.operators import compare, matching, metrics, ranges, sizes
 
 
 @pytest.mark.parametrize("name", sorted(core.oracle_sql()))
@@ -84,12 +84,44 @@ def test_frames_are_planned_for_every_event(spark, sf):
 
 
 def test_large_records_are_matched_by_time_buckets(spark, sf):
-    """No row holds a whole record."""
+    """Only small records are gathered."""
     rows = [(1, gt, 2 * k + gt, 3.0 * k + 0.1 * gt, 3.0 * k + 2 + 0.1 * gt) for k in range(3000) for gt in (0, 1)]
     df = spark.createDataFrame(rows, "rec_id long, gt int, i long, s double, e double").withColumn("gt", F.col("gt") == 1)
     assert sorted((r.g, r.p) for r in matching.record_matches(df, 0.5).collect()) == [(2 * k + 1, 2 * k) for k in range(3000)]
-    for name in ("tiou_pairs", "greedy_match", "greedy_match_pred_first", "unmatched_segments", "localization_max_tiou"):
-        assert "collect_list" not in core.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    small, large = sizes.split(core.hot_record(core.segments(spark, sf)), "rec_id", limit=40)
+    assert small.groupBy("rec_id").count().agg(F.max("count")).head()[0] <= 40 and [r.rec_id for r in large.select("rec_id").distinct().collect()] == [-1]
+    assert small.count() + large.count() == core.segments(spark, sf).count()
+
+
+@pytest.mark.parametrize("limit", [0, 12])
+def test_either_route_gives_the_same_rows(spark, sf, limit):
+    rows = core.with_keys(core.hot_record(core.segments(spark, sf)))
+    for policy, keys in (("strict", None), ("strict", "kb"), ("matched_only", "kb")):
+        one, two = (metrics.record_metrics(rows, core.TAUS, policy, carried=("rec_id",)[:0], keys=keys, limit=n) for n in (10**9, limit))
+        flat = lambda df: spark_rows(df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("string").alias(c) for c, t in df.dtypes]))
+        assert flat(one) == flat(two)
+    for order in ("gt", "pred"):
+        one, two = (spark_rows(matching.matches_at(rows, [0.3, 0.7], order, n)) for n in (10**9, limit))
+        assert one == two
+    assert spark_rows(matching.record_best_overlaps(rows, 10**9)) == spark_rows(matching.record_best_overlaps(rows, limit))
+    assert spark_rows(matching.record_pairs(rows, 0.3, 10**9)) == spark_rows(matching.record_pairs(rows, 0.3, limit))
+
+
+def test_unions_and_overlaps_by_scan_against_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(k, bool(draw.getrandbits(1)), float(s := draw.randrange(0, 4000)), float(s + draw.choice([0, 1, 2, 3, 40]) - draw.choice([0, 0, 1]))) for k in (1, 2, None) for _ in range(5 if k == 2 else 700)]
+    rows += [(4, True, 5.0, 5.0)]
+    df = spark.createDataFrame(rows, "k long, gt boolean, s double, e double").repartition(3)
+    for limit in (10**9, 20):
+        sets = {}
+        for k, side, s, e in rows:
+            sets.setdefault((k, side), set()).update(range(int(s), int(e)))
+        got = {(r.k, r.gt): r.d for r in ranges.merged(df, "k", "gt", limit=limit).groupBy("k", "gt").agg(F.sum(F.col("e") - F.col("s")).alias("d")).collect()}
+        assert got == {key: len(x) for key, x in sets.items() if x}
+        both = {r.k: (r.a, r.b, r.both) for r in ranges.shared(df, "k", limit=limit).collect()}
+        assert both == {k: (len(a := sets.get((k, True), set())), len(b := sets.get((k, False), set())), len(a & b)) for k in {r[0] for r in rows}}
 
 
 def test_every_page_looks_up_any_other(spark):

@@ -1,8 +1,8 @@
 """Interval matching: candidate pairs, greedy one-to-one matching, and the best overlap of each interval.
 
-Where a group is not bounded, a record or a label pooled over records: overlap joins by time bucket and mutual-best peeling,
-which gives the greedy result for a strict order of the pairs. The record metrics still take a row per record: one shuffle
-groups a record's intervals into two arrays; pairs and the greedy fold are expressions on that row, of unbounded size.
+Records go two routes by their size (`sizes.split`). Few intervals: one shuffle groups a record's intervals into two arrays, and pairs and
+the greedy fold are expressions on that row. Many, or a label pooled over records: overlap joins by time bucket and mutual-best
+peeling, which gives the greedy result for a strict order of the pairs.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.checkpoints import cut
 from tidemark.functions.intervals import tiou
+from tidemark.operators import sizes
 
 PAIR = "array<struct<nt:double,g:bigint,p:bigint,gb:int,pb:int>>"
 
@@ -100,24 +101,62 @@ def peel(pairs: DataFrame, key: str) -> DataFrame:
     return out if out is not None else left
 
 
-def record_pairs(segments: DataFrame, tau: float) -> DataFrame:
-    """rec_id, g, p, t of all pairs of a record with t >= tau > 0, by time buckets: a record of any size spreads over them."""
-    return overlap_join(segments.where("gt"), segments.where("not gt"), "rec_id").where(F.col("t") >= tau)
+def swapped(pairs: DataFrame, *keys: str) -> DataFrame:
+    """Pairs with g and p exchanged."""
+    return pairs.select(*keys, F.col("p").alias("g"), F.col("g").alias("p"), "t")
 
 
-def record_matches(segments: DataFrame, tau: float, order: str = "gt") -> DataFrame:
-    """rec_id, g, p, t: the greedy matching of each record, ties by (g, p), or by (p, g) for order "pred"."""
-    pairs = record_pairs(segments, tau)
-    if order == "pred":
-        return peel(pairs, "rec_id")
-    return peel(pairs.select("rec_id", F.col("p").alias("g"), F.col("g").alias("p"), "t"), "rec_id").select("rec_id", F.col("p").alias("g"), F.col("g").alias("p"), "t")
+def without_labels(segments: DataFrame) -> DataFrame:
+    return segments.select("rec_id", "gt", "i", "s", "e", F.lit(0).alias("b"))
 
 
-def record_best_overlaps(segments: DataFrame) -> DataFrame:
-    """rec_id, per_gt, per_pred: what best_overlaps gives, from the bucketed pairs and aggregates that combine."""
-    pairs = cut(overlap_join(segments.where("gt"), segments.where("not gt"), "rec_id"))
+def record_pairs(segments: DataFrame, tau: float, limit: int = sizes.LIMIT) -> DataFrame:
+    """rec_id, g, p, t of all pairs of a record with t >= tau > 0."""
+    small, large = sizes.split(without_labels(segments), "rec_id", limit=limit)
+    pairs = records(small).select("rec_id", F.explode(candidates(F.col("gt"), F.col("pred"), F.lit(tau))).alias("x"))
+    rows = pairs.select("rec_id", "x.g", "x.p", (-F.col("x.nt")).alias("t"))
+    if large is None:
+        return rows
+    return rows.unionByName(overlap_join(large.where("gt"), large.where("not gt"), "rec_id").where(F.col("t") >= tau))
+
+
+def peeled(pairs: DataFrame, taus: Sequence[float], order: str) -> DataFrame:
+    """tau, rec_id, g, p, t: the greedy matching of each record's pairs (rec_id, g, p, t) at each tau, all taus in the same rounds."""
+    each = pairs.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus]))).where("t >= tau")
+    keyed = each.select(F.struct("rec_id", "tau").alias("key"), "g", "p", "t")
+    done = peel(keyed, "key") if order == "pred" else swapped(peel(swapped(keyed, "key"), "key"), "key")
+    return done.select("key.tau", "key.rec_id", "g", "p", "t")
+
+
+def record_matches(segments: DataFrame, tau: float, order: str = "gt", limit: int = sizes.LIMIT) -> DataFrame:
+    """rec_id, g, p, t: the greedy matching of each record at tau > 0, ties by (g, p), or by (p, g) for order "pred"."""
+    return matches_at(segments, [tau], order, limit).drop("tau")
+
+
+def matches_at(segments: DataFrame, taus: Sequence[float], order: str = "gt", limit: int = sizes.LIMIT) -> DataFrame:
+    """tau, rec_id, g, p, t: as record_matches, for several taus."""
+    small, large = sizes.split(without_labels(segments), "rec_id", limit=limit)
+    rows = matched(small, taus, order=order).select("tau", "rec_id", F.explode("matches").alias("m")).select("tau", "rec_id", "m.g", "m.p", (-F.col("m.nt")).alias("t"))
+    if large is None:
+        return rows
+    pairs = overlap_join(large.where("gt"), large.where("not gt"), "rec_id").where(F.col("t") >= min(taus))
+    return rows.unionByName(peeled(pairs, taus, order))
+
+
+def record_best_overlaps(segments: DataFrame, limit: int = sizes.LIMIT) -> DataFrame:
+    """rec_id, per_gt, per_pred: what best_overlaps gives."""
+    small, large = sizes.split(without_labels(segments), "rec_id", limit=limit)
+    per_gt, per_pred = best_overlaps(F.col("gt"), F.col("pred"))
+    rows = records(small).select("rec_id", per_gt.alias("per_gt"), per_pred.alias("per_pred"))
+    if large is None:
+        return rows
+    return rows.unionByName(spread_best_overlaps(large, cut(overlap_join(large.where("gt"), large.where("not gt"), "rec_id"))))
+
+
+def spread_best_overlaps(segments: DataFrame, pairs: DataFrame) -> DataFrame:
+    """As record_best_overlaps, from all overlapping pairs (rec_id, g, p, t) by aggregates that combine."""
     best = lambda side: pairs.groupBy("rec_id", side).agg(F.max("t").alias("t")).groupBy("rec_id").agg(F.sum("t").alias(f"best_{side}"))
-    sizes = segments.groupBy("rec_id").agg(F.count_if("gt").alias("n_g"), F.count_if(~F.col("gt")).alias("n_p"))
-    rows = sizes.join(best("g"), "rec_id", "left").join(best("p"), "rec_id", "left")
+    sides = segments.groupBy("rec_id").agg(F.count_if("gt").alias("n_g"), F.count_if(~F.col("gt")).alias("n_p"))
+    rows = sides.join(best("g"), "rec_id", "left").join(best("p"), "rec_id", "left")
     mean = lambda side: F.when(F.col(f"n_{side}") == 0, 0.0).otherwise(F.coalesce(f"best_{side}", F.lit(0.0)) / F.col(f"n_{side}"))
     return rows.select("rec_id", mean("g").alias("per_gt"), mean("p").alias("per_pred"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.checkpoints import cut
 from tidemark.functions.labels import has, mask_of
-from tidemark.operators.matching import best_overlaps, matched, overlap_join, peel
+from tidemark.operators import sizes
+from tidemark.operators.matching import best_overlaps, matched, matches_at, overlap_join, peel, peeled, spread_best_overlaps
 from tidemark.sources.records import segments_of
 
 
@@ -32,8 +33,6 @@ def label_rows(gt: Column, pred: Column, matches: Column, policy: str) -> Column
     rows = F.transform(matches, lambda m: made(m["gb"], m["pb"]))
     if policy == "matched_only":
         return rows
-    if policy != "strict":
-        raise ValueError(f"policy is strict or matched_only, not {policy}")
     gs, ps = F.transform(matches, lambda m: m["g"]), F.transform(matches, lambda m: m["p"])
     free_g = F.transform(F.filter(gt, lambda x: ~F.array_contains(gs, x["i"])), lambda x: made(x["b"], F.lit(0)))
     free_p = F.transform(F.filter(pred, lambda x: ~F.array_contains(ps, x["i"])), lambda x: made(F.lit(0), x["b"]))
@@ -41,14 +40,28 @@ def label_rows(gt: Column, pred: Column, matches: Column, policy: str) -> Column
 
 
 def record_metrics(
-    segments: DataFrame, taus: Sequence[float], policy: str = "strict", labels: int = 6, carried: Sequence[str] = (), keys: str | None = None
-) -> DataFrame:
+    segments: DataFrame, taus: Sequence[float], policy: str = "strict", labels: int = 6, carried: Sequence[str] = (), keys: str | None = None,
+    limit: int = sizes.LIMIT,
+) -> DataFrame:
     """One row per tau and record with its counts and metrics, and an array of (tp, fp, fn, tn) by label.
 
     Ratios without any positive count as perfect (1); label rows without rows give 0 for subset and hamming; coverage of
     an empty side is 1. Every record has all labels, or with `keys` (a bit mask of the keys that a segment's labels have)
     those that any of its segments has: only they count as true negatives and as decisions; n_keys says how many they are.
+    Carried columns are the same in all of a record's rows. Records of over `limit` intervals are matched and counted without
+    gathering them (taus must be over 0 for that), with the same result.
     """
+    if policy not in ("strict", "matched_only"):
+        raise ValueError(f"policy is strict or matched_only, not {policy}")
+    small, large = sizes.split(segments, "rec_id", limit=limit) if min(taus) > 0 else (segments, None)
+    rows = gathered_counts(small, taus, policy, labels, carried, keys)
+    if large is not None:
+        rows = rows.unionByName(spread_counts(large, taus, policy, labels, carried, keys))
+    return finished(rows)
+
+
+def gathered_counts(segments: DataFrame, taus: Sequence[float], policy: str, labels: int, carried: Sequence[str], keys: str | None) -> DataFrame:
+    """The counts of record_metrics, by expressions on a row for each record."""
     rows = matched(segments, taus, *carried, keys=keys)
     has_key = (lambda j: has(F.col(keys), j)) if keys else (lambda j: F.lit(True))
     n_keys = F.bit_count(keys) if keys else F.lit(labels)
@@ -70,7 +83,7 @@ def record_metrics(
         return F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + F.bit_count(bits(r["g"], r["p"])))
 
     on_gt, on_pred = best_overlaps(F.col("gt"), F.col("pred"))
-    rows = rows.select(
+    return rows.select(
         "tau", "rec_id", *carried,
         F.size("gt").cast("long").alias("n_gt"), F.size("pred").cast("long").alias("n_pred"), F.size("matches").cast("long").alias("n_matched"),
         F.aggregate("matches", F.lit(0.0), lambda a, m: a - m["nt"]).alias("t_sum"),
@@ -80,6 +93,41 @@ def record_metrics(
         total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(g)).alias("fp"),
         total(lambda g, p: g.bitwiseOR(p).bitwiseXOR(p)).alias("fn"), n_keys.cast("long").alias("n_keys"),
     )
+
+
+def spread_counts(segments: DataFrame, taus: Sequence[float], policy: str, labels: int, carried: Sequence[str], keys: str | None) -> DataFrame:
+    """The counts of record_metrics for records of any size: pairs by time bucket, matches by peeling, labels met by joins, sums that combine."""
+    every = F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau")
+    pairs = cut(overlap_join(segments.where("gt"), segments.where("not gt"), "rec_id"))
+    found = cut(peeled(pairs.where(F.col("t") >= min(taus)), taus, "gt"))
+    own = segments.select(every, "rec_id", "gt", "i", "b")
+    g = own.where("gt").select("tau", "rec_id", F.col("i").alias("g"), F.col("b").alias("gb")).join(found.drop("t"), ["tau", "rec_id", "g"], "left")
+    p = own.where("not gt").select("tau", "rec_id", F.col("i").alias("p"), F.col("b").alias("pb"))
+    rows = g.join(p, ["tau", "rec_id", "p"], "full" if policy == "strict" else "inner").select("tau", "rec_id", *[F.coalesce(f"{x}b", F.lit(0)).alias(x) for x in "gp"])
+
+    x, y = F.col("g"), F.col("p")
+    tests = {"tp": lambda a, b: a & b, "fp": lambda a, b: ~a & b, "fn": lambda a, b: a & ~b, "tn": lambda a, b: ~a & ~b}
+    sums = rows.groupBy("tau", "rec_id").agg(
+        F.count("*").alias("n_rows"), F.count_if(x == y).alias("n_equal"), F.sum(F.bit_count(x.bitwiseAND(y))).alias("tp"),
+        F.sum(F.bit_count(x.bitwiseOR(y).bitwiseXOR(x))).alias("fp"), F.sum(F.bit_count(x.bitwiseOR(y).bitwiseXOR(y))).alias("fn"),
+        *[F.count_if(test(has(x, j), has(y, j))).alias(f"{n}_{j}") for j in range(labels) for n, test in tests.items()],
+    )
+    met = found.groupBy("tau", "rec_id").agg(F.count("*").alias("n_matched"), F.sum("t").alias("t_sum"))
+    mask = [F.coalesce(F.bit_or(keys), F.lit(0)).alias("_keys")] if keys else [F.lit((1 << labels) - 1).alias("_keys")]
+    sides = segments.groupBy("rec_id", *carried).agg(F.count_if("gt").alias("n_gt"), F.count_if(~F.col("gt")).alias("n_pred"), *mask)
+    base = sides.select("*", every).join(spread_best_overlaps(segments, pairs), "rec_id").join(met, ["tau", "rec_id"], "left").join(sums, ["tau", "rec_id"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    counts_of = lambda j: F.struct(*[(zero(f"{n}_{j}") if n != "tn" else F.when(has(F.col("_keys"), j), zero(f"{n}_{j}")).otherwise(0)).alias(n) for n in tests])
+    return base.select(
+        "tau", "rec_id", *carried, "n_gt", "n_pred", zero("n_matched").alias("n_matched"), F.coalesce("t_sum", F.lit(0.0)).alias("t_sum"),
+        zero("n_rows").alias("n_rows"), zero("n_equal").alias("n_equal"), F.col("per_gt").alias("max_tiou_per_gt"), F.col("per_pred").alias("max_tiou_per_pred"),
+        F.array(*map(counts_of, range(labels))).alias("by_label"), *[zero(n).alias(n) for n in ("tp", "fp", "fn")],
+        (F.bit_count("_keys") if keys else F.lit(labels)).cast("long").alias("n_keys"),
+    )
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """The ratios of record_metrics from its counts."""
     c = F.col
     rows = rows.withColumn("tn", c("n_rows") * c("n_keys") - c("tp") - c("fp") - c("fn"))
     none = c("tp") + c("fp") + c("fn") == 0
@@ -234,9 +282,8 @@ def temporal_metrics(segments: DataFrame, scope: str = "pooled", labels: int = 6
         found = peel(each, "key").select("key.label", "key.at", "t")
     else:
         own = rows.withColumn("rec_id", F.struct("rec_id", "label"))
-        done = matched(own, list(names.values()), order="pred").select(F.col("rec_id.label").alias("label"), "tau", F.explode("matches").alias("m"))
         at = F.element_at(F.create_map(*[F.lit(x) for n, tau in names.items() for x in (float(tau), n)]), F.col("tau"))
-        found = done.select("label", at.alias("at"), (-F.col("m.nt")).alias("t"))
+        found = matches_at(own, list(names.values()), "pred").select(F.col("rec_id.label").alias("label"), at.alias("at"), "t")
     made = found.groupBy("label").agg(*[a for n in names for a in (F.count(F.when(F.col("at") == n, 1)).alias(f"n_{n}"), (mean_of_millionths(F.when(F.col("at") == n, F.col("t")))).alias(f"tiou_{n}"))])
     every = segments.sparkSession.range(1, labels + 1).select(F.col("id").alias("label"))
     rows = every.join(counts, "label", "left").join(made, "label", "left").na.fill(0, ["n_gt", "n_pred", "n_any", "n_05", "n_07"])

@@ -38,13 +38,29 @@ rounds AS (SELECT pairs.*, false AS taken FROM pairs
 m AS (SELECT tau, {group}, g, p, t FROM rounds WHERE taken)"""
 
 
+def peeled_records(taus: tuple[float, ...]) -> str:
+    """CTEs `pairs` and `m` as `matches` makes them, by rounds: for records of many pairs. Pairs overlap."""
+    values = ", ".join(f"({t!r}::DOUBLE)" for t in taus)
+    best = lambda end: f"row_number() OVER (PARTITION BY tau, rec_id, {end} ORDER BY t DESC, g, p) = 1"
+    return f"""
+taus(tau) AS (VALUES {values}),
+pairs AS (SELECT g.rec_id, g.i AS g, p.i AS p, g.b AS gb, p.b AS pb, {tiou('g', 'p')} AS t FROM seg g JOIN seg p ON g.rec_id = p.rec_id AND g.gt AND NOT p.gt AND g.s < p.e AND p.s < g.e),
+rounds AS (SELECT tau, pairs.*, false AS taken FROM pairs JOIN taus ON t >= tau
+  UNION ALL SELECT tau, rec_id, g, p, gb, pb, t, now FROM (SELECT *, bool_or(now) OVER (PARTITION BY tau, rec_id, g) AS gone_g, bool_or(now) OVER (PARTITION BY tau, rec_id, p) AS gone_p
+    FROM (SELECT tau, rec_id, g, p, gb, pb, t, {best('g')} AND {best('p')} AS now FROM rounds WHERE NOT taken)) WHERE now OR NOT (gone_g OR gone_p)),
+m AS (SELECT tau, rec_id, g, p, t, gb, pb FROM rounds WHERE taken)"""
+
+
+#: Segments of which a tenth are one record, and all segments on one axis.
+SEG_HOT = SEG.replace("seg AS (", "seg0 AS (") + ", seg AS (SELECT * REPLACE (CASE WHEN i % 20 < 2 THEN -1 ELSE rec_id END AS rec_id) FROM seg0)"
+SEG_LINE = SEG.replace("seg AS (", "seg0 AS (") + ", seg AS (SELECT * REPLACE (0 AS rec_id, s + shift AS s, e + shift AS e) FROM (SELECT *, 1000 * user_id + 168 * iter AS shift FROM seg0))"
 #: Segments with kb, the keys that their labels have: CTE `seg`.
 KEYS = " | ".join(f"CASE WHEN (k + {j}) % 4 <> 0 THEN {1 << j} ELSE 0 END" for j in LABELS)
 SEG_KEYED = SEG.replace("seg AS (", "seg0 AS (") + f", seg AS (SELECT *, CASE WHEN k % 9 = 0 THEN b ELSE b | {KEYS} END AS kb FROM seg0)"
 
 
-def record_metrics(taus: tuple[float, ...], policy: str, keyed: bool = False) -> str:
-    """CTEs up to `rm`: one row per tau and record. keyed: a record has the labels that its segments' keys name."""
+def record_metrics(taus: tuple[float, ...], policy: str, keyed: bool = False, hot: bool = False) -> str:
+    """CTEs up to `rm`: one row per tau and record. keyed: a record has the labels that its segments' keys name. hot: a tenth of all segments are one record."""
     own = "JOIN (SELECT rec_id AS kr, bit_or(kb) AS ks FROM seg GROUP BY rec_id) ON kr = rec_id, range(6) AS u(j) WHERE (ks >> j) % 2 = 1" if keyed else ", range(6) AS u(j)"
     n_keys = "bit_count(bit_or(kb))" if keyed else "6"
     strict = """
@@ -55,7 +71,7 @@ def record_metrics(taus: tuple[float, ...], policy: str, keyed: bool = False) ->
         "fn": "(g >> j) % 2 = 1 AND (p >> j) % 2 = 0", "tn": "(g >> j) % 2 = 0 AND (p >> j) % 2 = 0",
     }
     counts = ", ".join(f"count(*) FILTER ({t}) AS {n}" for n, t in bits.items())
-    return f"""WITH RECURSIVE {SEG_KEYED if keyed else SEG}, {matches(taus)},
+    return f"""WITH RECURSIVE {SEG_HOT if hot else SEG_KEYED if keyed else SEG}, {peeled_records(taus) if hot else matches(taus)},
 rr(tau, rec_id, g, p) AS (SELECT tau, rec_id, gb, pb FROM m{strict if policy == 'strict' else ''}),
 lc AS (SELECT tau, rec_id, j, {counts} FROM rr {own} GROUP BY ALL),
 la AS (SELECT tau, rec_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, CAST(sum(tn) AS BIGINT) AS tn,
@@ -80,8 +96,8 @@ REAL = ("micro_p", "micro_r", "micro_f1", "macro_f1", "mean_tiou", "gt_coverage"
 WHOLE = ("n_gt", "n_pred", "n_matched", "n_rows", "n_equal", "tp", "fp", "fn", "tn")
 
 
-def record_rows(taus: tuple[float, ...], policy: str, keyed: bool = False) -> str:
-    return f"{record_metrics(taus, policy, keyed)} SELECT tau, rec_id, {', '.join(WHOLE)}, {', '.join(f'round({c}, 6) AS {c}' for c in REAL)} FROM rm"
+def record_rows(taus: tuple[float, ...], policy: str, keyed: bool = False, hot: bool = False) -> str:
+    return f"{record_metrics(taus, policy, keyed, hot)} SELECT tau, rec_id, {', '.join(WHOLE)}, {', '.join(f'round({c}, 6) AS {c}' for c in REAL)} FROM rm"
 
 
 def summary(taus: tuple[float, ...], policy: str, keys: str, means: dict[str, str]) -> str:

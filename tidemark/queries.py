@@ -70,6 +70,17 @@ def record_metrics_matched_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.record_metrics(segments(spark, sf_dir), TAUS, "matched_only"))
 
 
+def hot_record(rows: DataFrame) -> DataFrame:
+    """Segments of which a tenth are one record."""
+    return rows.withColumn("rec_id", F.when(F.col("i") % 20 < 2, F.lit(-1).cast("long")).otherwise(F.col("rec_id")))
+
+
+@query(sql.record_rows(TAUS, "strict", hot=True))
+def record_metrics_hot_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record with a tenth of all rows beside ordinary ones."""
+    return rounded(metrics.record_metrics(hot_record(segments(spark, sf_dir)), TAUS))
+
+
 def by_model(spark: SparkSession, sf_dir: str, policy: str = "strict", taus: tuple[float, ...] = TAUS) -> DataFrame:
     return metrics.record_metrics(segments(spark, sf_dir), taus, policy, carried=("model_id", "iter"))
 
@@ -191,13 +202,35 @@ def merged_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.groupBy("rec_id", "gt").agg(F.count("*").alias("n"), F.round(F.sum(F.col("e") - F.col("s")), 6).alias("total"))
 
 
-@query(f"""WITH {SEG}, {sql.ISLANDS.format(src='seg')}, d AS (SELECT rec_id, sum(e - s) AS d FROM islands GROUP BY rec_id),
+ISLANDS = sql.ISLANDS.format(src="seg")
+UNION_IOU = """WITH {seg}, {islands}, d AS (SELECT rec_id, sum(e - s) AS d FROM islands GROUP BY rec_id),
 o AS (SELECT a.rec_id, sum(least(a.e, b.e) - greatest(a.s, b.s)) AS o FROM islands a JOIN islands b ON a.rec_id = b.rec_id AND a.gt AND NOT b.gt AND a.s < b.e AND b.s < a.e GROUP BY ALL),
 r AS (SELECT DISTINCT rec_id FROM seg)
-SELECT rec_id, round(CASE WHEN d IS NULL THEN 1.0 WHEN d - coalesce(o, 0) <= 0 THEN 0.0 ELSE coalesce(o, 0) / (d - coalesce(o, 0)) END, 6) AS iou FROM r LEFT JOIN d USING (rec_id) LEFT JOIN o USING (rec_id)""")
+SELECT rec_id, round(CASE WHEN d IS NULL THEN 1.0 WHEN d - coalesce(o, 0) <= 0 THEN 0.0 ELSE coalesce(o, 0) / (d - coalesce(o, 0)) END, 6) AS iou FROM r LEFT JOIN d USING (rec_id) LEFT JOIN o USING (rec_id)"""
+
+
+@query(UNION_IOU.format(seg=SEG, islands=ISLANDS))
 def union_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matching.records(segments(spark, sf_dir)).select("rec_id", ranges.union_of(F.col("gt")).alias("g"), ranges.union_of(F.col("pred")).alias("p"))
-    return rows.select("rec_id", F.round(ranges.union_iou(F.col("g"), F.col("p")), 6).alias("iou"))
+    return ranges.shared(segments(spark, sf_dir), "rec_id").select("rec_id", F.round(ranges.shared_iou(), 6).alias("iou"))
+
+
+def on_one_axis(rows: DataFrame) -> DataFrame:
+    """All segments as one record, users and weeks one after another."""
+    shift = 1000 * F.col("user_id") + 168 * F.col("iter")
+    return rows.withColumns({"rec_id": F.lit(0).cast("long"), "s": F.col("s") + shift, "e": F.col("e") + shift})
+
+
+@query(f"WITH {sql.SEG_LINE}, {sql.ISLANDS.format(src='seg')} SELECT rec_id, gt, count(*) AS n, round(sum(e - s), 3) AS total FROM islands GROUP BY ALL")
+def merged_ranges_one_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows are one record's."""
+    made = ranges.merged(on_one_axis(segments(spark, sf_dir)), "rec_id", "gt")
+    return made.groupBy("rec_id", "gt").agg(F.count("*").alias("n"), F.round(F.sum(F.col("e") - F.col("s")), 3).alias("total"))
+
+
+@query(UNION_IOU.format(seg=sql.SEG_LINE, islands=ISLANDS))
+def union_iou_one_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows are one record's."""
+    return ranges.shared(on_one_axis(segments(spark, sf_dir)), "rec_id").select("rec_id", F.round(ranges.shared_iou(), 6).alias("iou"))
 
 
 @query(f"""WITH {SEG}, w AS (SELECT rec_id, i, s, e, max(e) OVER (PARTITION BY rec_id ORDER BY s, e, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r,
