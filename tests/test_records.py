@@ -104,3 +104,41 @@ def test_tables_have_their_columns(spark, tmp_path):
     sinks.write_document({"a": "é"}, str(tmp_path / "d.json"), ascii_only=True)
     assert "\\u00e9" in (tmp_path / "d.json").read_text()
     assert shared_dir(spark)
+
+
+def every_beginning(text, left, right, read):
+    """What the first beginning from the last gives that ends with the text's last bracket."""
+    close = text.rfind(right)
+    for at in range(close, -1, -1):
+        if text[at] == left:
+            found = read(text[at : close + 1])
+            if found is not None:
+                return found
+    return None
+
+
+def test_recovery_is_what_trying_every_bracket_gives():
+    import json
+    import random
+
+    def a_list(t):
+        try:
+            return x if isinstance(x := json.loads(t), list) else None
+        except ValueError:
+            return None
+
+    draw = random.Random(5)
+    bits = ["[", "]", "{", "}", '"', "'", "\\", "a", " ", "1", ",", ":", "[1, 2]", '{"a": "b]"}', '{"a": [1, "x\\"]"]}', "{'k': 'v}'}", '"it\'s"', '[{"S": 1}]', '\\"', "{'a': \"it's\"}"]
+    for _ in range(20_000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randint(1, 10)))
+        assert jsonx.find_list(text) == every_beginning(text, "[", "]", a_list), text
+        assert jsonx.find_object(text) == every_beginning(text, "{", "}", jsonx.read_object), text
+
+
+def test_recovery_is_linear():
+    import time
+
+    for text in ("[" * 1_000_000, "[" * 1_000_000 + " x ]", "[1," * 300_000 + "]", "{" * 1_000_000 + "x}", "[1] " * 250_000 + "x]"):
+        start = time.perf_counter()
+        assert jsonx.find_list(text) is None and jsonx.find_object(text) is None
+        assert time.perf_counter() - start < 1

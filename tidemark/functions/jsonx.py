@@ -1,7 +1,7 @@
 """JSON lists in noisy text, and interval payloads in either dialect.
 
-Only the recovery of a JSON list needs Python: it relies on a strict parser that rejects what follows the value. It is an
-Arrow-batched UDF that gives the list's objects back as JSON text; everything after it is column functions.
+Only the recovery of a JSON value from noise needs Python: it relies on a strict parser that rejects what follows the value. It is
+linear in the text, an Arrow-batched UDF that gives the list's objects back as JSON text; everything after it is column functions.
 """
 
 from __future__ import annotations
@@ -17,55 +17,79 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.labels import label_bits, prefix_bits, raw_map, true_python, true_word
-from tidemark.functions.texts import after_marker, strip
+from tidemark.functions.texts import after_marker, let, strip
 
 MAPS = "array<map<string,string>>"
 
 
-def find_list(text: str | None, last_resort: bool = True) -> list | None:
-    """The first strict JSON list among: the bracketed text; from each [ (last first) to the end or the last ]; the text."""
-    if text is None:
+BRACKET_OR_QUOTE = re.compile(r"""["'\[\]{}]""")
+FENCE, FENCE_END = re.compile(r"```(?:json)?\s*(?=\{)"), re.compile(r"\}\s*```")
+
+
+def opening(text: str, close: int) -> int:
+    """Where the bracket opens that ends at close, or -1: the only place where a value ending there can begin.
+
+    Goes back from close, which stands outside any string: there a quote is a string's end, and the string reaches back to the
+    nearest such quote that no odd number of backslashes escapes. So the text is read once, and only open brackets are kept.
+    """
+    back = text[close::-1]
+    expected: list[str] = []
+    at = 0
+    while found := BRACKET_OR_QUOTE.search(back, at):
+        sign, here = found[0], found.start()
+        at = here + 1
+        if sign in "\"'":
+            while (at := back.find(sign, at) + 1) and (len(back[at : at + 64]) - len(back[at : at + 64].lstrip("\\"))) % 2:
+                pass
+            if not at:
+                return -1
+        elif sign in "]}":
+            expected.append("[" if sign == "]" else "{")
+        elif expected.pop() != sign:
+            return -1
+        elif not expected:
+            return close - here
+    return -1
+
+
+def find_list(text: str | None) -> list | None:
+    """The strict JSON list that ends at the text's last ], wherever it begins; null without one.
+
+    It is what one finds by trying every [ from last to first: no other can be the beginning.
+    """
+    close = -1 if text is None else text.rfind("]")
+    at = opening(text, close) if close >= 0 else -1
+    if at < 0:
+        return None
+    try:
+        value = json.loads(text[at : close + 1])
+    except (ValueError, RecursionError):
         return None
-    tries = [text] if text[:1] == "[" and text[-1:] == "]" else []
-    close = text.rfind("]")
-    at = text.rfind("[")
-    while at >= 0:
-        tail = text[at:].strip()
-        tries.append(tail if tail.endswith("]") or close <= at else text[at : close + 1].strip())
-        at = text.rfind("[", 0, at)
-    for t in [*tries, text] if last_resort else tries:
+    return value if isinstance(value, list) else None
+
+
+def read_object(text: str) -> dict | None:
+    """A dictionary written as JSON, else as a Python literal."""
+    for read in (json.loads, ast.literal_eval):
         try:
-            value = json.loads(t)
-        except ValueError:
+            value = read(text)
+        except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
             continue
-        if isinstance(value, list):
-            return value
+        return value if isinstance(value, dict) else None
     return None
 
 
 def find_object(text: str | None) -> dict | None:
-    """The first object among: the fenced one; from each { (last first) to the end or the last }; the outermost; the text. JSON, else a Python literal."""
+    """The object in the first fence, else the one that ends at the text's last }. JSON, else a Python literal."""
     if text is None:
         return None
-    fenced = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.S)
-    tries = [fenced[1]] if fenced else []
-    close, at = text.rfind("}"), text.rfind("{")
-    outer = text.find("{")
-    while at >= 0:
-        tail = text[at:].strip()
-        tries.append(tail if tail.endswith("}") or close <= at else text[at : close + 1].strip())
-        at = text.rfind("{", 0, at) if at else -1
-    tries += [text[outer : close + 1]] * (0 <= outer < close) + [text.strip()]
-    for t in tries:
-        for read in (json.loads, ast.literal_eval):
-            try:
-                value = read(t)
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                continue
-            if isinstance(value, dict):
-                return value
-            break
-    return None
+    fence = FENCE.search(text)
+    end = FENCE_END.search(text, fence.end()) if fence else None
+    if end and (found := read_object(text[fence.end() : end.start() + 1])) is not None:
+        return found
+    close = text.rfind("}")
+    at = opening(text, close) if close >= 0 else -1
+    return read_object(text[at : close + 1]) if at >= 0 else None
 
 
 @F.pandas_udf(T.StringType())
@@ -86,13 +110,6 @@ def recover_json_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: objects_of(find_list(t)), na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def recover_json_list_strictly(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Without the whole text as a last resort."""
-    for batch in texts:
-        yield batch.map(lambda t: objects_of(find_list(t, False)), na_action="ignore")
-
-
 def plain_json_list(text: Column) -> Column:
     """The text, without outer backticks, if it is a JSON list of objects; else null."""
     bare = F.when(strip(text).startswith("```"), F.regexp_replace(strip(text), "^`+|`+$", "")).otherwise(strip(text))
@@ -165,13 +182,20 @@ def display_interval(raw: Column) -> Column:
 
 
 def three_part_answer(text: Column) -> Column:
-    """(description, labels as a map of raw values, explanation) of ``DESCRIPTION: .. GUARDRAIL: {..} EXPLANATION: ..``; null if it isn't one."""
+    """(description, labels as a map of raw values, explanation) of ``DESCRIPTION: .. GUARDRAIL: {..} EXPLANATION: ..``; null if it isn't one.
+
+    The three parts and the map are computed once a row, whatever is made of them.
+    """
     # fixed value: the form of such answers
     pattern = r"(?s)DESCRIPTION:\s*(.*?)\s*GUARDRAIL:\s*(\{.*?\})\s*EXPLANATION:\s*(.*)\z"
-    part = lambda g: F.regexp_extract(text, pattern, g)
     value = lambda x, word: F.regexp_replace(x, rf"(:\s*){word}(?=\s*[,}}])", "$1" + word.lower())
-    labels = raw_map(value(value(part(2), "True"), "False"))
-    return F.when(text.rlike(pattern) & labels.isNotNull(), F.struct(strip(part(1)).alias("description"), labels.alias("labels"), strip(part(3)).alias("explanation")))
+    parts = lambda t: F.when(t.contains("GUARDRAIL:"), F.struct(*[F.regexp_extract(t, pattern, g).alias(f"_{g}") for g in (1, 2, 3)]))
+
+    def made(p: Column) -> Column:
+        answer = lambda labels: F.when(labels.isNotNull(), F.struct(strip(p["_1"]).alias("description"), labels.alias("labels"), strip(p["_3"]).alias("explanation")))
+        return let(F.when(p["_2"] != "", raw_map(value(value(p["_2"], "True"), "False"))), answer)
+
+    return let(text, lambda t: let(parts(t), made))
 
 
 def has_details(answer: Column) -> Column:
@@ -181,19 +205,23 @@ def has_details(answer: Column) -> Column:
 
 def clip_answer(answer: Column) -> Column:
     """A three-part answer with None for missing texts; null if texts are missing and any label is true."""
-    any_true = F.exists(F.map_values(answer["labels"]), lambda v: true_python(v))
-    some = lambda k: F.when(answer[k] == "", F.lit("None")).otherwise(answer[k]).alias(k)
-    return F.when(has_details(answer), answer).when(~any_true, F.struct(some("description"), answer["labels"].alias("labels"), some("explanation")))
+
+    def made(answer: Column) -> Column:
+        any_true = F.exists(F.map_values(answer["labels"]), true_python)
+        some = lambda k: F.when(answer[k] == "", F.lit("None")).otherwise(answer[k]).alias(k)
+        return F.when(has_details(answer), answer).when(~any_true, F.struct(some("description"), answer["labels"].alias("labels"), some("explanation")))
+
+    return let(answer, made)
 
 
 def full_categories(text: Column) -> Column:
     """Label bits of a three-part answer to a whole recording; null if it isn't one."""
-    return prefix_bits(three_part_answer(after_marker(text))["labels"])
+    return let(three_part_answer(after_marker(text)), lambda answer: F.when(answer.isNotNull(), prefix_bits(answer["labels"])))
 
 
 def interval_categories(text: Column) -> Column:
     """Label bits of all intervals in an answer; null if it holds no JSON list."""
-    flags = F.transform(raw_objects(recover_json_list_strictly(after_marker(text))), lambda x: F.coalesce(prefix_bits(raw_map(F.try_element_at(x, F.lit("GUARDRAIL")))), F.lit(0)))
+    flags = F.transform(raw_objects(recover_json_list(after_marker(text))), lambda x: F.coalesce(prefix_bits(raw_map(F.try_element_at(x, F.lit("GUARDRAIL")))), F.lit(0)))
     return F.aggregate(flags, F.lit(0), lambda a, x: a.bitwiseOR(x))
 
 

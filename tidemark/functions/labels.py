@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.texts import let
+
 #: The label set. A label's code is what stands before the bracket.
 STANDARD = (
     "C1(Sexual Content)",
@@ -30,8 +32,8 @@ def true_number(raw: Column) -> Column:
 
 def true_python(raw: Column) -> Column:
     """A JSON value is true unless it is false, null, 0, or an empty text, list or object ("false" in quotes is true)."""
-    empty = raw.isNull() | raw.isin("false", "null", '""', "[]", "{}")
-    return F.when(empty, False).otherwise(F.coalesce(raw.try_cast("double") != 0, F.lit(True)))
+    empty = lambda x: x.isNull() | x.isin("false", "null", '""', "[]", "{}")
+    return let(raw, lambda x: F.when(empty(x), False).when(x == "true", True).otherwise(F.coalesce(x.try_cast("double") != 0, F.lit(True))))
 
 
 def true_word(raw: Column) -> Column:
@@ -47,10 +49,15 @@ def label_value(labels: Column, standard: str) -> Column:
     return F.get(fits, 0)["value"]
 
 
+def mask(tests: Sequence[Column]) -> Column:
+    """Bit mask of the tests that hold; null counts as false."""
+    bits = [F.when(test, 1 << j).otherwise(0) for j, test in enumerate(tests)]
+    return sum(bits[1:], bits[0])
+
+
 def label_bits(labels: Column, standard: Sequence[str] = STANDARD) -> Column:
     """Bit mask of the labels whose value is true by Python's rule; labels is a map of raw JSON values."""
-    bits = [F.when(true_python(label_value(labels, name)), 1 << j).otherwise(0) for j, name in enumerate(standard)]
-    return sum(bits[1:], bits[0])
+    return let(labels, lambda found: mask([true_python(label_value(found, name)) for name in standard]))
 
 
 def is_standard(labels: Column, standard: Sequence[str] = STANDARD) -> Column:
@@ -80,9 +87,8 @@ def as_map(bits: Column, standard: Sequence[str] = STANDARD) -> Column:
 
 def prefix_bits(labels: Column, codes: Sequence[str] = ("C1", "C2", "C3", "C4", "C5", "C6")) -> Column:
     """Bit mask of the codes whose first key that starts with ``code(`` is true."""
-    value = lambda code: F.get(F.filter(F.map_entries(labels), lambda e: e["key"].startswith(f"{code}(")), 0)["value"]
-    bits = [F.when(true_python(value(code)), 1 << j).otherwise(0) for j, code in enumerate(codes)]
-    return sum(bits[1:], bits[0])
+    value = lambda entries, code: F.get(F.filter(entries, lambda e: e["key"].startswith(f"{code}(")), 0)["value"]
+    return let(F.map_entries(labels), lambda entries: mask([true_python(value(entries, code)) for code in codes]))
 
 
 def key_union(maps: Column) -> Column:

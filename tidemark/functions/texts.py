@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with value computed once per row, however often body uses it; the optimizer doesn't spread it either."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(text: Column) -> Column:
     """Without white space (also Unicode's) at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

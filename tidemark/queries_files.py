@@ -11,7 +11,7 @@ from tidemark.functions import labels
 from tidemark.operators import matching, metrics
 from tidemark.plans import media
 from tidemark.registry import query, read
-from tidemark.sources import records, scans, sinks
+from tidemark.sources import datasource, records, scans, sinks
 from tidemark.sources.events import SQL as SEG
 from tidemark.sources.events import segments
 
@@ -73,15 +73,31 @@ def eval_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recs.select("rec_id", "iter", "model_id", F.when(F.col("bad"), "{broken").otherwise(F.to_json(body)).alias("line"))
 
 
-@query(sql.summary_of_usable((0.5,), "strict", "tau, iter", metrics.MEANS))
-def evaluated_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A folder of results by iteration, the last one in the old layout of a file per record, scanned and evaluated with the records' own labels."""
+def iteration_folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of results by iteration, the last one in the old layout of a file per record."""
     root = scratch(spark, "iterations")
     made = cut(eval_lines(spark, sf_dir))
     at = lambda form, *c: F.format_string(form, *c)
     last = F.col("iter") == 4
     sinks.write_files(made.where(~last).withColumn("name", at("iter_%d/records.jsonl", "iter")), root, "name", "line", "rec_id")
     sinks.write_files(made.where(last).withColumn("name", F.when(F.col("rec_id") % 20 < 10, at("iter_%d/pred_%d.json", "iter", "rec_id")).otherwise(at("iter_%d_pred_%d.json", "iter", "rec_id"))), root, "name", "line", "rec_id")
+    return root
+
+
+@query(f"""WITH {SEG}, r AS (SELECT rec_id, iter, bool_or(k = 99) AS bad, count(*) FILTER (gt) AS g, count(*) FILTER (NOT gt) AS p FROM seg GROUP BY ALL)
+SELECT CAST(iter AS INT) AS iter, count(*) AS n, count(*) FILTER (bad) AS n_bad, CAST(coalesce(sum(g) FILTER (NOT bad), 0) AS BIGINT) AS n_gt, CAST(coalesce(sum(p) FILTER (NOT bad), 0) AS BIGINT) AS n_pred FROM r WHERE iter >= 2 GROUP BY iter""")
+def record_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder read by its own format; the filter on iterations leaves files unopened."""
+    datasource.register(spark)
+    rows = datasource.with_records(spark.read.format(datasource.NAME).load(iteration_folder(spark, sf_dir)).where("iter >= 2"))
+    n = lambda side: F.sum(F.when(F.col("is_valid"), F.size(f"record.{side}.intervals.chunk_order")).otherwise(0)).cast("long")
+    return rows.groupBy("iter").agg(F.count("*").alias("n"), F.count_if(~F.col("is_valid")).alias("n_bad"), n("ground_truth").alias("n_gt"), n("prediction").alias("n_pred"))
+
+
+@query(sql.summary_of_usable((0.5,), "strict", "tau, iter", metrics.MEANS))
+def evaluated_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of results by iteration, the last one in the old layout of a file per record, scanned and evaluated with the records' own labels."""
+    root = iteration_folder(spark, sf_dir)
     rows = records.iteration_records(spark, root).withColumn("rec_id", F.struct("iter", "rec_idx"))
     return metrics.summary_of_usable(metrics.evaluate(rows, (0.5,), carried=("iter",)), "tau", "iter")
 

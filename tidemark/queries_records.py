@@ -146,7 +146,7 @@ def strict_and_plain_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists as they are, in backticks, after words, behind a language name, or broken; the plain form takes the first two."""
     n, body = F.col("i") % 5, F.concat(F.lit('[{"START_SEC": '), F.col("k").cast("string"), F.lit("}]"))
     text = F.when(n == 0, body).when(n == 1, F.concat(F.lit("```"), body, F.lit("```"))).when(n == 2, F.concat(F.lit("Well: "), body)).when(n == 3, F.concat(F.lit("```json\n"), body, F.lit("```"))).otherwise(F.lit("[1, 2"))
-    rows = segments(spark, sf_dir).select("i", jsonx.raw_objects(jsonx.recover_json_list_strictly(text)).alias("s"), jsonx.plain_json_list(text).alias("p"))
+    rows = segments(spark, sf_dir).select("i", jsonx.raw_objects(jsonx.recover_json_list(text)).alias("s"), jsonx.plain_json_list(text).alias("p"))
     size = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return rows.select("i", size("s").alias("n_strict"), size("p").alias("n_plain"))
 

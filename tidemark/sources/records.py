@@ -24,6 +24,11 @@ ITER_FILE = r"(?i)/iter_(\d+)/records\.jsonl$"
 OLD_FILES = (r"(?i)/iter_(\d+)/pred_(\d+)\.json$", r"(?i)/iter_(\d+)_pred_(\d+)\.json$")
 
 
+def decoded(path) -> F:
+    """A file's path as it is named; _metadata has it percent-encoded."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def lines(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
     """file, line (0-based, blank lines count), raw: the lines that are not blank.
 
@@ -33,7 +38,7 @@ def lines(spark: SparkSession, path: str, recursive: bool = False, glob: str | N
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     at = F.monotonically_increasing_id()
-    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_at"), F.col("value").alias("raw"))
+    rows = reader.text(path).select(decoded(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("_block"), at.alias("_at"), F.col("value").alias("raw"))
     blocks = rows.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -46,12 +51,12 @@ def is_object(raw) -> F:
     return F.coalesce(F.expr("schema_of_variant(try_parse_json(raw))").startswith("OBJECT"), F.lit(False))
 
 
-def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.StructType = EVAL, objects: bool = True, **options) -> DataFrame:
+def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.StructType = EVAL, objects: bool = True, strict_index: bool = False, **options) -> DataFrame:
     """file, line, is_valid, rec_idx, record of each line.
 
     permissive keeps lines that are no JSON objects as rows with is_valid false; failfast raises for them when run.
     objects=False takes any JSON value as valid; record is null where that is no object. rec_idx is the record's
-    jsonl_record_index where that is a number, else the line.
+    jsonl_record_index where that is a number, else the line; with strict_index one that is no number raises.
     """
     if mode not in ("permissive", "failfast"):
         raise ValueError(f"mode is permissive or failfast, not {mode}")
@@ -60,14 +65,20 @@ def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.St
     if mode == "failfast":
         record = record.otherwise(F.raise_error(F.concat(F.lit("no JSON object in "), "file", F.lit(" line "), F.col("line").cast("string"))))
     rows = rows.withColumn("record", record)
-    index = F.coalesce(F.col("record.jsonl_record_index").try_cast("int"), F.col("line")) if "jsonl_record_index" in schema.fieldNames() else F.col("line")
+    index = F.col("line")
+    if "jsonl_record_index" in schema.fieldNames():
+        own = F.col("record.jsonl_record_index")
+        index = F.coalesce(own.try_cast("int"), index)
+        if strict_index:
+            wrong = F.raise_error(F.concat(F.lit("a record index that is no number in "), "file", F.lit(" line "), F.col("line").cast("string")))
+            index = F.when(own.isNotNull() & own.try_cast("int").isNull(), wrong.cast("int")).otherwise(index)
     return rows.select("file", "line", "is_valid", index.alias("rec_idx"), "record")
 
 
 def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """file, is_valid, record of each file that holds one JSON document."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw")).withColumn("is_valid", is_object("raw"))
+    rows = rows.select(decoded(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("raw")).withColumn("is_valid", is_object("raw"))
     return rows.select("file", "is_valid", F.when(F.col("is_valid"), F.from_json("raw", EVAL)).alias("record"))
 
 
@@ -89,8 +100,11 @@ def segments_of(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def iteration_records(spark: SparkSession, root: str) -> DataFrame:
-    """iter, rec_idx, is_valid, record: iter_N/records.jsonl, and the one-file-per-record layouts of iterations without it."""
-    new = jsonl(spark, root, recursive=True, glob="records.jsonl").withColumn("iter", F.regexp_extract("file", ITER_FILE, 1).try_cast("int")).where("iter is not null")
+    """iter, rec_idx, is_valid, record: iter_N/records.jsonl, and the one-file-per-record layouts of iterations without it.
+
+    A record index that is no number raises.
+    """
+    new = jsonl(spark, root, recursive=True, glob="records.jsonl", strict_index=True).withColumn("iter", F.regexp_extract("file", ITER_FILE, 1).try_cast("int")).where("iter is not null")
     a, b = OLD_FILES
     part = lambda g: F.coalesce(F.regexp_extract("file", a, g).try_cast("int"), F.regexp_extract("file", b, g).try_cast("int"))
     old = whole_files(spark, root).withColumns({"iter": part(1), "rec_idx": part(2)}).where("iter is not null").dropDuplicates(["file"])
@@ -103,7 +117,8 @@ def model_results(spark: SparkSession, root: str) -> DataFrame:
     """model, rec_idx, is_valid, record of every .jsonl file below root but records.jsonl; model is its path without suffix."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     rows = jsonl(spark, root, recursive=True, glob="*.jsonl").where(~F.col("file").endswith("/records.jsonl"))
-    model = F.regexp_replace(F.regexp_replace("file", "^.*" + base.replace(".", r"\.") + "/", ""), r"\.[^./]+$", "")
+    model = F.regexp_replace(F.expr("substring(file, instr(file, base) + length(base))"), r"\.[^./]+$", "")
+    rows = rows.withColumn("base", F.lit(base + "/"))
     return rows.select(model.alias("model"), "rec_idx", "is_valid", "record")
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.records import decoded
+
 ANNOTATION = "array<struct<video:string,conversations:array<struct<`from`:string,value:string>>>>"
 CLIP = "array<struct<video_path:string,labels:array<string>,subcategories:array<string>,video_content:string,violate_reason:string>>"
 
@@ -23,7 +25,7 @@ def folder(file: Column, up: int = 1) -> Column:
 def documents(spark: SparkSession, path: str, schema: str, glob: str = "*.json") -> DataFrame:
     """file, is_valid, value of each JSON document below path, read by the schema; value is null where it doesn't parse."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = rows.select(F.url_decode(F.col("_metadata.file_path")).alias("file"), "value")
+    rows = rows.select(decoded(F.col("_metadata.file_path")).alias("file"), "value")
     return rows.select("file", F.try_parse_json("value").isNotNull().alias("is_valid"), F.from_json("value", schema).alias("value"))
 
 
