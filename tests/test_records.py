@@ -101,7 +101,7 @@ def test_choices_raise_where_there_is_none(spark):
 def test_tables_have_their_columns(spark, tmp_path):
     table = sinks.report_table(spark.createDataFrame([(1, 0.5)], "iter int, tau double"), sinks.ITERATION_COLUMNS)
     assert table.columns[:4] == ["run", "iteration", "tiou_threshold", "unmatched_policy"] and table.head().iteration == 1
-    sinks.write_document({"a": "é"}, str(tmp_path / "d.json"), ascii_only=True)
+    sinks.write_document(spark, {"a": "é"}, str(tmp_path), "d.json", ascii_only=True)
     assert "\\u00e9" in (tmp_path / "d.json").read_text()
     assert shared_dir(spark)
 

@@ -54,8 +54,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "c"), "tau")
     got = spark.read.option("escape", "\\").csv(str(tmp_path / "c"), header=True).orderBy("tau").collect()
     assert json.loads(got[1].m) == {"b": 2, "z": 1} and got[1].m.index("b") < got[1].m.index("z")
-    sinks.write_report(df, str(tmp_path / "r.json"), "tau", "model", mode="model")
-    report = json.loads((tmp_path / "r.json").read_text())
+    sinks.write_report(df, str(tmp_path), "reports/r.json", "tau", "model", mode="model", taus=[0.3, 0.5])
+    report = json.loads((tmp_path / "reports/r.json").read_text())
+    assert report["taus"] == [0.3, 0.5] and list(report["by_tau"]) == ["0.3", "0.5"]
     assert report["mode"] == "model" and report["by_tau"]["0.5"]["a"]["m"] == {"z": 1, "b": 2}
     wide = sinks.side_by_side(df, "model", "tau", [0.3, 0.5], "tau").collect()
     assert [tuple(r) for r in wide] == [("a", "—", "0.500"), ("b", "0.300", "—")]
@@ -80,3 +81,38 @@ def test_lines_stream_in(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("lines_in").count() == 2
+
+
+def test_records_in_state_are_scored_once_and_late_ones_given_up(spark, tmp_path):
+    """Segments come in several files; a query that is stopped, and whose last batch is lost, gives the same table when it is restarted."""
+    import shutil
+
+    kind = "rec_id long, gt boolean, i long, s double, e double, b int, expected long, ts timestamp"
+    at = lambda minute: f"2026-01-01 00:{minute:02d}:00"
+    batches = [
+        [(1, True, 1, 0.0, 4.0, 1, 3, at(0)), (2, True, 1, 0.0, 4.0, 1, 2, at(0)), (3, False, 7, 0.0, 1.0, 3, 1, at(1))],
+        [(1, False, 2, 0.0, 4.0, 1, 3, at(2)), (1, True, 1, 0.0, 4.0, 1, 3, at(2))],
+        [(1, False, 3, 8.0, 9.0, 2, 3, at(3)), (4, True, 1, 0.0, 1.0, 1, 9, at(3))],
+        [(5, True, 1, 0.0, 1.0, 1, 1, at(50))],
+        [(6, True, 1, 0.0, 1.0, 1, 1, at(55))],
+    ]
+
+    def run(n, out, state):
+        for k, rows in enumerate(batches[:n]):
+            if not (tmp_path / f"in{k}").exists():
+                spark.createDataFrame(rows, "rec_id long, gt boolean, i long, s double, e double, b int, expected long, ts string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "in*"))
+        live.write_batches(live.stream_metrics(stream, (0.5,), late="10 minutes"), out, state).awaitTermination()
+        got = spark.read.parquet(out)
+        return sorted((r.rec_id, r.complete, r.n_gt, r.n_pred, r.n_matched) for r in got.collect())
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    want = [(1, True, 1, 2, 1), (2, False, 1, 0, 0), (3, True, 0, 1, 0), (4, False, 1, 0, 0), (5, True, 1, 0, 0), (6, True, 1, 0, 0)]
+    assert run(2, out, state) == [(3, True, 0, 1, 0)]
+    last = max(int(p.name) for p in (tmp_path / "state/commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "state/commits").iterdir():
+        if p.name.strip(".").split(".")[0] == str(last):
+            p.unlink()  # as if it was killed between writing and its checkpoint
+    assert run(5, out, state) == want
+    assert run(5, out, state) == want
+    shutil.rmtree(state)

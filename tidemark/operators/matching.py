@@ -50,9 +50,14 @@ def greedy(pairs: Column, order: str = "gt") -> Column:
 
 
 def matched(segments: DataFrame, taus: Sequence[float], *carried: str, order: str = "gt", keys: str | None = None) -> DataFrame:
-    """Per record and tau: gt, pred and the matches. The pairs at the smallest tau are found once and cut for each tau."""
+    """Per record and tau: gt, pred and the matches."""
+    return matched_rows(records(segments, *carried, keys=keys), taus, order)
+
+
+def matched_rows(rows: DataFrame, taus: Sequence[float], order: str = "gt") -> DataFrame:
+    """rows of gt and pred by tau, with their matches, by expressions alone. Pairs at the smallest tau are found once and cut for each tau."""
     low = F.lit(float(min(taus)))
-    rows = records(segments, *carried, keys=keys).withColumn("pairs", candidates(F.col("gt"), F.col("pred"), low, order))
+    rows = rows.withColumn("pairs", candidates(F.col("gt"), F.col("pred"), low, order))
     rows = rows.withColumn("tau", F.explode(F.array(*[F.lit(float(t)) for t in taus])))
     return rows.withColumn("matches", greedy(F.filter("pairs", lambda x: -x["nt"] >= F.col("tau")), order)).drop("pairs")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.checkpoints import cut
 from tidemark.functions.labels import has, mask_of
 from tidemark.operators import sizes
-from tidemark.operators.matching import best_overlaps, matched, matches_at, overlap_join, peel, peeled, spread_best_overlaps
+from tidemark.operators.matching import best_overlaps, matched, matched_rows, matches_at, overlap_join, peel, peeled, spread_best_overlaps
 from tidemark.sources.records import segments_of
 
 
@@ -62,7 +62,16 @@ def record_metrics(
 
 def gathered_counts(segments: DataFrame, taus: Sequence[float], policy: str, labels: int, carried: Sequence[str], keys: str | None) -> DataFrame:
     """The counts of record_metrics, by expressions on a row for each record."""
-    rows = matched(segments, taus, *carried, keys=keys)
+    return counted(matched(segments, taus, *carried, keys=keys), policy, labels, carried, keys)
+
+
+def row_metrics(rows: DataFrame, taus: Sequence[float], policy: str = "strict", labels: int = 6, carried: Sequence[str] = ()) -> DataFrame:
+    """record_metrics of rows that hold a record each (rec_id, carried, gt, pred: arrays of (i, s, e, b)); no shuffle, so streams can take it too."""
+    return finished(counted(matched_rows(rows, taus), policy, labels, carried, None))
+
+
+def counted(rows: DataFrame, policy: str, labels: int, carried: Sequence[str], keys: str | None) -> DataFrame:
+    """The counts of rows with their matches."""
     has_key = (lambda j: has(F.col(keys), j)) if keys else (lambda j: F.lit(True))
     n_keys = F.bit_count(keys) if keys else F.lit(labels)
     rows = rows.withColumn("rows", label_rows(F.col("gt"), F.col("pred"), F.col("matches"), policy))
@@ -162,15 +171,28 @@ MEANS = {
 
 def summary(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFrame:
     """One row per key: means over records, the headline F1 over records with a match (over all if none has one), pooled counts."""
+    return summed(metrics.groupBy(*keys), keys, digits)
+
+
+def summary_sets(metrics: DataFrame, sets: Sequence[Sequence[str]], *keys: str, total: str = "all", digits: int = 6) -> DataFrame:
+    """summary_of_usable for several sets of the keys in one pass; keys that a set leaves out read `total` (taus: null)."""
+    usable = F.col("skip_reason").isNull()
+    rows = metrics.select(*keys, "skip_reason", *[F.when(usable, F.col(c)).alias(c) for c in dict.fromkeys([*MEANS.values(), "n_matched", "mean_tiou", "tp", "fp", "fn", "tn", "n_rows"])])
+    made = summed(rows.groupingSets([[F.col(c) for c in x] for x in sets], *keys), keys, digits, [F.count("*").alias("n_files"), F.count("skip_reason").alias("n_skipped")])
+    return filled(made, keys).na.fill(total, [k for k in keys if dict(made.dtypes)[k] == "string"])
+
+
+def summed(grouped, keys: Sequence[str], digits: int, more: Sequence[Column] = ()) -> DataFrame:
+    """The aggregates of grouped record metrics, and what follows from them. Rows of nulls count for nothing."""
     c = F.col
     hit = c("n_matched") > 0
     mean = lambda x: F.coalesce(F.avg(x), F.lit(0.0))
-    rows = metrics.groupBy(*keys).agg(
-        F.count("*").alias("n_records"), F.count(F.when(hit, 1)).alias("n_hit"),
+    rows = grouped.agg(
+        F.count("n_matched").alias("n_records"), F.count(F.when(hit, 1)).alias("n_hit"),
         mean(F.when(hit, c("mean_tiou"))).alias("mean_tiou"),
         F.coalesce(F.avg(F.when(hit, c("micro_f1"))), F.avg("micro_f1")).alias("mean_micro_f1"),
         *[mean(c(v)).alias(k) for k, v in MEANS.items()],
-        *[F.sum(x).alias(f"sum_{x}") for x in ("tp", "fp", "fn", "tn", "n_rows")],
+        *[F.sum(x).alias(f"sum_{x}") for x in ("tp", "fp", "fn", "tn", "n_rows")], *more,
     )
     none = c("sum_tp") + c("sum_fp") + c("sum_fn") == 0
     p, r = ratio(c("sum_tp"), c("sum_tp") + c("sum_fp")), ratio(c("sum_tp"), c("sum_tp") + c("sum_fn"))
@@ -198,8 +220,13 @@ def summary_of_usable(metrics: DataFrame, *keys: str, digits: int = 6) -> DataFr
     Keys whose records are all skipped stay, with zeros.
     """
     counts = metrics.groupBy(*keys).agg(F.count("*").alias("n_files"), F.count("skip_reason").alias("n_skipped"))
-    made = summary(metrics.where("skip_reason is null"), *keys, digits=digits).withColumn("n_f1", F.when(F.col("n_hit") > 0, F.col("n_hit")).otherwise(F.col("n_records")))
-    rows = counts.join(made, list(keys), "left")
+    made = summary(metrics.where("skip_reason is null"), *keys, digits=digits)
+    return filled(counts.join(made, list(keys), "left"), keys)
+
+
+def filled(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Summaries with n_f1, and what keys without usable records read."""
+    rows = rows.withColumn("n_f1", F.when(F.col("n_hit") > 0, F.col("n_hit")).otherwise(F.col("n_records")))
     ones = [c for c in ("pool_p", "pool_r", "pool_f1", "pool_acc") if c in rows.columns]
     return rows.na.fill(1.0, ones).na.fill(0, [c for c, t in rows.dtypes if c not in keys and t in ("bigint", "double")])
 

@@ -9,7 +9,7 @@ from tidemark import oracle as sql
 from tidemark.checkpoints import cut, scratch
 from tidemark.functions import labels
 from tidemark.operators import matching, metrics
-from tidemark.plans import media
+from tidemark.plans import evaluation, media
 from tidemark.registry import query, read
 from tidemark.sources import datasource, records, scans, sinks
 from tidemark.sources.events import SQL as SEG
@@ -128,6 +128,46 @@ def model_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(table.schema).csv(path, header=True)
 
 
+REPORT = sql.summary_of_usable((0.3, 0.5), "strict", "tau, run, model", metrics.MEANS).replace(
+    "\nc AS (SELECT tau, run, model,", """
+runs AS (SELECT 'by_model' AS run, 'm' || model_id AS model, * FROM rm UNION ALL SELECT 'by_week', 'w/' || iter, * FROM rm),
+c AS (SELECT tau, run, model,""").replace("FROM rm GROUP BY tau, run, model", "FROM runs GROUP BY SETS").replace("FROM rm WHERE ok GROUP BY tau, run, model", "FROM runs WHERE ok GROUP BY SETS").replace(
+    "SELECT tau, run, model,", "SELECT runs.tau AS tau, coalesce(runs.run, 'all') AS run, coalesce(runs.model, 'all') AS model,").replace(
+    "GROUP BY SETS", "GROUP BY GROUPING SETS ((runs.tau, runs.run, runs.model), (runs.tau, runs.run), (runs.tau))")
+
+
+def run_roots(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Three runs: results by model, results by week beside an iteration folder, and an iteration folder alone."""
+    made = cut(eval_lines(spark, sf_dir))
+    at = lambda form, *c: made.withColumn("name", F.format_string(form, *c))
+    roots = {name: scratch(spark, name) for name in ("by_model", "by_week", "iterations_only")}
+    sinks.write_files(at("m%d.jsonl", "model_id"), roots["by_model"], "name", "line", "rec_id")
+    sinks.write_files(at("w/%d.jsonl", "iter").unionByName(at("iter_%d/records.jsonl", "iter")), roots["by_week"], "name", "line", "rec_id")
+    sinks.write_files(at("iter_%d/records.jsonl", "iter"), roots["iterations_only"], "name", "line", "rec_id")
+    return roots
+
+
+@query(REPORT)
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several runs in one pass: one has files of models, so all are read by model. By tau, run and model, with totals."""
+    mode, rows = evaluation.report(spark, run_roots(spark, sf_dir), (0.5, 0.3))
+    assert mode == evaluation.MODELS
+    return rows
+
+
+@query(f"{REPORT.split('SELECT z.*')[0]} SELECT tau, run, model, z.mean_micro_f1, z.n_records, n_files FROM c JOIN z USING (tau, run, model) WHERE model <> 'all'")
+def evaluation_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as a JSON document through the cluster's file system, read back."""
+    mode, rows = evaluation.report(spark, run_roots(spark, sf_dir), (0.3, 0.5))
+    root = scratch(spark, "report")
+    leaves = rows.where("model <> 'all'").withColumnRenamed("tau", "threshold")
+    sinks.write_report(leaves, root, "report.json", "threshold", "run", "model", tiou_thresholds=[0.3, 0.5], unmatched_policy="strict", mode=mode)
+    row = "struct<mean_micro_f1:double,n_records:bigint,n_files:bigint>"
+    back = spark.read.text(root, wholetext=True).select(F.from_json("value", f"mode string, by_threshold map<string,struct<runs:map<string,map<string,{row}>>>>").alias("d")).where("d.mode = 'model_jsonl'")
+    found = back.select(F.explode("d.by_threshold").alias("tau", "x")).select("tau", F.explode("x.runs").alias("run", "y")).select("tau", "run", F.explode("y").alias("model", "v"))
+    return found.select(F.col("tau").cast("double").alias("tau"), "run", "model", "v.*")
+
+
 CLIPS = """WITH c AS (SELECT event_id AS id, 'C' || (1 + user_id % 3) AS category, CASE WHEN user_id % 5 = 0 THEN 'benign_set' ELSE 'set' || user_id % 2 END AS benchmark, event_id % 7 <> 0 AS labelled, event_id % 11 <> 0 AS here, value AS d FROM events),
 f AS (SELECT *, row_number() OVER (PARTITION BY category, benchmark ORDER BY id) - 1 AS n FROM c)"""
 

@@ -100,7 +100,7 @@ def segments_of(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def iteration_records(spark: SparkSession, root: str) -> DataFrame:
-    """iter, rec_idx, is_valid, record: iter_N/records.jsonl, and the one-file-per-record layouts of iterations without it.
+    """iter, rec_idx, is_valid, record, file, line: iter_N/records.jsonl, and the one-file-per-record layouts of iterations without it.
 
     A record index that is no number raises.
     """
@@ -109,17 +109,17 @@ def iteration_records(spark: SparkSession, root: str) -> DataFrame:
     part = lambda g: F.coalesce(F.regexp_extract("file", a, g).try_cast("int"), F.regexp_extract("file", b, g).try_cast("int"))
     old = whole_files(spark, root).withColumns({"iter": part(1), "rec_idx": part(2)}).where("iter is not null").dropDuplicates(["file"])
     old = old.join(new.select("iter").distinct(), "iter", "left_anti")
-    cols = ["iter", "rec_idx", "is_valid", "record"]
-    return new.select(cols).unionByName(old.select(cols))
+    cols = ["iter", "rec_idx", "is_valid", "record", "file", "line"]
+    return new.select(cols).unionByName(old.withColumn("line", F.lit(0)).select(cols))
 
 
 def model_results(spark: SparkSession, root: str) -> DataFrame:
-    """model, rec_idx, is_valid, record of every .jsonl file below root but records.jsonl; model is its path without suffix."""
+    """model, rec_idx, is_valid, record, file, line of every .jsonl file below root but records.jsonl; model is its path without suffix."""
     base = spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
     rows = jsonl(spark, root, recursive=True, glob="*.jsonl").where(~F.col("file").endswith("/records.jsonl"))
     model = F.regexp_replace(F.expr("substring(file, instr(file, base) + length(base))"), r"\.[^./]+$", "")
     rows = rows.withColumn("base", F.lit(base + "/"))
-    return rows.select(model.alias("model"), "rec_idx", "is_valid", "record")
+    return rows.select(model.alias("model"), "rec_idx", "is_valid", "record", "file", "line")
 
 
 def valid_counts(rows: DataFrame, *keys: str) -> DataFrame:

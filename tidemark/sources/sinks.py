@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,21 @@ def nested(df: DataFrame, *keys: str) -> DataFrame:
     return rows
 
 
-def write_report(df: DataFrame, path: str, *keys: str, **extra: str) -> None:
-    """The nested rows as one JSON document of a summary table, made on the driver."""
-    row = nested(df, *keys).select(F.to_json("v").alias("v")).head()
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump({**extra, "by_" + keys[0]: json.loads(row.v) if row else {}}, f, indent=2, sort_keys=True)
+def report_document(df: DataFrame, *keys: str, **head: object) -> DataFrame:
+    """One row, line: a summary table as a JSON document by_<key1> -> <key2>s -> <key3> -> row, after what `head` says. A report is small."""
+    value = F.struct(*[c for c in df.columns if c not in keys])
+    rows = df.select(*[F.col(k).cast("string").alias(k) for k in keys], value.alias("v"))
+    for k in reversed(keys):
+        rows = rows.groupBy(*keys[: keys.index(k)]).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, "v")), lambda a, b: F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(0))).alias("v"))
+        if k in keys[1:-1]:
+            rows = rows.withColumn("v", F.struct(F.col("v").alias(f"{k}s")))
+    known = [F.from_json(F.lit(json.dumps(x)), F.schema_of_json(F.lit(json.dumps(x)))).alias(n) if isinstance(x, (list, dict)) else F.lit(x).alias(n) for n, x in head.items()]
+    return rows.select(F.to_json(F.struct(*known, F.col("v").alias("by_" + keys[0])), {"pretty": "true", "ignoreNullFields": "false"}).alias("line"))
+
+
+def write_report(df: DataFrame, root: str, name: str, *keys: str, **head: object) -> None:
+    """The report document at root/name, through the cluster's file system."""
+    write_files(report_document(df, *keys, **head).select(F.lit(name).alias("name"), "line", F.lit(0).alias("o")), root, "name", "line", "o")
 
 
 def side_by_side(df: DataFrame, row: str, column: str, names: Sequence[str], value: str, form: str = "%.3f") -> DataFrame:
@@ -68,11 +78,10 @@ def report_table(summary: DataFrame, columns: dict[str, str]) -> DataFrame:
     return summary.select(*[(F.col(c) if c in summary.columns else F.lit(None).cast("string")).alias(n) for n, c in columns.items()])
 
 
-def write_document(value: object, path: str, ascii_only: bool = False) -> None:
-    """One small JSON document, indented, made on the driver."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2, ensure_ascii=ascii_only)
-        f.write("\n")
+def write_document(spark: SparkSession, value: object, root: str, name: str, ascii_only: bool = False) -> None:
+    """One small JSON document, indented, at root/name, through the cluster's file system."""
+    text = json.dumps(value, indent=2, ensure_ascii=ascii_only)
+    write_files(spark.createDataFrame([(name, text, 0)], "name string, line string, o int"), root, "name", "line", "o")
 
 
 def manifest(runs: DataFrame, root: str, **head: object) -> dict:
