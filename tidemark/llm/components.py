@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def meet(rows: DataFrame, side: DataFrame, key: str, n: str, total: int) -> DataFrame:
+def meet(rows: DataFrame, side: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """rows joined with side on the key. side has one row per key and says in n how many of the total rows have it.
 
     Hot keys, fewer than SHARES by their count, are broadcast and meet the rows where they lie; the other keys are shuffled.

@@ -5,8 +5,8 @@ points that is found in at least ``min_documents`` documents loses all its lines
 
 How it is spread: tasks cut texts into lines and write one row of digests for every different key of a text (128 bits of the
 key; 128 bits of id and text name the row). Documents are counted by key in two combined aggregates, so a line that a third
-of all documents hold is summed where it lies. What must go comes back to its row by a join, whose large keys Spark splits,
-and is a set no larger than the text has lines. Only then does each text move, once, to meet its set.
+of all documents hold is summed where it lies. What must go comes back to its row by a join: fewer than a thousand very common keys
+are broadcast, the others shuffled. It is a set no larger than the text has lines. Only then does each text move, once, to meet its set.
 
 Defined results: a null or empty text is one empty line. An id counts once, however many rows have it; rows without an id are one
 document that comes before all others. Equal rows get equal results, each its own row. An empty table gives no rows; other
@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch
+from tidemark.llm.common import cut, scratch
+from tidemark.llm.components import meet
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 SPACE = b" \t\n\x0b\x0c\r"
@@ -100,8 +101,9 @@ def drop_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines, key = spark.read.parquet(path), ["_k1", "_k2"]
 
     documents_of = lines.select(*key, "_id").distinct()
-    hot = documents_of.groupBy(*key).agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_documents)
-    gone = lines.join(hot, key).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
+    hot = cut(documents_of.groupBy(*key).agg(F.count("*").alias("_n"), F.max("_id").alias("_keeper")).where(F.col("_n") >= min_documents))
+    # a key's documents are at most its rows, so few keys hold more than a set share of all rows: these meet them where they lie
+    gone = meet(lines, hot, key, "_n", lines.count()).where(~F.col("_id").eqNullSafe(F.col("_keeper")))
     digest = F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in key]))  # big-endian, as xxhash writes it
     drops = gone.groupBy("_r1", "_r2").agg(F.collect_set(digest).alias("_drops"))
 
