@@ -37,6 +37,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Steps of the search for a better packing; where they run out the best one found so far stands.
 STEPS = 200_000
+#: The tokenizer's memory here (pieces a generation, characters at once): two workers share an executor with the packing.
+HELD, AT_ONCE = 200_000, 2_000_000
 
 
 class Plan(NamedTuple):
@@ -249,7 +251,7 @@ def cut_pieces(documents: DataFrame, id_col: str, text_col: str, path: str, capa
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen, own = TaskContext.get().partitionId(), Counter(), encoder(path)
+        part, seen, own = TaskContext.get().partitionId(), Counter(), encoder(path, HELD, AT_ONCE)
         for batch in batches:
             out = []
             for doc, coded in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
@@ -269,9 +271,14 @@ def cut_pieces(documents: DataFrame, id_col: str, text_col: str, path: str, capa
 
 
 def pack(
-    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID
-) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, packed_by (which packing won): one row per piece."""
+    documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID,
+    steps: int = STEPS,
+) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, packed_by, above_bound: one row per piece.
+
+    packed_by says which packing won, above_bound how many sequences more than the lower bound it has (0: it is best); steps
+    bounds the search for a better one.
+    """
     spark = documents.sparkSession
     small_batches(spark)
     pieces = cut(cut_pieces(documents, id_col, text_col, vocabulary or vocabulary_path(), capacity, end_id))
@@ -279,7 +286,7 @@ def pack(
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
-    best = solve(histogram, capacity)
+    best = solve(histogram, capacity, steps)
     shared = spark.sparkContext.broadcast(places(best.fillings))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -294,4 +301,4 @@ def pack(
         return pd.DataFrame(made, columns=["sequence_id", "offset"])
 
     ranked = pieces.join(bases, ["length", "part"]).withColumn("at", place("length", F.col("base") + F.col("local")))
-    return ranked.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", F.lit(best.by).alias("packed_by"))
+    return ranked.select(F.col("_id").alias(id_col), "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", F.lit(best.by).alias("packed_by"), F.lit(best.sequences - best.bound).cast("long").alias("above_bound"))

@@ -49,7 +49,8 @@ def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 class Encoder:
     """Gives texts' ids as bytes. For tokenizers that cut as said above."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, held: int | None = None, at_once: int | None = None) -> None:
+        self.held, self.at_once = held or HELD, at_once or AT_ONCE
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -86,7 +87,7 @@ class Encoder:
         odd = {p for p in new if not re.match(PLAIN, p) or "<|" in p}
         fresh.update(self._coded([p for p in new if p and p not in odd]))
         fresh.update((p, self._whole(p)) for p in new if p in odd or not p)
-        if len(young) + len(fresh) > HELD:
+        if len(young) + len(fresh) > self.held:
             self.old, self.young = young, {}
         self.young.update(fresh)
         found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
@@ -128,7 +129,7 @@ class Encoder:
                 continue
             some.append(text or "")
             size += len(some[-1]) + 8  # empty texts take room too
-            if size >= AT_ONCE:
+            if size >= self.at_once:
                 yield from self._encode_some(some)
                 some, size = [], 0
         yield from self._encode_some(some)
@@ -138,6 +139,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    """The encoder of this process."""
-    return Encoder(path)
+def encoder(path: str, held: int | None = None, at_once: int | None = None) -> Encoder:
+    """The encoder of this process, by its bounds."""
+    return Encoder(path, held, at_once)
