@@ -367,12 +367,14 @@ def similar_links(nodes: DataFrame, texts: DataFrame, group: int = GROUP) -> Dat
 
 def label(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     """rows (_id, fp) with component_id, the smallest _id of the component. rows must be cheap to read again."""
-    last = F.lit(2**63 - 1)  # stands for no id
-    nodes = cut(rows.groupBy("fp").agg(F.coalesce(F.min("_id"), last).alias("own"), F.count("*").alias("n")))
+    last = F.lit(2**63 - 1)  # stands for no id where nodes are ordered, and is an id too
+    nodes = cut(rows.groupBy("fp").agg(F.min("_id").alias("id"), F.count("*").alias("n")).withColumn("own", F.coalesce("id", last)))
     end = lambda x: F.struct(F.col(f"{x}_own").alias("own"), F.col(x).alias("fp")).alias(x)
     found = connected_components(near_links(nodes, radius, block).select(end("a"), end("b")))
-    found = found.select(F.col("node.fp").alias("fp"), F.col("root.own").alias("root"))
-    by_node = cut(nodes.join(found, "fp", "left").select("fp", "n", F.nullif(F.coalesce("root", "own"), last).alias("component_id")))
+    rooted = nodes.join(found.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", F.struct("own", "fp")))
+    unsure = rooted.where(F.col("root.own") == last).groupBy(F.col("root.fp").alias("of")).agg(F.min("id").alias("named"))
+    named = rooted.join(unsure, F.col("root.fp") == F.col("of"), "left")
+    by_node = cut(named.select("fp", "n", F.when(F.col("root.own") == last, F.col("named")).otherwise(F.col("root.own")).alias("component_id")))
     total = by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return meet(rows, by_node, "fp", "n", total)
 
