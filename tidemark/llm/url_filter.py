@@ -94,8 +94,8 @@ def filter_urls(
     known = rule_table(spark, rules)
     if len(rules) <= BROADCAST_RULES:
         known = F.broadcast(known)
-    met = wide.join(known, (wide.prefix == known.rule_prefix) & (wide.digest == known.rule_digest), "left")
-    best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("action"))))
+    met = wide.join(known, wide.prefix == known.rule_prefix, "left")
+    best = F.max(F.when(F.col("digest") == F.col("rule_digest"), F.struct(F.length("rule").alias("n"), F.col("rule"), F.col("action"))))
     return (
         met.groupBy("_row", "_id", "host", "path")
         .agg(best.alias("best"))
