@@ -1,7 +1,9 @@
 """HTML extraction: two passes of block rules.
 
 Markup is cut into blocks at block-level tags. Pass one decides each block by the container it lies in, its link
-density, its length and the share of stop words. Pass two lets ambiguous (mostly short) blocks take the label of the
+density, its length and the share of stop words. A container named or marked as boilerplate is evidence too: where a form, or one
+with a mark that layouts use as well, holds half of the page's text outside links, it counts for nothing; marks of comments, adverts,
+notices and navigation do only if no text lies elsewhere; what is hidden never counts as text. Pass two lets ambiguous (mostly short) blocks take the label of the
 nearest decided block of the same section, so headings and one-word paragraphs of an article stay with it. Articles are
 evidence: only if they hold most of the text that pass one finds good does the page's main text lie in them alone, and
 blocks there that are rich in links are ambiguous instead of bad.
@@ -34,6 +36,11 @@ RAW = frozenset("script style noscript template textarea iframe svg canvas audio
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Containers that are never part of the article.
 ASIDE = frozenset("nav aside footer form button dialog menu fieldset".split())
+#: Tags and marks that page layouts use around articles too.
+LAYOUT = frozenset("form fieldset header".split())
+LAYOUT_MARKS = frozenset("share sharing social menu widget widgets overlay modal banner promo promotion related recommended skip".split())
+#: What a container says against its blocks.
+NOTHING, LAYOUT_ONLY, BOILERPLATE, HIDDEN = range(4)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SECTIONS = frozenset(("article", "main"))
 #: Words of class and id values that mark a container as boilerplate.
@@ -55,41 +62,71 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([A
 NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 ENDS = {t: re.compile(rf"</{t}(?=[\s/>])|</{t}\Z", re.I) for t in RAW}
 SPACES = re.compile(r"\s+")
+WORDS, CAMEL = re.compile(r"[^a-z]+"), re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _apart(tag: str, attrs: str, in_section: bool) -> bool:
-    """Whether the element opens a container outside the article."""
+def _apart(tag: str, attrs: str, in_section: bool) -> int:
+    """What the element says against the blocks in it."""
+    found = NOTHING
     if tag in ASIDE or (tag == "header" and not in_section):
-        return True
+        found = LAYOUT_ONLY if tag in LAYOUT else BOILERPLATE
     if not attrs or tag in ("body", "html", "article", "main"):
-        return False
+        return found
     for name, a, b, c in NAMES.findall(attrs):
-        name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+            return HIDDEN
+        if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            return HIDDEN
+        if name == "role" and value.lower() in ROLES:
+            found = max(found, LAYOUT_ONLY if value.lower() == "form" else BOILERPLATE)
+        if name in ("class", "id"):
+            marks = MARKS.intersection(WORDS.split(CAMEL.sub(" ", value).lower()))
+            if marks:
+                found = max(found, LAYOUT_ONLY if marks <= LAYOUT_MARKS else BOILERPLATE)
+    return found
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
     """(text, characters inside links, in an outside container, in an article, section number) per block, in page order."""
-    out: list[tuple[str, int, bool, bool, int]] = []
+    found, kinds = parsed(page)
+    overruled = overruled_containers(found, kinds)
+    return [(text, linked, any(c not in overruled for c in inside), section, number) for text, linked, inside, section, number in found]
+
+
+def overruled_containers(found: list[tuple[str, int, tuple, bool, int]], kinds: list[int]) -> set[int]:
+    """Containers that hold so much of the page's text that they can't be boilerplate."""
+    weights = [max(0, len(text) - linked) for text, linked, *_ in found]
+    own: dict[int, int] = {}
+    total = 0
+    for w, (_, _, inside, _, _) in zip(weights, found, strict=True):
+        if w and not any(kinds[c] == HIDDEN for c in inside):
+            total += w
+            for c in inside:
+                own[c] = own.get(c, 0) + w
+    overruled = {c for c, w in own.items() if kinds[c] == LAYOUT_ONLY and 2 * w >= total}
+    left = sum(w for w, (_, _, inside, _, _) in zip(weights, found, strict=True) if all(c in overruled for c in inside))
+    if not left:
+        overruled |= {c for c, w in own.items() if kinds[c] == BOILERPLATE and 2 * w >= total}
+    return overruled
+
+
+def parsed(page: str) -> tuple[list[tuple[str, int, tuple, bool, int]], list[int]]:
+    """The blocks (text, characters inside links, the outside containers around, in an article, section number), and what each container says."""
+    out: list[tuple[str, int, tuple, bool, int]] = []
+    kinds: list[int] = []
     parts: list[str] = []
     linked = 0
     open_: list[tuple[str, bool, bool]] = []  # tag, opens an outside container, opens a section
-    apart = sections = number = links = 0
+    around: list[int] = []
+    sections = number = links = 0
     pos, end = 0, len(page)
 
     def close() -> None:
         nonlocal linked
         if parts:
             if text := SPACES.sub(" ", html.unescape("".join(parts))).strip():
-                out.append((text, linked, apart > 0, sections > 0, number))
+                out.append((text, linked, tuple(around), sections > 0, number))
             parts.clear()
         linked = 0
 
@@ -114,7 +151,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
                     for _, a, s in open_[i:]:
-                        apart -= a
+                        if a:
+                            around.pop()
                         sections -= s
                         number += a or s
                     del open_[i:]
@@ -133,17 +171,19 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, int]]:
             links += 1
         if tag in BLOCK or tag in ("span", "button", "label", "ins"):
             if tag in ("p", "li", "td", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == tag:
-                _, a, s = open_.pop()
-                apart -= a
-            a, s = _apart(tag, m[3], sections > 0), tag in SECTIONS
-            open_.append((tag, a, s))
-            if a or s:
+                if open_.pop()[1]:
+                    around.pop()
+            says, s = _apart(tag, m[3], sections > 0), tag in SECTIONS
+            open_.append((tag, says > 0, s))
+            if says or s:
                 close()
                 number += 1
-            apart += a
+            if says:
+                around.append(len(kinds))
+                kinds.append(says)
             sections += s
     close()
-    return out
+    return out, kinds
 
 
 def decide(text: str, linked: int, apart: bool, section: bool) -> int:
