@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import has
@@ -12,9 +12,8 @@ from tidemark.operators.ranges import union_iou, union_of
 
 
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per key: the last in order."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row per key: the last in order (a column or struct). Lasts combine before their shuffle."""
+    return rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("_x")).select(key, "_x.*")
 
 
 def prioritized_lookup(probes: DataFrame, index: DataFrame, id_col: str = "id", keys_col: str = "keys", order_col: str = "ordinal") -> DataFrame:

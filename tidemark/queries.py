@@ -455,7 +455,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tidemark import queries_files, queries_records, queries_sql, queries_stream  # noqa: F401  (they register theirs)
+    from tidemark import queries_files, queries_plans, queries_records, queries_sql, queries_stream  # noqa: F401  (they register theirs)
 
     return dict(QUERIES)
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark import oracle as sql
 from tidemark.checkpoints import cut, scratch
-from tidemark.functions import labels
-from tidemark.operators import matching, metrics
+from tidemark.functions import dialects, labels
+from tidemark.operators import compare, matching, metrics
 from tidemark.plans import evaluation, media
 from tidemark.registry import query, read
 from tidemark.sources import datasource, records, scans, sinks
@@ -168,6 +168,57 @@ def evaluation_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("tau").cast("double").alias("tau"), "run", "model", "v.*")
 
 
+RESULTS = f"""WITH {SEG}, p AS (SELECT rec_id, count(*) AS n, round(sum(round(s, 5)), 5) AS s, round(sum(round(e, 5)), 5) AS e, CAST(sum(bit_count(b)) AS BIGINT) AS labels FROM seg WHERE NOT gt GROUP BY rec_id),
+g AS (SELECT rec_id, count(*) AS n, round(sum(round(s, 5)), 5) AS s, CAST(sum(bit_count(b)) AS BIGINT) AS labels FROM seg WHERE gt GROUP BY rec_id), r AS (SELECT DISTINCT rec_id FROM seg)
+SELECT 'r' || rec_id AS key, coalesce(p.n, 0) AS n_left, coalesce(p.s, 0) AS left_s, coalesce(p.e, 0) AS left_e, coalesce(p.labels, 0) AS left_labels, coalesce(p.n, 0) AS n_right, round(coalesce(p.s + p.n, 0), 5) AS right_s,
+  coalesce(g.n, 1) AS n_gt, coalesce(g.s, 99) AS gt_s, coalesce(g.labels, 0) AS gt_labels FROM r LEFT JOIN p USING (rec_id) LEFT JOIN g USING (rec_id)"""
+
+
+def dialect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(set, name, n, line): result sets left and right as JSON lines by file, right with each key twice, the first time wrong, and the annotations as conversations."""
+    rows = segments(spark, sf_dir).withColumns({"s": F.round("s", 5), "e": F.round("e", 5)})
+    recs = matching.records(rows)
+    flags = lambda b: F.map_from_entries(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: F.struct(F.concat(F.lit("C"), (j + 1).cast("string")), F.when(F.pmod(F.call_function("shiftright", b, j), F.lit(2)) == 1, "true").otherwise("0"))))
+    lower = lambda x, more: F.struct((x["s"] + more).alias("start"), (x["e"] + more).alias("end"), flags(x["b"]).alias("guardrail"))
+    upper = lambda x, more: F.struct((x["s"] + more).alias("START_SEC"), (x["e"] + more).cast("string").alias("END_SEC"), flags(x["b"]).alias("GUARDRAIL"))
+    key = lambda i: F.concat(F.lit("chunk_"), i.cast("string"))
+
+    def side(more: float) -> Column:
+        chunks = F.map_from_entries(F.transform("pred", lambda x, i: F.struct(key(i), lower(x, more))))
+        text = F.concat(F.lit("```"), F.to_json(F.transform("pred", lambda x: upper(x, more))), F.lit("```"))
+        return F.struct(
+            F.struct(F.when(F.col("rec_id") % 3 < 2, chunks).alias("chunks"), F.when(F.col("rec_id") % 3 == 0, F.transform("pred", lambda x, i: key(i))).alias("chunk_order")).alias("intervals"),
+            F.when(F.col("rec_id") % 3 == 2, text).alias("supervised_span_text"),
+        )
+
+    line = lambda **x: F.to_json(F.struct(F.concat(F.lit("r"), F.col("rec_id").cast("string")).alias("key"), *[v.alias(k) for k, v in x.items()]))
+    turn = lambda who, v: F.struct(F.lit(who).alias("from"), v.alias("value"))
+    told = F.array(turn("human", F.lit("[]")), turn("gpt", F.lit("[]")), turn("gpt", F.to_json(F.transform("gt", lambda x: upper(x, 0.0)))), turn("gpt", F.lit('[{"start": 99}]')))
+    one = lambda name, n, text: F.struct(F.lit(name).alias("set"), F.lit(n).alias("n"), text.alias("line"))
+    sets = F.array(one("left", 0, line(prediction=side(0.0))), one("right", 0, line(prediction=side(7.0))), one("right", 1, line(prediction=side(1.0))), one("truth", 0, line(conversations=told)))
+    return recs.select(F.inline(sets), "rec_id").withColumn("name", F.format_string("%s/%d.jsonl", "set", F.col("rec_id") % 8))
+
+
+@query(RESULTS)
+def joined_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two result sets and the annotations from JSON lines of either dialect; of repeated keys the last line counts on the right."""
+    root = scratch(spark, "dialects")
+    sinks.write_files(cut(dialect_lines(spark, sf_dir)).withColumn("o", F.col("rec_id") * 2 + F.col("n")), root, "name", "line", "o")
+
+    def scanned(name: str, found) -> DataFrame:
+        rows = records.lines(spark, f"{root}/{name}").withColumn("v", F.try_parse_json("raw"))
+        return rows.select(F.try_variant_get("v", "$.key", "string").alias("key"), F.struct("file", "line").alias("at"), found(F.col("v")).alias(name))
+
+    predicted = lambda v: dialects.side_intervals(v, "prediction")
+    both = scanned("left", predicted).drop("at").join(compare.last_wins(scanned("right", predicted), "key", "at").drop("at"), "key")
+    rows = both.join(scanned("truth", dialects.conversation_intervals).drop("at"), "key")
+    total = lambda c, k: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x[k]), 5)
+    labels_of = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + F.size(x["labels"])).cast("long")
+    n = lambda c: F.size(c).cast("long")
+    return rows.select("key", n("left").alias("n_left"), total("left", "s").alias("left_s"), total("left", "e").alias("left_e"), labels_of("left").alias("left_labels"), n("right").alias("n_right"),
+                       total("right", "s").alias("right_s"), n("truth").alias("n_gt"), total("truth", "s").alias("gt_s"), labels_of("truth").alias("gt_labels"))
+
+
 CLIPS = """WITH c AS (SELECT event_id AS id, 'C' || (1 + user_id % 3) AS category, CASE WHEN user_id % 5 = 0 THEN 'benign_set' ELSE 'set' || user_id % 2 END AS benchmark, event_id % 7 <> 0 AS labelled, event_id % 11 <> 0 AS here, value AS d FROM events),
 f AS (SELECT *, row_number() OVER (PARTITION BY category, benchmark ORDER BY id) - 1 AS n FROM c)"""
 
