@@ -52,6 +52,17 @@ def test_peeling_is_the_sequential_match(spark, gt, pred):
     assert got == sequential(dict(enumerate(gt)), dict(enumerate(pred)), 1e-9, "pred")
 
 
+def test_pairs_by_length_class_are_the_pairs_by_bucket(spark):
+    import random
+
+    draw = random.Random(4)
+    rows = [(draw.randrange(2), i, s := draw.uniform(0, 500), s + draw.choice([0.0, 0.01, 0.5, 1.0, 3.0, 3.0, 40.0, 300.0]) * draw.uniform(0.7, 1.3)) for i in range(1200)]
+    left, right = (spark.createDataFrame(rows[k::2] + [(0, 9000 + k, 8.0, 16.0), (0, 9100 + k, -8.0, -4.0)], "k long, i long, s double, e double") for k in (0, 1))
+    for tau in (0.2, 0.5, 0.7, 0.95, 1.0):
+        want = sorted((r.k, r.g, r.p) for r in matching.overlap_join(left, right, "k").where(F.col("t") >= tau).collect())
+        assert sorted((r.k, r.g, r.p) for r in matching.tiou_join(left, right, "k", tau).collect()) == want and want
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.lists(span, max_size=6), min_size=1, max_size=10))
 def test_union_of_ranges(spark, sets):

@@ -80,7 +80,7 @@ def test_entry_module_works_without_the_text_operators(tmp_path):
 
 def test_frames_are_planned_for_every_event(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
-    assert core.frame_times_all(spark, sf).select("event_id").distinct().count() == events.select("event_id").distinct().count()
+    assert core.frame_times(spark, sf).select("event_id").distinct().count() == events.select("event_id").distinct().count()
 
 
 def test_large_records_are_matched_by_time_buckets(spark, sf):

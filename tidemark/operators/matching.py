@@ -86,6 +86,26 @@ def overlap_join(left: DataFrame, right: DataFrame, key: str, width: float = 8.0
     return met.select(key, F.col("g_i").alias("g"), F.col("p_i").alias("p"), tiou(F.col("g_s"), F.col("g_e"), F.col("p_s"), F.col("p_e")).alias("t"))
 
 
+def tiou_join(left: DataFrame, right: DataFrame, key: str, tau: float) -> DataFrame:
+    """(key, g, p, t) of the pairs with t >= tau: as overlap_join, but pairs that can't reach tau mostly never meet.
+
+    Where t >= tau one length is at most 1 / tau times the other, and starts lie no more than (1 / tau - 1) times the shorter
+    length apart. So intervals are dealt by length class, a power of 1 / tau, and by a grid of starts as wide as the class allows;
+    each of the right side goes to its class and both neighbours, and to three cells of each.
+    """
+    if not 0.2 <= tau < 1:  # classes as wide as this tell nothing apart
+        return overlap_join(left, right, key).where(F.col("t") >= tau)
+    wider = 1 + 1e-9  # than rounding
+    step = F.lit(wider / tau)
+    size = lambda df: df.where("e > s").withColumn("class", F.floor(F.log(F.col("e") - F.col("s")) / F.log(step)))
+    cell = F.floor(F.col("s") / (F.lit(wider * (1.0 / tau - 1.0)) * F.pow(step, F.col("class") + 1)))
+    named = lambda df, n, *more: df.select(F.col(key).alias(key), "class", *more, *[F.col(c).alias(f"{n}_{c}") for c in ("i", "s", "e")])
+    near = size(right).withColumn("class", F.explode(F.sequence(F.col("class") - 1, F.col("class") + 1)))
+    dealt = named(size(left), "g", cell.alias("cell")).join(named(near, "p", F.explode(F.sequence(cell - 1, cell + 1)).alias("cell")), [key, "class", "cell"])
+    made = dealt.select(key, F.col("g_i").alias("g"), F.col("p_i").alias("p"), tiou(F.col("g_s"), F.col("g_e"), F.col("p_s"), F.col("p_e")).alias("t"))
+    return made.where(F.col("t") >= tau)
+
+
 def peel(pairs: DataFrame, key: str) -> DataFrame:
     """Greedy one-to-one matching of (key, g, p, t) in the order (t desc, p, g), by mutual-best peeling.
 
@@ -122,7 +142,7 @@ def record_pairs(segments: DataFrame, tau: float, limit: int = sizes.LIMIT) -> D
     rows = pairs.select("rec_id", "x.g", "x.p", (-F.col("x.nt")).alias("t"))
     if large is None:
         return rows
-    return rows.unionByName(overlap_join(large.where("gt"), large.where("not gt"), "rec_id").where(F.col("t") >= tau))
+    return rows.unionByName(tiou_join(large.where("gt"), large.where("not gt"), "rec_id", tau))
 
 
 def peeled(pairs: DataFrame, taus: Sequence[float], order: str) -> DataFrame:
@@ -144,7 +164,7 @@ def matches_at(segments: DataFrame, taus: Sequence[float], order: str = "gt", li
     rows = matched(small, taus, order=order).select("tau", "rec_id", F.explode("matches").alias("m")).select("tau", "rec_id", "m.g", "m.p", (-F.col("m.nt")).alias("t"))
     if large is None:
         return rows
-    pairs = overlap_join(large.where("gt"), large.where("not gt"), "rec_id").where(F.col("t") >= min(taus))
+    pairs = tiou_join(large.where("gt"), large.where("not gt"), "rec_id", min(taus))
     return rows.unionByName(peeled(pairs, taus, order))
 
 

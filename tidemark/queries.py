@@ -38,7 +38,7 @@ POOLED = "ls AS (SELECT j + 1 AS label, seg.* FROM seg, range(6) AS u(j) WHERE (
 @query(f"WITH RECURSIVE {SEG}, {POOLED}, {sql.matches((0.7,), 'p, g', 'label', 'ls')} SELECT label, g, p, round(t, 6) AS t FROM m")
 def greedy_match_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.by_label(segments(spark, sf_dir))
-    pairs = matching.overlap_join(rows.where("gt"), rows.where("not gt"), "label").where("t >= 0.7")
+    pairs = matching.tiou_join(rows.where("gt"), rows.where("not gt"), "label", 0.7)
     return matching.peel(pairs, "label").withColumn("t", F.round("t", 6))
 
 
@@ -293,15 +293,12 @@ d AS (SELECT page_id, key, min(pos) AS pos FROM k WHERE key <> '' GROUP BY ALL),
 e AS (SELECT page_id, key, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos FROM d),
 o AS (SELECT a.page_id, a.pos, min(b.page_id) AS match FROM e a JOIN e b ON a.key = b.key AND a.page_id <> b.page_id GROUP BY ALL)
 SELECT page_id AS id, CAST(min(pos) AS INT) AS hit_at, arg_min(match, pos) AS match FROM o GROUP BY page_id""")
-def candidate_key_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def candidate_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page looks up any other page by its url, its last part, or that part's stem, in this order."""
     rows = read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), texts.path_variants(F.regexp_replace("url", r"[?#].*$", ""), ()).alias("keys"))
     return compare.lookup_others(rows)
 
 
-QUERIES["candidate_key_lookup"], SQL["candidate_key_lookup"] = candidate_key_lookup_all, SQL["candidate_key_lookup_all"]
-
-
 @query("SELECT page_id, url FROM pages WHERE list_has_any(regexp_split_to_array(lower(url), '[^a-z0-9]+'), ['blog', 'spam', 'feed'])")
 def marker_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").where(texts.has_marker(("blog", "spam", "feed"), F.col("url"))).select("page_id", "url")
@@ -348,11 +345,6 @@ def frame_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.frame_plan(read(spark, sf_dir, "events"), "event_id", "value", 2.0)
 
 
-#: The name under which round one planned every event.
-QUERIES["frame_times_all"], SQL["frame_times_all"] = frame_times, SQL["frame_times"]
-frame_times_all = frame_times
-
-
 @query(f"""WITH {SEG}, c AS (SELECT i, floor(greatest(0.0, least(s, 168.0)) / 0.5) * 0.5 AS a, ceil(greatest(0.0, least(e, 168.0)) / 0.5) * 0.5 AS b, least(e, 168.0) > least(s, 168.0) AS late FROM seg)
 SELECT i, round(a, 6) AS s, round(CASE WHEN b <= a AND late THEN least(168.0, round(a + 0.5, 6)) ELSE b END, 6) AS e FROM c""")
 def snapped_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,9 +372,10 @@ def first_of(turns: str, role: str) -> Column:
 
 @query("""SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'user'), arg_min(text, turn), '') AS prompt, coalesce(arg_min(role, turn) = 'user', false) AS starts_with_user FROM conversations GROUP BY conv_id""")
 def conversation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first user turn, else the first turn, else nothing."""
-    first = F.get("turns", 0)
-    return conversations(spark, sf_dir).select("conv_id", F.coalesce(first_of("turns", "user"), first["text"], F.lit("")).alias("prompt"), F.coalesce(first["role"] == "user", F.lit(False)).alias("starts_with_user"))
+    """The first user turn, else the first turn, else nothing. Firsts combine before their shuffle; no conversation is gathered."""
+    turn = F.struct("turn", "role", "text")
+    rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min(turn).alias("first"), F.min(F.when(F.col("role") == "user", turn)).alias("asked"))
+    return rows.select("conv_id", F.coalesce("asked.text", "first.text", F.lit("")).alias("prompt"), F.coalesce(F.col("first.role") == "user", F.lit(False)).alias("starts_with_user"))
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)

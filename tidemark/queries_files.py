@@ -31,14 +31,9 @@ def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     good = F.to_json(F.struct(i.cast("string").alias("jsonl_record_index"), F.lit(1).alias("iteration")))
     read(spark, sf_dir, "events").select(broken_line(good, i).alias("value"), i).orderBy("event_id").select("value").write.text(path)
-    rows = records.jsonl(spark, path)
-    loose = records.valid_counts(records.jsonl(spark, path, objects=False)).select(F.col("n_bad").alias("n_bad_json"))
-    ends = records.lines(spark, path).groupBy("file").agg((F.max("line") + 1).alias("m"), F.count("*").alias("c"))
-    # a file's last line may be blank, so its lines are counted by the reader of texts
-    every = spark.read.text(path).agg(F.count("*").alias("n_lines"))
-    fine = ends.agg(F.bool_and(F.col("m") >= F.col("c")).alias("ok"))
-    counts = records.valid_counts(rows).crossJoin(F.broadcast(loose)).crossJoin(F.broadcast(every)).crossJoin(F.broadcast(fine)).where("ok")
-    return counts.crossJoin(F.broadcast(rows.where("is_valid").agg(F.sum("rec_idx").cast("long").alias("index_sum")))).select("n", "n_bad", "n_bad_json", "index_sum", "n_lines")
+    out = scratch(spark, "scanned")
+    counts = records.scan_to(spark, path, out)
+    return spark.read.parquet(out).agg(F.sum("rec_idx").cast("long").alias("index_sum"), *[F.lit(v).cast("long").alias(k) for k, v in counts.items()])
 
 
 @query("SELECT doc_id, lang, CASE WHEN doc_id % 2 = 0 THEN source END AS source FROM documents")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import intervals, jsonx, labels, texts
-from tidemark.operators import compare, curate, matching
+from tidemark.operators import compare, curate, matching, sizes
 from tidemark.plans import media, shapes
 from tidemark.registry import query, read
 from tidemark.sources.events import SQL as SEG
@@ -233,8 +233,8 @@ def picked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SEG}, a AS (SELECT rec_id % 10 AS id, i, k, row_number() OVER (PARTITION BY rec_id % 10 ORDER BY i) AS n FROM seg) SELECT id, min(n) AS n, arg_min(i, n) AS i FROM a WHERE n <= 50 AND k % 2 = 0 GROUP BY id""")
 def accepted_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first of at most 50 attempts that is accepted (k even)."""
-    n = F.row_number().over(Window.partitionBy("id").orderBy("i"))
-    tried = segments(spark, sf_dir).select((F.col("rec_id") % 10).alias("id"), "i", "k").withColumn("n", n.cast("long"))
+    rows = segments(spark, sf_dir).select((F.col("rec_id") % 10).alias("id"), "i", "k")
+    tried = sizes.running(sizes.dealt(rows, ["id"], "i"), ["id"], "i", n=(F.sum, F.lit(1), True)).withColumn("n", F.col("n").cast("long"))
     return curate.first_accepted(tried, "id", "n", F.col("k") % 2 == 0).select("id", "n", "i")
 
 

@@ -29,8 +29,8 @@ def decoded(path) -> F:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def lines(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> DataFrame:
-    """file, line (0-based, blank lines count), raw: the lines that are not blank.
+def lines(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None, blank: bool = False) -> DataFrame:
+    """file, line (0-based, blank lines count), raw: the lines that are not blank, or with `blank` all.
 
     Lines are numbered within their blocks of a file; the sums of the blocks before come from the blocks' counts, so a
     large file is not gathered in one task.
@@ -44,7 +44,7 @@ def lines(spark: SparkSession, path: str, recursive: bool = False, glob: str | N
     blocks = blocks.select("file", "_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # the ids of a block's lines follow one another: a task reads them in order
     numbered = rows.join(blocks, ["file", "_block"]).withColumn("line", (F.col("_before") + F.col("_at") - F.col("_first")).cast("int"))
-    return numbered.where(F.trim("raw") != "").select("file", "line", "raw")
+    return (numbered if blank else numbered.where(F.trim("raw") != "")).select("file", "line", "raw")
 
 
 def is_object(raw) -> F:
@@ -75,6 +75,19 @@ def jsonl(spark: SparkSession, path: str, mode: str = "permissive", schema: T.St
     return rows.select("file", "line", "is_valid", index.alias("rec_idx"), "record")
 
 
+def scan_to(spark: SparkSession, path: str, out: str) -> dict[str, int]:
+    """Writes the valid records below path (file, line, rec_idx, record) to out; returns the counts of lines, of those that are not blank, not
+    valid, and no JSON at all, observed in the pass that writes."""
+    from tidemark.sources.sinks import write_observed
+
+    filled = F.trim("raw") != ""
+    rows = lines(spark, path, blank=True).withColumns({"is_valid": is_object("raw"), "json": F.try_parse_json("raw").isNotNull()})
+    found = rows.withColumn("record", F.when(F.col("is_valid"), F.from_json("raw", EVAL)))
+    index = F.coalesce(F.col("record.jsonl_record_index").try_cast("int"), F.col("line"))
+    kept = lambda df: df.where("is_valid").select("file", "line", index.alias("rec_idx"), "record")
+    return write_observed(found, out, kept, n_lines=F.count(F.lit(1)), n=F.count_if(filled), n_bad=F.count_if(filled & ~F.col("is_valid")), n_bad_json=F.count_if(filled & ~F.col("json")))
+
+
 def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """file, is_valid, record of each file that holds one JSON document."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,6 +14,13 @@ def write_jsonl(df: DataFrame, path: str, *order: str) -> None:
     (df.sort(*order) if order else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_observed(df: DataFrame, path: str, kept: Callable[[DataFrame], DataFrame], **counts: Column) -> dict[str, int]:
+    """Writes what `kept` leaves of df as Parquet, and returns aggregates over all of df that the same pass has observed."""
+    seen = Observation()
+    kept(df.observe(seen, *[c.alias(n) for n, c in counts.items()])).write.parquet(path)
+    return seen.get
+
+
 def sorted_json(m: Column) -> Column:
     """A map as a JSON object with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
