@@ -371,10 +371,10 @@ def label(rows: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
     nodes = cut(rows.groupBy("fp").agg(F.min("_id").alias("id"), F.count("*").alias("n")).withColumn("own", F.coalesce("id", last)))
     end = lambda x: F.struct(F.col(f"{x}_own").alias("own"), F.col(x).alias("fp")).alias(x)
     found = connected_components(near_links(nodes, radius, block).select(end("a"), end("b")))
-    rooted = nodes.join(found.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", F.struct("own", "fp")))
-    unsure = rooted.where(F.col("root.own") == last).groupBy(F.col("root.fp").alias("of")).agg(F.min("id").alias("named"))
-    named = rooted.join(unsure, F.col("root.fp") == F.col("of"), "left")
-    by_node = cut(named.select("fp", "n", F.when(F.col("root.own") == last, F.col("named")).otherwise(F.col("root.own")).alias("component_id")))
+    rooted = cut(nodes.join(found.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", F.struct("own", "fp"))))
+    none = rooted.where(F.col("root.own") == last).withColumn("of", F.col("root.fp"))  # or that id
+    named = none.join(none.groupBy("of").agg(F.min("id").alias("component_id")), "of")
+    by_node = rooted.where(F.col("root.own") != last).select("fp", "n", F.col("root.own").alias("component_id")).unionByName(named.select("fp", "n", "component_id"))
     total = by_node.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return meet(rows, by_node, "fp", "n", total)
 
