@@ -3,7 +3,7 @@
 Markup is cut into blocks at block-level tags. Pass one decides each block by the container it lies in, its link
 density, its length and the share of stop words. A container named or marked as boilerplate is evidence too: where a form, or one
 with a mark that layouts use as well, holds half of the page's text outside links, it counts for nothing; marks of comments, adverts,
-notices and navigation do only if no text lies elsewhere; what is hidden never counts as text. Pass two lets ambiguous (mostly short) blocks take the label of the
+notices and navigation do only around an article, if no text lies elsewhere; what is hidden never counts as text. Pass two lets ambiguous (mostly short) blocks take the label of the
 nearest decided block of the same section, so headings and one-word paragraphs of an article stay with it. Articles are
 evidence: only if they hold most of the text that pass one finds good does the page's main text lie in them alone, and
 blocks there that are rich in links are ambiguous instead of bad.
@@ -98,16 +98,18 @@ def overruled_containers(found: list[tuple[str, int, tuple, bool, int]], kinds:
     """Containers that hold so much of the page's text that they can't be boilerplate."""
     weights = [max(0, len(text) - linked) for text, linked, *_ in found]
     own: dict[int, int] = {}
+    articles: dict[int, int] = {}
     total = 0
-    for w, (_, _, inside, _, _) in zip(weights, found, strict=True):
+    for w, (_, _, inside, section, _) in zip(weights, found, strict=True):
         if w and not any(kinds[c] == HIDDEN for c in inside):
             total += w
             for c in inside:
                 own[c] = own.get(c, 0) + w
+                articles[c] = articles.get(c, 0) + w * section
     overruled = {c for c, w in own.items() if kinds[c] == LAYOUT_ONLY and 2 * w >= total}
     left = sum(w for w, (_, _, inside, _, _) in zip(weights, found, strict=True) if all(c in overruled for c in inside))
     if not left:
-        overruled |= {c for c, w in own.items() if kinds[c] == BOILERPLATE and 2 * w >= total}
+        overruled |= {c for c, w in articles.items() if kinds[c] == BOILERPLATE and 2 * w >= total}
     return overruled
 
 
