@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tidemark.functions.labels import true_word
-from tidemark.functions.texts import let, strip
+from tidemark.functions.texts import let, path_variants, strip
 
 NONE = "array<struct<s:double,e:double,labels:array<string>>>"
 
@@ -71,3 +71,27 @@ def conversation_intervals(record: Column) -> Column:
     answers = F.filter(turns, lambda t: F.coalesce(F.try_variant_get(t, "$.from", "string") == "gpt", F.lit(False)))
     found = F.filter(F.transform(answers, lambda t: listed(F.try_variant_get(t, "$.value", "string"))), lambda x: F.size(x) > 0)
     return F.coalesce(F.get(found, 0), _none())
+
+
+def text_at(record: Column, *path: str) -> Column:
+    """A member of a VARIANT that is a text and not blank; null for anything else."""
+    at = "$." + ".".join(path)
+    value = F.try_variant_get(record, at, "variant")
+    return F.when(F.schema_of_variant(value) == "STRING", F.when(strip(F.try_variant_get(record, at, "string")) != "", F.try_variant_get(record, at, "string")))
+
+
+def primary_key(record: Column) -> Column:
+    """What names a record: its annotation's id, its own, else the path that it is about, else its number."""
+    path = F.coalesce(*[text_at(record, *p) for p in (("metadata", "video_relative_path"), ("gt_record", "video"), ("video",))])
+    number = F.coalesce(F.try_variant_get(record, "$.jsonl_record_index", "string"), F.lit("unknown"))
+    return F.coalesce(text_at(record, "gt_record", "id"), text_at(record, "id"), F.get(path_variants(path, ()), 0), F.concat(F.lit("record_"), number))
+
+
+def video_of(*records: Column) -> Column:
+    """The first video of the records, annotations first."""
+    return F.coalesce(*[x for r in records for x in (text_at(r, "gt_record", "video"), text_at(r, "video"))])
+
+
+def source_category(*records: Column) -> Column:
+    """The first source category that is not blank, else the empty text."""
+    return F.coalesce(*[text_at(r, "metadata", "source_category") for r in records], F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import intervals, jsonx, labels, texts
+from tidemark.functions import dialects, intervals, jsonx, labels, texts
 from tidemark.operators import compare, curate, matching, sizes
 from tidemark.plans import media, shapes
 from tidemark.registry import query, read
@@ -335,3 +335,20 @@ def most_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's top 20: most intervals first, marked ones hidden."""
     rows = comparison_bundle(spark, sf_dir).where("not marked")
     return compare.rank_items(rows).limit(20).select("key", F.greatest("n_left", "n_right", "n_gt").alias("most"))
+
+
+@query("""WITH p AS (SELECT page_id AS i, 'data/full/g' || page_id % 7 || '/h/' || page_id || '.mp4' AS video FROM pages),
+k AS (SELECT *, CASE WHEN i % 3 = 0 THEN 'id-' || i WHEN i % 3 = 1 THEN 'dataset/c' || i % 5 || '/v' || i || '.mp4' WHEN i % 5 <> 4 THEN video ELSE 'record_' || i END AS key FROM p)
+SELECT i AS page_id, key, CASE WHEN i % 5 <> 4 THEN 'g' || i % 7 || ' / h' ELSE key END AS parent, CASE WHEN i % 4 > 0 THEN 'cat' || i % 4 ELSE '' END AS category FROM k""")
+def record_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key, parent group and source category of records that name themselves in different ways, one for each page."""
+    i = F.col("page_id")
+    text = lambda form, *c: F.format_string(form, *c)
+    record = F.struct(
+        F.when(i % 3 == 0, text("id-%d", i)).alias("id"), F.when(i % 5 != 4, text("data/full/g%d/h/%d.mp4", i % 7, i)).otherwise(" ").alias("video"), i.alias("jsonl_record_index"),
+        F.struct(F.when(i % 4 > 0, text("cat%d", i % 4)).otherwise(" ").alias("source_category"), F.when(i % 3 == 1, text("dataset\\c%d\\v%d.mp4", i % 5, i)).alias("video_relative_path")).alias("metadata"),
+        F.struct(F.lit(5).alias("id")).alias("gt_record"),
+    )
+    rows = read(spark, sf_dir, "pages").select("page_id", F.try_parse_json(F.to_json(record)).alias("v"))
+    rows = rows.select("page_id", dialects.primary_key(F.col("v")).alias("key"), dialects.video_of(F.col("v")).alias("video"), dialects.source_category(F.col("v")).alias("category"))
+    return rows.select("page_id", "key", texts.parent_group(F.col("video"), F.col("key"), ("data", "full", "videos", "target", "dataset")).alias("parent"), "category")
