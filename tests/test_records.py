@@ -142,3 +142,13 @@ def test_recovery_is_linear():
         start = time.perf_counter()
         assert jsonx.find_list(text) is None and jsonx.find_object(text) is None
         assert time.perf_counter() - start < 1
+
+
+def test_data_urls_of_long_contents_are_one_line(spark):
+    import base64
+
+    from tidemark.functions import texts
+
+    content = b"x" * 200
+    got = spark.createDataFrame([(content,)], "c binary").select(texts.data_url(F.col("c"), F.lit("a.png"))).head()[0]
+    assert got == "data:image/png;base64," + base64.b64encode(content).decode()

@@ -148,7 +148,8 @@ def file_url(path: Column) -> Column:
 
 def data_url(content: Column, path: Column) -> Column:
     kind = F.when(F.lower(path).rlike(r"\.jpe?g\z"), "image/jpeg").otherwise("image/png")
-    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), F.base64(content))
+    text = F.replace(F.base64(content), F.lit("\r\n"), F.lit(""))  # Spark may cut it into lines of 76 signs
+    return F.concat(F.lit("data:"), kind, F.lit(";base64,"), text)
 
 
 def common_root(path: Column) -> Column:
