@@ -19,7 +19,9 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import pairwise
+from functools import lru_cache
+from itertools import groupby, islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -47,33 +49,69 @@ ENDS = re.compile(r"[.!?…][\"')\]]*(?=\s|\Z)")
 LABELLERS = ("odd_signs", "capitals", "bars", "shouting", "runs", "top_word", "few_words", "stop_words", "sentences", "word_length", "same_lines")
 
 
-def shares(text: str) -> dict[str, float] | None:
-    """What labellers and features go by; None for a text without words."""
+class _Kinds(dict):
+    """By code point: a for a letter, A for a capital, 0 for a digit, else the sign itself."""
+
+    def __missing__(self, at: int) -> str:
+        c = chr(at)
+        self[at] = "0" if c.isdecimal() else c if not c.isalnum() else "A" if c.isupper() else "a"
+        return self[at]
+
+
+_kinds = _Kinds()
+#: Words that were met: the bare word, whether it is all capitals, the slot of its shape.
+_known: dict[str, tuple[str, bool, int]] = {}
+_slots: dict[str, int] = {}
+
+
+def _word(word: str) -> tuple[str, bool, int]:
+    looks = shape(word)
+    if (at := _slots.get(looks)) is None:
+        at = _slots[looks] = _slot("shape " + looks)
+    _known[word] = made = (word.strip(".,;:!?\"'()").lower(), len(word) > 1 and word.isupper(), at)
+    return made
+
+
+def measured(text: str) -> tuple[dict[str, float] | None, dict[int, int]]:
+    """What labellers and features go by (None for a text without words), and how many words have each shape, by its slot."""
     words = text.split()
     if not words:
-        return None
+        return None, {}
+    if len(_known) > 200_000:
+        _known.clear()
+    if len(_slots) > 200_000:
+        _slots.clear()
     n, counts = len(words), Counter(words)
     lines = [x for x in text.split("\n") if x.strip()]
     letters = sum(map(len, words))
-    bare = Counter()
+    bare: dict[str, int] = {}
+    shapes: dict[int, int] = {}
+    upper, known = 0, _known.get
     for w, c in counts.items():
-        bare[w.strip(".,;:!?\"'()").lower()] += c
-    upper = sum(c for w, c in counts.items() if len(w) > 1 and w.isupper())
-    same = sum(a == b for a, b in pairwise(words))
+        b, capitals, at = known(w) or _word(w)
+        bare[b] = bare.get(b, 0) + c
+        shapes[at] = shapes.get(at, 0) + c
+        if capitals:
+            upper += c
     return {
         "n": n,
         "odd": len(ODD.findall(text)) / max(1, letters),
         "upper": upper / n,
-        "bars": sum(c for w, c in counts.items() if w == "|") / n,
+        "bars": counts["|"] / n,
         "top": max(bare.values()) / n,
-        "again": same / max(1, n - 1),
+        "again": sum(map(eq, words, islice(words, 1, None))) / max(1, n - 1),
         "distinct": len(bare) / n,
         "stops": sum(bare[w] for w in STOP if w in bare) / n,
         "ends": len(ENDS.findall(text)) / n,
         "length": letters / n,
         "same_lines": 1 - len(set(lines)) / len(lines),
         "bangs": text.count("!!") / n,
-    }
+    }, shapes
+
+
+def shares(text: str) -> dict[str, float] | None:
+    """What labellers and features go by; None for a text without words."""
+    return measured(text)[0]
 
 
 def votes(s: dict[str, float] | None) -> tuple[int, ...]:
@@ -96,36 +134,32 @@ def votes(s: dict[str, float] | None) -> tuple[int, ...]:
     )
 
 
-_shapes: dict[str, int] = {}
-
-
 def _slot(name: str) -> int:
     return xxhash.xxh32_intdigest(name) % FEATURES
 
 
 def shape(word: str) -> str:
     """Runs of letters, capitals and digits become a, A and 0; other signs stay, each once in a row."""
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "0", word)))[:12]
+    return "".join([k for k, _ in groupby(word.translate(_kinds))])[:12]
+
+
+@lru_cache(4096)
+def _bin(name: str, number: int) -> int:
+    return _slot(f"{name} {number}")
 
 
-def features(text: str, s: dict[str, float] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values, of norm about one: the share of each word shape and one-hot bins of the shares."""
+def features(text: str, s: dict[str, float] | None, shapes: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and values, of norm about one: the share of each word shape and one-hot bins of the shares. s and shapes: as measured."""
     if s is None:
         return np.array([_slot("bias")]), np.array([1.0])
-    found: Counter = Counter()
-    if len(_shapes) > 200_000:
-        _shapes.clear()
-    for w, c in Counter(text.split()).items():
-        if (at := _shapes.get(w)) is None:
-            at = _shapes[w] = _slot("shape " + shape(w))
-        found[at] += c
+    found = measured(text)[1] if shapes is None else shapes
     out = {k: v / s["n"] for k, v in found.items()}
     for name in ("odd", "upper", "bars", "top", "again", "distinct", "stops", "ends", "same_lines", "bangs"):
-        out[_slot(f"{name} {min(20, int(math.sqrt(s[name]) * 20))}")] = 0.5
+        out[_bin(name, min(20, int(math.sqrt(s[name]) * 20)))] = 0.5
     for name in ("length", "n"):
-        out[_slot(f"{name} {int(math.log2(1 + s[name]) * (4 if name == 'length' else 1))}")] = 0.25
+        out[_bin(name, int(math.log2(1 + s[name]) * (4 if name == "length" else 1)))] = 0.25
     out[_slot("bias")] = 1.0
-    return np.fromiter(out, np.int64), np.fromiter(out.values(), np.float64)
+    return np.fromiter(out, np.int64, len(out)), np.fromiter(out.values(), np.float64, len(out))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -171,7 +205,7 @@ def _votes(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 @F.pandas_udf(T.StructType([T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("votes", T.ArrayType(T.ByteType()))]))
 def _sampled(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in texts:
-        made = [(*features(t, s := shares(t)), np.array(votes(s), dtype=np.int8)) for t in batch]
+        made = [(*features(t, *(m := measured(t))), np.array(votes(m[0]), dtype=np.int8)) for t in batch]
         yield pd.DataFrame(made, columns=["slots", "values", "votes"])
 
 
@@ -208,8 +242,8 @@ def with_quality(documents: DataFrame, weights: np.ndarray, text_col: str = "tex
         for batch in texts:
             out = []
             for t in batch:
-                s = shares(t)
-                at, x = features(t, s)
+                s, shapes = measured(t)
+                at, x = features(t, s, shapes)
                 out.append(0.0 if s is None else 1 / (1 + math.exp(-max(-30.0, min(30.0, float(shared.value[at] @ x))))))
             yield pd.Series(out, dtype="float64")
 
