@@ -20,11 +20,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of exact and near copies: the one with the smallest doc_id, rows without one come last.
+    """One document of each component of linked SimHash fingerprints: the one with the smallest doc_id, rows without one come last.
 
     Null and empty texts are copies of one another. Of rows that are equal in id and text one stays; an empty table stays empty.
     """
-    return simhash.drop_near_duplicates(docs)
+    return simhash.drop_linked(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -90,3 +90,13 @@ def test_components_of_a_hub_with_very_many_neighbours(spark):
 
     edges = spark.range(1, 30_000).selectExpr("0L a", "id b").union(spark.range(1, 5_000).selectExpr("id + 30000 a", "id b"))
     assert {r.root for r in connected_components(edges).collect()} == {0}
+
+
+def test_the_pipeline_keeps_the_first_of_each_simhash_component(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.where("doc_id % 7 = 0").selectExpr("doc_id + 1000000 as doc_id", "concat(text, ' one more word') as text"))
+    linked = simhash.near_duplicates(docs).collect()
+    got = sorted(r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, sf).collect())
+    assert got == sorted({r.component_id for r in linked}) and len(got) < len(linked)

@@ -13,8 +13,8 @@ flips away from either, so every node joins the group of each such point. A grou
 are points around it, however large the bucket was. Links become components by alternating stars over nodes in the order
 of their smallest ids, so a root is the component's id.
 
-The contract query takes four-word shingles with repeats and radius 4. The pipeline's stage links texts whose sets of
-five-word shingles have a Jaccard similarity of SIMILARITY or more, and computes it for every link: min-hash bands only
+The contract query and the pipeline's stage take four-word shingles with repeats and radius 4. `drop_near_duplicates` is another
+measure, of exact similarity: it links texts whose sets of five-word shingles have a Jaccard similarity of SIMILARITY or more, and computes it for every link: min-hash bands only
 find candidates, which depends on the similarity alone and not on whether an edit is a block or scattered. A pair at
 similarity J meets in one of BANDS bands with a chance of 1 - (1 - J^ROWS)^BANDS (at 0.8: all but 6 in 100,000 pairs).
 Bands that hold the same texts count once; the texts of one meet with their shingle hashes (64 bits) and are compared
@@ -393,14 +393,46 @@ def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col:
     Links are similarities of five-word shingles; rows without an id are told apart by their texts and come last.
     """
     small_batches(documents.sparkSession, 200)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    key = {"k0": F.col(f"`{id_col}`").isNull(), "k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "k2": F.xxhash64(text)}
+    text, key = text_of(text_col), row_key(id_col, text_col)
     texts = documents.select(*[v.alias(k) for k, v in key.items()], text.alias("_text"))
     rows = texts.select(F.struct(*key).alias("_id"), _banded("_text").alias("x")).select("_id", "x.*")
     nodes = rows.groupBy("fp", "fp2").agg(F.min("_id").alias("node"), F.first("keys").alias("keys"))
     nodes = cut(nodes.withColumn("num", F.monotonically_increasing_id()))
     found = connected_components(similar_links(nodes, texts))
     stay = nodes.select("node").join(found.where("node != root"), "node", "left_anti").select("node.*")
+    return only(documents, stay, key)
+
+
+def drop_linked(documents: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """documents without all but one (the smallest id, then text hash) of each component of `near_duplicates`.
+
+    Rows without an id are told apart by their texts and come last. Texts are fingerprinted where they lie and move once, to meet the
+    rows that stay.
+    """
+    small_batches(documents.sparkSession)
+    key = row_key(id_col, text_col)
+    named = documents.select(F.struct(*[v.alias(k) for k, v in key.items()]).alias("_id"), _shingle_fp(text_of(text_col)).alias("fp"))
+    last = F.lit(2**63 - 1)  # stands for no id where nodes are ordered
+    nodes = cut(named.groupBy("fp").agg(F.min("_id").alias("first")).withColumn("own", F.when(F.col("first.k0"), last).otherwise(F.col("first.k1"))))
+    end = lambda x: F.struct(F.col(f"{x}_own").alias("own"), F.col(x).alias("fp")).alias(x)
+    found = connected_components(near_links(nodes, radius).select(end("a"), end("b")))
+    own = F.struct("own", "fp")
+    rooted = nodes.join(found.select(F.col("node.fp").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", own))
+    stay = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    return only(documents, stay, key)
+
+
+def text_of(text_col: str) -> Column:
+    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+
+
+def row_key(id_col: str, text_col: str) -> dict[str, Column]:
+    """What a row is told by and ordered by: whether its id is null, its id, the hash of its text."""
+    return {"k0": F.col(f"`{id_col}`").isNull(), "k1": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(0)), "k2": F.xxhash64(text_of(text_col))}
+
+
+def only(documents: DataFrame, stay: DataFrame, key: dict[str, Column]) -> DataFrame:
+    """One row of documents for each row of stay (the columns of key, each once)."""
     names = {k: f"_tidemark_{k}" for k in key}
     kept = documents.withColumns({names[k]: v for k, v in key.items()}).join(stay.toDF(*names.values()), list(names.values()), "left_semi")
     first = Window.partitionBy(*names.values()).orderBy(F.lit(0))
