@@ -116,3 +116,16 @@ def test_records_in_state_are_scored_once_and_late_ones_given_up(spark, tmp_path
     assert run(5, out, state) == want
     assert run(5, out, state) == want
     shutil.rmtree(state)
+
+
+def test_many_small_files_are_written_by_tasks_alone(spark, tmp_path):
+    root = str(tmp_path / "made")
+    rows = spark.range(3000).selectExpr("concat('f', id div 3 % 10, '/n ', id div 3, '=x.txt') AS name", "if(id % 3 = 1, null, concat('l', id)) AS line", "-id AS o")
+    renamed = []
+    old, sinks.file_system = sinks.file_system, lambda r: renamed.append(r) or old(r)
+    try:
+        sinks.write_files(rows, root, "name", "line", "o")
+    finally:
+        sinks.file_system = old
+    found = {p.relative_to(root).as_posix(): p.read_text() for p in (tmp_path / "made").rglob("*") if p.is_file()}
+    assert found == {f"f{k % 10}/n {k}=x.txt": f"l{3 * k + 2}\n\nl{3 * k}\n" for k in range(1000)} and renamed == []

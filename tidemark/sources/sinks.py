@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,20 +103,41 @@ def manifest(runs: DataFrame, root: str, **head: object) -> dict:
     return {**head, "models": [{"model_slug": m, "server_log": f"{root}/{m}/server.log", "runs": x} for m, x in models.items()]}
 
 
+def file_system(root: str) -> tuple[arrow_fs.FileSystem, str]:
+    """Arrow's file system of a path by its scheme (local without one), and the path in it."""
+    return arrow_fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (arrow_fs.LocalFileSystem(), root)
+
+
 def write_files(df: DataFrame, root: str, name: str, line: str, order: str) -> None:
-    """One text file per value of name, at root/value, with its lines in order. Each file is written by one task."""
-    from urllib.parse import unquote
-
-    spark = df.sparkSession
-    made = f"{root}/_made"
-    df.select(name, order, line).repartition(name).sortWithinPartitions(name, order).select(name, line).write.partitionBy(name).text(made)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in fs.listStatus(hadoop.Path(made)):
-        if part.isDirectory():
-            to = hadoop.Path(root + "/" + unquote(part.getPath().getName().split("=", 1)[1]))
-            fs.mkdirs(to.getParent())
-            for file in fs.listStatus(part.getPath()):
-                if file.getPath().getName().startswith("part-"):
-                    fs.rename(file.getPath(), to)
-    fs.delete(hadoop.Path(made), True)
+    """One text file per value of name, at root/value, with its lines in order.
+
+    Each file is written by one task, under a name of its own until it is whole, so a task that runs twice does no harm; a task
+    holds a batch of lines. The driver has no part in it, however many files there are.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(root)
+        now, out, made = None, None, set()
+
+        def finish() -> None:
+            if out is not None:
+                out.close()
+                fs.move(hidden, f"{base}/{now}")
+
+        for batch in batches:
+            for value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None or value != now:
+                    finish()
+                    folder, _, leaf = f"{base}/{value}".rpartition("/")
+                    if folder not in made:
+                        fs.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    now, hidden = value, f"{folder}/.{leaf}-{uuid.uuid4().hex}"
+                    out = fs.open_output_stream(hidden, buffer_size=1 << 16)
+                out.write(((text or "") + "\n").encode())
+        finish()
+        yield from ()
+
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(name).alias("name"), F.col(order).alias("o"), F.col(line).alias("line")).repartition(n, "name").sortWithinPartitions("name", "o")
+    rows.select("name", "line").mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
