@@ -203,3 +203,34 @@ def test_times_texts_and_plans(spark):
     asked = media.infer(df, lambda pdf: pdf.assign(parse_ok=pdf.d > 0)[["id", "parse_ok"]], "id long, parse_ok boolean")
     again = media.retry(asked, df.select("id", F.lit(True).alias("parse_ok")).where("id = 1"), "id")
     assert {r.id: (r.parse_ok, r.retried) for r in again.collect()} == {1: (True, True), 2: (True, False), 3: (True, False), 4: (False, False)}
+
+
+@pytest.mark.parametrize("order", ["pred", "gt"])
+def test_spread_matching_and_best_overlaps_with_copies_and_ties_agree_with_brute_force(spark, order):
+    """Few distinct times, so many intervals are equal and many overlaps tie."""
+    import random
+
+    from tidemark.operators import matching
+
+    draw = random.Random(5)
+    rows = [(k, bool(draw.getrandbits(1)), i, s := float(draw.randrange(12)), s + draw.choice([0, 1, 2, 3, 9])) for k in (1, 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "k long, gt boolean, i long, s double, e double")
+    want, best = [], {}
+    for k in (1, 2):
+        pairs = []
+        for _, _, g, gs, ge in (r for r in rows if r[0] == k and r[1]):
+            for _, _, p, ps, pe in (r for r in rows if r[0] == k and not r[1]):
+                if (inter := min(ge, pe) - max(gs, ps)) > 0:
+                    t = inter / (max(ge, pe) - min(gs, ps))
+                    pairs.append((-t, *((p, g) if order == "pred" else (g, p)), g, p))
+                    for side, x in ((True, g), (False, p)):
+                        best[k, side, x] = max(t, best.get((k, side, x), 0))
+        used = set()
+        for nt, _, _, g, p in sorted(pairs):
+            if ("g", g) not in used and ("p", p) not in used:
+                used |= {("g", g), ("p", p)}
+                want.append((k, g, p, round(-nt, 9)))
+    got = [(r.k, r.g, r.p, round(r.t, 9)) for r in matching.greedy_spread(df, "k", 1e-9, order).collect()]
+    assert sorted(got) == sorted(want)
+    sums = {(r.k, r.gt): r.best for r in matching.best_spread(df, "k").collect()}
+    assert sums == {key: pytest.approx(sum(t for (k, side, _), t in best.items() if (k, side) == key)) for key in sums} and len(sums) == 4

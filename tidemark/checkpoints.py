@@ -31,3 +31,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "round") -> DataFrame:
+    """df written to the shared folder and read again: unlike a checkpoint it carries no constraints on, which grow from round to round."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

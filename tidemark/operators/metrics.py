@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.checkpoints import cut
 from tidemark.functions.labels import has, mask_of
 from tidemark.operators import sizes
-from tidemark.operators.matching import best_overlaps, matched, matched_rows, matches_at, overlap_join, peel, peeled, spread_best_overlaps
+from tidemark.operators.matching import best_overlaps, greedy_spread, matched, matched_rows, matches_at, spread_best_overlaps, spread_matches
 from tidemark.sources.records import segments_of
 
 
@@ -105,10 +105,9 @@ def counted(rows: DataFrame, policy: str, labels: int, carried: Sequence[str], k
 
 
 def spread_counts(segments: DataFrame, taus: Sequence[float], policy: str, labels: int, carried: Sequence[str], keys: str | None) -> DataFrame:
-    """The counts of record_metrics for records of any size: pairs by time bucket, matches by peeling, labels met by joins, sums that combine."""
+    """The counts of record_metrics for records of any size: matches and best overlaps level by level, labels met by joins, sums that combine."""
     every = F.explode(F.array(*[F.lit(float(t)) for t in taus])).alias("tau")
-    pairs = cut(overlap_join(segments.where("gt"), segments.where("not gt"), "rec_id"))
-    found = cut(peeled(pairs.where(F.col("t") >= min(taus)), taus, "gt"))
+    found = cut(spread_matches(segments, taus, "gt"))
     own = segments.select(every, "rec_id", "gt", "i", "b")
     g = own.where("gt").select("tau", "rec_id", F.col("i").alias("g"), F.col("b").alias("gb")).join(found.drop("t"), ["tau", "rec_id", "g"], "left")
     p = own.where("not gt").select("tau", "rec_id", F.col("i").alias("p"), F.col("b").alias("pb"))
@@ -124,7 +123,7 @@ def spread_counts(segments: DataFrame, taus: Sequence[float], policy: str, label
     met = found.groupBy("tau", "rec_id").agg(F.count("*").alias("n_matched"), F.sum("t").alias("t_sum"))
     mask = [F.coalesce(F.bit_or(keys), F.lit(0)).alias("_keys")] if keys else [F.lit((1 << labels) - 1).alias("_keys")]
     sides = segments.groupBy("rec_id", *carried).agg(F.count_if("gt").alias("n_gt"), F.count_if(~F.col("gt")).alias("n_pred"), *mask)
-    base = sides.select("*", every).join(spread_best_overlaps(segments, pairs), "rec_id").join(met, ["tau", "rec_id"], "left").join(sums, ["tau", "rec_id"], "left")
+    base = sides.select("*", every).join(spread_best_overlaps(segments), "rec_id").join(met, ["tau", "rec_id"], "left").join(sums, ["tau", "rec_id"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
     counts_of = lambda j: F.struct(*[(zero(f"{n}_{j}") if n != "tn" else F.when(has(F.col("_keys"), j), zero(f"{n}_{j}")).otherwise(0)).alias(n) for n in tests])
     return base.select(
@@ -296,17 +295,16 @@ def by_label(segments: DataFrame, labels: int = 6) -> DataFrame:
 def temporal_metrics(segments: DataFrame, scope: str = "pooled", labels: int = 6, digits: int = 6) -> DataFrame:
     """Per label: interval counts, matches, accuracy, precision and mean tIoU for any overlap, 0.5 and 0.7.
 
-    scope "pooled" matches the intervals of a label over all records together (by overlap join and peeling); "record"
+    scope "pooled" matches the intervals of a label over all records together (level by level, by peeling); "record"
     matches inside each record. A ratio without denominator is null.
     """
     rows = by_label(segments, labels)
     counts = rows.groupBy("label").agg(F.count(F.when(F.col("gt"), 1)).alias("n_gt"), F.count(F.when(~F.col("gt"), 1)).alias("n_pred"))
     names = {"any": 1e-9, "05": 0.5, "07": 0.7}
     if scope == "pooled":
-        pairs = cut(overlap_join(rows.where("gt"), rows.where("not gt"), "label"))
         at = F.explode(F.array(*[F.struct(F.lit(n).alias("at"), F.lit(tau).alias("tau")) for n, tau in names.items()]))
-        each = pairs.select("*", at.alias("x")).where("t >= x.tau").select(F.struct("label", "x.at").alias("key"), "g", "p", "t")
-        found = peel(each, "key").select("key.label", "key.at", "t")
+        matched_once = cut(greedy_spread(rows.select("label", "gt", "i", "s", "e"), "label", min(names.values())))
+        found = matched_once.select("label", "t", at.alias("x")).where("t >= x.tau").select("label", "x.at", "t")
     else:
         own = rows.withColumn("rec_id", F.struct("rec_id", "label"))
         at = F.element_at(F.create_map(*[F.lit(x) for n, tau in names.items() for x in (float(tau), n)]), F.col("tau"))

@@ -38,8 +38,7 @@ POOLED = "ls AS (SELECT j + 1 AS label, seg.* FROM seg, range(6) AS u(j) WHERE (
 @query(f"WITH RECURSIVE {SEG}, {POOLED}, {sql.matches((0.7,), 'p, g', 'label', 'ls')} SELECT label, g, p, round(t, 6) AS t FROM m")
 def greedy_match_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.by_label(segments(spark, sf_dir))
-    pairs = matching.tiou_join(rows.where("gt"), rows.where("not gt"), "label", 0.7)
-    return matching.peel(pairs, "label").withColumn("t", F.round("t", 6))
+    return matching.greedy_spread(rows.select("label", "gt", "i", "s", "e"), "label", 0.7).withColumn("t", F.round("t", 6))
 
 
 @query(f"""WITH RECURSIVE {SEG}, {sql.matches((0.5,))} SELECT rec_id, CASE WHEN gt THEN 'gt' ELSE 'pred' END AS side, i FROM seg
