@@ -83,6 +83,17 @@ def test_licenses_by_other_templates(spark):
     assert {r.doc_id: r.labels for r in license_scan.scan_licenses(rows, notices=notices).collect()} == {1: "own", 2: ""}
 
 
+def test_every_place_of_a_notice_votes(spark):
+    for label, notice in license_scan.NOTICES.items():
+        words = notice.split()
+        assert [(g, p) for g, n, p, *_, base in license_scan.templates() if n == label and not base] == [(f"{a} {b}", i) for i, (a, b) in enumerate(itertools.pairwise(words))]
+    notices = {"stops": "as is with no part of it", "two": "gnu license version 2", "three": "gnu license version 3"}
+    texts = ["so it is as is with no part of it", "the gnu license version 2 is", "the gnu license version 3 is", "a gnu license version 1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in license_scan.scan_licenses(rows, notices=notices).collect()}
+    assert got == {0: "stops", 1: "two", 2: "three", 3: ""}
+
+
 def test_the_largest_id_is_an_id(spark):
     last, text = 2**63 - 1, "one two three four five six seven eight"
     rows = [(last, text), (None, text), (None, "other words stand here and there now"), (last, ""), (3, ""), (None, "")]

@@ -5,7 +5,7 @@ hash (the gram itself is compared too, so a vote is exact). A vote falls on the
 place``. Votes are summed by diagonal, and neighbouring diagonals of a template merge into one island (so inserted or missing
 words don't split a notice). A span is verified inside its island: the island counts if any window of a bounded width in it holds
 enough of the template's voting places, so words that follow a notice can't hide it. A base phrase needs all its grams on
-one diagonal, which is the exact phrase. Grams of function words alone have no vote.
+one diagonal, which is the exact phrase. Every gram of a template votes, also one of function words alone, so no place is left out.
 
 The templates are an argument (label: notice), by default a list of short ones. Their side of the join is broadcast if they have
 no more than BROADCAST grams, else shuffled; no other side is broadcast.
@@ -49,7 +49,6 @@ NOTICES = {
     "all-rights": "all rights reserved no part of this publication may be reproduced",
     "unlicense": "this is free and unencumbered software released into the public domain",
 }
-STOP = frozenset("a all and any are as for in is it no of or part subject that the this to under version with 0 2 3 4".split())
 #: Share of a notice's voting places that a span must hold, and its greatest width as a multiple of the notice.
 COVERED, WIDTH = 0.75, 1.5
 #: Grams of templates up to which their table is broadcast.
@@ -57,12 +56,11 @@ BROADCAST = 100_000
 
 
 def templates(notices: Mapping[str, str] = NOTICES) -> list[tuple[str, str, int, int, int, bool]]:
-    """(gram, label, place, words, voting places, base) for every voting gram."""
+    """(gram, label, place, words, voting places, base) for every rolling gram."""
     out = []
     for text, label, base in [*((t, n, True) for t, n in BASE.items()), *((t, n, False) for n, t in notices.items())]:
         w = re.findall(WORD, text.translate(LOWER))
-        votes = [i for i in range(len(w) - 1) if base or not {w[i], w[i + 1]} <= STOP]
-        out += [(f"{w[i]} {w[i + 1]}", label, i, len(w), len(votes), base) for i in votes]
+        out += [(f"{w[i]} {w[i + 1]}", label, i, len(w), len(w) - 1, base) for i in range(len(w) - 1)]
     return out
 
 
