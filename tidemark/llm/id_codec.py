@@ -74,7 +74,8 @@ class _Model:
         # beyond an expected id's start in order 0, as much as its weight is not order 0's
         low2 = self.w0 * self.starts.take(self.id2) + self.w1 * (self.id1 < self.id2)
         low1 = self.w0 * self.starts.take(self.id1) + self.w2 * (self.id2 < self.id1)
-        rest = value - np.clip(value - low2, 0, self.w2) - np.clip(value - np.where(self.id1 == self.id2, low1 + self.w2, low1), 0, self.w1)
+        between = lambda x, w: np.minimum(np.maximum(x, 0), w)
+        rest = value - between(value - low2, self.w2) - between(value - np.where(self.id1 == self.id2, low1 + self.w2, low1), self.w1)
         return self.inverse.take(rest // self.w0, mode="clip")
 
     def learn(self, x: np.ndarray) -> None:

@@ -32,6 +32,7 @@ LETTERS, NUMBERS = "a-zªµºß-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
 #: How the vocabulary's file cuts pieces (fixed).
 PIECE = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+)"
 PLAIN = "^[!-įı-ɏ]*$"  # for Arrow and re alike
+IS_PLAIN = re.compile(PLAIN).match
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -84,7 +85,7 @@ class Encoder:
         missing = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
         fresh = {p: ids for p in missing if (ids := old.get(p)) is not None}
         new = [p for p in missing if p not in fresh]
-        odd = {p for p in new if not re.match(PLAIN, p) or "<|" in p}
+        odd = {p for p in new if not IS_PLAIN(p) or "<|" in p}
         fresh.update(self._coded([p for p in new if p and p not in odd]))
         fresh.update((p, self._whole(p)) for p in new if p in odd or not p)
         if len(young) + len(fresh) > self.held:
@@ -96,10 +97,12 @@ class Encoder:
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different parts one after another, and how many each has."""
         plain = pc.and_not(pc.match_substring_regex(parts, PLAIN), pc.match_substring(parts, "<|"))
-        cut = pc.replace_substring_regex(pc.utf8_lower(parts), PIECE, "\\1 ")
+        lower = pc.utf8_lower(parts)
+        mixed = pc.invert(pc.match_substring_regex(lower, "^[a-z]+$"))  # the others are one piece
+        cut = pc.replace_with_mask(lower, mixed, pc.replace_substring_regex(lower.filter(mixed), PIECE, "\\1 "))
         cut = pc.split_pattern(pc.if_else(plain, pc.ascii_rtrim(cut, " "), parts), " ")
         coded = cut.flatten().dictionary_encode()
-        ids, lengths = self._pieces(coded.dictionary.to_pylist())
+        ids, lengths = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         code = coded.indices.to_numpy()
         each = lengths[code]
         return _gathered(ids, (np.cumsum(lengths) - lengths)[code], each), np.add.reduceat(each, cut.offsets.to_numpy()[:-1])
