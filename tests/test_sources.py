@@ -118,6 +118,33 @@ def test_records_in_state_are_scored_once_and_late_ones_given_up(spark, tmp_path
     shutil.rmtree(state)
 
 
+def test_records_that_wait_are_a_table_and_no_python_state(spark, tmp_path):
+    """Whole records are scored once, also where the last batch is repeated; the plan of a batch holds no Python."""
+    kind = "rec_id long, gt boolean, i long, s double, e double, b int, expected long, ts timestamp"
+    batches = [
+        [(1, True, 1, 0.0, 4.0, 1, 3), (2, True, 1, 0.0, 4.0, 1, 2), (3, False, 7, 0.0, 1.0, 3, 1)],
+        [(1, False, 2, 0.0, 4.0, 1, 3), (1, True, 1, 5.0, 9.0, 1, 3)],
+        [(1, False, 3, 8.0, 9.0, 2, 3), (4, True, 1, 0.0, 1.0, 1, 9)],
+        [(5, True, 1, 0.0, 1.0, 1, 1)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, kind.rpartition(",")[0]).withColumn("ts", F.lit(None).cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def run(n):
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*[str(tmp_path / f"in[0-{n - 1}]")])
+        live.write_whole_records(stream, out, state).awaitTermination()
+        return sorted((r.rec_id, r.n_gt, r.n_pred, r.n_matched) for r in spark.read.parquet(out).collect())
+
+    assert run(4) == [(1, 1, 2, 1), (3, 0, 1, 0), (5, 1, 0, 0)]
+    last = max(int(p.name) for p in (tmp_path / "state/commits").iterdir() if p.name.isdigit())
+    for p in (tmp_path / "state/commits").iterdir():
+        if p.name.strip(".").split(".")[0] == str(last):
+            p.unlink()  # as if it was killed between writing and its checkpoint
+    assert run(4) == [(1, 1, 2, 1), (3, 0, 1, 0), (5, 1, 0, 0)]
+    assert sorted(p.name for p in (tmp_path / "state-waiting").iterdir()) == [f"batch={last - 1}", f"batch={last}"]
+
+
 def test_many_small_files_are_written_by_tasks_alone(spark, tmp_path):
     root = str(tmp_path / "made")
     rows = spark.range(3000).selectExpr("concat('f', id div 3 % 10, '/n ', id div 3, '=x.txt') AS name", "if(id % 3 = 1, null, concat('l', id)) AS line", "-id AS o")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 LABELS = ("C1", "C2", "C3", "C4", "C5", "C6")
 
 
-def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_id, model_id, iter, gt, i (event id), s, e, b (label bits), k."""
+def segments(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """rec_id, model_id, iter, gt, i (event id), s, e, b (label bits), k, and more columns of the events."""
     day, k = F.dayofmonth("ts") - 1, F.get_json_object("props", "$.k").cast("int")
     week = F.floor(day / 7).cast("long")
     start = ((day % 7) * 1440 + F.hour("ts") * 60 + F.minute("ts")).cast("double") / 60
@@ -30,6 +30,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         (start + F.col("value") / 4).alias("e"),
         one.bitwiseOR(two).alias("b"),
         "k",
+        *more,
     )
 
 

@@ -1,4 +1,6 @@
-"""Metrics over segments that keep arriving: a record is gathered in keyed state and scored once it is complete, or once it is late.
+"""Metrics over segments that keep arriving: a record is scored once it is complete, or once it is late.
+
+`write_whole_records` keeps the rows that wait in a table from batch to batch; `gathered` holds records in keyed state, with a limit of time.
 
 Output is written by batch number, each in a folder of its own that a repeated batch replaces: a query that was stopped between writing and
 its checkpoint repeats the batch and gives the same table.
@@ -98,6 +100,38 @@ def write_batches(rows: DataFrame, path: str, checkpoint: str, **trigger) -> Str
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
+def _drop(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_whole_records(segments: DataFrame, path: str, checkpoint: str, taus: Sequence[float] = (0.5,), policy: str = "strict", **trigger) -> StreamingQuery:
+    """Starts a query that writes the metrics of the records that a batch completes to path/batch=N; all others wait for later batches.
+
+    segments as in `gathered`, without its `late`: records wait for ever. Rows that wait are a table of the batch beside the checkpoint,
+    which the next batch joins with its own, so nothing is gathered by record in Python and a large record stays spread.
+    Rows with equal (gt, i) count once, the first. A repeated batch replaces what its earlier try left.
+    """
+    waiting = f"{checkpoint.rstrip('/')}-waiting"
+
+    def each(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select("rec_id", *PARTS, "expected", F.lit(1).alias("at"))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{waiting}/batch={number - 1}/whole=false").withColumn("at", F.lit(0)))
+        once = rows.groupBy("rec_id", "gt", "i").agg(F.min(F.struct("at", "s", "e", "b")).alias("x"), F.max("expected").alias("expected")).select("rec_id", "gt", "i", "x.s", "x.e", "x.b", "expected")
+        known = once.groupBy("rec_id").agg((F.count("*") >= F.max("expected")).alias("whole"))
+        own, schema = f"{waiting}/batch={number}", once.drop("whole").schema
+        for part in ("true", "false"):  # both folders are there, also if one has no rows
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{own}/whole={part}")
+        once.join(known, "rec_id").write.mode("append").partitionBy("whole").parquet(own)
+        record_metrics(spark.read.parquet(f"{own}/whole=true"), taus, policy).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number > 1:
+            _drop(spark, f"{waiting}/batch={number - 2}")
+
+    return segments.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+
+
 def write_record_metrics(segments: DataFrame, path: str, checkpoint: str, taus: Sequence[float] = (0.5,), policy: str = "strict") -> StreamingQuery:
     """Starts a query that writes each batch's record metrics to path/batch=N; here a batch holds whole records, and none is gathered in state."""
 
