@@ -156,3 +156,17 @@ def test_many_small_files_are_written_by_tasks_alone(spark, tmp_path):
         sinks.file_system = old
     found = {p.relative_to(root).as_posix(): p.read_text() for p in (tmp_path / "made").rglob("*") if p.is_file()}
     assert found == {f"f{k % 10}/n {k}=x.txt": f"l{3 * k + 2}\n\nl{3 * k}\n" for k in range(1000)} and renamed == []
+
+
+def test_evaluation_parses_records_once(spark, tmp_path):
+    from tidemark.operators import metrics
+    from tidemark.sources import records
+
+    chunk = {"start": "0", "end": "4", "guardrail": {"C1": "true"}}
+    side = {"intervals": {"chunks": {"chunk_1": chunk}, "chunk_order": ["chunk_1"]}}
+    write(tmp_path / "iter_1" / "records.jsonl", {"ground_truth": side, "prediction": side}, {"ground_truth": side})
+    rows = records.iteration_records(spark, str(tmp_path)).withColumn("rec_id", F.struct("iter", "rec_idx"))
+    made = metrics.evaluate(rows, (0.5,), carried=("iter",))
+    assert sorted((r.rec_id.rec_idx, r.n_gt, r.n_pred, r.n_matched) for r in made.collect()) == [(0, 1, 1, 1), (1, 1, 0, 0)]
+    plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "text" not in plan and "from_json" not in plan and "parse_json" not in plan

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.checkpoints import cut
+from tidemark.checkpoints import cut, written
 from tidemark.functions.labels import has, mask_of
 from tidemark.operators import sizes
 from tidemark.operators.matching import best_overlaps, greedy_spread, matched, matched_rows, matches_at, spread_best_overlaps, spread_matches
-from tidemark.sources.records import segments_of
+from tidemark.sources.records import segment_array
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -238,9 +238,11 @@ def label_universe(segments: DataFrame) -> list[str]:
 def evaluate(rows: DataFrame, taus: Sequence[float], policy: str = "strict", carried: Sequence[str] = (), universe: Sequence[str] | None = None) -> DataFrame:
     """Metrics of scanned records (rec_id, carried, is_valid, record) with their own label keys, and skip_reason.
 
-    Every record stays, also without segments. Labels are numbered by their place in the universe of keys.
+    Every record stays, also without segments. Labels are numbered by their place in the universe of keys. The records are parsed once,
+    to a written table that all later steps read.
     """
-    found = segments_of(rows.where("is_valid"), "rec_id", *carried)
+    rows = written(rows.select("rec_id", *carried, "is_valid", segment_array().alias("segments")), "parsed")
+    found = rows.where("is_valid").select("rec_id", *carried, F.inline("segments"))
     names = label_universe(found) if universe is None else list(universe)
     coded = found.select("rec_id", *carried, "gt", "i", "s", "e", mask_of(F.col("labels"), names).alias("b"), mask_of(F.col("labels"), names, True).alias("kb"))
     made = record_metrics(coded, taus, policy, max(len(names), 1), carried, "kb").drop(*carried)

@@ -96,20 +96,26 @@ def whole_files(spark: SparkSession, path: str, glob: str = "*.json") -> DataFra
 
 
 def segments_of(rows: DataFrame, *keys: str) -> DataFrame:
-    """keys, gt, i (place in its side), s, e, labels (raw values): the intervals of both sides of records (keys, record).
+    """keys, gt, i (place in its side), s, e, labels (raw values): the intervals of both sides of records (keys, record)."""
+    return rows.select(*keys, F.inline(segment_array()))
+
+
+def segment_array() -> F:
+    """Array of (gt, i, s, e, labels): the intervals of both sides of `record`.
 
     Chunks come in their listed order, then the others by name; those whose times are no numbers are left out.
     """
     from tidemark.functions.jsonx import ordered_chunks
+    from tidemark.functions.texts import let
 
-    def side(name: str, gt: bool):
-        intervals = F.col(f"record.{name}.intervals")
+    def side(record, name: str, gt: bool):
+        intervals = record[name]["intervals"]
         good = F.filter(ordered_chunks(intervals["chunks"], intervals["chunk_order"]), lambda x: x["start"].try_cast("double").isNotNull() & x["end"].try_cast("double").isNotNull())
         return F.transform(good, lambda x, i: F.struct(F.lit(gt).alias("gt"), i.cast("long").alias("i"), x["start"].cast("double").alias("s"), x["end"].cast("double").alias("e"), F.coalesce(x["guardrail"], F.create_map().cast("map<string,string>")).alias("labels")))
 
     none = F.array().cast("array<struct<gt:boolean,i:bigint,s:double,e:double,labels:map<string,string>>>")
-    both = F.concat(F.coalesce(side("ground_truth", True), none), F.coalesce(side("prediction", False), none))
-    return rows.select(*keys, F.inline(both))
+    # a lambda's variable, so a record is parsed once, however often its parts are used
+    return let(F.col("record"), lambda r: F.concat(F.coalesce(side(r, "ground_truth", True), none), F.coalesce(side(r, "prediction", False), none)))
 
 
 def iteration_records(spark: SparkSession, root: str) -> DataFrame:
