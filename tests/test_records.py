@@ -152,3 +152,25 @@ def test_data_urls_of_long_contents_are_one_line(spark):
     content = b"x" * 200
     got = spark.createDataFrame([(content,)], "c binary").select(texts.data_url(F.col("c"), F.lit("a.png"))).head()[0]
     assert got == "data:image/png;base64," + base64.b64encode(content).decode()
+
+
+def test_lists_are_recovered_in_small_batches(spark):
+    from tidemark.functions import jsonx
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rows = spark.range(3 * jsonx.BATCH).select("id", F.format_string('x [{"GUARDRAIL": {"C%d(x)": true}}]', F.col("id") % 6 + 1).alias("t"))
+    found = rows.select("id", jsonx.interval_categories(F.col("t")).alias("b"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == jsonx.BATCH
+    assert found.where("b <> shiftleft(1, cast(id % 6 as int))").count() == 0
+
+
+def test_annotations_of_many_documents(spark, sf, monkeypatch):
+    from tidemark import queries_files
+
+    roots, scan = [], queries_files.scans.annotations
+    monkeypatch.setattr(queries_files.scans, "annotations", lambda s, root: roots.append(root) or scan(s, root))
+    whole = sorted(map(tuple, queries_files.annotation_scan(spark, sf).collect()))
+    monkeypatch.setattr(queries_files, "DOCUMENT", 100)
+    assert sorted(map(tuple, queries_files.annotation_scan(spark, sf).collect())) == whole
+    sizes = [r.n for r in queries_files.scans.elements(spark, roots[1], queries_files.scans.ANNOTATION, "full.json").groupBy("file").count().withColumnRenamed("count", "n").collect()]
+    assert max(sizes) <= 100 < sum(sizes)

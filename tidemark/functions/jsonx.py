@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +20,8 @@ from tidemark.functions.labels import label_bits, prefix_bits, raw_map, true_pyt
 from tidemark.functions.texts import after_marker, let, strip
 
 MAPS = "array<map<string,string>>"
+#: Texts that a Python worker holds at once.
+BATCH = 500
 
 
 BRACKET_OR_QUOTE = re.compile(r"""["'\[\]{}]""")
@@ -110,6 +112,12 @@ def recover_json_list(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda t: objects_of(find_list(t)), na_action="ignore")
 
 
+def listed(text: Column) -> Column:
+    """recover_json_list in batches of BATCH texts: a worker holds a batch of texts and what it found in them, whatever the table's size."""
+    SparkSession.active().conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return recover_json_list(text)
+
+
 def plain_json_list(text: Column) -> Column:
     """The text, without outer backticks, if it is a JSON list of objects; else null."""
     bare = F.when(strip(text).startswith("```"), F.regexp_replace(strip(text), "^`+|`+$", "")).otherwise(strip(text))
@@ -141,7 +149,7 @@ def shots(list_json: Column) -> Column:
 
 def parse_answer(text: Column) -> Column:
     """Array of shots of a model's answer; null if it holds no JSON list."""
-    return shots(recover_json_list(after_marker(text)))
+    return shots(listed(after_marker(text)))
 
 
 def to_payload(parsed: Column, note: Column | None = None) -> Column:
@@ -221,7 +229,7 @@ def full_categories(text: Column) -> Column:
 
 def interval_categories(text: Column) -> Column:
     """Label bits of all intervals in an answer; null if it holds no JSON list."""
-    flags = F.transform(raw_objects(recover_json_list(after_marker(text))), lambda x: F.coalesce(prefix_bits(raw_map(F.try_element_at(x, F.lit("GUARDRAIL")))), F.lit(0)))
+    flags = F.transform(raw_objects(listed(after_marker(text))), lambda x: F.coalesce(prefix_bits(raw_map(F.try_element_at(x, F.lit("GUARDRAIL")))), F.lit(0)))
     return F.aggregate(flags, F.lit(0), lambda a, x: a.bitwiseOR(x))
 
 
