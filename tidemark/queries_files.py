@@ -258,6 +258,10 @@ def clips_to_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("duration"), 4).alias("d"))
 
 
+#: Ids of events whose annotations are one document by category.
+DOCUMENT = 30_000
+
+
 @query("""SELECT 'c' || user_id % 3 AS category, count(*) AS n, count(*) FILTER (event_id % 5 = 0 OR event_id % 7 = 0) AS n_invalid, count(*) FILTER (event_id % 5 <> 0 AND event_id % 7 <> 0) AS n_usable FROM events GROUP BY ALL""")
 def annotation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations by folder; derived folders are left out, rows without a video or with one turn are invalid."""
@@ -266,8 +270,9 @@ def annotation_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     two = F.array(turn("human", F.lit("?")), turn("gpt", i.cast("string")))
     item = F.struct(F.when(i % 5 != 0, F.format_string("dataset/full/%d.mp4", i)).alias("video"), F.when(i % 7 == 0, F.slice(two, 1, 1)).otherwise(two).alias("conversations"))
-    lists = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("c")).agg(F.collect_list(item).alias("items"))
-    names = F.explode(F.array(F.format_string("c%d/full.json", "c"), F.format_string("c%d_qa/full.json", "c"), F.format_string("c%d_binary/full.json", "c")))
+    # a document is one task's work, so there are more of them in a larger table, not larger ones
+    lists = read(spark, sf_dir, "events").groupBy((F.col("user_id") % 3).alias("c"), F.floor(i / DOCUMENT).alias("d")).agg(F.collect_list(item).alias("items"))
+    names = F.explode(F.array(F.format_string("d%d/c%d/full.json", "d", "c"), F.format_string("d%d/c%d_qa/full.json", "d", "c"), F.format_string("d%d/c%d_binary/full.json", "d", "c")))
     sinks.write_files(lists.select(names.alias("name"), F.to_json("items").alias("line"), F.lit(0).alias("o")), root, "name", "line", "o")
     rows = scans.annotations(spark, root)
     usable = F.col("disposition") == "usable"
