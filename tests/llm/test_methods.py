@@ -289,6 +289,22 @@ def test_encoder_forgets_without_losing_ids(tokenizer, monkeypatch):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_encoder_cuts_words_with_a_sign_without_the_pieces_expression(tokenizer, monkeypatch):
+    cut, replace = [], tokens.pc.replace_substring_regex
+    monkeypatch.setattr(tokens.pc, "replace_substring_regex", lambda parts, *a, **k: (cut.extend(parts.to_pylist()), replace(parts, *a, **k))[1])
+    own, text = tokens.Encoder(tokens.vocabulary_path()), "Words, and straße. Über? it's 12"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert cut == ["über?", "it's", "12"]
+
+
+def test_encoders_memory_is_bounded_in_characters_too(tokenizer):
+    own = tokens.Encoder(tokens.vocabulary_path(), held=100, at_once=20_000)
+    texts = ["".join(random.Random(i).choice("abc") for _ in range(5000)) for i in range(80)]
+    for t, got in zip(texts, own.encode_all(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert sum(map(len, own.met)) < 60_000  # 400,000 characters went through
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 300), max_size=60), max_size=8), st.integers(1, 40))
 def test_segments_round_trip(documents, block):

@@ -33,63 +33,108 @@ BLEND = 8  # bits of the weights' total
 TOTAL = ORDER0 + BLEND
 RATE = 5  # a weight moves by 1/32 of its distance
 ONE, BOTH = (1 << 15 - RATE) - 1, ((1 << 15 - RATE) - 1) * 0x8001
+CONFIDENCE, HALVES = np.array([[8], [2]], dtype=np.int32), np.array([[15], [0]], dtype=np.int32)
+STEPS = 32  # that are coded together
 HEAD = struct.Struct("<4sBIQIIII")
 WORD, LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+BITS, MOST = np.uint64(TOTAL), np.uint64((1 << TOTAL) - 1)
 
 
 class _Model:
-    """The predictions' state for n blocks, in step. sizes: each id's share of order 0."""
+    """The predictions' state for n blocks, in step. sizes: each id's share of order 0.
+
+    Arrays of two rows hold order 2 first, then order 1, so that one call of numpy does both. Tables go by slot, then block, so
+    that what many blocks use lies together in the processor's cache.
+    """
 
     def __init__(self, n: int, sizes: np.ndarray) -> None:
         self.sizes = sizes.astype(np.int32)
         self.starts = (np.cumsum(sizes) - sizes).astype(np.int32)
         self.inverse = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        self.row = np.arange(n) << SLOTS
-        self.next1, self.next2 = np.zeros(n << SLOTS, dtype=np.int32), np.zeros(n << SLOTS, dtype=np.int32)  # 4 * id + confidence
+        self.next = np.zeros(2 * n << SLOTS, dtype=np.int32)  # 4 * id + confidence
+        self.n, self.lane = np.int32(n), np.arange(n)
+        self.row = np.stack([self.lane, self.lane + (n << SLOTS)])
         # weights of orders 2 and 1, 15 bits each; order 0 has the rest
-        self.weights = np.repeat(np.array([[6 * (i >> 3) + 2 << 25 | 3 * (i >> 1 & 3) + 1 << 10 for i in range(32)]], dtype=np.int32), n, axis=0).reshape(-1)
-        self.row_w = np.arange(n) << 5
-        self.a, self.mixed = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)  # the id before, the one before it times a factor
-
-    def predict(self) -> None:
-        h = self.a * 25033
-        self.at1 = self.row + (h >> 5 & (1 << SLOTS) - 1)
-        self.at2 = self.row + ((h ^ self.mixed) >> 4 & (1 << SLOTS) - 1)
-        self.e1, self.e2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.id1, self.id2 = self.e1 >> 2, self.e2 >> 2
-        self.at_w = self.row_w + ((self.e2 & 3) << 3 | (self.e1 & 3) << 1 | (self.id1 == self.id2))
-        self.w = self.weights.take(self.at_w)
-        # at most 251 of the 256 parts are theirs
-        w2, w1 = (self.w >> 15) * 251 >> 15, (self.w & 0x7FFF) * 251 >> 15
-        self.w0 = (1 << BLEND) - w2 - w1
-        self.w2, self.w1 = w2 << ORDER0, w1 << ORDER0
-
-    def interval(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.hit2, self.hit1 = self.id2 == x, self.id1 == x
-        start = self.w0 * self.starts.take(x) + self.w2 * (self.id2 < x) + self.w1 * (self.id1 < x)
-        return start, self.w0 * self.sizes.take(x) + self.w2 * self.hit2 + self.w1 * self.hit1
-
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids in whose intervals the values lie."""
+        self.weights = np.repeat(np.array([6 * (i >> 3) + 2 << 25 | 3 * (i >> 1 & 3) + 1 << 10 for i in range(32)], dtype=np.int32), n)
+        self.before = np.zeros((2, n), dtype=np.int32)  # the two ids before
+
+    def slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where what followed a, and b and a, is kept."""
+        h, at = a * 25033, np.empty((*a.shape[:-1], 2, a.shape[-1]), dtype=np.int32)
+        np.bitwise_xor(h, b * 31153, out=at[..., 0, :])
+        np.right_shift(h, 1, out=at[..., 1, :])
+        at >>= 4
+        at &= (1 << SLOTS) - 1
+        at *= self.n
+        return self.row + at
+
+    def situation(self, e: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Where the weights are kept for the expected ids with these confidences."""
+        c = (e & 3) * CONFIDENCE
+        return self.lane + (c[..., 0, :] + c[..., 1, :] + (ids[..., 0, :] == ids[..., 1, :])) * self.n
+
+    @staticmethod
+    def learnt(e: np.ndarray, hit: np.ndarray, new: np.ndarray) -> np.ndarray:
+        """A confidence grows by 1, up to 3, or falls by 2; an id with less than 2 gives place to the new one."""
+        c, right = e & 3, hit.view(np.int8)
+        return np.where(hit | (c > 1), e + ((hit & (c < 3)).view(np.int8) + (right + right - 2)), new)
+
+    @staticmethod
+    def won(hit: np.ndarray) -> np.ndarray:
+        return np.where(hit[..., 0, :], np.int32(ONE << 15), hit[..., 1, :] * np.int32(ONE))
+
+    @staticmethod
+    def shares(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of orders 2 and 1, at most 251 of the 256 parts, and of order 0."""
+        both = (w[..., None, :] >> HALVES & 0x7FFF) * 251 >> 15
+        return both << ORDER0, (1 << BLEND) - both[..., 0, :] - both[..., 1, :]
+
+    def interval(self, x: np.ndarray, ids: np.ndarray, hit: np.ndarray, both: np.ndarray, w0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        less, own = both * (ids < x[..., None, :]), both * hit
+        start = w0 * self.starts.take(x) + less[..., 0, :] + less[..., 1, :]
+        return start.astype(np.uint64), (w0 * self.sizes.take(x) + own[..., 0, :] + own[..., 1, :]).astype(np.uint64)
+
+    def intervals(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of some steps' ids, which are known: only the tables go step by step."""
+        all_ids = np.concatenate([self.before, x])
+        self.before = all_ids[-2:]
+        at, new = self.slots(all_ids[1:-1], all_ids[:-2]), x << 2
+        e, hit = np.empty(at.shape, dtype=np.int32), np.empty(at.shape, dtype=bool)
+        for t in range(len(x)):
+            e[t] = now = self.next.take(at[t])
+            hit[t] = own = now ^ new[t] < 4
+            self.next[at[t]] = self.learnt(now, own, new[t])
+        ids = e >> 2
+        at, won, w = self.situation(e, ids), self.won(hit), np.empty(x.shape, dtype=np.int32)
+        for t in range(len(x)):
+            w[t] = now = self.weights.take(at[t])
+            self.weights[at[t]] = now - (now >> RATE & BOTH) + won[t]
+        return self.interval(x, ids, hit, *self.shares(w))
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids in whose intervals the values lie, and these intervals; learns from them."""
+        at = self.slots(self.before[1], self.before[0])
+        e = self.next.take(at)
+        ids = e >> 2
+        at_w = self.situation(e, ids)
+        w = self.weights.take(at_w)
+        both, w0 = self.shares(w)
         # beyond an expected id's start in order 0, as much as its weight is not order 0's
-        low2 = self.w0 * self.starts.take(self.id2) + self.w1 * (self.id1 < self.id2)
-        low1 = self.w0 * self.starts.take(self.id1) + self.w2 * (self.id2 < self.id1)
-        between = lambda x, w: np.minimum(np.maximum(x, 0), w)
-        rest = value - between(value - low2, self.w2) - between(value - np.where(self.id1 == self.id2, low1 + self.w2, low1), self.w1)
-        return self.inverse.take(rest // self.w0, mode="clip")
-
-    def learn(self, x: np.ndarray) -> None:
-        new = x << 2
-        for e, hit, at, table in ((self.e1, self.hit1, self.at1, self.next1), (self.e2, self.hit2, self.at2, self.next2)):
-            table[at] = np.where(hit, np.minimum(e + 1, e | 3), np.where(e & 2, e - 2, new))
-        won = np.where(self.hit2, ONE << 15, self.hit1 * np.int32(ONE))
-        self.weights[self.at_w] = self.w - (self.w >> RATE & BOTH) + won
-        self.mixed = self.a * 31153
-        self.a = x
+        low = w0 * self.starts.take(ids)
+        lesser = ids[1] < ids[0]
+        low[0] += both[1] * lesser
+        low[1] += both[0] * ~lesser
+        between = np.minimum(np.maximum(value - low, 0), both)
+        x = self.inverse.take((value - between[0] - between[1]) // w0, mode="clip")
+        hit = ids == x
+        self.next[at] = self.learnt(e, hit, x << 2)
+        self.weights[at_w] = w - (w >> RATE & BOTH) + self.won(hit)
+        self.before = self.before[1], x
+        return x, *self.interval(x, ids, hit, both, w0)
 
 
 # four levels to a power of two
-STEPS = np.array([431, 256, 304, 362], dtype=np.int64)
+LEVELS = np.array([431, 256, 304, 362], dtype=np.int64)
 
 
 def frequencies(ids: np.ndarray, limit: int) -> np.ndarray:
@@ -101,7 +146,7 @@ def frequencies(ids: np.ndarray, limit: int) -> np.ndarray:
 def sizes_of(levels: np.ndarray) -> np.ndarray:
     """Each id's share of order 0; all together are 2^ORDER0."""
     level = levels.astype(np.int64)
-    share = np.where(level > 0, STEPS[level & 3] << np.maximum(level - 1, 0) // 4, 0)
+    share = np.where(level > 0, LEVELS[level & 3] << np.maximum(level - 1, 0) // 4, 0)
     size = share * ((1 << ORDER0) - int((level > 0).sum())) // max(int(share.sum()), 1) + (level > 0)
     size[int(share.argmax())] += (1 << ORDER0) - int(size.sum())
     return size
@@ -113,35 +158,37 @@ class _Coder:
     def __init__(self, n: int, words: list[np.ndarray] | None = None) -> None:
         self.low, self.range = np.zeros(n, dtype=np.uint64), np.full(n, (1 << 64) - 1, dtype=np.uint64)
         self.code = None
-        self.at = np.zeros(n, dtype=np.int64)
         self.wide = 512 if words is None else max(map(len, words)) + 2
         self.words = np.zeros((n, self.wide), dtype=np.uint32)
+        self.at = np.arange(n) * self.wide  # of the next word, in all words
         if words is not None:
             for i, w in enumerate(words):
                 self.words[i, : len(w)] = w
             first = self.words[:, :2].astype(np.uint64)
             self.code = first[:, 0] << WORD | first[:, 1]
             self.at += 2
-        self._rows()
+        self.flat = self.words.reshape(-1)
 
-    def _rows(self) -> None:
-        self.flat, self.row = self.words.reshape(-1), np.arange(len(self.words)) * self.wide
+    def put(self) -> np.ndarray:
+        """How many words each has put out."""
+        return self.at - np.arange(len(self.words)) * self.wide
 
     def room(self) -> None:
         """Makes place for the words of some more steps."""
-        if self.at.max() + 64 > self.wide:
+        if self.put().max() + 2 * STEPS > self.wide:
+            self.at += np.arange(len(self.words)) * self.wide
             self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
             self.wide *= 2
-            self._rows()
+            self.flat = self.words.reshape(-1)
 
     def value(self) -> np.ndarray:
         """Where in [0, 2^TOTAL) each code lies."""
-        return np.minimum((self.code - self.low) // (self.range >> np.uint64(TOTAL)), np.uint64((1 << TOTAL) - 1)).astype(np.int32)
+        return np.minimum((self.code - self.low) // (self.range >> BITS), MOST).view(np.int64).astype(np.int32)
 
     def narrow(self, start: np.ndarray, size: np.ndarray) -> None:
-        part = self.range >> np.uint64(TOTAL)
-        self.low += part * start.astype(np.uint64)
-        self.range = part * size.astype(np.uint64)
+        part = self.range >> BITS
+        self.low += part * start
+        self.range = part * size
         lanes = np.flatnonzero(self.range <= LOW)
         if not len(lanes):
             return
@@ -152,27 +199,25 @@ class _Coder:
         self.low[lanes] = rest << WORD
         self.at[lanes] = at + 1
         if self.code is None:
-            self.flat[self.row.take(lanes) + at] = low >> WORD
+            self.flat[at] = low >> WORD
         else:
-            next_word = self.flat.take(self.row.take(lanes) + np.minimum(at, self.wide - 1))
-            self.code[lanes] = self.code.take(lanes) << WORD | next_word
+            self.code[lanes] = self.code.take(lanes) << WORD | self.flat.take(at, mode="clip")
 
     def finish(self) -> list[bytes]:
         self.room()
         for word in (self.low >> WORD, self.low & LOW):
-            self.flat[self.row + self.at] = word
+            self.flat[self.at] = word
             self.at += 1
-        return [self.words[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.at)]
+        return [self.words[i, :n].astype("<u4").tobytes() for i, n in enumerate(self.put())]
 
 
 def _encode_lanes(ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     model, coder = _Model(len(ids), sizes), _Coder(len(ids))
-    for t, x in enumerate(np.ascontiguousarray(ids.T)):
-        if t % 32 == 0:  # a step puts out a word at most
-            coder.room()
-        model.predict()
-        coder.narrow(*model.interval(x))
-        model.learn(x)
+    steps = np.ascontiguousarray(ids.T)
+    for i in range(0, len(steps), STEPS):
+        coder.room()  # a step puts out a word at most
+        for start, size in zip(*model.intervals(steps[i : i + STEPS]), strict=True):
+            coder.narrow(start, size)
     return coder.finish()
 
 
@@ -180,11 +225,8 @@ def _decode_lanes(words: list[np.ndarray], width: int, sizes: np.ndarray) -> np.
     model, coder = _Model(len(words), sizes), _Coder(len(words), words)
     out = np.zeros((width, len(words)), dtype=np.int32)
     for t in range(width):
-        model.predict()
-        x = model.find(coder.value())
-        coder.narrow(*model.interval(x))
-        model.learn(x)
-        out[t] = x
+        out[t], start, size = model.find(coder.value())
+        coder.narrow(start, size)
     return out.T
 
 

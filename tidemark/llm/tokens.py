@@ -3,36 +3,36 @@
 The tokenizer of word_bpe_49k.json lower-cases, cuts at white space and then into pieces (runs of letters, single digits,
 runs of other signs, English endings), and codes each piece by itself; a piece's last token ends in ``</w>``. So a text's
 ids are those of its white-space-separated parts, and a part's those of its pieces. Arrow finds the different parts of
-many texts and the different pieces of these; each worker process keeps the ids of pieces that it has met (as bytes of
-little-endian unsigned 32-bit integers) and asks the library for new ones in batches. Parts with characters beyond U+024F,
-where normal forms and cases get intricate, go to it whole.
+many texts and the different pieces of these; each worker process numbers the pieces that it has met and keeps their ids in
+one array, and asks the library for new ones in batches. Parts with characters beyond U+024F, where normal forms and cases
+get intricate, go to it whole.
 
-The memory has two generations: what is met goes to the younger, which becomes the older when it is full. So pieces that
-keep coming stay, and what came once goes.
+The memory is bounded: where it gets too large, the pieces met last stay. So pieces that keep coming stay, and what came
+once goes.
 """
 
 from __future__ import annotations
 
+import codecs
 import os
-import re
 from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 VOCABULARY = "word_bpe_49k.json"
-#: Pieces that a generation of a process's memory holds.
-HELD = 500_000
+#: Pieces that stay where a process's memory, at twice as many, is full; and characters of a piece that it has room for on average.
+HELD, LONG = 500_000, 32
 #: Characters of texts that are cut at once; a longer text is cut by itself.
 AT_ONCE = 8_000_000
 #: The letters and numbers among lower-case forms of characters up to U+024F.
 LETTERS, NUMBERS = "a-zªµºß-öø-ʯⱥⱦ", "0-9²³¹¼½¾"
 #: How the vocabulary's file cuts pieces (fixed).
 PIECE = rf"('s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+)"
-PLAIN = "^[!-įı-ɏ]*$"  # for Arrow and re alike
-IS_PLAIN = re.compile(PLAIN).match
+PLAIN = "^[!-įı-ɏ]*$"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -41,10 +41,19 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+#: How the vocabulary writes each byte: those that are no printable Latin-1 signs have signs from U+0100 on. Spaces stay, to cut at.
+OTHERS = [*range(33), *range(127, 161), 173]
+SIGNS = "".join(chr(256 + OTHERS.index(b) if b in OTHERS and b != 32 else b) for b in range(256))
+
+
 def _gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The pool's runs from starts, one after another."""
-    shift = starts - (np.cumsum(lengths) - lengths)
-    return pool[np.arange(int(lengths.sum())) + np.repeat(shift, lengths)]
+    ends = np.cumsum(lengths)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(n, len(pool)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - lengths)).astype(kind), lengths)
+    at += np.arange(n, dtype=kind)
+    return pool.take(at)
 
 
 class Encoder:
@@ -57,55 +66,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
-        # the same model for pieces that are cut and lower-cased already
+        # the same model for pieces that are cut, lower-cased and written as the vocabulary writes bytes already
         self.model = Tokenizer.from_file(path)
         self.model.normalizer = None
-        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _coded(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # the pieces met, by number: where each one's ids lie in the pool, how many they are, and in which lot it was met last
+        self.met: dict[str, int] = {}
+        self.starts, self.lengths, self.last = (np.empty(0, dtype=np.int64) for _ in range(3))
+        self.pool = np.empty(0, dtype="<u4")
+        self.size = self.lots = 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _coded(self, pieces: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of some pieces after another, one after another, and how many each has."""
         for i in range(0, len(pieces), 500):
             some = pieces[i : i + 500]
-            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            written, _ = codecs.charmap_decode(" ".join(some).encode(), "strict", SIGNS)
+            ids = np.array(self.model.encode_batch_fast([written], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                bounds, data = (4 * ends).tolist(), ids.tobytes()
-                yield from zip(some, (data[a:b] for a, b in zip([0, *bounds], bounds)), strict=True)
+                yield ids, np.diff(ends, prepend=0)
             else:
-                yield from ((p, self._whole(p)) for p in some)
-
-    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different pieces (or of whole parts) one after another, and how many each has."""
-        young, old = self.young, self.old
-        found = list(map(young.get, pieces))
-        missing = [p for p, ids in zip(pieces, found, strict=True) if ids is None]
-        fresh = {p: ids for p in missing if (ids := old.get(p)) is not None}
-        new = [p for p in missing if p not in fresh]
-        odd = {p for p in new if not IS_PLAIN(p) or "<|" in p}
-        fresh.update(self._coded([p for p in new if p and p not in odd]))
-        fresh.update((p, self._whole(p)) for p in new if p in odd or not p)
-        if len(young) + len(fresh) > self.held:
-            self.old, self.young = young, {}
-        self.young.update(fresh)
-        found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-        return np.frombuffer(b"".join(found), "<u4"), np.array(list(map(len, found)), dtype=np.int64) // 4
+                yield from ((own, np.array([len(own)])) for own in map(self._whole, some))
+
+    def _learn(self, new: list[str]) -> np.ndarray:
+        """Adds the ids of different new pieces (or whole parts); returns the pieces' numbers."""
+        names = pa.array(new, pa.string())
+        plain = pc.and_not(pc.match_substring_regex(names, PLAIN), pc.match_substring(names, "<|"))
+        plain = pc.and_(plain, pc.not_equal(names, "")).to_numpy(zero_copy_only=False)
+        easy, odd = (names.filter(pa.array(own)).to_numpy(zero_copy_only=False).tolist() for own in (plain, ~plain))
+        found = [*self._coded(easy), *((own, np.array([len(own)])) for own in map(self._whole, odd))]
+        lengths, known = np.concatenate([k for _, k in found]), len(self.met)
+        number = np.empty(len(new), dtype=np.int64)
+        number[plain], number[~plain] = known + np.arange(len(easy)), known + len(easy) + np.arange(len(odd))
+        self.met.update(zip([*easy, *odd], range(known, known + len(new)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.last = np.concatenate([self.last, np.zeros(len(new), dtype=np.int64)])
+        self.pool = np.concatenate([self.pool, *(ids for ids, _ in found)])
+        self.size += sum(map(len, new))
+        return number
+
+    def _forget(self) -> None:
+        """Keeps the pieces met last, `held` of them at most."""
+        names = list(self.met)
+        order = np.argsort(-self.last, kind="stable")[: self.held]
+        sizes = np.cumsum([len(names[i]) for i in order.tolist()])
+        keep = order[: np.searchsorted(sizes, LONG * self.held, side="right")]
+        self.size = int(sizes[len(keep) - 1]) if len(keep) else 0
+        self.met = {names[i]: n for n, i in enumerate(keep.tolist())}
+        self.pool = _gathered(self.pool, self.starts[keep], self.lengths[keep])
+        self.lengths, self.last = self.lengths[keep], self.last[keep]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _pieces(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of different pieces (or of whole parts)."""
+        if len(self.met) > 2 * self.held or self.size > 2 * LONG * self.held:
+            self._forget()
+        code = np.array(list(map(self.met.get, pieces, repeat(-1))), dtype=np.int64)
+        new = np.flatnonzero(code < 0)
+        if len(new):
+            code[new] = self._learn([pieces[i] for i in new.tolist()])
+        self.lots += 1
+        self.last[code] = self.lots
+        return code
 
     def _parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of different parts one after another, and how many each has."""
         plain = pc.and_not(pc.match_substring_regex(parts, PLAIN), pc.match_substring(parts, "<|"))
         lower = pc.utf8_lower(parts)
-        mixed = pc.invert(pc.match_substring_regex(lower, "^[a-z]+$"))  # the others are one piece
-        cut = pc.replace_with_mask(lower, mixed, pc.replace_substring_regex(lower.filter(mixed), PIECE, "\\1 "))
+        mixed = pc.invert(pc.match_substring_regex(lower, f"^[{LETTERS}]+$"))  # the others are one piece
+        rest = lower.filter(mixed)
+        # most are a word and a sign, which need no regular expression to be cut
+        signed = pc.match_substring_regex(rest, f"^[{LETTERS}]+[.,]$")
+        short = pc.replace_substring(pc.replace_substring(rest.filter(signed), ".", " ."), ",", " ,")
+        rest = pc.replace_with_mask(rest, signed, short)
+        intricate = pc.invert(signed)
+        rest = pc.replace_with_mask(rest, intricate, pc.replace_substring_regex(rest.filter(intricate), PIECE, "\\1 "))
+        cut = pc.replace_with_mask(lower, mixed, rest)
         cut = pc.split_pattern(pc.if_else(plain, pc.ascii_rtrim(cut, " "), parts), " ")
         coded = cut.flatten().dictionary_encode()
-        ids, lengths = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        code = coded.indices.to_numpy()
-        each = lengths[code]
-        return _gathered(ids, (np.cumsum(lengths) - lengths)[code], each), np.add.reduceat(each, cut.offsets.to_numpy()[:-1])
+        code = self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        each = self.lengths[code]
+        return _gathered(self.pool, self.starts[code], each), np.add.reduceat(each, cut.offsets.to_numpy()[:-1])
 
     def _encode_some(self, texts: list[str]) -> Iterator[bytes]:
         parts = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
@@ -128,7 +173,7 @@ class Encoder:
             if text and any(c in text for c in "\x1c\x1d\x1e\x1f"):
                 yield from self._encode_some(some)
                 some, size = [], 0
-                yield self._whole(text)
+                yield self._whole(text).tobytes()
                 continue
             some.append(text or "")
             size += len(some[-1]) + 8  # empty texts take room too
