@@ -299,7 +299,7 @@ def test_encoder_cuts_words_with_a_sign_without_the_pieces_expression(tokenizer,
 
 def test_encoders_memory_is_bounded_in_characters_too(tokenizer):
     own = tokens.Encoder(tokens.vocabulary_path(), held=100, at_once=20_000)
-    texts = ["".join(random.Random(i).choice("abc") for _ in range(5000)) for i in range(80)]
+    texts = ["".join(rng.choice("abc") for _ in range(5000)) for rng in map(random.Random, range(80))]
     for t, got in zip(texts, own.encode_all(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
     assert sum(map(len, own.met)) < 60_000  # 400,000 characters went through
