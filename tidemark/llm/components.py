@@ -39,12 +39,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def meet(rows: DataFrame, side: DataFrame, key: str | list[str], n: str, total: int) -> DataFrame:
     """rows joined with side on the key. side has one row per key and says in n how many of the total rows have it.
 
-    Hot keys, fewer than SHARES by their count, are broadcast and meet the rows where they lie; the other keys are shuffled.
+    Hot keys, fewer than SHARES by their count, are broadcast and meet the rows where they lie; the other keys are shuffled. That is said
+    by a hint: Spark sizes rows after an explode as if there were as many as before, and would broadcast them through the driver.
     """
     hot = F.col(n) * SHARES > total
     hubs, rest = side.where(hot).drop(n), side.where(~hot).drop(n)
     here = rows.join(F.broadcast(hubs), key)
-    there = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key)
+    there = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest.hint("merge"), key)
     return here.unionByName(there)
 
 
