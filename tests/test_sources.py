@@ -170,3 +170,25 @@ def test_evaluation_parses_records_once(spark, tmp_path):
     assert sorted((r.rec_id.rec_idx, r.n_gt, r.n_pred, r.n_matched) for r in made.collect()) == [(0, 1, 1, 1), (1, 1, 0, 0)]
     plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "text" not in plan and "from_json" not in plan and "parse_json" not in plan
+
+
+def test_files_are_listed_by_tasks_as_spark_lists_them(spark, tmp_path):
+    """No file index in the driver; names, hidden ones and empty files are as Spark's own listing has them."""
+    from tidemark.sources import scans
+
+    made = ("a/frame_1.jpg", "a/frame_2.jpg", "a/b c/d+e/frame_3.jpg", "a/.hid/frame_4.jpg", "_tmp/frame_5.jpg", "_k=1/frame_6.jpg", "a/.frame_7.jpg", "frame_8.jpg", "a/x.json", "a/x%20y.safetensors", "a/x.jsonl", "a/b/empty.json")
+    for x in made:
+        write(tmp_path / x, *([] if "empty" in x else ["x"]))
+    (tmp_path / "a/b/empty.json").write_text("")
+    (tmp_path / "none").mkdir()
+    for glob in ("frame_*.jpg", "*.{json,safetensors}", "*"):
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(str(tmp_path))
+        want = sorted(r.path.removeprefix("file:") for r in rows.select("path").collect())
+        for root in (str(tmp_path), f"{tmp_path}/", f"file://{tmp_path}"):
+            got = scans.files(spark, root, glob)
+            assert sorted(r.path for r in got.collect()) == want and all(f"{r.folder}/{r.name}" == "/".join(r.path.split("/")[-2:]) for r in got.collect())
+            assert "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.name for r in scans.files(spark, f"{tmp_path}/a*", "frame_1*").collect()] == ["frame_1.jpg"]  # a pattern
+    assert scans.files(spark, f"{tmp_path}/none", "*").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        scans.files(spark, f"{tmp_path}/missing", "*")

@@ -6,13 +6,24 @@ Durations come from a media table (path, duration), which also says which files
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import fnmatch
+import os
+import re
+from collections.abc import Iterator, Sequence
+from itertools import islice
+
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checkpoints import written
+from tidemark.sources import sinks
 from tidemark.sources.records import decoded
 
+#: Names in a batch of a listing.
+LISTED = 10_000
+
 ANNOTATION = "array<struct<video:string,conversations:array<struct<`from`:string,value:string>>>>"
 CLIP = "array<struct<video_path:string,labels:array<string>,subcategories:array<string>,video_content:string,violate_reason:string>>"
 
@@ -100,13 +111,69 @@ def bench_summary(samples: DataFrame) -> DataFrame:
     return one.join(F.broadcast(by), F.lit(True))
 
 
+def alternatives(glob: str) -> list[str]:
+    """The globs without braces that a glob with {a,b} stands for."""
+    found = re.search(r"\{([^{}]*)\}", glob)
+    return [y for x in found[1].split(",") for y in alternatives(glob[: found.start()] + x + glob[found.end() :])] if found else [glob]
+
+
+def is_hidden(name: str) -> bool:
+    """Names that Spark's readers pass over too."""
+    return name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not name.startswith(("_metadata", "_common_metadata")))
+
+
+def entries(fs: arrow_fs.FileSystem, path: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what a folder holds, but empty files, as Spark's readers do. A local folder is read bit by bit."""
+    if isinstance(fs, arrow_fs.LocalFileSystem):
+        with os.scandir(path) as found:
+            yield from ((x.name, x.is_dir()) for x in found if x.is_dir() or (x.is_file() and x.stat().st_size))
+    else:
+        found = fs.get_file_info(arrow_fs.FileSelector(path))
+        yield from ((x.base_name, x.type == arrow_fs.FileType.Directory) for x in found if x.type == arrow_fs.FileType.Directory or x.size)
+
+
 def files(spark: SparkSession, root: str, glob: str) -> DataFrame:
-    """path, folder, name of the files below root whose names fit; contents are not read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace("path", r"\A[a-z0-9]+:/*(?=/)", "")
+    """path, folder, name of the files below root whose names fit; contents are not read.
+
+    Folders are listed by tasks, level by level, through Arrow's file systems, so the driver holds no names, however many files there are.
+    A root that isn't a folder there (a pattern, or a store that Arrow doesn't reach) is listed by Spark, in the driver.
+    """
+    try:
+        fs, base = sinks.file_system(root)
+        known = fs.get_file_info(base).type == arrow_fs.FileType.Directory
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        known = False
+    if known:
+        top = os.path.abspath(base) if isinstance(fs, arrow_fs.LocalFileSystem) else re.sub(r"\A[a-z0-9]+:/*(?=/)", "", root).rstrip("/")
+        path = F.concat(F.lit(top), "at")
+        rows = listed(spark, root, glob)
+    else:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+        path = F.regexp_replace("path", r"\A[a-z0-9]+:/*(?=/)", "")
     return rows.select(path.alias("path"), folder(path).alias("folder"), folder(path, 0).alias("name"))
 
 
+def listed(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """at: what follows root in the paths of the files below it whose names fit, written level by level."""
+    fits = [re.compile(fnmatch.translate(x)) for x in alternatives(glob)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = sinks.file_system(root)
+        for at in (x for batch in batches for x in batch.column(0).to_pylist()):
+            found = ((f"{at}/{n}", is_folder) for n, is_folder in entries(fs, f"{base.rstrip('/')}{at}/") if not is_hidden(n) and (is_folder or any(x.match(n) for x in fits)))
+            while part := list(islice(found, LISTED)):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*part, strict=True)], names=["at", "is_folder"])
+
+    n, level, out = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.createDataFrame([("",)], "at string").coalesce(1), None
+    while True:
+        found = written(level.mapInArrow(run, "at string, is_folder boolean"), "listing")
+        out = found if out is None else out.unionByName(found)
+        level = found.where("is_folder").select("at")
+        if level.isEmpty():
+            return out.where("not is_folder").select("at")
+        level = level.repartition(n)
+
+
 def safe_videos(spark: SparkSession, root: str, media: DataFrame | None = None, shortest: float = 0.0) -> DataFrame:
     """path of every <folder>/content.mp4; with a media table also its duration, at least the shortest."""
     rows = files(spark, root, "content.mp4").select("path")
